@@ -253,3 +253,222 @@ LEFT JOIN (SELECT type AS key, count(*) AS list_count FROM l GROUP BY type) c ON
 UNION ALL
 SELECT 'overdue', '1', (SELECT count(*) FROM s WHERE {OVERDUE}), (SELECT count(*) FROM l WHERE {OVERDUE}),
        (SELECT count(*) FROM s WHERE {OVERDUE}) = (SELECT count(*) FROM l WHERE {OVERDUE})""")
+
+# Requests from the command table ------------------------------------------
+REQUESTS = """
+, req AS (
+  SELECT c.command_id AS request_id, c.hazard_id, c.performed_by_user_id AS user_id, u.role
+  FROM hazard_commands c LEFT JOIN users u ON u.user_id = c.performed_by_user_id
+)
+"""
+
+
+def access_sql(role: str, uid: str, rep: str, asg: str, status: str) -> str:
+    r = f"lower(trim(coalesce({role}, '')))"
+    return (f"CASE WHEN {r} = 'safetyofficer' THEN TRUE WHEN {rep} IS NULL THEN FALSE "
+            f"WHEN {r} = 'fieldworker' THEN coalesce({rep} = {uid} OR {asg} = {uid}, FALSE) "
+            f"WHEN {r} = 'sitemanager' THEN coalesce({asg} = {uid} OR {rep} = {uid} "
+            f"OR ({status} = 'Open' AND {asg} IS NULL), FALSE) ELSE FALSE END")
+
+
+register("access_flags", REQUESTS + f"""
+SELECT q.request_id, q.hazard_id, q.user_id, q.role,
+       {access_sql('q.role', 'q.user_id', 'h.reported_by_user_id', 'h.assigned_to_user_id', 'h.status')} AS accessible
+FROM req q LEFT JOIN hazards h ON h.hazard_id = q.hazard_id""")
+
+register("semi_eligible_assignee", """
+SELECT command_id, assign_to_user_id FROM hazard_commands c
+WHERE kind = 'assign' AND EXISTS (SELECT 1 FROM users u WHERE u.user_id = c.assign_to_user_id
+                                  AND u.is_active AND u.role = 'SiteManager')""")
+register("semi_active_reporter", """
+SELECT command_id, reported_by_user_id FROM hazard_commands c
+WHERE kind = 'create' AND EXISTS (SELECT 1 FROM users u WHERE u.user_id = c.reported_by_user_id AND u.is_active)""")
+register("performer_role", """
+SELECT c.command_id, c.performed_by_user_id, trim(u.role) AS performer_role
+FROM hazard_commands c LEFT JOIN (SELECT * FROM users WHERE is_active) u ON u.user_id = c.performed_by_user_id""")
+register("hazard_detail", REQUESTS + f"""
+, ok AS (
+  SELECT q.request_id, q.user_id, q.hazard_id FROM req q LEFT JOIN hazards h ON h.hazard_id = q.hazard_id
+  WHERE {access_sql('q.role', 'q.user_id', 'h.reported_by_user_id', 'h.assigned_to_user_id', 'h.status')}
+)
+SELECT ok.request_id, ok.user_id AS viewer_id, x.* FROM ok JOIN ({NAMED_LIST}) x ON x.hazard_id = ok.hazard_id""")
+
+_VIEWERS = ((10, "SafetyOfficer"), (11, "SiteManager"), (14, "FieldWorker"))
+register("hazard_history", """
+, lh AS (SELECT l.*, h.reported_by_user_id AS h_rep, h.assigned_to_user_id AS h_asg, h.status AS h_status
+         FROM hazard_logs l LEFT JOIN hazards h ON h.hazard_id = l.hazard_id),
+v AS (""" + " UNION ALL ".join(
+    f"SELECT {uid} AS viewer_id, lh.* FROM lh WHERE {access_sql(repr(role), str(uid), 'h_rep', 'h_asg', 'h_status')}"
+    for uid, role in _VIEWERS) + """)
+SELECT v.viewer_id, v.hazard_log_id, v.hazard_id, v.action_type, v.details, v.performed_by_user_id,
+       u.full_name AS performed_by_name, v.created_at
+FROM v JOIN users u ON u.user_id = v.performed_by_user_id""")
+register("user_by_name", """
+SELECT e.login_id, u.user_id, u.user_name AS found_user_name, u.full_name, u.role, u.is_active
+FROM login_events e JOIN users u ON lower(u.user_name) = lower(trim(e.user_name))
+WHERE lower(trim(e.user_name)) <> ''""")
+
+# W1-W5 ----------------------------------------------------------------------
+CTX = """
+, ctx AS (
+  SELECT c.*, pr.role AS role, h.reported_by_user_id AS h_rep, h.assigned_to_user_id AS h_asg, h.status AS h_status,
+         coalesce(tu.is_active AND tu.role = 'SiteManager', FALSE) AS target_mgr,
+         coalesce(ru.is_active, FALSE) AS rep_active,
+         upper(trim(c.new_status)) AS ns_u
+  FROM hazard_commands c
+  LEFT JOIN (SELECT user_id, trim(role) AS role FROM users WHERE is_active) pr ON pr.user_id = c.performed_by_user_id
+  LEFT JOIN hazards h ON h.hazard_id = c.hazard_id
+  LEFT JOIN users tu ON tu.user_id = c.assign_to_user_id
+  LEFT JOIN users ru ON ru.user_id = c.reported_by_user_id
+)
+"""
+P = "performed_by_user_id"
+ROLES3 = "('SafetyOfficer', 'SiteManager', 'FieldWorker')"
+CREATE_RES = f"""CASE WHEN role IS NULL THEN 'Unauthorized' WHEN NOT rep_active THEN 'BadRequest'
+  WHEN role = 'FieldWorker' AND reported_by_user_id <> {P} THEN 'Forbidden'
+  WHEN role NOT IN {ROLES3} THEN 'Forbidden' ELSE 'OK' END"""
+UPDATE_RES = f"""CASE WHEN role IS NULL THEN 'Unauthorized' WHEN h_rep IS NULL THEN 'NotFound'
+  WHEN role NOT IN {ROLES3} THEN 'Forbidden'
+  WHEN role = 'SiteManager' AND NOT (h_asg = {P} OR (h_asg IS NULL AND h_status = 'Open')) THEN 'Forbidden'
+  WHEN role = 'FieldWorker' AND NOT (h_rep = {P} AND h_asg IS NULL AND h_status = 'Open') THEN 'Forbidden'
+  ELSE 'OK' END"""
+ASSIGN_RES = f"""CASE WHEN role IS NULL THEN 'Unauthorized' WHEN h_status IS NULL THEN 'NotFound'
+  WHEN role NOT IN ('SafetyOfficer', 'SiteManager') THEN 'Forbidden'
+  WHEN role = 'SafetyOfficer' AND assign_to_user_id IS NOT NULL AND NOT target_mgr THEN 'Forbidden'
+  WHEN role = 'SiteManager' AND assign_to_user_id <> {P} THEN 'Forbidden'
+  WHEN role = 'SiteManager' AND NOT (h_status = 'Open' AND h_asg IS NULL) THEN 'Forbidden'
+  ELSE 'OK' END"""
+COMMENT_TAIL = f"""WHEN h_rep IS NULL THEN 'NotFound'
+  WHEN role = 'FieldWorker' AND NOT (h_rep = {P} OR h_asg = {P}) THEN 'Forbidden'
+  WHEN role = 'SiteManager' AND NOT (h_asg = {P} OR h_rep = {P} OR (h_status = 'Open' AND h_asg IS NULL)) THEN 'Forbidden'
+  WHEN role NOT IN {ROLES3} THEN 'Forbidden' ELSE 'OK' END"""
+BLANK_DETAILS = "trim(coalesce(details, '')) = ''"
+BLANK_STATUS = "trim(coalesce(new_status, '')) = ''"
+COMMENT_RES = f"""CASE WHEN role IS NULL THEN 'Unauthorized' WHEN {BLANK_DETAILS} THEN 'BadRequest' {COMMENT_TAIL}"""
+STATUS_RES = f"""CASE WHEN role IS NULL THEN 'Unauthorized'
+  WHEN {BLANK_STATUS} AND {BLANK_DETAILS} THEN 'BadRequest'
+  WHEN {BLANK_STATUS} THEN (CASE {COMMENT_TAIL})
+  WHEN ns_u NOT IN ('OPEN', 'INPROGRESS', 'RESOLVED') THEN 'BadRequest'
+  WHEN h_status IS NULL THEN 'NotFound'
+  WHEN role <> 'SafetyOfficer' AND role <> 'SiteManager' THEN 'Forbidden'
+  WHEN role <> 'SafetyOfficer' AND h_asg <> {P} THEN 'Forbidden'
+  WHEN role <> 'SafetyOfficer' AND NOT ((h_status = 'Open' AND ns_u = 'INPROGRESS')
+                                        OR (h_status = 'InProgress' AND ns_u = 'RESOLVED')) THEN 'Forbidden'
+  ELSE 'OK' END"""
+
+register("cmd_create", CTX + f"""
+, v AS (SELECT command_id, {CREATE_RES} AS result FROM ctx WHERE kind = 'create')
+SELECT command_id, result,
+       CASE WHEN result = 'OK' THEN CAST((SELECT max(hazard_id) FROM hazards)
+            + row_number() OVER (PARTITION BY result = 'OK' ORDER BY command_id) AS INT) END AS new_hazard_id
+FROM v""")
+register("cmd_update", CTX + f"SELECT command_id, {UPDATE_RES} AS result FROM ctx WHERE kind = 'update'")
+register("cmd_assign", CTX + f"SELECT command_id, {ASSIGN_RES} AS result FROM ctx WHERE kind = 'assign'")
+register("cmd_change_status", CTX + f"""
+SELECT command_id, {STATUS_RES} AS result,
+       CASE WHEN {BLANK_STATUS} THEN 'Comment' ELSE 'StatusChanged' END AS action
+FROM ctx WHERE kind = 'change_status'""")
+register("cmd_comment", CTX + f"SELECT command_id, {COMMENT_RES} AS result FROM ctx WHERE kind = 'comment'")
+
+
+def policy_role(role: str, name: str) -> str:
+    return f"coalesce(lower({role}) = '{name.lower()}', FALSE)"
+
+
+def same(a: str, b: str) -> str:
+    return f"coalesce({a} = {b}, FALSE)"
+
+
+def is_status(s: str, name: str) -> str:
+    return f"(lower(coalesce({s}, '')) = '{name.lower()}')"
+
+
+def can_view_sql(role, uid, rep, asg, st, ex) -> str:
+    return (f"({ex} AND ({policy_role(role, 'SafetyOfficer')} "
+            f"OR ({policy_role(role, 'FieldWorker')} AND ({same(rep, uid)} OR {same(asg, uid)})) "
+            f"OR ({policy_role(role, 'SiteManager')} AND ({same(asg, uid)} OR {same(rep, uid)} "
+            f"OR ({asg} IS NULL AND {is_status(st, 'Open')})))))")
+
+
+def can_edit_sql(role, uid, rep, asg, st, ex) -> str:
+    return (f"({can_view_sql(role, uid, rep, asg, st, ex)} AND ({policy_role(role, 'SafetyOfficer')} "
+            f"OR ({policy_role(role, 'FieldWorker')} AND {same(rep, uid)} AND {asg} IS NULL "
+            f"AND {is_status(st, 'Open')}) "
+            f"OR ({policy_role(role, 'SiteManager')} AND ({same(asg, uid)} OR {same(rep, uid)}))))")
+
+
+register("effective_edit", CTX + f"""
+, r AS (SELECT ctx.*, {UPDATE_RES} AS result FROM ctx WHERE kind = 'update'),
+e AS (SELECT r.*, u.role AS viewer_role FROM r LEFT JOIN users u ON u.user_id = r.performed_by_user_id)
+SELECT command_id, {can_edit_sql('viewer_role', P, 'h_rep', 'h_asg', 'h_status', 'h_rep IS NOT NULL')} AS policy_can_edit,
+       result = 'OK' AS write_accepted,
+       {can_edit_sql('viewer_role', P, 'h_rep', 'h_asg', 'h_status', 'h_rep IS NOT NULL')} AND result = 'OK'
+         AS effective_edit
+FROM e""")
+
+# W7-W9 ----------------------------------------------------------------------
+SEED_USERS_SQL = """
+, seed_users AS (SELECT * FROM (VALUES (1, 'safety', 'Safety Officer', 'SafetyOfficer', TRUE),
+                                       (2, 'manager', 'Site Manager', 'SiteManager', TRUE),
+                                       (3, 'worker', 'Field Worker', 'FieldWorker', TRUE))
+                 t(seq, user_name, full_name, role, is_active)),
+upserted AS (
+  SELECT u.user_id, u.user_name, coalesce(s.full_name, u.full_name) AS full_name,
+         coalesce(s.role, u.role) AS role, coalesce(s.is_active, u.is_active) AS is_active
+  FROM users u LEFT JOIN seed_users s ON lower(s.user_name) = lower(u.user_name)
+  UNION ALL
+  SELECT CAST((SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY s.seq) AS INT),
+         s.user_name, s.full_name, s.role, s.is_active
+  FROM seed_users s WHERE NOT EXISTS (SELECT 1 FROM users u WHERE lower(u.user_name) = lower(s.user_name))
+)
+"""
+register("upsert_users", SEED_USERS_SQL + "SELECT * FROM upserted")
+DEMO = ", demo AS (SELECT hazard_id FROM hazards WHERE title LIKE 'Demo:%')"
+register("purge_demo_hazards", DEMO + " SELECT * FROM hazards WHERE hazard_id NOT IN (SELECT hazard_id FROM demo)")
+register("purge_demo_logs", DEMO + " SELECT * FROM hazard_logs WHERE hazard_id NOT IN (SELECT hazard_id FROM demo)")
+register("purge_demo_attachments",
+         DEMO + " SELECT * FROM hazard_attachments WHERE hazard_id NOT IN (SELECT hazard_id FROM demo)")
+RELOAD = SEED_USERS_SQL + DEMO + f"""
+, seed_h AS (SELECT * FROM (VALUES
+   (1, 'Demo: Overdue Open – Unlabelled chemical containers',
+    'Several containers are missing labels in the storage area.', 'High', 'Chemical', 'Open',
+    TIMESTAMP '2025-12-01 00:00:00', 'worker', 'manager'),
+   (2, 'Demo: In Progress – Missing guard rails on scaffold',
+    'Guard rails are partially missing on level 2 scaffold.', 'Medium', 'Physical', 'InProgress',
+    TIMESTAMP '2026-01-20 00:00:00', 'worker', 'worker'),
+   (3, 'Demo: Resolved – Exposed electrical wiring in hallway',
+    'Exposed wiring found near the main hallway panel.', 'Critical', 'Electrical', 'Resolved',
+    TIMESTAMP '2025-12-15 00:00:00', 'manager', 'manager'),
+   (4, 'Demo: Open (Unassigned) – Slippery floor near entrance',
+    'Wet floor reported near the entrance, no signage.', 'Low', 'Physical', 'Open',
+    TIMESTAMP '2026-02-01 00:00:00', 'worker', NULL))
+   t(seq, title, description, severity, type, status, due_date, reporter_name, assignee_name)),
+ins AS (
+  SELECT CAST((SELECT max(hazard_id) FROM hazards) + s.seq AS INT) AS hazard_id, s.title, s.description,
+         r.user_id AS reported_by_user_id, a.user_id AS assigned_to_user_id, s.status, s.severity, s.type,
+         {NOW} AS created_at, s.due_date
+  FROM seed_h s LEFT JOIN upserted r ON lower(r.user_name) = s.reporter_name
+  LEFT JOIN upserted a ON lower(a.user_name) = s.assignee_name
+),
+seed_logs AS (
+  SELECT hazard_id, 1 AS step, 'Created' AS action_type, 'Demo seed: hazard created' AS details,
+         (SELECT max(user_id) FROM upserted WHERE lower(user_name) = 'safety') AS performed_by_user_id FROM ins
+  UNION ALL
+  SELECT hazard_id, 2, 'Assigned', 'Demo seed: assigned by system',
+         (SELECT max(user_id) FROM upserted WHERE lower(user_name) = 'safety') FROM ins
+  WHERE title LIKE 'Demo: Overdue Open%'
+  UNION ALL
+  SELECT hazard_id, 3, 'StatusChanged', 'Demo seed: moved to InProgress',
+         (SELECT max(user_id) FROM upserted WHERE lower(user_name) = 'manager') FROM ins
+  WHERE title LIKE 'Demo: In Progress%'
+)
+"""
+register("reload_demo_hazards", RELOAD + """
+SELECT * FROM hazards WHERE hazard_id NOT IN (SELECT hazard_id FROM demo)
+UNION ALL SELECT * FROM ins""")
+register("reload_demo_logs", RELOAD + f"""
+SELECT * FROM hazard_logs WHERE hazard_id NOT IN (SELECT hazard_id FROM demo)
+UNION ALL
+SELECT CAST((SELECT max(hazard_log_id) FROM hazard_logs) + row_number() OVER (ORDER BY step, hazard_id) AS INT),
+       hazard_id, action_type, details, CAST(performed_by_user_id AS INT), {NOW}
+FROM seed_logs""")

@@ -219,3 +219,152 @@ def q_dashboard_all_type(spark, d):
 def q_drilldown_consistency(spark, d):
     r = reg(spark, d)
     return A.drilldown_consistency(r.hazards, r.users, *MANAGER, NOW)
+
+
+# ---------------------------------------------------------------------------
+# Requests and (viewer, hazard) rows derived from the command table: every
+# command is one request by its performer for its hazard.
+def command_requests(r: B.Register) -> DataFrame:
+    u = r.users.select(F.col("user_id").alias("_u"), F.col("role"))
+    c = r.hazard_commands
+    return (c.join(u, c["performed_by_user_id"] == u["_u"], "left")
+            .select(F.col("command_id").alias("request_id"), "hazard_id",
+                    F.col("performed_by_user_id").alias("user_id"), "role"))
+
+
+def policy_rows(r: B.Register) -> DataFrame:
+    """(command, viewer role, hazard state) rows for the policy columns."""
+    req = command_requests(r)
+    h = V.hazard_state(r.hazards)
+    c = r.hazard_commands.select(F.col("command_id").alias("request_id"), "new_status")
+    return (req.join(h, req["hazard_id"] == h["h_hazard_id"], "left")
+            .join(c, "request_id", "inner")
+            .withColumn("h_exists", F.col("h_hazard_id").isNotNull()))
+
+
+# V2 -------------------------------------------------------------------------
+@query("access_flags")
+def q_access_flags(spark, d):
+    r = reg(spark, d)
+    return V.access_flags(command_requests(r), r.hazards)
+
+
+# J4-J6, J8-J10 --------------------------------------------------------------
+@query("semi_eligible_assignee")
+def q_semi_eligible_assignee(spark, d):
+    r = reg(spark, d)
+    c = r.hazard_commands.where(F.col("kind") == "assign").select("command_id", "assign_to_user_id")
+    return L.semi_eligible_assignee(c, r.users)
+
+
+@query("semi_active_reporter")
+def q_semi_active_reporter(spark, d):
+    r = reg(spark, d)
+    c = r.hazard_commands.where(F.col("kind") == "create").select("command_id", "reported_by_user_id")
+    return L.semi_active_reporter(c, r.users)
+
+
+@query("performer_role")
+def q_performer_role(spark, d):
+    r = reg(spark, d)
+    return L.performer_role(r.hazard_commands.select("command_id", "performed_by_user_id"), r.users)
+
+
+@query("hazard_detail")
+def q_hazard_detail(spark, d):
+    r = reg(spark, d)
+    return L.hazard_detail(command_requests(r), r.hazards, r.users)
+
+
+@query("hazard_history")
+def q_hazard_history(spark, d):
+    r = reg(spark, d)
+    return L.scoped_logs(r.hazard_logs, r.hazards, r.users, VIEWERS)
+
+
+@query("user_by_name")
+def q_user_by_name(spark, d):
+    r = reg(spark, d)
+    return L.user_by_name(r.login_events.select("login_id", "user_name"), r.users).select(
+        "login_id", "user_id", "found_user_name", "full_name", "role", "is_active")
+
+
+# W1-W5, P9 ------------------------------------------------------------------
+from ..operators import commands as W  # noqa: E402
+from ..sources import seed as SEED  # noqa: E402
+
+
+def _validated(r: B.Register, kind: str) -> DataFrame:
+    return W.validate(r.hazard_commands.where(F.col("kind") == kind), r.users, r.hazards)
+
+
+@query("cmd_create")
+def q_cmd_create(spark, d):
+    r = reg(spark, d)
+    return W.validate_creates(r.hazard_commands, r.users, r.hazards).select("command_id", "result", "new_hazard_id")
+
+
+@query("cmd_update")
+def q_cmd_update(spark, d):
+    return _validated(reg(spark, d), W.KIND_UPDATE).select("command_id", "result")
+
+
+@query("cmd_assign")
+def q_cmd_assign(spark, d):
+    return _validated(reg(spark, d), W.KIND_ASSIGN).select("command_id", "result")
+
+
+@query("cmd_change_status")
+def q_cmd_change_status(spark, d):
+    return _validated(reg(spark, d), W.KIND_STATUS).select("command_id", "result", "action")
+
+
+@query("cmd_comment")
+def q_cmd_comment(spark, d):
+    return _validated(reg(spark, d), W.KIND_COMMENT).select("command_id", "result")
+
+
+@query("effective_edit")
+def q_effective_edit(spark, d):
+    r = reg(spark, d)
+    return W.effective_edit(r.hazard_commands.where(F.col("kind") == W.KIND_UPDATE), r.users, r.hazards)
+
+
+# W7-W9 ----------------------------------------------------------------------
+@query("upsert_users")
+def q_upsert_users(spark, d):
+    return W.upsert_users(reg(spark, d).users, SEED.seed_users(spark))
+
+
+@query("purge_demo_hazards")
+def q_purge_demo_hazards(spark, d):
+    r = reg(spark, d)
+    return W.purge(r.hazards, W.demo_ids(r.hazards))
+
+
+@query("purge_demo_logs")
+def q_purge_demo_logs(spark, d):
+    r = reg(spark, d)
+    return W.purge(r.hazard_logs, W.demo_ids(r.hazards))
+
+
+@query("purge_demo_attachments")
+def q_purge_demo_attachments(spark, d):
+    r = reg(spark, d)
+    return W.purge(r.hazard_attachments, W.demo_ids(r.hazards))
+
+
+def _reload(spark, d):
+    r = reg(spark, d)
+    users = W.upsert_users(r.users, SEED.seed_users(spark))
+    return W.reload_demo(r.hazards, r.hazard_logs, users, SEED.seed_hazards(spark), NOW)
+
+
+@query("reload_demo_hazards")
+def q_reload_demo_hazards(spark, d):
+    return _reload(spark, d)[0]
+
+
+@query("reload_demo_logs")
+def q_reload_demo_logs(spark, d):
+    return _reload(spark, d)[1]

@@ -472,3 +472,180 @@ UNION ALL
 SELECT CAST((SELECT max(hazard_log_id) FROM hazard_logs) + row_number() OVER (ORDER BY step, hazard_id) AS INT),
        hazard_id, action_type, details, CAST(performed_by_user_id AS INT), {NOW}
 FROM seed_logs""")
+
+# P1-P8 ----------------------------------------------------------------------
+POLICY_ROWS = REQUESTS + """
+, pr AS (
+  SELECT q.request_id, q.user_id, q.role, h.hazard_id IS NOT NULL AS h_exists, h.reported_by_user_id AS h_rep,
+         h.assigned_to_user_id AS h_asg, h.status AS h_status, c.new_status
+  FROM req q LEFT JOIN hazards h ON h.hazard_id = q.hazard_id JOIN hazard_commands c ON c.command_id = q.request_id
+)
+"""
+PA = ("role", "user_id", "h_rep", "h_asg", "h_status", "h_exists")
+
+
+def known_status(s: str) -> str:
+    return f"({is_status(s, 'Open')} OR {is_status(s, 'InProgress')} OR {is_status(s, 'Resolved')})"
+
+
+def can_change_sql(role, uid, rep, asg, st, ex, new) -> str:
+    return (f"({can_view_sql(role, uid, rep, asg, st, ex)} AND (({policy_role(role, 'SafetyOfficer')} "
+            f"AND {known_status(new)}) OR ({policy_role(role, 'SiteManager')} AND {same(asg, uid)} AND "
+            f"(({is_status(st, 'Open')} AND {is_status(new, 'InProgress')}) OR "
+            f"({is_status(st, 'InProgress')} AND {is_status(new, 'Resolved')})))))")
+
+
+def self_assign_sql(role, asg, st, ex) -> str:
+    return f"({ex} AND {policy_role(role, 'SiteManager')} AND {asg} IS NULL AND {is_status(st, 'Open')})"
+
+
+register("policy_can_view", POLICY_ROWS + f"SELECT request_id, {can_view_sql(*PA)} AS can_view FROM pr")
+register("policy_can_edit", POLICY_ROWS + f"SELECT request_id, {can_edit_sql(*PA)} AS can_edit FROM pr")
+register("policy_can_self_assign", POLICY_ROWS +
+         f"SELECT request_id, {self_assign_sql('role', 'h_asg', 'h_status', 'h_exists')} AS can_self_assign FROM pr")
+register("policy_can_assign_other", POLICY_ROWS +
+         f"SELECT request_id, {policy_role('role', 'SafetyOfficer')} AS can_assign_other FROM pr")
+register("policy_can_change_status", POLICY_ROWS +
+         f"SELECT request_id, {can_change_sql(*PA, 'new_status')} AS can_change_status FROM pr")
+register("policy_next_statuses", POLICY_ROWS + f"""
+SELECT request_id,
+       CASE WHEN NOT h_exists THEN '' WHEN {policy_role('role', 'SafetyOfficer')} THEN 'Open,InProgress,Resolved'
+            WHEN {policy_role('role', 'SiteManager')} AND {same('h_asg', 'user_id')} THEN
+              CASE WHEN {is_status('h_status', 'Open')} THEN 'InProgress'
+                   WHEN {is_status('h_status', 'InProgress')} THEN 'Resolved' ELSE '' END
+            ELSE '' END AS next_statuses
+FROM pr""")
+register("policy_can_comment", POLICY_ROWS + f"""
+SELECT request_id, ({policy_role('role', 'FieldWorker')} OR {policy_role('role', 'SiteManager')}
+                    OR {policy_role('role', 'SafetyOfficer')}) AS can_comment FROM pr""")
+register("row_actions", POLICY_ROWS + f"""
+SELECT request_id, {self_assign_sql('role', 'h_asg', 'h_status', 'h_exists')} AS can_take,
+       {can_change_sql(*PA, "'InProgress'")} AS can_start,
+       {can_change_sql(*PA, "'Resolved'")} AS can_resolve
+FROM pr""")
+
+# T1-T16 ---------------------------------------------------------------------
+WS = r"[\s\p{Z}]"
+
+
+def dash(x: str) -> str:
+    return f"CASE WHEN coalesce(regexp_replace({x}, '{WS}', '', 'g') = '', TRUE) THEN '-' ELSE {x} END"
+
+
+def trim_ws(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '^{WS}+|{WS}+$', '', 'g')"
+
+
+def csv(x: str) -> str:
+    v = f"replace(coalesce({x}, ''), '\"', '\"\"')"
+    return f"CASE WHEN regexp_matches({v}, '[,\"' || chr(13) || chr(10) || ']') THEN '\"' || {v} || '\"' ELSE {v} END"
+
+
+def canon(x: str, values) -> str:
+    whens = " ".join(f"WHEN lower(trim({x})) = '{v.lower()}' THEN '{v}'" for v in values)
+    return f"CASE {whens} ELSE {x} END"
+
+
+def d(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%d')"
+
+
+CLASSIFY_RULES = (
+    ("Fire", "High", ("fire", "אש", "smoke", "עשן")),
+    ("Electrical", "High", ("electric", "electrical", "חשמל", "קצר")),
+    ("Chemical", "Critical", ("chemical", "acid", "gas", "fume", "כימ", "חומצה", "גז", "אדים")),
+    ("Equipment", "High", ("machine", "equipment", "forklift", "מכונה", "ציוד", "מלגזה")),
+)
+
+
+def classify_sql(x: str, pick: int, default: str) -> str:
+    whens = " ".join("WHEN " + " OR ".join(f"contains(lower({x}), '{k}')" for k in rule[2])
+                     + f" THEN '{rule[pick]}'" for rule in CLASSIFY_RULES)
+    return f"CASE {whens} ELSE '{default}' END"
+
+
+register("scalar_trim_blank", """
+SELECT command_id, trim(coalesce(details, '')) AS details_trimmed, trim(coalesce(details, '')) = '' AS details_blank
+FROM hazard_commands""")
+register("scalar_canonical", f"""
+SELECT command_id, {canon('new_status', ('Open', 'InProgress', 'Resolved'))} AS status_canonical,
+       {canon('severity', ('Low', 'Medium', 'High', 'Critical'))} AS severity_canonical,
+       {canon('type', ('Fire', 'Electrical', 'Chemical', 'Equipment', 'Physical', 'General'))} AS type_canonical
+FROM hazard_commands""")
+register("scalar_type_fallback", """
+SELECT hazard_id, type, CASE WHEN type IN ('Fire', 'Electrical', 'Chemical', 'Equipment', 'Physical', 'General')
+                             THEN type ELSE 'General' END AS edit_type FROM hazards""")
+register("classify", f"""
+SELECT hazard_id, {classify_sql('description', 0, 'General')} AS suggested_type,
+       {classify_sql('description', 1, 'Medium')} AS suggested_severity FROM hazards""")
+register("scalar_status_log", """
+SELECT c.command_id,
+       substr(coalesce(h.status, '') || ' -> ' || coalesce(trim(c.new_status), '')
+              || CASE WHEN c.details IS NULL OR rtrim(c.details) = '' THEN '' ELSE ' | ' || c.details END, 1, 2000)
+         AS log_text
+FROM hazard_commands c LEFT JOIN hazards h ON h.hazard_id = c.hazard_id
+WHERE c.kind = 'change_status' AND trim(coalesce(c.new_status, '')) <> ''""")
+register("csv_lines", f"""
+SELECT hazard_id, CAST(hazard_id AS VARCHAR) || ',' || {csv('title')} || ',' || {csv('status')} || ','
+       || {csv('severity')} || ',' || {csv('type')} || ',' || {csv('reported_by_name')} || ','
+       || {csv('assigned_to_name')} || ',' || {d('created_at')} || ',' || coalesce({d('due_date')}, '') AS csv_line
+FROM ({NAMED_LIST}) x""")
+REPORT_LINE = (f"'#' || CAST(hazard_id AS VARCHAR) || ' | ' || coalesce(status, '') || ' | ' || coalesce(severity, '')"
+               f" || ' | ' || coalesce(type, '') || ' | Due: ' || coalesce({d('due_date')}, '-') || ' | Assigned: '"
+               f" || {dash('assigned_to_name')} || ' | ' || coalesce(title, '')")
+register("report_lines", f"""
+, r AS (SELECT row_number() OVER (ORDER BY created_at DESC, hazard_id DESC) AS line_no, {REPORT_LINE} AS line
+        FROM ({NAMED_LIST}) x)
+SELECT line_no, CASE WHEN length(line) > 120 THEN substr(line, 1, 119) || '…' ELSE line END AS line
+FROM r WHERE line_no <= 60""")
+register("scalar_dates", f"""
+SELECT hazard_id, {d('created_at')} AS created_day, {d('due_date')} AS due_day,
+       strftime(created_at, '%Y-%m-%d %H:%M') AS created_minute FROM hazards""")
+register("scalar_overdue_day", f"""
+SELECT hazard_id, coalesce({OVERDUE}, FALSE) AS overdue_ts,
+       coalesce(due_date IS NOT NULL AND CAST(due_date AS DATE) < DATE '1998-07-01'
+                AND lower(coalesce(status, '')) <> 'resolved', FALSE) AS overdue_day
+FROM hazards""")
+register("list_display", f"""
+SELECT hazard_id, {dash('assigned_to_name')} AS assigned_display, coalesce({d('due_date')}, '-') AS due_display,
+       CASE WHEN status = 'InProgress' THEN 'In Progress' ELSE status END AS status_label
+FROM ({NAMED_LIST}) x""")
+register("scalar_comment_valid", f"""
+SELECT command_id, length({trim_ws('details')}) >= 3 AS comment_valid FROM hazard_commands WHERE kind = 'comment'""")
+_DUE_FMTS = ("%Y-%m-%d", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M", "%Y-%m-%dT%H:%M:%S",
+             "%m/%d/%Y", "%m/%d/%Y %H:%M")
+_PARSED = "coalesce(" + ", ".join(f"try_strptime({trim_ws('due_text')}, '{f}')" for f in _DUE_FMTS) + ")"
+register("scalar_due_parse", f"""
+, t AS (SELECT command_id, CASE command_id % 4 WHEN 0 THEN strftime(command_ts, '%Y-%m-%d')
+                                               WHEN 1 THEN strftime(command_ts, '%Y-%m-%d %H:%M')
+                                               WHEN 2 THEN description ELSE '  ' END AS due_text
+        FROM hazard_commands)
+SELECT command_id, due_text, {_PARSED} AS due_parsed,
+       coalesce(regexp_replace(due_text, '{WS}', '', 'g') = '', TRUE) OR {_PARSED} IS NOT NULL AS due_valid
+FROM t""")
+register("scalar_header_meta", f"""
+SELECT hazard_id, 'Hazard #' || CAST(hazard_id AS VARCHAR) || ' - ' || coalesce(title, '') AS header,
+       coalesce(status, '') || ' | Reported by ' || coalesce(reported_by_name, '') || ' | Assigned to '
+       || {dash('assigned_to_name')} AS meta
+FROM ({NAMED_LIST}) x""")
+register("scalar_drill_link", """
+SELECT type AS key, '~/Hazards/HazardList.aspx?type=' || replace(url_encode(type), '%20', '+') AS link,
+       '?format=csv&type=' || replace(url_encode(type), '%20', '+') || '&overdue=1' AS export_query
+FROM hazards GROUP BY type""")
+register("scalar_form_valid", f"""
+SELECT command_id, length({trim_ws('title')}) > 0 AND length({trim_ws('title')}) <= 200
+       AND length({trim_ws('description')}) > 0 AND length({trim_ws('description')}) <= 2000 AS form_valid
+FROM hazard_commands WHERE kind = 'create'""")
+
+# E4 -------------------------------------------------------------------------
+register("detail_nested", REQUESTS + f"""
+, ok AS (
+  SELECT q.request_id, q.hazard_id FROM req q LEFT JOIN hazards h ON h.hazard_id = q.hazard_id
+  WHERE {access_sql('q.role', 'q.user_id', 'h.reported_by_user_id', 'h.assigned_to_user_id', 'h.status')}
+),
+lg AS (SELECT l.*, row_number() OVER (PARTITION BY l.hazard_id ORDER BY l.created_at DESC, l.hazard_log_id DESC) AS rn,
+              count(*) OVER (PARTITION BY l.hazard_id) AS n
+       FROM hazard_logs l JOIN users u ON u.user_id = l.performed_by_user_id)
+SELECT ok.request_id, x.hazard_id, x.title, coalesce(lg.n, 0) AS n_logs, lg.action_type AS first_action
+FROM ok JOIN ({NAMED_LIST}) x ON x.hazard_id = ok.hazard_id
+LEFT JOIN lg ON lg.hazard_id = x.hazard_id AND lg.rn = 1""")

@@ -368,3 +368,200 @@ def q_reload_demo_hazards(spark, d):
 @query("reload_demo_logs")
 def q_reload_demo_logs(spark, d):
     return _reload(spark, d)[1]
+
+
+# P1-P8 ----------------------------------------------------------------------
+from ..functions import policy as P  # noqa: E402
+from ..functions import text as T  # noqa: E402
+from ..operators import export as E  # noqa: E402
+
+_PARGS = ("role", "user_id", "h_reporter", "h_assignee", "h_status", "h_exists")
+
+
+@query("policy_can_view")
+def q_policy_can_view(spark, d):
+    return policy_rows(reg(spark, d)).select("request_id", P.can_view(*_PARGS).alias("can_view"))
+
+
+@query("policy_can_edit")
+def q_policy_can_edit(spark, d):
+    return policy_rows(reg(spark, d)).select("request_id", P.can_edit_details(*_PARGS).alias("can_edit"))
+
+
+@query("policy_can_self_assign")
+def q_policy_can_self_assign(spark, d):
+    return policy_rows(reg(spark, d)).select(
+        "request_id", P.can_self_assign("role", "h_assignee", "h_status", "h_exists").alias("can_self_assign"))
+
+
+@query("policy_can_assign_other")
+def q_policy_can_assign_other(spark, d):
+    return policy_rows(reg(spark, d)).select("request_id", P.can_assign_to_other("role").alias("can_assign_other"))
+
+
+@query("policy_can_change_status")
+def q_policy_can_change_status(spark, d):
+    return policy_rows(reg(spark, d)).select(
+        "request_id", P.can_change_status(*_PARGS, F.col("new_status")).alias("can_change_status"))
+
+
+@query("policy_next_statuses")
+def q_policy_next_statuses(spark, d):
+    nxt = P.allowed_next_statuses("role", "user_id", "h_assignee", "h_status", "h_exists")
+    return policy_rows(reg(spark, d)).select("request_id", F.array_join(nxt, ",").alias("next_statuses"))
+
+
+@query("policy_can_comment")
+def q_policy_can_comment(spark, d):
+    return policy_rows(reg(spark, d)).select("request_id", P.can_add_comment("role").alias("can_comment"))
+
+
+@query("row_actions")
+def q_row_actions(spark, d):
+    acts = P.row_actions(*_PARGS)
+    return policy_rows(reg(spark, d)).select("request_id", *[c.alias(n) for n, c in acts.items()])
+
+
+# T1-T16 ---------------------------------------------------------------------
+def _officer_list(r: B.Register) -> DataFrame:
+    return L.hazard_list(r.hazards, r.users, *OFFICER, L.HazardFilter(), NOW, ordered=False)
+
+
+@query("scalar_trim_blank")
+def q_scalar_trim_blank(spark, d):
+    c = reg(spark, d).hazard_commands
+    return c.select("command_id", T.trim_or_empty("details").alias("details_trimmed"),
+                    T.is_blank("details").alias("details_blank"))
+
+
+@query("scalar_canonical")
+def q_scalar_canonical(spark, d):
+    c = reg(spark, d).hazard_commands
+    return c.select("command_id", T.canonical_status("new_status").alias("status_canonical"),
+                    T.canonical_severity("severity").alias("severity_canonical"),
+                    T.canonical_type("type").alias("type_canonical"))
+
+
+@query("scalar_type_fallback")
+def q_scalar_type_fallback(spark, d):
+    return reg(spark, d).hazards.select("hazard_id", "type", T.type_or_general("type").alias("edit_type"))
+
+
+@query("classify")
+def q_classify(spark, d):
+    return reg(spark, d).hazards.select("hazard_id", T.classify_type("description").alias("suggested_type"),
+                                        T.classify_severity("description").alias("suggested_severity"))
+
+
+@query("scalar_status_log")
+def q_scalar_status_log(spark, d):
+    r = reg(spark, d)
+    c = r.hazard_commands.where((F.col("kind") == W.KIND_STATUS) & ~T.is_blank("new_status"))
+    h = V.hazard_state(r.hazards)
+    j = c.join(h, c["hazard_id"] == h["h_hazard_id"], "left")
+    return j.select("command_id", T.status_log_text("h_status", F.trim("new_status"), "details").alias("log_text"))
+
+
+@query("csv_lines")
+def q_csv_lines(spark, d):
+    return E.csv_lines(_officer_list(reg(spark, d)))
+
+
+@query("report_lines")
+def q_report_lines(spark, d):
+    return E.report_lines(_officer_list(reg(spark, d)))
+
+
+@query("scalar_dates")
+def q_scalar_dates(spark, d):
+    return reg(spark, d).hazards.select("hazard_id", T.fmt_date("created_at").alias("created_day"),
+                                        T.fmt_date("due_date").alias("due_day"),
+                                        T.fmt_datetime("created_at").alias("created_minute"))
+
+
+@query("scalar_overdue_day")
+def q_scalar_overdue_day(spark, d):
+    return reg(spark, d).hazards.select("hazard_id", T.overdue_ts("due_date", "status", NOW).alias("overdue_ts"),
+                                        T.overdue_day("due_date", "status", NOW).alias("overdue_day"))
+
+
+@query("list_display")
+def q_list_display(spark, d):
+    return _officer_list(reg(spark, d)).select(
+        "hazard_id", T.dash_if_blank("assigned_to_name").alias("assigned_display"),
+        T.due_display("due_date").alias("due_display"), T.status_label("status").alias("status_label"))
+
+
+@query("scalar_comment_valid")
+def q_scalar_comment_valid(spark, d):
+    c = reg(spark, d).hazard_commands.where(F.col("kind") == W.KIND_COMMENT)
+    return c.select("command_id", T.comment_valid("details").alias("comment_valid"))
+
+
+def _due_text() -> F.Column:
+    k = F.col("command_id") % 4
+    return (F.when(k == 0, F.date_format("command_ts", "yyyy-MM-dd"))
+            .when(k == 1, F.date_format("command_ts", "yyyy-MM-dd HH:mm"))
+            .when(k == 2, F.col("description"))
+            .otherwise(F.lit("  ")))
+
+
+@query("scalar_due_parse")
+def q_scalar_due_parse(spark, d):
+    c = reg(spark, d).hazard_commands.select("command_id", _due_text().alias("due_text"))
+    return c.select("command_id", "due_text", T.parse_due("due_text").alias("due_parsed"),
+                    T.due_text_valid("due_text").alias("due_valid"))
+
+
+@query("scalar_header_meta")
+def q_scalar_header_meta(spark, d):
+    return _officer_list(reg(spark, d)).select(
+        "hazard_id", T.header_text("hazard_id", "title").alias("header"),
+        T.meta_text("status", "reported_by_name", "assigned_to_name").alias("meta"))
+
+
+@query("scalar_drill_link")
+def q_scalar_drill_link(spark, d):
+    b = A.breakdown(V.scope(reg(spark, d).hazards, *OFFICER), "type")
+    return b.select("key", T.drill_link("type", F.col("key")).alias("link"),
+                    T.export_query(F.lit("csv"), F.lit(None), F.lit(None), F.lit(None), F.col("key"),
+                                   F.lit(None).cast("int"), F.lit(True)).alias("export_query"))
+
+
+@query("scalar_form_valid")
+def q_scalar_form_valid(spark, d):
+    c = reg(spark, d).hazard_commands.where(F.col("kind") == W.KIND_CREATE)
+    return c.select("command_id", T.form_valid("title", "description", T.fmt_date("due_date")).alias("form_valid"))
+
+
+# E3-E5 ----------------------------------------------------------------------
+@query("json_list")
+def q_json_list(spark, d):
+    r = reg(spark, d)
+    parts = [E.json_list(L.hazard_list(r.hazards, r.users, uid, role, L.HazardFilter(), NOW, ordered=False))
+             .select(F.lit(uid).alias("viewer_id"), "hazard_id", "json")
+             for uid, role in VIEWERS if E.json_api_allowed(role)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("detail_nested")
+def q_detail_nested(spark, d):
+    r = reg(spark, d)
+    det = L.hazard_detail(command_requests(r), r.hazards, r.users)
+    s = E.log_summary(L.join_log_performer(r.hazard_logs, r.users))
+    return det.join(s, "hazard_id", "left").select(
+        "request_id", "hazard_id", "title", F.coalesce("n_logs", F.lit(0)).alias("n_logs"), "first_action")
+
+
+@query("json_dashboard")
+def q_json_dashboard(spark, d):
+    r = reg(spark, d)
+    parts = [E.dashboard_json(V.scope(r.hazards, uid, role), NOW).select(F.lit(uid).alias("viewer_id"), "json")
+             for uid, role in VIEWERS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

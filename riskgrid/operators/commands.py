@@ -208,7 +208,7 @@ def created_rows(creates: DataFrame, now: dt.datetime | None = None) -> DataFram
         F.col("reported_by_user_id"),
         F.lit(None).cast("int").alias("assigned_to_user_id"),
         F.lit(S.STATUS_OPEN).alias("status"),
-        F.substring(F.coalesce("severity", F.lit("Low")), 1, 30).alias("severity"),
+        F.substring(F.coalesce("severity", F.lit("Low")), 1, 20).alias("severity"),
         F.substring(F.coalesce("type", F.lit("General")), 1, 30).alias("type"),
         created_at.alias("created_at"),
         F.col("due_date"),

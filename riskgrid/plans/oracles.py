@@ -649,3 +649,10 @@ lg AS (SELECT l.*, row_number() OVER (PARTITION BY l.hazard_id ORDER BY l.create
 SELECT ok.request_id, x.hazard_id, x.title, coalesce(lg.n, 0) AS n_logs, lg.action_type AS first_action
 FROM ok JOIN ({NAMED_LIST}) x ON x.hazard_id = ok.hazard_id
 LEFT JOIN lg ON lg.hazard_id = x.hazard_id AND lg.rn = 1""")
+
+# S5-S7 ----------------------------------------------------------------------
+from ..sources import integrity as _DQ  # noqa: E402
+
+register("dq_unique", _DQ.oracle_unique_sql())
+register("dq_foreign_keys", _DQ.oracle_fk_sql())
+register("dq_row_rules", _DQ.oracle_rows_sql())

@@ -565,3 +565,50 @@ def q_json_dashboard(spark, d):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# S5-S7 ----------------------------------------------------------------------
+from ..sources import integrity as DQ  # noqa: E402
+
+
+def _tables(r: B.Register) -> dict[str, DataFrame]:
+    return {"users": r.users, "hazards": r.hazards, "hazard_logs": r.hazard_logs,
+            "hazard_attachments": r.hazard_attachments}
+
+
+@query("dq_unique")
+def q_dq_unique(spark, d):
+    return DQ.check_unique(_tables(reg(spark, d)))
+
+
+@query("dq_foreign_keys")
+def q_dq_foreign_keys(spark, d):
+    return DQ.check_foreign_keys(_tables(reg(spark, d)))
+
+
+@query("dq_row_rules")
+def q_dq_row_rules(spark, d):
+    return DQ.check_rows(_tables(reg(spark, d)))
+
+
+# W6, L1 ---------------------------------------------------------------------
+from ..operators import apply as AP  # noqa: E402
+from ..operators import lockout as LK  # noqa: E402
+
+
+@query("apply_commands")
+def q_apply_commands(spark, d):
+    """Ordered fold per hazard plus snapshot-judged creates (no SQL oracle)."""
+    r = reg(spark, d)
+    folded = AP.results(AP.fold(r.hazard_commands, r.users, r.hazards))
+    creates = W.validate_creates(r.hazard_commands, r.users, r.hazards).select(
+        "command_id", "hazard_id", "kind", "performed_by_user_id", "result",
+        F.when(F.col("result") == W.OK, F.lit(S.ACTION_CREATED)).alias("action"))
+    return folded.unionByName(creates)
+
+
+@query("lockout_batch")
+def q_lockout_batch(spark, d):
+    """Lockout with the binding's test constants, keyed by user name."""
+    ev = reg(spark, d).login_events
+    return LK.lockout(ev, LK.user_key(), B.LOCKOUT_MAX_FAILURES, B.LOCKOUT_WINDOW, B.LOCKOUT_BLOCK)

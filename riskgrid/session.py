@@ -59,9 +59,32 @@ def configure(spark: SparkSession) -> SparkSession:
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (grouped-map folds).
+
+    Deployments normally pass a wheel or zip with ``--py-files``; when the
+    workers cannot import the package yet, it is zipped once per application
+    and added with ``addPyFile``."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED or os.environ.get("RISKGRID_SHIPPED") == "1":
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    tmp = tempfile.mkdtemp(prefix="riskgrid-pyfiles-")
+    base = os.path.join(tmp, "riskgrid")
+    archive = shutil.make_archive(base, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="riskgrid")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 

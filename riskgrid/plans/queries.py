@@ -612,3 +612,15 @@ def q_lockout_batch(spark, d):
     """Lockout with the binding's test constants, keyed by user name."""
     ev = reg(spark, d).login_events
     return LK.lockout(ev, LK.user_key(), B.LOCKOUT_MAX_FAILURES, B.LOCKOUT_WINDOW, B.LOCKOUT_BLOCK)
+
+
+# L2 -------------------------------------------------------------------------
+from ..streaming import lockout_stream as LS  # noqa: E402
+
+
+@query("lockout_stream")
+def q_lockout_stream(spark, d):
+    """The login events replayed as a file stream (availableNow) through the
+    stateful stream operator; equals ``lockout_batch``."""
+    ev = reg(spark, d).login_events
+    return LS.run_over_files(spark, ev, LK.user_key, 4, B.LOCKOUT_MAX_FAILURES, B.LOCKOUT_WINDOW, B.LOCKOUT_BLOCK)

@@ -624,3 +624,15 @@ def q_lockout_stream(spark, d):
     stateful stream operator; equals ``lockout_batch``."""
     ev = reg(spark, d).login_events
     return LS.run_over_files(spark, ev, LK.user_key, 4, B.LOCKOUT_MAX_FAILURES, B.LOCKOUT_WINDOW, B.LOCKOUT_BLOCK)
+
+
+# W10 ------------------------------------------------------------------------
+from ..streaming import commands_stream as CS  # noqa: E402
+
+
+@query("apply_commands_stream")
+def q_apply_commands_stream(spark, d):
+    """The command table replayed as a file stream through the stateful
+    fold; equals ``apply_commands`` on the non-create commands."""
+    r = reg(spark, d)
+    return CS.run_over_files(spark, r.hazard_commands, r.users, r.hazards, 4)

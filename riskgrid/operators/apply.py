@@ -2,10 +2,10 @@
 
 Commands interact only within one hazard (roles do not change inside a
 batch), so the fold runs per hazard_id: the hazard's snapshot row and its
-commands are hash-partitioned on hazard_id and sorted (snapshot first, then
-command time and id) by Spark; ``groupBy().applyInPandas`` with the iterator
-form then streams each group's rows in Arrow batches through a small Python
-state machine, so a long history is never held in memory at once.
+commands are hash-partitioned on hazard_id and sorted (hazard, snapshot
+first, then command time and id) by Spark; ``mapInPandas`` then streams each
+partition's Arrow batches through a small Python state machine, hazard after
+hazard, row by row; no hazard's history is buffered.
 Creates bypass the fold: they are judged against the snapshot (W1) and get
 ids after the current maximum. A command that names an id created in the
 same batch is NotFound.
@@ -14,6 +14,7 @@ same batch is NotFound.
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -227,17 +228,21 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return df
 
 
-def _fold_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One pass over a partition sorted by (hazard_id, row_type, command_ts,
+    command_id): rows are grouped by hazard on the fly and folded."""
     def rows():
         for b in batches:
             for rec in b.to_dict("records"):
                 yield {k: _none(v) for k, v in rec.items()}
+
     out = []
-    for o in fold_rows(rows()):
-        out.append(o)
-        if len(out) >= 10_000:
-            yield _frame(out)
-            out = []
+    for _, group in itertools.groupby(rows(), key=lambda r: r["hazard_id"]):
+        for o in fold_rows(group):  # the group is consumed lazily, row by row
+            out.append(o)
+            if len(out) >= 10_000:
+                yield _frame(out)
+                out = []
     if out:
         yield _frame(out)
 
@@ -273,7 +278,7 @@ def fold(commands: DataFrame, users: DataFrame, hazards: DataFrame) -> DataFrame
     rows = _inputs(commands, users, hazards)
     ordered = (rows.repartition("hazard_id")
                .sortWithinPartitions("hazard_id", "row_type", "command_ts", "command_id"))
-    return ordered.groupBy("hazard_id").applyInPandas(_fold_group, FOLD_SCHEMA)
+    return ordered.mapInPandas(_fold_partition, FOLD_SCHEMA)
 
 
 def results(folded: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ block. The count survives the end of a block, so the next failure inside the
 same window blocks again. A blank key is never tracked.
 
 A fixed or session window cannot express this (the window opens at a
-failure and a success resets it), so the fold is a small state machine run
-per key by ``groupBy().applyInPandas`` over rows that Spark has already
-partitioned by key and sorted by (ts, login_id).
+failure and a success resets it), so the fold is a small state machine. Spark
+hash-partitions the events by key and sorts each partition by (key, ts,
+login_id); ``mapInPandas`` then folds each partition in one streaming pass,
+key after key, with O(1) state.
 """
 
 from __future__ import annotations
@@ -98,32 +99,29 @@ def lockout(events: DataFrame, key: Column | None = None, max_failures: int = DE
         raise ValueError("max_failures must be positive")
     k = login_key() if key is None else key
     rows = events.select(k.alias("key"), "login_id", "ts", "success")
+    # Each key lands in one shuffle partition, sorted by (key, ts, login_id);
+    # one Python pass per partition folds key after key with O(1) state.
     ordered = rows.repartition("key").sortWithinPartitions("key", "ts", "login_id")
 
-    def per_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, key_value = KeyState(), None
-
-        def rows_of():
-            nonlocal key_value
-            for b in batches:
-                if key_value is None and len(b):
-                    key_value = b["key"].iloc[0]
-                for lid, ts, ok in zip(b["login_id"].tolist(), b["ts"].tolist(), b["success"].tolist()):
-                    yield lid, ts, ok
-        it = rows_of()
-        first = next(it, None)
-        if first is None:
-            return
-        buf = []
-        for out in fold_key(key_value, _chain(first, it), state, max_failures, window, block):
-            buf.append(out)
-            if len(buf) >= 10_000:
+    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur, state, blank, last = object(), None, False, None
+        for b in batches:
+            buf = []
+            for key, lid, ts, ok in zip(b["key"].tolist(), b["login_id"].tolist(), b["ts"].tolist(),
+                                        b["success"].tolist()):
+                if key != cur:
+                    cur, state, last = key, KeyState(), None
+                    blank = key is None or key.strip() == ""
+                k = (ts, lid)
+                if last is not None and k < last:
+                    raise ValueError(f"login events of key {key!r} arrived out of order")
+                last = k
+                outcome, count, retry = step(state, ts, bool(ok), blank, max_failures, window, block)
+                buf.append((key, lid, ts, bool(ok), outcome, count, retry))
+            if buf:
                 yield out_frame(buf)
-                buf = []
-        if buf:
-            yield out_frame(buf)
 
-    return ordered.groupBy("key").applyInPandas(per_key, OUT_SCHEMA)
+    return ordered.mapInPandas(per_partition, OUT_SCHEMA)
 
 
 def out_frame(rows: list[tuple]) -> pd.DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -92,25 +92,65 @@ def user_key(user_name: Column | str = "user_name") -> Column:
     return F.lower(F.trim(u))
 
 
+def idle_segments(rows: DataFrame, gap: dt.timedelta) -> DataFrame:
+    """Add ``seg``: the time at which the key's current segment started.
+
+    A new segment starts when an attempt follows the key's previous attempt
+    by more than ``gap`` (window + block): the fold's state is then the
+    fresh state whatever came before, so segments fold independently and a
+    hot key's history spreads over many tasks. Computed per (key, time
+    bucket of width ``gap``) plus small per-bucket summaries, so no step
+    holds all of one key's rows in one task."""
+    g_us = max(1, int(gap / dt.timedelta(microseconds=1)))
+    r = rows.withColumn("_b", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(g_us)))
+    wb = Window.partitionBy("key", "_b").orderBy("ts", "login_id")
+    r = r.withColumn("_prev", F.lag("ts").over(wb))
+    wk = Window.partitionBy("key").orderBy("_b")
+    last = (r.groupBy("key", "_b").agg(F.max("ts").alias("_last"))
+            .withColumn("_prev_bucket_last", F.lag("_last").over(wk)))
+    r = _join_kb(r, last.select("key", "_b", "_prev_bucket_last"))
+    pred = F.coalesce(F.col("_prev"), F.col("_prev_bucket_last"))
+    start = F.when(pred.isNull() | (F.col("ts") > pred + F.lit(gap)), F.col("ts"))
+    r = r.withColumn("_start", start).withColumn(
+        "_seg_b", F.max("_start").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    carry = (r.groupBy("key", "_b").agg(F.max("_start").alias("_bmax"))
+             .withColumn("_carry", F.max("_bmax").over(wk.rowsBetween(Window.unboundedPreceding, -1))))
+    r = _join_kb(r, carry.select("key", "_b", "_carry"))
+    return r.withColumn("seg", F.coalesce("_seg_b", "_carry")).drop(
+        "_b", "_prev", "_prev_bucket_last", "_start", "_seg_b", "_carry")
+
+
+def _join_kb(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join on (key, bucket) treating NULL keys as equal (a NULL user is one key)."""
+    rr = right.withColumnRenamed("key", "_rk").withColumnRenamed("_b", "_rb")
+    j = left.join(rr, left["key"].eqNullSafe(rr["_rk"]) & (left["_b"] == rr["_rb"]), "left")
+    return j.drop("_rk", "_rb")
+
+
 def lockout(events: DataFrame, key: Column | None = None, max_failures: int = DEFAULT_MAX_FAILURES,
-            window: dt.timedelta = DEFAULT_WINDOW, block: dt.timedelta = DEFAULT_BLOCK) -> DataFrame:
+            window: dt.timedelta = DEFAULT_WINDOW, block: dt.timedelta = DEFAULT_BLOCK,
+            split_idle_gaps: bool = True) -> DataFrame:
     """L1: one output row per attempt with its outcome."""
     if max_failures <= 0:
         raise ValueError("max_failures must be positive")
     k = login_key() if key is None else key
     rows = events.select(k.alias("key"), "login_id", "ts", "success")
-    # Each key lands in one shuffle partition, sorted by (key, ts, login_id);
-    # one Python pass per partition folds key after key with O(1) state.
-    ordered = rows.repartition("key").sortWithinPartitions("key", "ts", "login_id")
+    if split_idle_gaps:
+        rows = idle_segments(rows, window + block)
+    else:
+        rows = rows.withColumn("seg", F.lit(None).cast("timestamp_ntz"))
+    # Each (key, segment) lands in one shuffle partition, sorted by time; one
+    # Python pass per partition folds segment after segment with O(1) state.
+    ordered = rows.repartition("key", "seg").sortWithinPartitions("key", "seg", "ts", "login_id")
 
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur, state, blank, last = object(), None, False, None
         for b in batches:
             buf = []
-            for key, lid, ts, ok in zip(b["key"].tolist(), b["login_id"].tolist(), b["ts"].tolist(),
-                                        b["success"].tolist()):
-                if key != cur:
-                    cur, state, last = key, KeyState(), None
+            for key, seg, lid, ts, ok in zip(b["key"].tolist(), b["seg"].tolist(), b["login_id"].tolist(),
+                                             b["ts"].tolist(), b["success"].tolist()):
+                if (key, seg) != cur:
+                    cur, state, last = (key, seg), KeyState(), None
                     blank = key is None or key.strip() == ""
                 k = (ts, lid)
                 if last is not None and k < last:

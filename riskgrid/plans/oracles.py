@@ -656,3 +656,10 @@ from ..sources import integrity as _DQ  # noqa: E402
 register("dq_unique", _DQ.oracle_unique_sql())
 register("dq_foreign_keys", _DQ.oracle_fk_sql())
 register("dq_row_rules", _DQ.oracle_rows_sql())
+
+# T15 ------------------------------------------------------------------------
+register("login_key", f"""
+SELECT login_id, coalesce(ip, 'unknown') || '|' ||
+       CASE WHEN coalesce(regexp_replace(user_name, '{WS}', '', 'g') = '', TRUE) THEN 'unknown'
+            ELSE lower(user_name) END AS login_key
+FROM login_events""")

@@ -636,3 +636,10 @@ def q_apply_commands_stream(spark, d):
     fold; equals ``apply_commands`` on the non-create commands."""
     r = reg(spark, d)
     return CS.run_over_files(spark, r.hazard_commands, r.users, r.hazards, 4)
+
+
+# T15 ------------------------------------------------------------------------
+@query("login_key")
+def q_login_key(spark, d):
+    ev = reg(spark, d).login_events
+    return ev.select("login_id", LK.login_key().alias("login_key"))

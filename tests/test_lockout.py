@@ -45,3 +45,23 @@ def test_keys_are_independent(spark):
     ev = [(m, "ip1", "a", False) for m in range(5)] + [(5, "ip2", "a", True), (6, "ip1", "a", True)]
     got = _run(spark, ev)
     assert got[5] == ("allowed", 0, None) and got[6][0] == "refused"
+
+
+def test_idle_gaps_split_a_hot_key_without_changing_results(spark):
+    from pyspark.sql import functions as F
+    # one hot key: bursts of failures separated by long idle gaps, plus a sparse key
+    ev = []
+    for burst in range(6):
+        base = burst * 60
+        ev += [(base + m, "ip", "hot", m % 4 == 3) for m in range(0, 9)]
+    ev += [(m * 7, "ip", "cold", False) for m in range(5)]
+    rows = [(i, T0 + dt.timedelta(minutes=m), ip, user, ok) for i, (m, ip, user, ok) in enumerate(ev)]
+    df = spark.createDataFrame(rows, S.LOGIN_EVENTS)
+    cols = ["key", "login_id", "outcome", "failure_count", "retry_after_minutes"]
+    a = LK.lockout(df, split_idle_gaps=True).select(cols)
+    b = LK.lockout(df, split_idle_gaps=False).select(cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    segs = LK.idle_segments(df.select(LK.login_key().alias("key"), "login_id", "ts", "success"),
+                            LK.DEFAULT_WINDOW + LK.DEFAULT_BLOCK)
+    per_key = {r.key: r.n for r in segs.groupBy("key").agg(F.countDistinct("seg").alias("n")).collect()}
+    assert per_key == {"ip|hot": 6, "ip|cold": 1}

@@ -134,21 +134,23 @@ def drilldown_consistency(hazards: DataFrame, users: DataFrame, viewer_id: int,
     """Every dashboard bucket next to the size of the list its link opens.
 
     Buckets come from the scoped rows; the list side is the list query (scope,
-    reporter join, filter) with the bucket key as the filter, expressed as a
-    join on the key instead of one query per bucket."""
-    scoped = V.scope(hazards, viewer_id, role)
-    listed = L.with_names(scoped, users).withColumn("_overdue", L.overdue_predicate(now))
-    parts = []
-    for dim in ("status", "severity", "type"):
-        b = scoped.groupBy(F.col(dim).alias("key")).agg(F.count(F.lit(1)).alias("bucket_count"))
-        lc = listed.groupBy(F.col(dim).alias("key")).agg(F.count(F.lit(1)).alias("list_count"))
-        parts.append(b.join(lc, "key", "left").select(F.lit(dim).alias("dimension"), "key", "bucket_count",
-                                                      F.coalesce("list_count", F.lit(0)).alias("list_count")))
-    overdue_listed = listed.agg(F.count_if(F.col("_overdue"))).scalar()
-    parts.append(scoped.agg(F.count_if(L.overdue_predicate(now)).alias("bucket_count")).select(
-        F.lit("overdue").alias("dimension"), F.lit("1").alias("key"), "bucket_count",
-        overdue_listed.alias("list_count")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    reporter join) grouped the same way, so each side is one aggregation
+    with grouping sets (status, severity, type and the overdue flag)."""
+    scoped = V.scope(hazards, viewer_id, role).withColumn(
+        "_overdue", F.when(L.overdue_predicate(now), F.lit("1")))
+    listed = L.with_names(V.scope(hazards, viewer_id, role), users).withColumn(
+        "_overdue", F.when(L.overdue_predicate(now), F.lit("1")))
+    dims = ("status", "severity", "type", "_overdue")
+
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        g = df.groupingSets([[F.col(d)] for d in dims], *[F.col(d) for d in dims]).agg(
+            F.count(F.lit(1)).alias(name), F.grouping_id().alias("_gid"))
+        dim = F.when(F.col("_gid") == 7, F.lit("status")).when(F.col("_gid") == 11, F.lit("severity")) \
+            .when(F.col("_gid") == 13, F.lit("type")).otherwise(F.lit("overdue"))
+        key = F.coalesce(*[F.col(d) for d in dims])
+        return g.select(dim.alias("dimension"), key.alias("key"), name).where(F.col("key").isNotNull())
+
+    b, lc = counts(scoped, "bucket_count"), counts(listed, "list_count")
+    out = b.join(lc, ["dimension", "key"], "left").select(
+        "dimension", "key", "bucket_count", F.coalesce("list_count", F.lit(0)).alias("list_count"))
     return out.withColumn("consistent", F.col("bucket_count") == F.col("list_count"))

@@ -194,28 +194,33 @@ def semi_active_reporter(df: DataFrame, users: DataFrame, col: str = "reported_b
 # J8 / J9 --------------------------------------------------------------------
 def hazard_detail(requests: DataFrame, hazards: DataFrame, users: DataFrame) -> DataFrame:
     """Batch of scoped by-id reads: requests (request_id, hazard_id, user_id,
-    role). A denied request returns no row, the same as a missing hazard."""
-    ok = V.access_flags(requests, hazards).where("accessible").select("request_id", "user_id", "hazard_id")
-    return ok.join(with_names(hazards, users), "hazard_id", "inner").select(
-        "request_id", F.col("user_id").alias("viewer_id"), *LIST_COLUMNS)
+    role). A denied request returns no row, the same as a missing hazard.
+    The hazards are joined once: access is judged on the joined row."""
+    j = requests.select(F.col("request_id"), F.col("hazard_id").alias("_rq_hazard"), F.col("user_id"),
+                        F.col("role").alias("_rq_role")).join(
+        hazards, F.col("_rq_hazard") == hazards["hazard_id"], "inner")
+    acc = V.access_expr(F.col("_rq_role"), F.col("user_id"), F.col("reported_by_user_id"),
+                        F.col("assigned_to_user_id"), F.col("status"))
+    ok = j.where(acc).drop("_rq_hazard", "_rq_role")
+    named = join_assignee(join_reporter(ok, users), users)
+    return named.select("request_id", F.col("user_id").alias("viewer_id"), *LIST_COLUMNS)
 
 
 def scoped_logs(logs: DataFrame, hazards: DataFrame, users: DataFrame, viewers) -> DataFrame:
     """J9 for a set of viewers [(user_id, role)]: every log of every hazard the
-    viewer may read, newest first within (viewer, hazard). The logs are
-    joined to their hazard once; each viewer is one filter over that join
-    (the shuffle is reused across viewers)."""
+    viewer may read. Logs are joined to their hazard and to the performer's
+    name once; each viewer is then one filter over that join."""
     h = V.hazard_state(hazards)
-    lh = logs.join(h, logs["hazard_id"] == h["h_hazard_id"], "left")
+    lh = join_log_performer(logs, users)
+    lh = lh.join(h, lh["hazard_id"] == h["h_hazard_id"], "left")
     parts = []
     for uid, role in viewers:
         acc = V.access_expr(F.lit(role), F.lit(uid), F.col("h_reporter"), F.col("h_assignee"), F.col("h_status"))
-        parts.append(lh.where(acc).select(F.lit(uid).alias("viewer_id"), *[logs[c] for c in logs.columns]))
+        parts.append(lh.where(acc).select(F.lit(uid).alias("viewer_id"), *LOG_COLUMNS))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = join_log_performer(out, users)
-    return out.select("viewer_id", *LOG_COLUMNS)
+    return out
 
 
 def hazard_history(logs: DataFrame, hazards: DataFrame, users: DataFrame, hazard_id: int,

@@ -594,7 +594,8 @@ REPORT_LINE = (f"'#' || CAST(hazard_id AS VARCHAR) || ' | ' || coalesce(status,
                f" || ' | ' || coalesce(type, '') || ' | Due: ' || coalesce({d('due_date')}, '-') || ' | Assigned: '"
                f" || {dash('assigned_to_name')} || ' | ' || coalesce(title, '')")
 register("report_lines", f"""
-, r AS (SELECT row_number() OVER (ORDER BY created_at DESC, hazard_id DESC) AS line_no, {REPORT_LINE} AS line
+, r AS (SELECT CAST(row_number() OVER (ORDER BY created_at DESC, hazard_id DESC) AS INT) AS line_no,
+               {REPORT_LINE} AS line
         FROM ({NAMED_LIST}) x)
 SELECT line_no, CASE WHEN length(line) > 120 THEN substr(line, 1, 119) || '…' ELSE line END AS line
 FROM r WHERE line_no <= 60""")

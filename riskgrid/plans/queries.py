@@ -224,21 +224,19 @@ def q_drilldown_consistency(spark, d):
 # ---------------------------------------------------------------------------
 # Requests and (viewer, hazard) rows derived from the command table: every
 # command is one request by its performer for its hazard.
-def command_requests(r: B.Register) -> DataFrame:
+def command_requests(r: B.Register, *extra: str) -> DataFrame:
     u = r.users.select(F.col("user_id").alias("_u"), F.col("role"))
     c = r.hazard_commands
     return (c.join(u, c["performed_by_user_id"] == u["_u"], "left")
             .select(F.col("command_id").alias("request_id"), "hazard_id",
-                    F.col("performed_by_user_id").alias("user_id"), "role"))
+                    F.col("performed_by_user_id").alias("user_id"), "role", *extra))
 
 
 def policy_rows(r: B.Register) -> DataFrame:
     """(command, viewer role, hazard state) rows for the policy columns."""
-    req = command_requests(r)
+    req = command_requests(r, "new_status")
     h = V.hazard_state(r.hazards)
-    c = r.hazard_commands.select(F.col("command_id").alias("request_id"), "new_status")
     return (req.join(h, req["hazard_id"] == h["h_hazard_id"], "left")
-            .join(c, "request_id", "inner")
             .withColumn("h_exists", F.col("h_hazard_id").isNotNull()))
 
 

@@ -157,6 +157,15 @@ def hazard_list(hazards: DataFrame, users: DataFrame, viewer_id: int, role: str
     return out.orderBy(F.col("created_at").desc(), F.col("hazard_id").desc()) if ordered else out
 
 
+def for_viewers(df: DataFrame, viewers) -> DataFrame:
+    """Rows of ``df`` (hazard columns) once per viewer whose scope holds them,
+    with ``viewer_id``; one pass over ``df`` for any number of viewers."""
+    flags = F.array(*[F.struct(F.lit(uid).alias("viewer_id"), V.scope_predicate(uid, role).alias("ok"))
+                      for uid, role in viewers])
+    out = df.select("*", F.explode(flags).alias("_v")).where(F.col("_v.ok"))
+    return out.select(F.col("_v.viewer_id").alias("viewer_id"), *df.columns)
+
+
 # F10 + O3 -------------------------------------------------------------------
 def users_by_role(users: DataFrame, role: str | None) -> DataFrame:
     if _blank(role):
@@ -209,18 +218,18 @@ def hazard_detail(requests: DataFrame, hazards: DataFrame, users: DataFrame) ->
 def scoped_logs(logs: DataFrame, hazards: DataFrame, users: DataFrame, viewers) -> DataFrame:
     """J9 for a set of viewers [(user_id, role)]: every log of every hazard the
     viewer may read. Logs are joined to their hazard and to the performer's
-    name once; each viewer is then one filter over that join."""
+    name once; one pass then emits a row per viewer that may read the log
+    (an array of one access flag per viewer, exploded and filtered)."""
     h = V.hazard_state(hazards)
     lh = join_log_performer(logs, users)
     lh = lh.join(h, lh["hazard_id"] == h["h_hazard_id"], "left")
-    parts = []
-    for uid, role in viewers:
-        acc = V.access_expr(F.lit(role), F.lit(uid), F.col("h_reporter"), F.col("h_assignee"), F.col("h_status"))
-        parts.append(lh.where(acc).select(F.lit(uid).alias("viewer_id"), *LOG_COLUMNS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    flags = F.array(*[
+        F.struct(F.lit(uid).alias("viewer_id"),
+                 V.access_expr(F.lit(role), F.lit(uid), F.col("h_reporter"), F.col("h_assignee"),
+                               F.col("h_status")).alias("ok"))
+        for uid, role in viewers])
+    out = lh.select(*LOG_COLUMNS, F.explode(flags).alias("_v")).where(F.col("_v.ok"))
+    return out.select(F.col("_v.viewer_id").alias("viewer_id"), *LOG_COLUMNS)
 
 
 def hazard_history(logs: DataFrame, hazards: DataFrame, users: DataFrame, hazard_id: int,

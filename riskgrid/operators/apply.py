@@ -291,9 +291,10 @@ def apply(commands: DataFrame, users: DataFrame, hazards: DataFrame, logs: DataF
     """(new hazards, new logs, results) after applying the command table.
 
     The fold output feeds three results, so it is checkpointed once to the
-    shared checkpoint folder instead of being recomputed."""
+    shared checkpoint folder instead of being recomputed (the validated
+    creates are checkpointed inside ``validate_creates``)."""
     folded = fold(commands, users, hazards).checkpoint(eager=True)
-    creates = W.validate_creates(commands, users, hazards).checkpoint(eager=True)
+    creates = W.validate_creates(commands, users, hazards)
     res = results(folded).unionByName(
         creates.select("command_id", "hazard_id", "kind", "performed_by_user_id", "result",
                        F.when(F.col("result") == OK, F.lit(S.ACTION_CREATED)).alias("action")))

@@ -189,7 +189,10 @@ def max_id(df: DataFrame, col: str) -> Column:
 
 def validate_creates(commands: DataFrame, users: DataFrame, hazards: DataFrame) -> DataFrame:
     """W1 with ids: OK creates get max(hazard_id) + 1, + 2, ... in command order."""
-    v = validate(commands.where(F.col("kind") == KIND_CREATE), users, hazards)
+    # The validated creates feed the sequencer's sampling, numbering and
+    # counting passes: they are checkpointed once to the shared folder so
+    # the validation joins run once.
+    v = validate(commands.where(F.col("kind") == KIND_CREATE), users, hazards).checkpoint(eager=True)
     ok = I.assign_sequence(v.where(F.col("result") == OK), ["command_id"], max_id(hazards, "hazard_id"),
                            "new_hazard_id")
     rest = v.where(F.col("result") != OK).withColumn("new_hazard_id", F.lit(None).cast("int"))

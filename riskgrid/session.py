@@ -69,13 +69,17 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (grouped-map folds).
 
-    Deployments normally pass a wheel or zip with ``--py-files``; when the
-    workers cannot import the package yet, it is zipped once per application
-    and added with ``addPyFile``."""
+    Cluster deployments pass a wheel or zip with ``--py-files``. In local
+    mode (tests, bench) the package is zipped once per application and added
+    with ``addPyFile``."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED or os.environ.get("RISKGRID_SHIPPED") == "1":
         return
+    if not sc.master.startswith("local"):
+        # On a cluster the package travels with --py-files (or an installed
+        # wheel); nothing is staged from the driver's local disk.
+        return
     import shutil
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     tmp = tempfile.mkdtemp(prefix="riskgrid-pyfiles-")

@@ -287,13 +287,20 @@ def results(folded: DataFrame) -> DataFrame:
 
 
 def apply(commands: DataFrame, users: DataFrame, hazards: DataFrame, logs: DataFrame,
-          now: dt.datetime | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+          now: dt.datetime | None = None,
+          split_chunk: dt.timedelta | None = dt.timedelta(days=1)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new hazards, new logs, results) after applying the command table.
 
-    The fold output feeds three results, so it is checkpointed once to the
+    With ``split_chunk`` the fold runs in two passes over time chunks
+    (``apply_split``), so a hot hazard's commands are mostly settled in
+    parallel. The fold output feeds three results, so it is checkpointed once to the
     shared checkpoint folder instead of being recomputed (the validated
     creates are checkpointed inside ``validate_creates``)."""
-    folded = fold(commands, users, hazards).checkpoint(eager=True)
+    if split_chunk is not None:
+        from .apply_split import fold_split
+        folded = fold_split(commands, users, hazards, split_chunk).checkpoint(eager=True)
+    else:
+        folded = fold(commands, users, hazards).checkpoint(eager=True)
     creates = W.validate_creates(commands, users, hazards)
     res = results(folded).unionByName(
         creates.select("command_id", "hazard_id", "kind", "performed_by_user_id", "result",

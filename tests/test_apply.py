@@ -67,3 +67,28 @@ def test_apply_outputs(spark):
     assert new_l.count() == 1 + ok
     ids = [r.hazard_log_id for r in new_l.orderBy("hazard_log_id").collect()]
     assert ids == list(range(1, 2 + ok))
+
+
+def test_split_fold_equals_plain_fold(spark):
+    from riskgrid.operators import apply_split as AS
+    users, hazards, cmds = _frames(spark)
+    cols = AP.FOLD_COLUMNS
+    for chunk in (dt.timedelta(minutes=3), dt.timedelta(days=1)):
+        a = AP.fold(cmds, users, hazards).select(cols)
+        b = AS.fold_split(cmds, users, hazards, chunk).select(cols)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_settle_officer_actions_reset_knowledge():
+    from riskgrid.operators import apply_split as AS
+    unknown = {"a": (False, None), "s": (False, None)}
+    assign = dict(command_id=1, command_ts=None, kind="assign", performed_by_user_id=1, role="SafetyOfficer",
+                  new_status=None, assign_to_user_id=2, target_is_manager=True, details=None)
+    done, out, k = AS.settle(assign, 3, unknown)
+    assert done and out[0] == "OK" and k["a"] == (True, 2) and not k["s"][0]
+    status = dict(assign, command_id=2, kind="change_status", new_status="Resolved", assign_to_user_id=None)
+    done, out, k2 = AS.settle(status, 3, k)
+    assert not done and out[0] == "OK" and k2["s"] == (True, "Resolved")   # log text needs the old status
+    manager = dict(status, command_id=3, performed_by_user_id=2, role="SiteManager", new_status="InProgress")
+    done, out, _ = AS.settle(manager, 3, {"a": (True, 2), "s": (True, "Open")})
+    assert done and out[:2] == ("OK", "StatusChanged")

@@ -291,14 +291,14 @@ def apply(commands: DataFrame, users: DataFrame, hazards: DataFrame, logs: DataF
           split_chunk: dt.timedelta | None = dt.timedelta(days=1)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new hazards, new logs, results) after applying the command table.
 
-    With ``split_chunk`` the fold runs in two passes over time chunks
-    (``apply_split``), so a hot hazard's commands are mostly settled in
-    parallel. The fold output feeds three results, so it is checkpointed once to the
+    With ``split_chunk`` hot hazards are folded in two passes over time
+    chunks (``apply_split``), so their commands are mostly settled in
+    parallel; the other hazards take the one-pass fold. The fold output feeds three results, so it is checkpointed once to the
     shared checkpoint folder instead of being recomputed (the validated
     creates are checkpointed inside ``validate_creates``)."""
     if split_chunk is not None:
-        from .apply_split import fold_split
-        folded = fold_split(commands, users, hazards, split_chunk).checkpoint(eager=True)
+        from .apply_split import fold_auto
+        folded = fold_auto(commands, users, hazards, split_chunk).checkpoint(eager=True)
     else:
         folded = fold(commands, users, hazards).checkpoint(eager=True)
     creates = W.validate_creates(commands, users, hazards)

@@ -247,3 +247,20 @@ def fold_split(commands: DataFrame, users: DataFrame, hazards: DataFrame,
     res_rows = results.select("hazard_id", F.lit("result").alias("row_type"), "command_id", "command_ts", "kind",
                               "performed_by_user_id", "result", "action", "log_details")
     return res_rows.unionByName(states, allowMissingColumns=True).select(*AP.FOLD_COLUMNS)
+
+
+def fold_auto(commands: DataFrame, users: DataFrame, hazards: DataFrame,
+              chunk: dt.timedelta = dt.timedelta(days=1), fraction: float | None = None,
+              min_rows: int | None = None) -> DataFrame:
+    """The command fold with the split applied only to hot hazards (more than
+    ``fraction`` of all commands); all other hazards take the one-pass fold.
+    Without hot hazards this is exactly ``apply.fold``."""
+    from . import hot as H
+    c = commands.where(F.col("kind") != W.KIND_CREATE)
+    hot = H.hot_values(c, "hazard_id", fraction or H.DEFAULT_FRACTION,
+                       H.DEFAULT_MIN_ROWS if min_rows is None else min_rows)
+    if not hot:
+        return AP.fold(c, users, hazards)
+    is_hot = F.col("hazard_id").isin(hot)
+    return AP.fold(c.where(~is_hot), users, hazards).unionByName(
+        fold_split(c.where(is_hot), users, hazards, chunk))

@@ -129,14 +129,28 @@ def _join_kb(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def lockout(events: DataFrame, key: Column | None = None, max_failures: int = DEFAULT_MAX_FAILURES,
             window: dt.timedelta = DEFAULT_WINDOW, block: dt.timedelta = DEFAULT_BLOCK,
-            split_idle_gaps: bool = True) -> DataFrame:
+            split_idle_gaps: bool = True, hot_fraction: float | None = None,
+            hot_min_rows: int | None = None) -> DataFrame:
     """L1: one output row per attempt with its outcome."""
     if max_failures <= 0:
         raise ValueError("max_failures must be positive")
     k = login_key() if key is None else key
     rows = events.select(k.alias("key"), "login_id", "ts", "success")
     if split_idle_gaps:
-        rows = idle_segments(rows, window + block)
+        # Only hot keys are segmented; the others fold whole (segment NULL).
+        from . import hot as H
+        hot = H.hot_values(rows, "key", hot_fraction or H.DEFAULT_FRACTION,
+                           H.DEFAULT_MIN_ROWS if hot_min_rows is None else hot_min_rows)
+        no_seg = F.lit(None).cast("timestamp_ntz")
+        if hot:
+            is_hot = F.col("key").isin([h for h in hot if h is not None])
+            if None in hot:
+                is_hot = is_hot | F.col("key").isNull()
+            is_hot = F.coalesce(is_hot, F.lit(False))
+            rows = idle_segments(rows.where(is_hot), window + block).unionByName(
+                rows.where(~is_hot).withColumn("seg", no_seg))
+        else:
+            rows = rows.withColumn("seg", no_seg)
     else:
         rows = rows.withColumn("seg", F.lit(None).cast("timestamp_ntz"))
     # Each (key, segment) lands in one shuffle partition, sorted by time; one

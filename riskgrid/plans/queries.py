@@ -592,7 +592,7 @@ from ..operators import lockout as LK  # noqa: E402
 def q_apply_commands(spark, d):
     """Ordered fold per hazard plus snapshot-judged creates (no SQL oracle)."""
     r = reg(spark, d)
-    folded = AP.results(AS.fold_split(r.hazard_commands, r.users, r.hazards))
+    folded = AP.results(AS.fold_auto(r.hazard_commands, r.users, r.hazards))
     creates = W.validate_creates(r.hazard_commands, r.users, r.hazards).select(
         "command_id", "hazard_id", "kind", "performed_by_user_id", "result",
         F.when(F.col("result") == W.OK, F.lit(S.ACTION_CREATED)).alias("action"))

@@ -92,3 +92,16 @@ def test_settle_officer_actions_reset_knowledge():
     manager = dict(status, command_id=3, performed_by_user_id=2, role="SiteManager", new_status="InProgress")
     done, out, _ = AS.settle(manager, 3, {"a": (True, 2), "s": (True, "Open")})
     assert done and out[:2] == ("OK", "StatusChanged")
+
+
+def test_auto_fold_routes_hot_hazards(spark):
+    from riskgrid.operators import apply_split as AS
+    from riskgrid.operators import hot as H
+    users, hazards, cmds = _frames(spark)
+    c = cmds.where("kind != 'create'")
+    hot, cold = H.split_hot(c, ["hazard_id"], fraction=0.3, min_rows=1)
+    assert {r.hazard_id for r in hot.select("hazard_id").distinct().collect()} == {1}
+    cols = AP.FOLD_COLUMNS
+    a = AP.fold(cmds, users, hazards).select(cols)
+    b = AS.fold_auto(cmds, users, hazards, dt.timedelta(minutes=3), fraction=0.2, min_rows=1).select(cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -65,3 +65,13 @@ def test_idle_gaps_split_a_hot_key_without_changing_results(spark):
                             LK.DEFAULT_WINDOW + LK.DEFAULT_BLOCK)
     per_key = {r.key: r.n for r in segs.groupBy("key").agg(F.countDistinct("seg").alias("n")).collect()}
     assert per_key == {"ip|hot": 6, "ip|cold": 1}
+
+
+def test_hot_key_routing_keeps_results(spark):
+    ev = [(m * 30, "ip", "hot", m % 5 == 4) for m in range(40)] + [(m, "ip", "cold", False) for m in range(3)]
+    rows = [(i, T0 + dt.timedelta(minutes=m), ip, user, ok) for i, (m, ip, user, ok) in enumerate(ev)]
+    df = spark.createDataFrame(rows, S.LOGIN_EVENTS)
+    cols = ["key", "login_id", "outcome", "failure_count", "retry_after_minutes"]
+    a = LK.lockout(df, hot_fraction=0.5, hot_min_rows=1).select(cols)
+    b = LK.lockout(df, split_idle_gaps=False).select(cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -5,8 +5,9 @@ the watermark passes them and are then folded in (command_ts, command_id)
 order with ``operators.apply.apply_one`` (shared with the batch fold W6).
 The hazard's snapshot arrives as the first row of its key (row_type 0, time
 before every command). Users are a static side joined to the stream.
-Creates need the current maximum id and are judged per micro-batch with W1
-in the batch path; this stream covers the other kinds.
+Creates need the current maximum id: a second query over the same source
+judges them per micro-batch with W1 in ``foreachBatch`` and numbers them
+after the largest id handed out so far.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from ..operators import commands as W
 from ..session import checkpoint_dir
 
 EPOCH = dt.datetime(1970, 1, 1)
+S_CREATED = "Created"
 STATE_SCHEMA = "hazard string, buffer string, last_us long"
 OUT_SCHEMA = ("command_id long, hazard_id int, kind string, performed_by_user_id int, result string, "
               "action string")
@@ -99,7 +101,8 @@ def apply_stream(source: DataFrame, users: DataFrame, lateness: str) -> DataFram
     uf = W.user_facts(users)
     perf = uf.select(F.col("user_id").alias("_p"), F.col("active_role").alias("role"))
     tgt = uf.select(F.col("user_id").alias("_t"), F.col("active_manager").alias("target_is_manager"))
-    s = source.withColumn("event_ts", F.col("command_ts").cast("timestamp"))
+    s = (source.where((F.col("row_type") == F.lit(AP.ROW_STATE)) | (F.col("kind") != F.lit(W.KIND_CREATE)))
+         .withColumn("event_ts", F.col("command_ts").cast("timestamp")))
     s = (s.join(perf, s["performed_by_user_id"] == perf["_p"], "left")
          .join(tgt, s["assign_to_user_id"] == tgt["_t"], "left").drop("_p", "_t")
          .withColumn("target_is_manager", F.coalesce("target_is_manager", F.lit(False)))
@@ -108,8 +111,42 @@ def apply_stream(source: DataFrame, users: DataFrame, lateness: str) -> DataFram
         _state_fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+CREATE_SCHEMA = ("command_id long, hazard_id int, kind string, performed_by_user_id int, result string, "
+                 "action string, new_hazard_id int, epoch long")
+
+
+def create_batch_writer(users: DataFrame, hazards: DataFrame, sink: str):
+    """foreachBatch handler: W1 on the batch's creates against the snapshot;
+    OK creates get ids after the larger of the snapshot's maximum and the
+    ids handed out by earlier epochs. Each epoch overwrites only its own
+    partition, so a retried micro-batch writes the same rows once."""
+    from ..operators import ids as I
+
+    def handle(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        creates = batch.where((F.col("row_type") == F.lit(AP.ROW_COMMAND)) & (F.col("kind") == W.KIND_CREATE))
+        v = W.validate(creates.drop("row_type", "assigned_to_user_id", "status", "created_at"), users, hazards)
+        start = hazards.agg(F.coalesce(F.max("hazard_id"), F.lit(0)).cast("long")).first()[0]
+        try:
+            prev = (spark.read.schema(CREATE_SCHEMA).parquet(sink).where(F.col("epoch") < F.lit(epoch_id))
+                    .agg(F.max("new_hazard_id")).first()[0])
+        except Exception:  # nothing written yet
+            prev = None
+        start = max(start, prev or 0)
+        ok = I.assign_sequence(v.where(F.col("result") == W.OK), ["command_id"], F.lit(start), "new_hazard_id")
+        rest = v.where(F.col("result") != W.OK).withColumn("new_hazard_id", F.lit(None).cast("int"))
+        out = ok.unionByName(rest).select(
+            "command_id", "hazard_id", "kind", "performed_by_user_id", "result",
+            F.when(F.col("result") == W.OK, F.lit(S_CREATED)).alias("action"), "new_hazard_id",
+            F.lit(epoch_id).cast("long").alias("epoch"))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch").parquet(sink))
+
+    return handle
+
+
 def source_rows(commands: DataFrame, hazards: DataFrame, snapshot_ts: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """(snapshot rows, command rows) in the stream's source layout."""
+    """(snapshot rows, command rows incl. creates) in the stream's source layout."""
     c = commands.where(F.col("kind") != W.KIND_CREATE)
     touched = c.select("hazard_id").distinct()
     snap = hazards.join(touched, "hazard_id", "left_semi").select(
@@ -119,10 +156,11 @@ def source_rows(commands: DataFrame, hazards: DataFrame, snapshot_ts: dt.datetim
         F.lit(None).cast("int").alias("assign_to_user_id"), F.lit(None).cast("string").alias("details"),
         "title", "description", "severity", "type", "due_date", "reported_by_user_id", "assigned_to_user_id",
         "status", "created_at")
-    cmd = c.select(
+    cmd = commands.select(
         F.lit(AP.ROW_COMMAND).alias("row_type"), "hazard_id", "command_id", "command_ts", "kind",
         "performed_by_user_id", "new_status", "assign_to_user_id", "details", "title", "description",
-        "severity", "type", "due_date", F.lit(None).cast("int").alias("reported_by_user_id"),
+        "severity", "type", "due_date",
+        F.when(F.col("kind") == W.KIND_CREATE, F.col("reported_by_user_id")).cast("int").alias("reported_by_user_id"),
         F.lit(None).cast("int").alias("assigned_to_user_id"), F.lit(None).cast("string").alias("status"),
         F.lit(None).cast("timestamp_ntz").alias("created_at"))
     return snap, cmd
@@ -163,4 +201,17 @@ def run_over_files(spark: SparkSession, commands: DataFrame, users: DataFrame, h
     q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(out.schema).parquet(sink).where(F.col("command_id") >= 0)
+    create_sink = f"{root}/creates"
+    cq = (stream.writeStream.foreachBatch(create_batch_writer(users, hazards, create_sink))
+          .option("checkpointLocation", f"{root}/checkpoint-creates").trigger(availableNow=True).start())
+    cq.awaitTermination()
+    folded = spark.read.schema(out.schema).parquet(sink).where(F.col("command_id") >= 0)
+    try:
+        created = spark.read.schema(CREATE_SCHEMA).parquet(create_sink).select(*OUT_COLUMNS)
+    except Exception:  # no create in the stream
+        created = spark.createDataFrame([], OUT_SCHEMA)
+    return folded.unionByName(created)
+
+
+def created_ids(spark: SparkSession, root_sink: str) -> DataFrame:
+    return spark.read.schema(CREATE_SCHEMA).parquet(root_sink)

@@ -20,10 +20,23 @@ from . import schemas as S
 COMMITS = "_commits"
 
 
+def path_exists(path: str) -> bool | None:
+    """True/False for local paths; None when only a read can tell (remote)."""
+    import os
+    if path.startswith("file:"):
+        path = path[len("file:"):]
+    elif "://" in path:
+        return None
+    return os.path.exists(path)
+
+
 def current_version(spark: SparkSession, root: str) -> int | None:
+    path = f"{root.rstrip('/')}/{COMMITS}"
+    if path_exists(path) is False:
+        return None
     try:
-        row = spark.read.parquet(f"{root.rstrip('/')}/{COMMITS}").agg(F.max("version")).first()
-    except Exception:  # no commit yet
+        row = spark.read.parquet(path).agg(F.max("version")).first()
+    except Exception:  # no commit yet (remote path)
         return None
     return None if row is None else row[0]
 

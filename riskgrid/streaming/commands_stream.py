@@ -25,6 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import apply as AP
 from ..operators import commands as W
 from ..session import checkpoint_dir
+from ..sources.sinks import path_exists
 
 EPOCH = dt.datetime(1970, 1, 1)
 S_CREATED = "Created"
@@ -127,11 +128,13 @@ def create_batch_writer(users: DataFrame, hazards: DataFrame, sink: str):
         creates = batch.where((F.col("row_type") == F.lit(AP.ROW_COMMAND)) & (F.col("kind") == W.KIND_CREATE))
         v = W.validate(creates.drop("row_type", "assigned_to_user_id", "status", "created_at"), users, hazards)
         start = hazards.agg(F.coalesce(F.max("hazard_id"), F.lit(0)).cast("long")).first()[0]
-        try:
-            prev = (spark.read.schema(CREATE_SCHEMA).parquet(sink).where(F.col("epoch") < F.lit(epoch_id))
-                    .agg(F.max("new_hazard_id")).first()[0])
-        except Exception:  # nothing written yet
-            prev = None
+        prev = None
+        if path_exists(sink) is not False:
+            try:
+                prev = (spark.read.schema(CREATE_SCHEMA).parquet(sink).where(F.col("epoch") < F.lit(epoch_id))
+                        .agg(F.max("new_hazard_id")).first()[0])
+            except Exception:  # nothing written yet (remote path)
+                prev = None
         start = max(start, prev or 0)
         ok = I.assign_sequence(v.where(F.col("result") == W.OK), ["command_id"], F.lit(start), "new_hazard_id")
         rest = v.where(F.col("result") != W.OK).withColumn("new_hazard_id", F.lit(None).cast("int"))
@@ -206,10 +209,12 @@ def run_over_files(spark: SparkSession, commands: DataFrame, users: DataFrame, h
           .option("checkpointLocation", f"{root}/checkpoint-creates").trigger(availableNow=True).start())
     cq.awaitTermination()
     folded = spark.read.schema(out.schema).parquet(sink).where(F.col("command_id") >= 0)
-    try:
-        created = spark.read.schema(CREATE_SCHEMA).parquet(create_sink).select(*OUT_COLUMNS)
-    except Exception:  # no create in the stream
-        created = spark.createDataFrame([], OUT_SCHEMA)
+    created = spark.createDataFrame([], OUT_SCHEMA)
+    if path_exists(create_sink) is not False:
+        try:
+            created = spark.read.schema(CREATE_SCHEMA).parquet(create_sink).select(*OUT_COLUMNS)
+        except Exception:  # no create in the stream (remote path)
+            pass
     return folded.unionByName(created)
 
 

@@ -61,12 +61,14 @@ def write_version(tables: dict[str, DataFrame], root: str, base: dict[str, str]
     prev = current_version(spark, root)
     v = 0 if prev is None else prev + 1
     out = f"{root.rstrip('/')}/v={v}"
+    # The version is invisible until its commit row exists, so files left by
+    # a failed attempt are simply overwritten by the retry.
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{out}/{name}")
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
     if prev is not None:
         for name in _names(spark, root, prev):
             if name not in tables:
-                read_table(spark, root, name, prev).write.mode("errorifexists").parquet(f"{out}/{name}")
+                read_table(spark, root, name, prev).write.mode("overwrite").parquet(f"{out}/{name}")
     commit = spark.createDataFrame(
         [(v, dt.datetime.utcnow().replace(microsecond=0), ",".join(sorted(tables)))],
         "version int, committed_at timestamp_ntz, tables string")

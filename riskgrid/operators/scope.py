@@ -100,14 +100,13 @@ def access_flags(requests: DataFrame, hazards: DataFrame) -> DataFrame:
 def related_edges(hazards: DataFrame, *cols: str) -> DataFrame:
     """At most two edges per hazard: (assignee, h) and (reporter, h) unless the
     reporter is the assignee. Disjoint by construction, so no distinct is
-    needed. ``in_pool`` marks hazards every manager already sees."""
-    keep = [F.col(c) for c in cols]
-    pool = in_pool().alias("in_pool")
-    by_assignee = hazards.where(F.col("assigned_to_user_id").isNotNull()).select(
-        F.col("assigned_to_user_id").alias("user_id"), F.col("hazard_id"), pool, *keep)
-    by_reporter = hazards.where(~F.col("assigned_to_user_id").eqNullSafe(F.col("reported_by_user_id"))).select(
-        F.col("reported_by_user_id").alias("user_id"), F.col("hazard_id"), pool, *keep)
-    return by_assignee.unionByName(by_reporter)
+    needed; one scan emits both. ``in_pool`` marks hazards every manager
+    already sees."""
+    a, r = F.col("assigned_to_user_id"), F.col("reported_by_user_id")
+    users = F.array(F.when(a.isNotNull(), a), F.when(~a.eqNullSafe(r), r))
+    out = hazards.select(F.explode(users).alias("user_id"), F.col("hazard_id"), in_pool().alias("in_pool"),
+                         *[F.col(c) for c in cols])
+    return out.where(F.col("user_id").isNotNull())
 
 
 def active_users(users: DataFrame) -> DataFrame:

@@ -65,7 +65,43 @@ def like_pattern(search_text: str) -> str:
     return "%" + search_text.replace("\\", "\\\\") + "%"
 
 
+def tsql_like_regex(pattern: str) -> str:
+    """A T-SQL LIKE pattern as a Java regex (full match): % and _ are
+    wildcards and [...] / [^...] are character classes, inside which % and _
+    are literal. Used when the search text holds '['."""
+    import re
+    out, i, n = ["(?s)^"], 0, len(pattern)
+    while i < n:
+        ch = pattern[i]
+        if ch == "%":
+            out.append(".*")
+        elif ch == "_":
+            out.append(".")
+        elif ch == "[" and "]" in pattern[i + 1:]:
+            j = pattern.index("]", i + 1)
+            body = pattern[i + 1:j]
+            neg = body.startswith("^")
+            body = body[1:] if neg else body
+            parts = []
+            for k, c in enumerate(body):
+                if c == "-" and 0 < k < len(body) - 1:
+                    parts.append("-")
+                else:
+                    parts.append(re.escape(c))
+            out.append("[" + ("^" if neg else "") + "".join(parts) + "]")
+            i = j
+        else:
+            out.append(re.escape(ch))
+        i += 1
+    out.append("$")
+    return "".join(out)
+
+
 def search_predicate(search_text: str) -> Column:
+    if "[" in search_text:
+        rx = tsql_like_regex("%" + search_text.lower() + "%")
+        return (F.coalesce(F.lower(F.col("title")).rlike(rx), F.lit(False))
+                | F.coalesce(F.lower(F.col("description")).rlike(rx), F.lit(False)))
     pat = like_pattern(search_text).lower()
     return (F.coalesce(F.lower(F.col("title")).like(pat), F.lit(False))
             | F.coalesce(F.lower(F.col("description")).like(pat), F.lit(False)))

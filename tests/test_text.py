@@ -107,3 +107,13 @@ def test_empty_scope_kpi_is_zero(spark):
     empty = spark.createDataFrame([], "status string, due_date timestamp_ntz")
     r = A.kpi(empty, NOW).first()
     assert tuple(r) == (0, 0, 0, 0, 0)
+
+
+def test_search_bracket_classes(spark):
+    df = spark.createDataFrame([(1, "abc", None), (2, "xbc", None), (3, "a%c", "Z"), (4, "dbc", None),
+                                (5, "line1\nac", None)], "hazard_id int, title string, description string")
+    ids = lambda s: sorted(r[0] for r in L.filter_search(df, s).select("hazard_id").collect())
+    assert ids("[ab]c") == [1, 2, 4, 5]
+    assert ids("[a-c]bc") == [1]
+    assert ids("[^a]bc") == [2, 4]
+    assert ids("a[%]c") == [3]

@@ -61,15 +61,26 @@ def breakdown_percent(counts: DataFrame, query_key: str | None = None) -> DataFr
 
 # A5 -------------------------------------------------------------------------
 def dashboard(scoped: DataFrame, now: dt.datetime) -> DataFrame:
-    """KPI row and both breakdowns in one aggregation (grouping sets)."""
-    g = scoped.groupingSets([[], [F.col("severity")], [F.col("type")]], F.col("severity"), F.col("type")).agg(
-        *_kpi_aggs(now), F.grouping_id().alias("_gid"))
+    """KPI row and both breakdowns in one aggregation (grouping sets).
+
+    One marker row is added so the KPI grouping set yields a row even for an
+    empty scope (zeros); only real rows are counted, and the marker's own
+    (empty) buckets are dropped."""
+    cols = ("status", "severity", "type", "due_date")
+    real = scoped.select(*cols, F.lit(True).alias("_real"))
+    marker = scoped.sparkSession.createDataFrame(
+        [(None, None, None, None, False)],
+        "status string, severity string, type string, due_date timestamp_ntz, _real boolean")
+    g = real.unionByName(marker).groupingSets(
+        [[], [F.col("severity")], [F.col("type")]], F.col("severity"), F.col("type")).agg(
+        *_kpi_aggs(now, F.col("_real")), F.grouping_id().alias("_gid"))
     section = (F.when(F.col("_gid") == 3, F.lit("kpi"))
                .when(F.col("_gid") == 1, F.lit("severity"))
                .otherwise(F.lit("type")))
     key = (F.when(F.col("_gid") == 1, F.col("severity"))
            .when(F.col("_gid") == 2, F.col("type")))
-    return g.select(section.alias("section"), key.alias("key"), *KPI_COLUMNS)
+    return (g.select(section.alias("section"), key.alias("key"), *KPI_COLUMNS)
+            .where((F.col("section") == "kpi") | (F.col("total") > 0)))
 
 
 # A6 -------------------------------------------------------------------------

@@ -117,3 +117,12 @@ def test_search_bracket_classes(spark):
     assert ids("[a-c]bc") == [1]
     assert ids("[^a]bc") == [2, 4]
     assert ids("a[%]c") == [3]
+
+
+def test_dashboard_single_pass_handles_empty_scope(spark):
+    empty = spark.createDataFrame([], "status string, severity string, type string, due_date timestamp_ntz")
+    rows = [tuple(r) for r in A.dashboard(empty, NOW).collect()]
+    assert rows == [("kpi", None, 0, 0, 0, 0, 0)]
+    one = spark.createDataFrame([("Open", "High", "Fire", None)], empty.schema)
+    got = sorted(tuple(r) for r in A.dashboard(one, NOW).collect())
+    assert got == [("kpi", None, 1, 1, 0, 0, 0), ("severity", "High", 1, 1, 0, 0, 0), ("type", "Fire", 1, 1, 0, 0, 0)]

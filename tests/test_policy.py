@@ -100,3 +100,33 @@ def test_access_flags_special_cases(spark):
         "request_id int, hazard_id int, user_id int, role string")
     got = {r.request_id: r.accessible for r in V.access_flags(req, hazards).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False, 5: True}
+
+
+def test_visible_grants_expand_to_scope_per_user(spark):
+    import datetime as dt
+
+    from riskgrid.sources import schemas as S
+    users = spark.createDataFrame(
+        [(1, "o", "O", "SafetyOfficer", True), (2, "m", "M", "SiteManager", True), (3, "w", "W", "FieldWorker", True),
+         (4, "m2", "M2", " sitemanager ", True), (5, "x", "X", "FieldWorker", False), (6, "a", "A", "Auditor", True)],
+        S.USERS)
+    t0 = dt.datetime(2026, 1, 1)
+    rows, hid = [], 0
+    for rep, asg, st in itertools.product((2, 3, 4, 9), (None, 2, 3, 4), ("Open", "InProgress", "Resolved")):
+        hid += 1
+        rows.append((hid, "t", None, rep, asg, st, "Low", "Fire", t0, None))
+    hazards = spark.createDataFrame(rows, S.HAZARDS)
+    grants = V.visible_grants(users, hazards).collect()
+    all_ids = {r[0] for r in rows}
+    pool = {r[0] for r in rows if r[4] is None and r[5] == "Open"}
+    expanded = {}
+    for g in grants:
+        s = expanded.setdefault(g.user_id, set())
+        s |= all_ids if g.grant == "all" else pool if g.grant == "pool" else {g.hazard_id}
+    for uid, role in ((1, "SafetyOfficer"), (2, "SiteManager"), (3, "FieldWorker"), (4, " sitemanager "),
+                      (6, "Auditor")):
+        want = {r.hazard_id for r in V.scope(hazards, uid, role).select("hazard_id").collect()}
+        assert expanded.get(uid, set()) == want, uid
+    assert 5 not in expanded  # inactive users get no grants
+    related = [(g.user_id, g.hazard_id) for g in grants if g.grant == "related"]
+    assert len(related) == len(set(related))  # no duplicate pairs

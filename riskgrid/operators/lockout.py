@@ -92,32 +92,52 @@ def user_key(user_name: Column | str = "user_name") -> Column:
     return F.lower(F.trim(u))
 
 
-def idle_segments(rows: DataFrame, gap: dt.timedelta) -> DataFrame:
-    """Add ``seg``: the time at which the key's current segment started.
-
-    A new segment starts when an attempt follows the key's previous attempt
-    by more than ``gap`` (window + block): the fold's state is then the
-    fresh state whatever came before, so segments fold independently and a
-    hot key's history spreads over many tasks. Computed per (key, time
-    bucket of width ``gap``) plus small per-bucket summaries, so no step
-    holds all of one key's rows in one task."""
+def idle_segments(rows: DataFrame, gap: dt.timedelta, block: dt.timedelta | None = None) -> DataFrame:
+    """Add ``seg``: an id of the key's current segment (its first attempt).
+
+    A new segment starts where the fold's state is provably fresh:
+    * the attempt follows the key's previous attempt by more than ``gap``
+      (window + block), or
+    * the previous attempt was a success that cannot have been refused: no
+      failure within ``block`` before it (a block lasts ``block`` from the
+      failure that set it), so it cleared count and block.
+    Segments therefore fold independently, and a hot key's history spreads
+    over many tasks. Computed per (key, time bucket of width ``gap``) plus
+    small per-bucket summaries, so no step holds all of one key's rows in one
+    task."""
     g_us = max(1, int(gap / dt.timedelta(microseconds=1)))
     r = rows.withColumn("_b", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(g_us)))
     wb = Window.partitionBy("key", "_b").orderBy("ts", "login_id")
-    r = r.withColumn("_prev", F.lag("ts").over(wb))
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
     wk = Window.partitionBy("key").orderBy("_b")
-    last = (r.groupBy("key", "_b").agg(F.max("ts").alias("_last"))
-            .withColumn("_prev_bucket_last", F.lag("_last").over(wk)))
-    r = _join_kb(r, last.select("key", "_b", "_prev_bucket_last"))
+    r = (r.withColumn("_prev", F.lag("ts").over(wb))
+         .withColumn("_fail_ts", F.when(~F.col("success"), F.col("ts")))
+         .withColumn("_prev_fail_b", F.max("_fail_ts").over(before)))
+    s1 = (r.groupBy("key", "_b").agg(F.max("ts").alias("_last"), F.max("_fail_ts").alias("_bfail"))
+          .withColumn("_prev_bucket_last", F.lag("_last").over(wk))
+          .withColumn("_carry_fail", F.max("_bfail").over(wk.rowsBetween(Window.unboundedPreceding, -1))))
+    r = _join_kb(r, s1.select("key", "_b", "_prev_bucket_last", "_carry_fail"))
+    prev_fail = F.greatest(F.col("_prev_fail_b"), F.col("_carry_fail"))
+    if block is None:
+        r = r.withColumn("_safe", F.lit(False))
+    else:
+        r = r.withColumn("_safe", F.col("success") & (prev_fail.isNull() | (F.col("ts") >= prev_fail + F.lit(block))))
+    r = r.withColumn("_prev_safe_b", F.lag("_safe").over(wb))
+    s2 = (r.groupBy("key", "_b").agg(F.max_by("_safe", F.struct("ts", "login_id")).alias("_last_safe"))
+          .withColumn("_prev_bucket_safe", F.lag("_last_safe").over(wk)))
+    r = _join_kb(r, s2.select("key", "_b", "_prev_bucket_safe"))
     pred = F.coalesce(F.col("_prev"), F.col("_prev_bucket_last"))
-    start = F.when(pred.isNull() | (F.col("ts") > pred + F.lit(gap)), F.col("ts"))
-    r = r.withColumn("_start", start).withColumn(
-        "_seg_b", F.max("_start").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    prev_safe = F.when(F.col("_prev").isNotNull(), F.col("_prev_safe_b")).otherwise(F.col("_prev_bucket_safe"))
+    start = pred.isNull() | (F.col("ts") > pred + F.lit(gap)) | F.coalesce(prev_safe, F.lit(False))
+    # Segment id: (ts, login_id) of its first attempt; increases along the key.
+    r = r.withColumn("_start", F.when(start, F.struct("ts", "login_id")))
+    r = r.withColumn("_seg_b", F.max("_start").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     carry = (r.groupBy("key", "_b").agg(F.max("_start").alias("_bmax"))
              .withColumn("_carry", F.max("_bmax").over(wk.rowsBetween(Window.unboundedPreceding, -1))))
     r = _join_kb(r, carry.select("key", "_b", "_carry"))
-    return r.withColumn("seg", F.coalesce("_seg_b", "_carry")).drop(
-        "_b", "_prev", "_prev_bucket_last", "_start", "_seg_b", "_carry")
+    seg = F.coalesce(F.col("_seg_b"), F.col("_carry"))
+    return r.withColumn("seg", F.concat(seg["ts"].cast("string"), F.lit("#"), seg["login_id"].cast("string"))).select(
+        *rows.columns, "seg")
 
 
 def _join_kb(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -141,18 +161,18 @@ def lockout(events: DataFrame, key: Column | None = None, max_failures: int = DE
         from . import hot as H
         hot = H.hot_values(rows, "key", hot_fraction or H.DEFAULT_FRACTION,
                            H.DEFAULT_MIN_ROWS if hot_min_rows is None else hot_min_rows)
-        no_seg = F.lit(None).cast("timestamp_ntz")
+        no_seg = F.lit(None).cast("string")
         if hot:
             is_hot = F.col("key").isin([h for h in hot if h is not None])
             if None in hot:
                 is_hot = is_hot | F.col("key").isNull()
             is_hot = F.coalesce(is_hot, F.lit(False))
-            rows = idle_segments(rows.where(is_hot), window + block).unionByName(
+            rows = idle_segments(rows.where(is_hot), window + block, block).unionByName(
                 rows.where(~is_hot).withColumn("seg", no_seg))
         else:
             rows = rows.withColumn("seg", no_seg)
     else:
-        rows = rows.withColumn("seg", F.lit(None).cast("timestamp_ntz"))
+        rows = rows.withColumn("seg", F.lit(None).cast("string"))
     # Each (key, segment) lands in one shuffle partition, sorted by time; one
     # Python pass per partition folds segment after segment with O(1) state.
     ordered = rows.repartition("key", "seg").sortWithinPartitions("key", "seg", "ts", "login_id")

@@ -75,3 +75,22 @@ def test_hot_key_routing_keeps_results(spark):
     a = LK.lockout(df, hot_fraction=0.5, hot_min_rows=1).select(cols)
     b = LK.lockout(df, split_idle_gaps=False).select(cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_safe_successes_split_dense_mixed_traffic(spark):
+    from pyspark.sql import functions as F
+    # dense traffic on one key: failures and successes a minute apart, no idle gap
+    ev = [(m, "ip", "hot", (m % 10) >= 3) for m in range(120)]
+    rows = [(i, T0 + dt.timedelta(minutes=m), ip, user, ok) for i, (m, ip, user, ok) in enumerate(ev)]
+    df = spark.createDataFrame(rows, S.LOGIN_EVENTS)
+    cols = ["key", "login_id", "outcome", "failure_count", "retry_after_minutes"]
+    for mf, w, b in ((3, dt.timedelta(minutes=10), dt.timedelta(minutes=2)), (2, dt.timedelta(minutes=30),
+                                                                               dt.timedelta(minutes=5))):
+        a = LK.lockout(df, max_failures=mf, window=w, block=b, hot_fraction=0.5, hot_min_rows=1).select(cols)
+        c = LK.lockout(df, max_failures=mf, window=w, block=b, split_idle_gaps=False).select(cols)
+        assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
+    keyed = df.select(LK.login_key().alias("key"), "login_id", "ts", "success")
+    n_gap = LK.idle_segments(keyed, dt.timedelta(minutes=12)).select("seg").distinct().count()
+    n_safe = LK.idle_segments(keyed, dt.timedelta(minutes=12), dt.timedelta(minutes=2)).select("seg").distinct().count()
+    assert n_gap == 1 and n_safe > 10
+    assert keyed.count() == LK.idle_segments(keyed, dt.timedelta(minutes=12), dt.timedelta(minutes=2)).count()

@@ -154,8 +154,14 @@ def drilldown_consistency(hazards: DataFrame, users: DataFrame, viewer_id: int,
     dims = ("status", "severity", "type", "_overdue")
 
     def counts(df: DataFrame, name: str) -> DataFrame:
-        g = df.groupingSets([[F.col(d)] for d in dims], *[F.col(d) for d in dims]).agg(
-            F.count(F.lit(1)).alias(name), F.grouping_id().alias("_gid"))
+        # A marker row keeps the overdue bucket present (count 0) for scopes
+        # without overdue hazards; only real rows are counted.
+        marker = df.sparkSession.createDataFrame(
+            [(None, None, None, "1", False)],
+            "status string, severity string, type string, _overdue string, _real boolean")
+        rows = df.select(*dims, F.lit(True).alias("_real")).unionByName(marker)
+        g = rows.groupingSets([[F.col(d)] for d in dims], *[F.col(d) for d in dims]).agg(
+            F.count_if(F.col("_real")).alias(name), F.grouping_id().alias("_gid"))
         dim = F.when(F.col("_gid") == 7, F.lit("status")).when(F.col("_gid") == 11, F.lit("severity")) \
             .when(F.col("_gid") == 13, F.lit("type")).otherwise(F.lit("overdue"))
         key = F.coalesce(*[F.col(d) for d in dims])

@@ -126,3 +126,14 @@ def test_dashboard_single_pass_handles_empty_scope(spark):
     one = spark.createDataFrame([("Open", "High", "Fire", None)], empty.schema)
     got = sorted(tuple(r) for r in A.dashboard(one, NOW).collect())
     assert got == [("kpi", None, 1, 1, 0, 0, 0), ("severity", "High", 1, 1, 0, 0, 0), ("type", "Fire", 1, 1, 0, 0, 0)]
+
+
+def test_drilldown_keeps_zero_overdue_bucket(spark):
+    from riskgrid.sources import schemas as S
+    t0 = dt.datetime(2026, 1, 1)
+    hazards = spark.createDataFrame([(1, "t", None, 3, None, "Open", "Low", "Fire", t0, None)], S.HAZARDS)
+    users = spark.createDataFrame([(3, "w", "W", "FieldWorker", True)], S.USERS)
+    got = {(r.dimension, r.key): (r.bucket_count, r.list_count, r.consistent)
+           for r in A.drilldown_consistency(hazards, users, 3, "FieldWorker", NOW).collect()}
+    assert got == {("status", "Open"): (1, 1, True), ("severity", "Low"): (1, 1, True),
+                   ("type", "Fire"): (1, 1, True), ("overdue", "1"): (0, 0, True)}

@@ -228,13 +228,21 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return df
 
 
+def records(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    """Rows of Arrow batches as dicts with None for NULL (one vectorised null
+    mask per batch instead of a check per value)."""
+    for b in batches:
+        cols = list(b.columns)
+        clean = b.astype(object).where(b.notna(), None)
+        for values in zip(*(clean[c].tolist() for c in cols)):
+            yield dict(zip(cols, values))
+
+
 def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One pass over a partition sorted by (hazard_id, row_type, command_ts,
     command_id): rows are grouped by hazard on the fly and folded."""
     def rows():
-        for b in batches:
-            for rec in b.to_dict("records"):
-                yield {k: _none(v) for k, v in rec.items()}
+        return records(batches)
 
     out = []
     for _, group in itertools.groupby(rows(), key=lambda r: r["hazard_id"]):

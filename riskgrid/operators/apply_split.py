@@ -96,9 +96,7 @@ def settle(cmd: dict, r, know: dict) -> tuple[bool, tuple, dict]:
 
 def _pass1(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows():
-        for b in batches:
-            for rec in b.to_dict("records"):
-                yield {k: AP._none(v) for k, v in rec.items()}
+        return AP.records(batches)
 
     out = []
     for (hid, chunk), group in itertools.groupby(rows(), key=lambda r: (r["hazard_id"], r["chunk"])):
@@ -140,9 +138,7 @@ _ORDER_STATE, _ORDER_PENDING, _ORDER_CHUNK = 0, 1, 2
 
 def _pass2(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows():
-        for b in batches:
-            for rec in b.to_dict("records"):
-                yield {k: AP._none(v) for k, v in rec.items()}
+        return AP.records(batches)
 
     out = []
     for hid, group in itertools.groupby(rows(), key=lambda r: r["hazard_id"]):

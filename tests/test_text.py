@@ -137,3 +137,12 @@ def test_drilldown_keeps_zero_overdue_bucket(spark):
            for r in A.drilldown_consistency(hazards, users, 3, "FieldWorker", NOW).collect()}
     assert got == {("status", "Open"): (1, 1, True), ("severity", "Low"): (1, 1, True),
                    ("type", "Fire"): (1, 1, True), ("overdue", "1"): (0, 0, True)}
+
+
+def test_list_form_normalisation():
+    f = L.HazardFilter.from_form(search_text="  ", status="", severity="High", type=None,
+                                 assigned_to_user_id=7, overdue_only=1, role="FieldWorker")
+    assert f == L.HazardFilter(search_text=None, status=None, severity="High", type=None,
+                               assigned_to_user_id=None, overdue_only=True)
+    g = L.HazardFilter.from_form(search_text=" rail ", assigned_to_user_id=7, role=" safetyofficer ")
+    assert g.search_text == "rail" and g.assigned_to_user_id == 7

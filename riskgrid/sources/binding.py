@@ -225,7 +225,11 @@ _LOADED: dict[tuple[str, str], tuple[str, int]] = {}
 def _source_key(sf_dir: str) -> str:
     import hashlib
     import os
-    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir]
+    # The derivation code is part of the key: a changed binding never reuses
+    # tables stored by an older one.
+    with open(__file__, "rb") as fh:
+        code = hashlib.sha1(fh.read()).hexdigest()[:12]
+    parts = [code, os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir]
     for name in ("customer", "orders", "documents", "events", "pages"):
         try:
             st = os.stat(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -262,7 +266,10 @@ def load(spark: SparkSession, sf_dir: str) -> Register:
     app = spark.sparkContext.applicationId
     hit = _LOADED.get((app, sf_dir))
     if hit is None:
-        root = f"{checkpoint_dir(spark).rstrip('/')}/register/{_source_key(sf_dir)}"
+        # The configured base folder (not the per-application checkpoint
+        # subfolder), so later applications reuse the stored register.
+        base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
+        root = f"{base.rstrip('/')}/riskgrid-register/{_source_key(sf_dir)}"
         if sinks.current_version(spark, root) is None:
             try:
                 store(derive(spark, sf_dir), root)

@@ -39,3 +39,10 @@ def test_history_scans_each_table_once(spark):
 
 def test_folds_are_one_python_stage(spark):
     assert _plan(spark, "lockout_batch")["python"] == 1
+
+
+def test_visible_pairs_stays_linear(spark):
+    from riskgrid.plans.queries import QUERIES, reg
+    r = reg(spark, SF)
+    n = QUERIES["visible_pairs"](spark, SF).count()
+    assert n <= 2 * r.hazards.count() + r.users.count()

@@ -53,18 +53,19 @@ def digest(cols, rows):
 
 
 def compare(spark, sf_dir, names=None, verbose=True):
-    from riskgrid.plans import oracles, queries
+    import __spark_entry__ as entry
+    queries, sql = entry.queries(), entry.oracle_sql()
     con = duck(sf_dir)
-    names = names or [n for n in queries.QUERIES if n in oracles.SQL]
+    names = names or list(sql)
     results = {}
     for n in names:
         t0 = time.time()
         try:
-            df = queries.QUERIES[n](spark, sf_dir)
+            df = queries[n](spark, sf_dir)
             srows = [tuple(r) for r in df.collect()]
             scols = df.columns
             t1 = time.time()
-            res = con.execute(oracles.SQL[n])
+            res = con.execute(sql[n])
             dcols = [d[0] for d in res.description]
             drows = res.fetchall()
             sc, sn, sh, sl = digest(scols, srows)

@@ -47,8 +47,8 @@ from .words import tables
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-CACHE_UNITS = 1_000_000  # distinct units of text whose ids a worker keeps
-_TABLE_BITS = 21
+CACHE_UNITS = 400_000  # distinct units of text whose ids a worker keeps
+_TABLE_BITS = 20
 # Special tokens are found in the raw text, before it is split.
 _SPECIAL = r"<\|[a-z]+\|>"
 _SEPARATOR = "\x00"

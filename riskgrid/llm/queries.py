@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, urlfilter
+from . import linededup, mixing, packing, quality, sharding, toxicity, urlfilter
 from .frames import settle, table
 
 
@@ -22,6 +22,28 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "score").select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "lines", "removed_lines", "text")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    p = toxicity.predict(docs, chain)
+    return p.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"),
+                    *[F.col(n).alias(f"p_{n}") for n in chain.names],
+                    (F.col("toxic") >= toxicity.THRESHOLD).cast("int").alias("toxic"))
+
+
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, quality_weight) from labels: good 1, bad 1/4, contradictory in between.
     Documents without a label weigh 1."""
@@ -44,6 +66,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
+    "op4_quality": op4_quality,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 4 << 20   # texts handled together
+GROUP_BYTES = 1 << 20   # texts handled together
 SLICE_BYTES = 1 << 19   # bytes hashed together (stays in cache)
 
 _IS_SPACE = np.zeros(256, bool)

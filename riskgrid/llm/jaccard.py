@@ -36,12 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .frames import by_group, partitions, q, settle, text_key
+from .frames import by_group, fresh, partitions, q, settle, text_key
 from .minhash import band_keys, hash_family, signature
 from .words import shingle_sets, tables
 
@@ -229,7 +229,8 @@ def _shingles(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col:
 
 def link(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
          id_col: str = "doc_id", text_col: str = "text", part_shingles: int = PART_SHINGLES) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id per row of ``docs``."""
+    """doc_id, text_key, n_shingles, component_id and root (a class of the component;
+    null without shingles) per row of ``docs``."""
     num, den = similarity
     every = settle(classes(docs, k, bands, rows, id_col, text_col))
     held = every.where("cls is not null")
@@ -258,7 +259,26 @@ def link(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMILA
     least = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "r")
     return (grouped.join(least, F.col("root") == F.col("r"), "left")
             .select("doc_id", "text_key", F.col("n").alias("n_shingles"),
-                    F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")))
+                    F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "root"))
+
+
+def keep_one(docs: DataFrame, k: int, similarity: tuple[int, int], bands: int, rows: int = ROWS,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component (the smallest id, null last), all columns.
+
+    Documents without shingles all stay."""
+    found = settle(link(docs, k, similarity, bands, rows, id_col, text_col))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    best = (found.where("root is not null").groupBy("root").agg(F.min(row).alias("best"))
+            .select(F.col("best.doc_id").alias("_kid"), F.col("best.text_key").alias("_kkey")).distinct())
+    loose = found.where("root is null").select(F.col("doc_id").alias("_kid"), F.col("text_key").alias("_kkey")).distinct()
+    kept = best.withColumn("_once", F.lit(True)).unionByName(loose.withColumn("_once", F.lit(False)))
+    nth = fresh(docs, "nth")
+    joined = docs.join(kept, q(id_col).eqNullSafe(F.col("_kid")) & (text_key(id_col, text_col) == F.col("_kkey")))
+    # Repeated rows of a kept document: one stays. Rows of one id and text only meet here.
+    again = Window.partitionBy("_kid", "_kkey").orderBy(F.lit(1))
+    return (joined.withColumn(nth, F.row_number().over(again)).where(~F.col("_once") | (F.col(nth) == 1))
+            .drop(nth, "_kid", "_kkey", "_once"))
 
 
 def _across_parts(sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:

@@ -223,3 +223,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 + [pa.array(lines.astype(np.int32)), pa.array(removed.astype(np.int32))], names=schema.names)
 
     return joined.mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The documents with repeated lines cut out, in the columns of ``docs``.
+
+    A document that loses all its words goes; where ``size_col`` exists, it is
+    set anew for texts that changed."""
+    lines, removed = fresh(docs, "lines"), fresh(docs, "removed")
+    out = dedup_lines(docs, id_col, text_col, lines, removed)
+    out = out.where((F.col(removed) == 0) | q(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    if size_col in docs.columns:
+        kind = docs.schema[size_col].dataType
+        out = out.withColumn(size_col, F.when(F.col(removed) > 0, F.char_length(q(text_col)).cast(kind)).otherwise(q(size_col)))
+    return out.drop(lines, removed)

@@ -180,4 +180,4 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, in
     """doc_id, n_shingles, component_id: documents linked by a Jaccard likeness of at least
     ``similarity``, found by bands of signatures joined in Spark and verified on the sets."""
     from .jaccard import link
-    return link(docs, k, similarity, bands, rows, id_col, text_col).drop("text_key")
+    return link(docs, k, similarity, bands, rows, id_col, text_col).select("doc_id", "n_shingles", "component_id")

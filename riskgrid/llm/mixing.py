@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import q
+from .frames import fresh, q, text_key
 
 SHARE, CAP = 1.5, 2.0
 WEIGHTS = (3, 1, 2)
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = SHARE,
 
     ``quality``: (doc_id, quality_weight), at most one row per doc_id."""
     text = q(text_col)
-    rows = docs.select(q(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"),
+    rows = docs.select(q(id_col).alias("doc_id"), text_key(id_col, text_col).alias("text_key"),
                        q(source_col).alias("source"), word_count(text).alias("size"),
                        uniform(q(id_col), text).alias("u"))
     if quality is None:
@@ -119,3 +119,16 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = SHARE,
     both = both.withColumn("copies", F.least("copies", F.lit(int(cap)).cast("long")))
     return both.select("doc_id", "text_key", "size", "source", "source_size", "target", "copies",
                        (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, quality: DataFrame | None = None, share: float = SHARE, cap: float = CAP, weights=WEIGHTS,
+         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mixed documents, all columns: each row as often as the mix takes it.
+
+    Rows that repeat an id and a text are each taken as often as the one taken least."""
+    plan = (mix(docs, quality, share, cap, weights, id_col, text_col, source_col)
+            .groupBy(F.col("doc_id").alias("_tid"), F.col("text_key").alias("_tkey")).agg(F.min("copies").alias("_copies"))
+            .where("_copies > 0"))
+    again = fresh(docs, "again")
+    joined = docs.join(plan, q(id_col).eqNullSafe(F.col("_tid")) & (text_key(id_col, text_col) == F.col("_tkey")))
+    return joined.withColumn(again, F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop(again, "_tid", "_tkey", "_copies")

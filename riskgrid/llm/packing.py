@@ -11,8 +11,7 @@
    multiplicative weights: lengths that are covered less get higher prices,
    and each round adds the configuration of the highest price, found by a
    knapsack dynamic program over the capacity. The solution is rounded down;
-   what is left is packed by the same program again and at last by best fit,
-   largest first, on the histogram.
+   what is left is packed by best fit, largest first, on the histogram.
 3. Every configuration owns a range of numbers of each of its lengths. A
    piece's number among all pieces of its length is its number in its
    partition plus the count of earlier partitions; the range that holds that
@@ -282,37 +281,31 @@ def price_knapsack(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarray,
     return out
 
 
-def multiplicative_weights(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int,
-                           eps: float = 0.5) -> list[tuple[tuple[int, ...], int]]:
-    """Integer multiples of configurations that cover no length too often.
+def multiplicative_weights(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eps: float = 0.3,
+                           eta: float = 3.0, power: float = 1.1) -> list[tuple[tuple[int, ...], int]]:
+    """Whole multiples of configurations that cover no length too often.
 
-    Width-independent covering: a round plays the dearest configuration as
-    long as its scarcest length allows (a share ``eps`` of that length's
-    count), then lowers the prices of the lengths in it in proportion to the
-    cover that they got. Multiples are rounded down as they are played, so the
-    result is a packing of part of the pieces."""
+    A length's price is its share of the capacity (to ``power``: what is long
+    is harder to place) times its weight. A round plays the dearest
+    configuration for a share ``eps`` of what its scarcest length has left,
+    then lowers the weights of its lengths in proportion to the cover that
+    they got: weight = exp(-eta * covered share). So lengths that lag behind get
+    dearer, and what is left keeps the mixture of the whole. Multiples are
+    rounded down as they are played."""
     left = counts.astype(np.int64).copy()
-    # A dual solution of the program without integrality is length / capacity;
-    # the weights start there and drift towards lengths that lag behind.
+    base = (lengths / capacity) ** power
     weight = np.ones(len(lengths))
     out: dict[tuple[int, ...], int] = {}
     for _ in range(rounds):
         live = np.flatnonzero(left > 0)
         if not len(live):
             break
-        need = left[live] / counts[live]
-        prices = lengths[live] * weight[live] * (1 + 0.05 * need)
-        pick = price_knapsack(lengths[live], prices, left[live], capacity)
-        if not pick:
-            break
+        pick = price_knapsack(lengths[live], base[live] * weight[live], left[live], capacity)
         items, times = np.unique(live[np.array(pick)], return_counts=True)
-        fill = int((lengths[items] * times).sum())
-        if capacity - fill > max(4, capacity // 200):
-            break  # no tight configuration is left; best fit does the rest
         most = int((left[items] // times).min())
         played = max(1, int(most * eps)) if most > 4 else most
         left[items] -= played * times
-        weight[items] *= np.exp(-0.1 * played * times / counts[items])
+        weight[items] *= np.exp(-eta * played * times / counts[items])
         key = tuple(int(x) for x in np.repeat(items, times))
         out[key] = out.get(key, 0) + played
     return list(out.items())

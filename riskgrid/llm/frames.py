@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
@@ -50,6 +51,19 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_columns(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` by position: ``run`` yields lists of arrays in the order of ``schema``.
+
+    Columns keep their names, whatever characters they hold."""
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrays in run(batches):
+            yield pa.RecordBatch.from_arrays(arrays, names=inner.names)
+
+    return df.toDF(*[f"i{i}" for i in range(len(df.columns))]).mapInArrow(named, inner).toDF(*schema.names)
+
+
 def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Tells rows of one doc_id with different texts apart."""
     return F.xxhash64(q(doc_id), q(text))

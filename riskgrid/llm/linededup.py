@@ -3,8 +3,9 @@
 A line ends at a line break, behind a word that ends in ``.``, ``!`` or ``?``,
 or behind a word whose hash says so (one in ``WRAP`` words: unpunctuated text
 is wrapped by its content, so a passage falls into the same lines wherever
-it stands). Every three consecutive lines of a text make a window; a text of
-fewer lines is one window. A window with fewer than ``MIN_WORDS`` words is
+it stands). Every three consecutive lines of a text make a window; short lines
+are added until it has ``MIN_WORDS`` words. The last window of a text reaches
+to its end, a text of fewer lines is one window, and a text of fewer words is
 not compared. Lines are compared by their words, A-Z lower-cased.
 
 A window that occurs more than once in the corpus stays where it comes first
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import by_group, fresh, partitions, q, text_key
+from .frames import by_group, fresh, map_columns, partitions, q, text_key
 from .words import Words, groups, mix, utf8, words_of
 
 WINDOW = 3
@@ -44,6 +45,8 @@ LAST = (1 << 63) - 1     # stands for a null doc_id
 
 _rng = np.random.default_rng(20240919)
 _ORDER = _rng.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
+_BASE = np.uint64(0xD1342543DE82EF95)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _IS_END = np.zeros(256, bool)
 _IS_END[[ord(c) for c in ".!?"]] = True
 _IS_BREAK = np.zeros(256, bool)
@@ -65,31 +68,41 @@ def line_starts(w: Words) -> np.ndarray:
     return begins
 
 
-def windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document in the group, first line, hash) of every window that is compared."""
-    begins = line_starts(w)
-    first = np.flatnonzero(begins)
+def windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document in the group, first line, line behind it, hash) of every window."""
+    none = np.zeros(0, np.int64)
+    first = np.flatnonzero(line_starts(w))
     if not len(first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64)
     length = np.diff(np.append(first, len(w.hash)))
     place = np.arange(len(w.hash)) - np.repeat(first, length)
     line = mix(np.add.reduceat(w.hash * _ORDER[place % len(_ORDER)] + (place // len(_ORDER)).astype(np.uint64), first)
                + length.astype(np.uint64))
-    doc_first = np.searchsorted(first, w.first)            # line bounds of the documents
-    count = np.diff(doc_first)
-    docs = np.repeat(np.arange(len(count)), count)
-    at = np.arange(len(first)) - np.repeat(doc_first[:-1], count)
+    bounds = np.searchsorted(first, w.first)               # line bounds of the documents
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    last = bounds[1:][doc]                                 # end of each line's document
     words_until = np.append(first, len(w.hash))
-    span = np.minimum(count, WINDOW)[docs]                 # lines in the document's windows
-    keep = (at + span <= count[docs]) & (at <= np.maximum(count[docs] - WINDOW, 0))
-    i = np.flatnonzero(keep)
-    n_words = words_until[i + span[i]] - first[i]
-    i = i[n_words >= MIN_WORDS]
-    total = np.zeros(len(i), np.uint64)
-    for j in range(WINDOW):
-        there = j < span[i]
-        total[there] += line[i[there] + j] * _ORDER[j]
-    return docs[i], at[i], mix(total + span[i].astype(np.uint64))
+    start = np.arange(len(first))
+    end = np.maximum(start + WINDOW, np.searchsorted(words_until, first + MIN_WORDS))
+    good = end <= last
+    # The last window of a document reaches to its end, and a text without one is one window.
+    final = np.zeros(len(first), bool)
+    at = np.flatnonzero(good)
+    final[at[np.append(doc[at][1:] != doc[at][:-1], True)] if len(at) else at] = True
+    some = np.zeros(len(bounds) - 1, bool)
+    some[doc[at]] = True
+    alone = bounds[:-1][(np.diff(bounds) > 0) & ~some]
+    alone = alone[words_until[last[alone]] - first[alone] >= MIN_WORDS]
+    good[alone] = True
+    final[alone] = True
+    end = np.where(final, last, end)
+    i = np.flatnonzero(good)
+    power, back = np.full(len(first) + 1, _BASE, np.uint64), np.full(len(first) + 1, _BACK, np.uint64)
+    power[0] = back[0] = 1
+    power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
+    until = np.concatenate([np.zeros(1, np.uint64), np.cumsum(line * power[:-1])])
+    total = (until[end[i]] - until[i]) * back[i]
+    return doc[i], i - bounds[:-1][doc[i]], end[i] - bounds[:-1][doc[i]], mix(total + (end[i] - i).astype(np.uint64))
 
 
 def cut_lines(data: np.ndarray, offsets: np.ndarray, i: int, positions: np.ndarray) -> tuple[str, int, int]:
@@ -97,10 +110,11 @@ def cut_lines(data: np.ndarray, offsets: np.ndarray, i: int, positions: np.ndarr
     w = words_of(data, offsets, i, i + 1)
     first = np.flatnonzero(line_starts(w))
     n = len(first)
+    _, start, end, _ = windows(w)
+    marked = np.isin(start, positions)
     covered = np.zeros(n + 1, np.int64)
-    span = min(WINDOW, n)
-    np.add.at(covered, positions, 1)
-    np.add.at(covered, positions + span, -1)
+    np.add.at(covered, start[marked], 1)
+    np.add.at(covered, end[marked], -1)
     cut = np.cumsum(covered[:n]) > 0
     bounds = np.concatenate([[w.offsets[0]], w.start[first][1:], [w.offsets[-1]]])
     parts = [data[bounds[k]:bounds[k + 1]].tobytes() for k in range(n) if not cut[k]]
@@ -159,7 +173,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, offsets = utf8(b.column(2))
             for lo, hi in groups(offsets):
-                i, pos, hashes = windows(words_of(data, offsets, lo, hi))
+                i, pos, _, hashes = windows(words_of(data, offsets, lo, hi))
                 held.append((ids[lo + i], keys[lo + i], pos, hashes))
                 n += len(i)
                 if n >= FLUSH:
@@ -200,7 +214,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema, T.StructField(lines_col, T.IntegerType()), T.StructField(removed_col, T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
             data, offsets = utf8(b.column(at))
             marked = b.column(b.num_columns - 1)
@@ -218,11 +232,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if len(pos) and values[i] is not None:
                         values[i], _, removed[i] = cut_lines(data, offsets, i, pos)
                 texts = pa.array(values, texts.type)
-            yield pa.RecordBatch.from_arrays(
-                [texts if c == at else b.column(c) for c in range(b.num_columns - 1)]
-                + [pa.array(lines.astype(np.int32)), pa.array(removed.astype(np.int32))], names=schema.names)
+            yield ([texts if c == at else b.column(c) for c in range(b.num_columns - 1)]
+                   + [pa.array(lines.astype(np.int32)), pa.array(removed.astype(np.int32))])
 
-    return joined.mapInArrow(run, schema)
+    return map_columns(joined, run, schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:

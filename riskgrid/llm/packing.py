@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import q, settle
+from .frames import map_columns, q, settle
 from .words import tables
 
 CAPACITY = 2048
@@ -200,7 +200,7 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAP
         T.StructField("ids", T.BinaryType()), T.StructField("maker", T.IntegerType()),
         T.StructField("nth", T.LongType()), *[source.schema[c] for c in carry]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         encoder = tokenizer(vocabulary or default_vocabulary())
         maker = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
@@ -223,14 +223,12 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAP
                         ids.append(part)
                 done += len(texts)
                 take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int64()), pa.array(ids, pa.binary()),
-                     pa.array(np.full(len(row), maker, np.int32)), pa.array(nth, pa.int64()),
-                     *[b.column(2 + j).take(take) for j in range(len(carry))]],
-                    names=schema.names)
+                yield [b.column(0).take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                       pa.array(length, pa.int64()), pa.array(ids, pa.binary()),
+                       pa.array(np.full(len(row), maker, np.int32)), pa.array(nth, pa.int64()),
+                       *[b.column(2 + j).take(take) for j in range(len(carry))]]
 
-    return source.mapInArrow(run, schema)
+    return map_columns(source, run, schema)
 
 
 # --- the linear program over the histogram (driver; sizes depend on the capacity only) ---
@@ -389,20 +387,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 600) -> Data
                 .withColumn("_number", F.col("nth") + F.col("_ahead")).drop("_m", "_l", "_ahead", "maker", "nth"))
     schema = T.StructType([f for f in numbered.schema if f.name != "_number"]
                           + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    names = [f.name for f in numbered.schema if f.name != "_number"]
+    number_at, length_at = len(numbered.columns) - 1, numbered.columns.index("length")
     key = (plan.length << 48) + plan.low
     low, first, offset = plan.low, plan.first_sequence, plan.offset
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            number = b.column(b.schema.get_field_index("_number")).to_numpy()
-            length = b.column(b.schema.get_field_index("length")).to_numpy()
+            number, length = b.column(number_at).to_numpy(), b.column(length_at).to_numpy()
             at = np.searchsorted(key, (length << 48) + number, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(n)) for n in names]
-                + [pa.array(first[at] + number - low[at]), pa.array(offset[at])], names=schema.names)
+            yield [*b.columns[:number_at], pa.array(first[at] + number - low[at]), pa.array(offset[at])]
 
-    return numbered.mapInArrow(place, schema)
+    return map_columns(numbered, place, schema)
 
 
 def packed_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY,

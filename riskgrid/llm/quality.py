@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import fresh, q
+from .frames import fresh, map_columns, q
 from .words import _IS_SPACE, Words, groups, mix, utf8, words_of
 
 BUCKETS = 1 << 17
@@ -190,15 +190,14 @@ def score(docs: DataFrame, model: Model, score_col: str, text_col: str = "text")
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number per bucket
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         m = shared.value
         for b in batches:
             data, offsets = utf8(b.column(at))
             out = [m.score(words_of(data, offsets, lo, hi, lower=False)) for lo, hi in groups(offsets, GROUP)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))],
-                                             names=schema.names)
+            yield [*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0))]
 
-    return docs.mapInArrow(run, schema)
+    return map_columns(docs, run, schema)
 
 
 def accept(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

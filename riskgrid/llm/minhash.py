@@ -1,9 +1,10 @@
 """Document fingerprints (operator 6): MinHash signatures.
 
-A text's fingerprint holds, for each of ``PERMUTATIONS`` universal hash
+A text's signature holds, for each of ``PERMUTATIONS`` universal hash
 functions (a * x + b mod 2^64, upper 32 bits), the smallest value over its
-distinct ``SHINGLE``-word shingles; the share of equal places of two
-fingerprints estimates their Jaccard likeness. Signatures are made in
+distinct ``SHINGLE``-word shingles; its fingerprint keeps the low 16 bits of
+each place. The share of equal places of two fingerprints estimates their
+Jaccard likeness (two different minima look equal once in 65,536). Signatures are made in
 vectorised numpy where the texts lie. ``near_duplicates`` joins bands of
 signatures in Spark and verifies the Jaccard likeness of the shingle sets.
 
@@ -15,7 +16,7 @@ last row of every range are paired in a small second join.
 Defined results: a null text is an empty text; a text without words has the
 fingerprint of the empty set (all places at their largest), like any other
 such text; texts of fewer words than a shingle count as one shingle; null ids
-come last; rows that repeat an id are ordered by their text; an empty table
+come last; rows that repeat an id are ordered by a hash of their text; an empty table
 gives no rows; a single document is its own next document; other columns are
 left out.
 """
@@ -75,6 +76,12 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total.view(np.int64)
 
 
+def fingerprints(col, k: int, family) -> Iterator[np.ndarray]:
+    """One fingerprint (uint16 per place) per text of an Arrow string column."""
+    for s in signatures(col, k, family):
+        yield (s & np.uint32(0xFFFF)).astype(np.uint16)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of equal places: the estimate of the Jaccard likeness."""
     return float((a == b).mean())
@@ -87,22 +94,21 @@ def edited(text: str, following: str) -> str:
 
 
 _RESULT = T.StructType([
-    T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
-    T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
+    T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.BinaryType()),
+    T.StructField("fingerprint", T.BinaryType()), T.StructField("edited_fingerprint", T.BinaryType()),
     T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
 
 
-def _pairs(ids: pa.Array, texts: list[str], sigs: list[np.ndarray], following: list[str],
-           next_sigs: list[np.ndarray], k: int, family) -> list[pa.Array]:
+def _pairs(ids: pa.Array, texts: list[str], prints: list[np.ndarray], following: list[str],
+           next_prints: list[np.ndarray], k: int, family) -> list[pa.Array]:
     """The result columns of texts whose next documents are known."""
     changed = [edited(t, f) for t, f in zip(texts, following)]
-    after = list(signatures(pa.array(changed, pa.large_string()), k, family))
+    after = list(fingerprints(pa.array(changed, pa.large_string()), k, family))
     return [ids, pa.array([len(t) for t in texts], pa.int64()),
-            pa.array([hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed], pa.string()),
-            pa.array([s.tobytes().hex() for s in sigs], pa.string()),
-            pa.array([s.tobytes().hex() for s in after], pa.string()),
-            pa.array([likeness(s, e) for s, e in zip(sigs, after)], pa.float64()),
-            pa.array([likeness(s, n) for s, n in zip(sigs, next_sigs)], pa.float64())]
+            pa.array([hashlib.sha256(c.encode("utf-8", "surrogatepass")).digest() for c in changed], pa.binary()),
+            pa.array([p.tobytes() for p in prints], pa.binary()), pa.array([p.tobytes() for p in after], pa.binary()),
+            pa.array([likeness(p, e) for p, e in zip(prints, after)], pa.float64()),
+            pa.array([likeness(p, n) for p, n in zip(prints, next_prints)], pa.float64())]
 
 
 def fingerprint_edits(docs: DataFrame, k: int = SHINGLE, permutations: int = PERMUTATIONS, seed: int = 1,
@@ -110,8 +116,10 @@ def fingerprint_edits(docs: DataFrame, k: int = SHINGLE, permutations: int = PER
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row."""
     spark = docs.sparkSession
     family = hash_family(permutations, seed)
-    source = docs.select(q(id_col).alias("doc_id"), F.coalesce(q(text_col).cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    source = docs.select(q(id_col).alias("doc_id"), F.coalesce(q(text_col).cast("string"), F.lit("")).alias("text"),
+                         F.xxhash64(q(text_col)).alias("tie"))
+    # The range bounds are sampled from numbers, not from texts.
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
     id_type = source.schema["doc_id"].dataType
     out = T.StructType([T.StructField("doc_id", id_type), *_RESULT, T.StructField("text", T.StringType()),
                         T.StructField("part", T.IntegerType()), T.StructField("role", T.StringType())])
@@ -120,37 +128,32 @@ def fingerprint_edits(docs: DataFrame, k: int = SHINGLE, permutations: int = PER
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
 
-        def edge(row, role: str) -> pa.RecordBatch:
-            ident, text, sig = row
-            cols = [ident, *[pa.nulls(1, f.type) for f in blank.schema][1:4], *[pa.nulls(1, f.type) for f in blank.schema][4:7],
-                    pa.array([text], pa.string()), pa.array([part], pa.int32()), pa.array([role], pa.string())]
-            cols[3] = pa.array([sig.tobytes().hex()], pa.string())
-            return pa.RecordBatch.from_arrays(cols, names=names)
+        def edge(ident: pa.Array, text: str, fingerprint: np.ndarray, role: str) -> pa.RecordBatch:
+            cols = [pa.nulls(1, f.type) for f in empty.schema]
+            cols[0], cols[3] = ident, pa.array([fingerprint.tobytes()], pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [*cols, pa.array([text], pa.string()), pa.array([part], pa.int32()), pa.array([role], pa.string())], names=names)
 
-        blank, held = None, None
+        empty, held = None, None
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                if not b.num_rows:
-                    continue
                 texts = b.column(1).to_pylist()
-                sigs = list(signatures(b.column(1), k, family))
-                if blank is None:
-                    blank = pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(0, 0), *_pairs(b.column(0).slice(0, 0), [], [], [], [], k, family)[1:]], names=names[:7])
-                    yield edge((b.column(0).slice(0, 1), texts[0], sigs[0]), "first")
-                ids, t, s = b.column(0), texts, sigs
-                if held is not None:
-                    ids = pa.concat_arrays([held[0], ids])
-                    t, s = [held[1], *t], [held[2], *s]
+                prints = list(fingerprints(b.column(1), k, family))
+                ids, t, p = b.column(0), texts, prints
+                if held is None:
+                    empty = pa.RecordBatch.from_arrays(_pairs(ids.slice(0, 0), [], [], [], [], k, family), names=names[:7])
+                    yield edge(ids.slice(0, 1), t[0], p[0], "first")
+                else:
+                    ids, t, p = pa.concat_arrays([held[0], ids]), [held[1], *t], [held[2], *p]
                 n = len(t) - 1
                 if n:
-                    cols = _pairs(ids.slice(0, n), t[:-1], s[:-1], t[1:], s[1:], k, family)
                     yield pa.RecordBatch.from_arrays(
-                        [*cols, pa.nulls(n, pa.string()), pa.array([part] * n, pa.int32()), pa.array(["row"] * n, pa.string())], names=names)
-                held = (ids.slice(n, 1), t[-1], s[-1])
+                        [*_pairs(ids.slice(0, n), t[:-1], p[:-1], t[1:], p[1:], k, family), pa.nulls(n, pa.string()),
+                         pa.array([part] * n, pa.int32()), pa.array(["row"] * n, pa.string())], names=names)
+                held = (ids.slice(n, 1), t[-1], p[-1])
         if held is not None:
-            yield edge(held, "last")
+            yield edge(*held, "last")
 
     rows = settle(source.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(run, out))
     # Two rows per range: the last of each meets the first of the next range that has rows.
@@ -166,13 +169,16 @@ def fingerprint_edits(docs: DataFrame, k: int = SHINGLE, permutations: int = PER
     result = T.StructType([T.StructField("doc_id", id_type), *_RESULT])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unhex = lambda x: np.frombuffer(bytes.fromhex(x), np.uint32)
+        prints = lambda column: [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                _pairs(b.column(0), b.column(1).to_pylist(), [unhex(x) for x in b.column(2).to_pylist()],
-                       b.column(3).to_pylist(), [unhex(x) for x in b.column(4).to_pylist()], k, family), names=result.names)
+                _pairs(b.column(0), b.column(1).to_pylist(), prints(b.column(2)), b.column(3).to_pylist(), prints(b.column(4)),
+                       k, family), names=result.names)
 
-    return rows.where("role = 'row'").select(*result.names).unionByName(meet.mapInArrow(close, result))
+    every = rows.where("role = 'row'").select(*result.names).unionByName(meet.mapInArrow(close, result))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return every.select("doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"),
+                        "near_edited", "near_next")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY,

@@ -102,7 +102,9 @@ def test_signature_tree_finds_what_all_pairs_find():
 
 
 def test_fingerprints_equal_brute_force(spark, odd, odd_rows, empty, clashing):
-    rows = sorted(odd_rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    from pyspark.sql import functions as F
+    tie = {r["text"]: r["t"] for r in odd.select("text", F.xxhash64("text").alias("t")).collect()}
+    rows = sorted(odd_rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
     want = Counter()
     for r, n in zip(rows, rows[1:] + rows[:1]):
         t, f = r[1] or "", n[1] or ""

@@ -30,6 +30,12 @@ REPORT_LINE_MAX = 120
 REPORT_ELLIPSIS = "…"
 # Status log text is held in NVARCHAR(2000).
 LOG_DETAILS_MAX = 2000
+LINK_PATH = "~/Hazards/HazardList.aspx"
+HEADER_LEAD = "Hazard #"
+META_REPORTED = " | Reported by "
+META_ASSIGNED = " | Assigned to "
+LINK_FORMAT, LINK_SEARCH, LINK_STATUS, LINK_SEVERITY, LINK_TYPE, LINK_ASSIGNED, LINK_OVERDUE = (
+    "format=", "q", "status", "severity", "type", "assignedTo=", "overdue=1")
 # Minimum trimmed comment length.
 COMMENT_MIN = 3
 # Date formats of the list/CSV and of the log view.
@@ -116,13 +122,13 @@ def classify_severity(description) -> Column:
 
 
 # T5 -------------------------------------------------------------------------
-def status_log_text(old, new, details) -> Column:
+def status_log_text(old, new, details, max_len: int | None = None) -> Column:
     """``old -> new`` plus `` | details`` when details are not blank (trailing
-    spaces ignored as in T-SQL ``=``); cut to the column length."""
+    spaces ignored as in T-SQL ``=``); cut to ``max_len`` characters where a limit is given."""
     d = _c(details)
     tail = F.when(d.isNull() | (F.rtrim(d) == F.lit("")), F.lit("")).otherwise(F.concat(F.lit(" | "), d))
     txt = F.concat(F.coalesce(_c(old), F.lit("")), F.lit(" -> "), F.coalesce(_c(new), F.lit("")), tail)
-    return F.substring(txt, 1, LOG_DETAILS_MAX)
+    return txt if max_len is None else F.substring(txt, 1, max_len)
 
 
 # T6 -------------------------------------------------------------------------
@@ -147,17 +153,21 @@ def dash_if_blank(x) -> Column:
 
 
 def is_blank_ws(x) -> Column:
-    """NULL or only whitespace (any Unicode white space)."""
-    return F.coalesce(F.regexp_replace(_c(x), r"[\s\p{Z}]", "") == F.lit(""), F.lit(True))
+    """NULL or only whitespace (any Unicode white space): no other character is found."""
+    return F.coalesce(~_c(x).rlike(r"[^\s\p{Z}]"), F.lit(True))
 
 
-def cut_line(x, max_len: int = REPORT_LINE_MAX) -> Column:
+def cut_line(x, max_len: int | None = None) -> Column:
+    """The line, cut to ``max_len`` characters with an ellipsis where a limit is given."""
     c = F.coalesce(_c(x), F.lit(""))
+    if max_len is None:
+        return c
     return F.when(F.length(c) > max_len,
                   F.concat(F.substring(c, 1, max_len - 1), F.lit(REPORT_ELLIPSIS))).otherwise(c)
 
 
-def report_line(hazard_id, status, severity, htype, due_date, assigned_name, title) -> Column:
+def report_line(hazard_id, status, severity, htype, due_date, assigned_name, title,
+                max_len: int | None = None) -> Column:
     due = F.coalesce(fmt_date(due_date), F.lit("-"))
     line = F.concat(
         F.lit("#"), _c(hazard_id).cast("string"),
@@ -168,7 +178,7 @@ def report_line(hazard_id, status, severity, htype, due_date, assigned_name, tit
         F.lit(" | Assigned: "), dash_if_blank(assigned_name),
         F.lit(" | "), F.coalesce(_c(title), F.lit("")),
     )
-    return cut_line(line)
+    return cut_line(line, max_len)
 
 
 # T9 -------------------------------------------------------------------------
@@ -223,13 +233,13 @@ def due_text_valid(text) -> Column:
 
 # T13 ------------------------------------------------------------------------
 def header_text(hazard_id, title) -> Column:
-    return F.concat(F.lit("Hazard #"), _c(hazard_id).cast("string"), F.lit(" - "),
+    return F.concat(F.lit(HEADER_LEAD), _c(hazard_id).cast("string"), F.lit(" - "),
                     F.coalesce(_c(title), F.lit("")))
 
 
 def meta_text(status, reporter_name, assignee_name) -> Column:
-    return F.concat(F.coalesce(_c(status), F.lit("")), F.lit(" | Reported by "),
-                    F.coalesce(_c(reporter_name), F.lit("")), F.lit(" | Assigned to "),
+    return F.concat(F.coalesce(_c(status), F.lit("")), F.lit(META_REPORTED),
+                    F.coalesce(_c(reporter_name), F.lit("")), F.lit(META_ASSIGNED),
                     dash_if_blank(assignee_name))
 
 
@@ -240,7 +250,7 @@ def form_url_encode(x) -> Column:
 
 
 def drill_link(query_key: str, value) -> Column:
-    return F.concat(F.lit(f"~/Hazards/HazardList.aspx?{query_key}="), form_url_encode(value))
+    return F.concat(F.lit(f"{LINK_PATH}?{query_key}="), form_url_encode(value))
 
 
 def export_query(fmt, search, status, severity, htype, assigned_to, overdue) -> Column:
@@ -249,10 +259,10 @@ def export_query(fmt, search, status, severity, htype, assigned_to, overdue) ->
         return F.when(~is_blank_ws(v), F.concat(F.lit(f"{name}="), form_url_encode(v)))
     return F.concat(F.lit("?"), F.concat_ws(
         "&",
-        F.concat(F.lit("format="), form_url_encode(fmt)),
-        part("q", search), part("status", status), part("severity", severity), part("type", htype),
-        F.when(_c(assigned_to).isNotNull(), F.concat(F.lit("assignedTo="), _c(assigned_to).cast("string"))),
-        F.when(F.coalesce(_c(overdue), F.lit(False)), F.lit("overdue=1")),
+        F.concat(F.lit(LINK_FORMAT), form_url_encode(fmt)),
+        part(LINK_SEARCH, search), part(LINK_STATUS, status), part(LINK_SEVERITY, severity), part(LINK_TYPE, htype),
+        F.when(_c(assigned_to).isNotNull(), F.concat(F.lit(LINK_ASSIGNED), _c(assigned_to).cast("string"))),
+        F.when(F.coalesce(_c(overdue), F.lit(False)), F.lit(LINK_OVERDUE)),
     ))
 
 

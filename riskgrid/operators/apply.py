@@ -3,7 +3,7 @@
 Commands interact only within one hazard (roles do not change inside a
 batch), so the fold runs per hazard_id: the hazard's snapshot row and its
 commands are hash-partitioned on hazard_id and sorted (hazard, snapshot
-first, then command time and id) by Spark; ``mapInPandas`` then streams each
+first, then command time and id) by Spark; ``mapInArrow`` then streams each
 partition's Arrow batches through a small Python state machine, hazard after
 hazard, row by row; no hazard's history is buffered.
 Creates bypass the fold: they are judged against the snapshot (W1) and get
@@ -18,6 +18,7 @@ import itertools
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ OK, UNAUTH, BAD, NOTFOUND, FORBID = W.OK, W.UNAUTH, W.BAD, W.NOTFOUND, W.FORBID
 ROW_STATE, ROW_COMMAND = 0, 1
 
 FOLD_SCHEMA = (
-    "hazard_id int, row_type string, command_id long, command_ts timestamp_ntz, kind string, "
-    "performed_by_user_id int, result string, action string, log_details string, "
-    "title string, description string, reported_by_user_id int, assigned_to_user_id int, status string, "
+    "hazard_id long, row_type string, command_id long, command_ts timestamp_ntz, kind string, "
+    "performed_by_user_id long, result string, action string, log_details string, "
+    "title string, description string, reported_by_user_id long, assigned_to_user_id long, status string, "
     "severity string, type string, created_at timestamp_ntz, due_date timestamp_ntz"
 )
 FOLD_COLUMNS = [c.strip().split(" ")[0] for c in FOLD_SCHEMA.split(",")]
@@ -162,7 +163,7 @@ def judge(cmd: dict, state: dict | None) -> str:
 
 def status_log_text(old, new, details) -> str:
     tail = "" if details is None or str(details).rstrip(" ") == "" else " | " + str(details)
-    return ((old or "") + " -> " + (new or "") + tail)[:T.LOG_DETAILS_MAX]
+    return ((old or "") + " -> " + (new or "") + tail)
 
 
 def apply_one(cmd: dict, state: dict | None) -> tuple[str, str | None, str | None, dict | None]:
@@ -173,17 +174,16 @@ def apply_one(cmd: dict, state: dict | None) -> tuple[str, str | None, str | Non
     kind = cmd["kind"]
     st = dict(state) if state else None
     if kind == W.KIND_UPDATE:
-        st.update(title=(cmd["title"] or "")[:200], description=(cmd["description"] or "")[:2000],
-                  severity=(cmd["severity"] or "Low")[:20], type=(cmd["type"] or "General")[:30],
+        st.update(title=cmd["title"] or "", description=cmd["description"] or "",
+                  severity=cmd["severity"] or "Low", type=cmd["type"] or "General",
                   due_date=cmd["due_date"])
         return res, S.ACTION_UPDATED, "", st
     if kind == W.KIND_ASSIGN:
         st["assigned_to_user_id"] = cmd["assign_to_user_id"]
         return res, S.ACTION_ASSIGNED, "", st
     if kind == W.KIND_STATUS and not _blank(cmd["new_status"]):
-        ns = cmd["new_status"].strip(" ")
-        text = status_log_text(st["status"], ns, cmd["details"])
-        st["status"] = ns
+        text = status_log_text(st["status"], cmd["new_status"].strip(" "), cmd["details"])
+        st["status"] = _canonical_status(cmd["new_status"])  # later rules compare the canonical spelling
         return res, S.ACTION_STATUS_CHANGED, text, st
     return res, S.ACTION_COMMENT, cmd["details"], state
 
@@ -213,32 +213,30 @@ def fold_rows(rows: Iterator[dict]) -> Iterator[dict]:
         yield {"hazard_id": hazard_id, "row_type": "state", **state}
 
 
-_TS_COLS = ("command_ts", "created_at", "due_date")
-_STR_COLS = [c.strip().split(" ")[0] for c in FOLD_SCHEMA.split(",") if c.strip().endswith(" string")]
+_ARROW = {}
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    """Typed pandas frame for Arrow: timestamp columns keep their type even
-    when a batch holds only NULLs in them."""
-    df = pd.DataFrame(rows, columns=FOLD_COLUMNS)
-    for c in _TS_COLS:
-        df[c] = pd.to_datetime(df[c])
-    for c in _STR_COLS:
-        df[c] = df[c].astype(object).where(df[c].notna(), None)
-    return df
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Arrow form of a DDL schema (once per worker)."""
+    if ddl not in _ARROW:
+        kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
+        _ARROW[ddl] = pa.schema([(n, kinds[t]) for n, t in (c.strip().split(" ") for c in ddl.split(","))])
+    return _ARROW[ddl]
 
 
-def records(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-    """Rows of Arrow batches as dicts with None for NULL (one vectorised null
-    mask per batch instead of a check per value)."""
+def frame(rows: list[dict], ddl: str) -> pa.RecordBatch:
+    """Output rows as Arrow; a missing field is NULL."""
+    return pa.RecordBatch.from_pylist(rows, schema=arrow_schema(ddl))
+
+
+def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of Arrow batches as dicts with None for NULL. Whole numbers stay
+    whole numbers (a pandas column with NULLs would turn ids into floats)."""
     for b in batches:
-        cols = list(b.columns)
-        clean = b.astype(object).where(b.notna(), None)
-        for values in zip(*(clean[c].tolist() for c in cols)):
-            yield dict(zip(cols, values))
+        yield from b.to_pylist()
 
 
-def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over a partition sorted by (hazard_id, row_type, command_ts,
     command_id): rows are grouped by hazard on the fly and folded."""
     def rows():
@@ -249,10 +247,10 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for o in fold_rows(group):  # the group is consumed lazily, row by row
             out.append(o)
             if len(out) >= 10_000:
-                yield _frame(out)
+                yield frame(out, FOLD_SCHEMA)
                 out = []
     if out:
-        yield _frame(out)
+        yield frame(out, FOLD_SCHEMA)
 
 
 def _inputs(commands: DataFrame, users: DataFrame, hazards: DataFrame) -> DataFrame:
@@ -267,14 +265,14 @@ def _inputs(commands: DataFrame, users: DataFrame, hazards: DataFrame) -> DataFr
         "performed_by_user_id", "role", "new_status", "assign_to_user_id",
         F.coalesce("target_is_manager", F.lit(False)).alias("target_is_manager"), "details",
         "title", "description", "severity", "type", "due_date",
-        F.lit(None).cast("int").alias("reported_by_user_id"), F.lit(None).cast("int").alias("assigned_to_user_id"),
+        F.lit(None).cast("long").alias("reported_by_user_id"), F.lit(None).cast("long").alias("assigned_to_user_id"),
         F.lit(None).cast("string").alias("status"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
     touched = c.select("hazard_id").distinct()
     state_rows = hazards.join(touched, "hazard_id", "left_semi").select(
         "hazard_id", F.lit(ROW_STATE).alias("row_type"), F.lit(None).cast("long").alias("command_id"),
         F.lit(None).cast("timestamp_ntz").alias("command_ts"), F.lit(None).cast("string").alias("kind"),
-        F.lit(None).cast("int").alias("performed_by_user_id"), F.lit(None).cast("string").alias("role"),
-        F.lit(None).cast("string").alias("new_status"), F.lit(None).cast("int").alias("assign_to_user_id"),
+        F.lit(None).cast("long").alias("performed_by_user_id"), F.lit(None).cast("string").alias("role"),
+        F.lit(None).cast("string").alias("new_status"), F.lit(None).cast("long").alias("assign_to_user_id"),
         F.lit(False).alias("target_is_manager"), F.lit(None).cast("string").alias("details"),
         "title", "description", "severity", "type", "due_date", "reported_by_user_id", "assigned_to_user_id",
         "status", "created_at")
@@ -286,7 +284,7 @@ def fold(commands: DataFrame, users: DataFrame, hazards: DataFrame) -> DataFrame
     rows = _inputs(commands, users, hazards)
     ordered = (rows.repartition("hazard_id")
                .sortWithinPartitions("hazard_id", "row_type", "command_ts", "command_id"))
-    return ordered.mapInPandas(_fold_partition, FOLD_SCHEMA)
+    return ordered.mapInArrow(_fold_partition, FOLD_SCHEMA)
 
 
 def results(folded: DataFrame) -> DataFrame:

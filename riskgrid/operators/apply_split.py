@@ -24,7 +24,7 @@ import datetime as dt
 import itertools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,32 +32,21 @@ from ..sources import schemas as S
 from . import apply as AP
 from . import commands as W
 
-_SENT_A = -(2 ** 31)          # an assignee equal to nobody in the chunk
+_SENT_A = -(2 ** 63)          # an assignee equal to nobody in the chunk
 _SENT_S = "\u0000other"       # a status equal to no known status
 _STATUS_CANDIDATES = (S.STATUS_OPEN, S.STATUS_IN_PROGRESS, S.STATUS_RESOLVED, _SENT_S)
 
 P1_SCHEMA = (
-    "hazard_id int, chunk long, row_type string, command_id long, command_ts timestamp_ntz, kind string, "
-    "performed_by_user_id int, role string, new_status string, assign_to_user_id int, "
-    "target_is_manager boolean, details string, reporter int, result string, action string, "
-    "log_details string, a_known boolean, a_val int, s_known boolean, s_val string"
+    "hazard_id long, chunk long, row_type string, command_id long, command_ts timestamp_ntz, kind string, "
+    "performed_by_user_id long, role string, new_status string, assign_to_user_id long, "
+    "target_is_manager boolean, details string, reporter long, result string, action string, "
+    "log_details string, a_known boolean, a_val long, s_known boolean, s_val string"
 )
 P1_COLUMNS = [c.strip().split(" ")[0] for c in P1_SCHEMA.split(",")]
 _CMD_FIELDS = ("command_id", "command_ts", "kind", "performed_by_user_id", "role", "new_status",
                "assign_to_user_id", "target_is_manager", "details")
 
 
-def _frame(rows: list[dict], columns, ts_cols=("command_ts",)) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=columns)
-    for c in ts_cols:
-        df[c] = pd.to_datetime(df[c])
-    for c in columns:
-        if df[c].dtype == object or df[c].isna().all():
-            if c not in ts_cols:
-                df[c] = df[c].astype(object).where(df[c].notna(), None)
-    return df
-
-
 def _state(a, s, r) -> dict:
     return {"title": "", "description": "", "reported_by_user_id": r, "assigned_to_user_id": a, "status": s,
             "severity": "", "type": "", "created_at": None, "due_date": None}
@@ -94,7 +83,7 @@ def settle(cmd: dict, r, know: dict) -> tuple[bool, tuple, dict]:
     return len(outs) == 1 and effects_ok, next(iter(outs)), nk
 
 
-def _pass1(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pass1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         return AP.records(batches)
 
@@ -122,21 +111,21 @@ def _pass1(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "a_known": know["a"][0], "a_val": know["a"][1],
                     "s_known": know["s"][0], "s_val": know["s"][1]})
         if len(out) >= 10_000:
-            yield _frame(out, P1_COLUMNS)
+            yield AP.frame(out, P1_SCHEMA)
             out = []
     if out:
-        yield _frame(out, P1_COLUMNS)
+        yield AP.frame(out, P1_SCHEMA)
 
 
-P2_SCHEMA = ("hazard_id int, row_type string, command_id long, result string, action string, log_details string, "
-             "assigned_to_user_id int, status string")
+P2_SCHEMA = ("hazard_id long, row_type string, command_id long, result string, action string, log_details string, "
+             "assigned_to_user_id long, status string")
 P2_COLUMNS = [c.strip().split(" ")[0] for c in P2_SCHEMA.split(",")]
 # Order of rows within a hazard in pass 2: the snapshot, then per chunk its
 # unsettled commands followed by the chunk's exit knowledge.
 _ORDER_STATE, _ORDER_PENDING, _ORDER_CHUNK = 0, 1, 2
 
 
-def _pass2(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pass2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         return AP.records(batches)
 
@@ -163,10 +152,10 @@ def _pass2(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if exists:
             out.append({"hazard_id": hid, "row_type": "state", "assigned_to_user_id": a, "status": s})
         if len(out) >= 10_000:
-            yield _frame(out, P2_COLUMNS, ())
+            yield AP.frame(out, P2_SCHEMA)
             out = []
     if out:
-        yield _frame(out, P2_COLUMNS, ())
+        yield AP.frame(out, P2_SCHEMA)
 
 
 def fold_split(commands: DataFrame, users: DataFrame, hazards: DataFrame,
@@ -185,7 +174,7 @@ def fold_split(commands: DataFrame, users: DataFrame, hazards: DataFrame,
          .withColumn("chunk", F.floor(F.unix_micros(F.col("command_ts").cast("timestamp")) / F.lit(chunk_us)))
          .select("hazard_id", "chunk", *_CMD_FIELDS, "reporter"))
     p1 = (c.repartition("hazard_id", "chunk").sortWithinPartitions("hazard_id", "chunk", "command_ts", "command_id")
-          .mapInPandas(_pass1, P1_SCHEMA)).checkpoint(eager=True)
+          .mapInArrow(_pass1, P1_SCHEMA)).checkpoint(eager=True)
 
     settled = p1.where(F.col("row_type") == "result")
     snap = hazards.join(c.select("hazard_id").distinct(), "hazard_id", "left_semi").select(
@@ -202,7 +191,7 @@ def fold_split(commands: DataFrame, users: DataFrame, hazards: DataFrame,
     p2_in = snap.unionByName(rest, allowMissingColumns=True)
     p2 = (p2_in.repartition("hazard_id")
           .sortWithinPartitions("hazard_id", F.col("chunk").asc_nulls_first(), "_o", "command_ts", "command_id")
-          .mapInPandas(_pass2, P2_SCHEMA))
+          .mapInArrow(_pass2, P2_SCHEMA))
 
     # Results: settled ones from pass 1 and resolved ones from pass 2.
     info = c.select("command_id", "command_ts", "kind", "performed_by_user_id", "hazard_id")
@@ -228,15 +217,15 @@ def fold_split(commands: DataFrame, users: DataFrame, hazards: DataFrame,
     has_upd = F.col("_last_cmd").isNotNull()
     states = st.select(
         "hazard_id", F.lit("state").alias("row_type"),
-        F.when(has_upd, F.substring(F.coalesce("u_title", F.lit("")), 1, 200)).otherwise(F.col("title")).alias("title"),
-        F.when(has_upd, F.substring(F.coalesce("u_description", F.lit("")), 1, 2000))
+        F.when(has_upd, F.coalesce("u_title", F.lit(""))).otherwise(F.col("title")).alias("title"),
+        F.when(has_upd, F.coalesce("u_description", F.lit("")))
         .otherwise(F.col("description")).alias("description"),
         "reported_by_user_id",
         F.coalesce(F.col("f_a"), F.when(F.col("f_s").isNull(), F.col("assigned_to_user_id"))).alias("assigned_to_user_id"),
         F.coalesce("f_s", "status").alias("status"),
-        F.when(has_upd, F.substring(F.coalesce("u_severity", F.lit("Low")), 1, 20)).otherwise(F.col("severity"))
+        F.when(has_upd, F.coalesce("u_severity", F.lit("Low"))).otherwise(F.col("severity"))
         .alias("severity"),
-        F.when(has_upd, F.substring(F.coalesce("u_type", F.lit("General")), 1, 30)).otherwise(F.col("type"))
+        F.when(has_upd, F.coalesce("u_type", F.lit("General"))).otherwise(F.col("type"))
         .alias("type"),
         "created_at",
         F.when(has_upd, F.col("u_due_date")).otherwise(F.col("due_date")).alias("due_date"))
@@ -246,17 +235,16 @@ def fold_split(commands: DataFrame, users: DataFrame, hazards: DataFrame,
 
 
 def fold_auto(commands: DataFrame, users: DataFrame, hazards: DataFrame,
-              chunk: dt.timedelta = dt.timedelta(days=1), fraction: float | None = None,
-              min_rows: int | None = None) -> DataFrame:
-    """The command fold with the split applied only to hot hazards (more than
-    ``fraction`` of all commands); all other hazards take the one-pass fold.
-    Without hot hazards this is exactly ``apply.fold``."""
+              chunk: dt.timedelta = dt.timedelta(days=1), work_rows: int | None = None) -> DataFrame:
+    """The command fold, split for hazards with more than ``work_rows`` commands
+    (more than one task should fold); all others take the one-pass fold. Both
+    give the same rows. Commands that name no hazard (NULL) stay in the plain fold."""
     from . import hot as H
     c = commands.where(F.col("kind") != W.KIND_CREATE)
-    hot = H.hot_values(c, "hazard_id", fraction or H.DEFAULT_FRACTION,
-                       H.DEFAULT_MIN_ROWS if min_rows is None else min_rows)
-    if not hot:
+    hot = H.hot_keys(c, ["hazard_id"], H.WORK_ROWS if work_rows is None else work_rows).checkpoint(eager=True)
+    if hot.isEmpty():
         return AP.fold(c, users, hazards)
-    is_hot = F.col("hazard_id").isin(hot)
-    return AP.fold(c.where(~is_hot), users, hazards).unionByName(
-        fold_split(c.where(is_hot), users, hazards, chunk))
+    flagged = H.flag_hot(c, hot, ["hazard_id"], "_hot")
+    is_hot = F.col("_hot") & F.col("hazard_id").isNotNull()
+    return AP.fold(flagged.where(~is_hot).drop("_hot"), users, hazards).unionByName(
+        fold_split(flagged.where(is_hot).drop("_hot"), users, hazards, chunk))

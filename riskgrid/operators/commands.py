@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import schemas as S
+from ..sources import seed as SEED
 from . import ids as I
 from . import scope as V
 
@@ -195,7 +196,7 @@ def validate_creates(commands: DataFrame, users: DataFrame, hazards: DataFrame)
     v = validate(commands.where(F.col("kind") == KIND_CREATE), users, hazards).checkpoint(eager=True)
     ok = I.assign_sequence(v.where(F.col("result") == OK), ["command_id"], max_id(hazards, "hazard_id"),
                            "new_hazard_id")
-    rest = v.where(F.col("result") != OK).withColumn("new_hazard_id", F.lit(None).cast("int"))
+    rest = v.where(F.col("result") != OK).withColumn("new_hazard_id", F.lit(None).cast("long"))
     return ok.unionByName(rest)
 
 
@@ -206,13 +207,13 @@ def created_rows(creates: DataFrame, now: dt.datetime | None = None) -> DataFram
     created_at = F.col("command_ts") if now is None else F.lit(now).cast("timestamp_ntz")
     return ok.select(
         F.col("new_hazard_id").alias("hazard_id"),
-        F.substring(F.coalesce("title", F.lit("")), 1, 200).alias("title"),
-        F.substring(F.coalesce("description", F.lit("")), 1, 2000).alias("description"),
+        F.coalesce("title", F.lit("")).alias("title"),
+        F.coalesce("description", F.lit("")).alias("description"),
         F.col("reported_by_user_id"),
-        F.lit(None).cast("int").alias("assigned_to_user_id"),
+        F.lit(None).cast("long").alias("assigned_to_user_id"),
         F.lit(S.STATUS_OPEN).alias("status"),
-        F.substring(F.coalesce("severity", F.lit("Low")), 1, 20).alias("severity"),
-        F.substring(F.coalesce("type", F.lit("General")), 1, 30).alias("type"),
+        F.coalesce("severity", F.lit("Low")).alias("severity"),
+        F.coalesce("type", F.lit("General")).alias("type"),
         created_at.alias("created_at"),
         F.col("due_date"),
     )
@@ -255,8 +256,8 @@ def upsert_users(target: DataFrame, source: DataFrame) -> DataFrame:
 
 
 # W8 -------------------------------------------------------------------------
-def demo_ids(hazards: DataFrame, prefix: str = "Demo:") -> DataFrame:
-    return hazards.where(F.col("title").startswith(F.lit(prefix))).select("hazard_id")
+def demo_ids(hazards: DataFrame, prefix: str = SEED.TITLE_PREFIX) -> DataFrame:
+    return hazards.where(F.lower("title").startswith(F.lit(prefix.lower()))).select("hazard_id")
 
 
 def purge(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -292,16 +293,16 @@ def reload_demo(hazards: DataFrame, logs: DataFrame, users: DataFrame, demo_rows
         "hazard_id",
         F.explode(F.array(
             F.struct(F.lit(1).alias("step"), F.lit(S.ACTION_CREATED).alias("action_type"),
-                     F.lit("Demo seed: hazard created").alias("details"), safety.alias("performed_by_user_id")),
-            F.when(t.startswith("Demo: Overdue Open"), F.struct(
+                     F.lit(SEED.LOG_CREATED).alias("details"), safety.alias("performed_by_user_id")),
+            F.when(t.startswith(SEED.TITLE_ASSIGNED), F.struct(
                 F.lit(2).alias("step"), F.lit(S.ACTION_ASSIGNED).alias("action_type"),
-                F.lit("Demo seed: assigned by system").alias("details"), safety.alias("performed_by_user_id"))),
-            F.when(t.startswith("Demo: In Progress"), F.struct(
+                F.lit(SEED.LOG_ASSIGNED).alias("details"), safety.alias("performed_by_user_id"))),
+            F.when(t.startswith(SEED.TITLE_MOVED), F.struct(
                 F.lit(3).alias("step"), F.lit(S.ACTION_STATUS_CHANGED).alias("action_type"),
-                F.lit("Demo seed: moved to InProgress").alias("details"), manager.alias("performed_by_user_id"))),
+                F.lit(SEED.LOG_MOVED).alias("details"), manager.alias("performed_by_user_id"))),
         )).alias("e")).where(F.col("e").isNotNull()).select("hazard_id", "e.*")
     new_logs = I.assign_sequence(seeds, ["step", "hazard_id"], max_id(logs, "hazard_log_id"), "hazard_log_id").select(
-        "hazard_log_id", "hazard_id", "action_type", "details", F.col("performed_by_user_id").cast("int"),
+        "hazard_log_id", "hazard_id", "action_type", "details", F.col("performed_by_user_id").cast("long"),
         F.lit(now).cast("timestamp_ntz").alias("created_at"))
     out_logs = purge(logs, ids).unionByName(new_logs)
     return out_hazards, out_logs

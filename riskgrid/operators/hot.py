@@ -1,9 +1,10 @@
-"""Hot-key detection for the per-key folds.
+"""Keys whose rows are more than one task should fold.
 
-A key is hot when it holds more than ``fraction`` of all rows and at least
-``min_rows`` rows. Counting is one partial-aggregated pass; at most
-1 / fraction keys can be hot, which bounds the broadcast of their ids.
-Hot keys take the split (parallel) path of a fold, the rest the plain one.
+A key is hot when it has more than ``WORK_ROWS`` rows: a bound on one task's
+work that does not depend on the size of the table. Counting is one partial-
+aggregated pass; the keys stay a DataFrame and flag rows by a join, so there
+may be any number of them. Hot keys take the split (parallel) path of a fold,
+the rest the plain one, and both paths give the same rows.
 """
 
 from __future__ import annotations
@@ -11,32 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_FRACTION = 0.01
-DEFAULT_MIN_ROWS = 100_000
+WORK_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], fraction: float = DEFAULT_FRACTION,
-             min_rows: int = DEFAULT_MIN_ROWS) -> DataFrame:
-    total = df.agg(F.count(F.lit(1))).scalar()
+def hot_keys(df: DataFrame, keys: list[str], work_rows: int = WORK_ROWS) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    limit = F.greatest(F.lit(min_rows).cast("double"), total * F.lit(float(fraction)))
-    return counts.where(F.col("_n") > limit).select(*keys)
+    return counts.where(F.col("_n") > F.lit(work_rows)).select(*keys)
 
 
-def hot_values(df: DataFrame, key: str, fraction: float = DEFAULT_FRACTION,
-               min_rows: int = DEFAULT_MIN_ROWS) -> list:
-    """The hot values of one key column. At most 1 / fraction values can
-    qualify, so this short list is the only thing brought to the driver."""
-    bound = int(1 / fraction) + 1
-    return [r[0] for r in hot_keys(df, [key], fraction, min_rows).limit(bound).collect()]
-
-
-def split_hot(df: DataFrame, keys: list[str], fraction: float = DEFAULT_FRACTION,
-              min_rows: int = DEFAULT_MIN_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows of hot keys, rows of the other keys). NULL keys count as one key."""
-    hot = F.broadcast(hot_keys(df, keys, fraction, min_rows).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+def flag_hot(df: DataFrame, hot: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` with a boolean column that is never NULL; NULL keys match NULL keys."""
+    side = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_is_hot"))
     cond = None
     for k in keys:
-        c = df[k].eqNullSafe(hot[f"_hot_{k}"])
+        c = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
         cond = c if cond is None else cond & c
-    return df.join(hot, cond, "left_semi"), df.join(hot, cond, "left_anti")
+    return (df.join(side, cond, "left").withColumn(name, F.coalesce("_is_hot", F.lit(False)))
+            .drop("_is_hot", *[f"_hot_{k}" for k in keys]))

@@ -3,10 +3,10 @@
 IDENTITY columns hand out consecutive ids in insert order. Here rows are
 range-partitioned on the ordering key, sorted within each partition, and
 numbered by ``monotonically_increasing_id`` (partition index in the upper 31
-bits, position within the partition in the lower 33 bits). Per-partition row
-counts (one row per partition) give each partition its offset. The range
-exchange is planned once and reused by both branches, so both see the same
-partitions.
+bits, position within the partition in the lower 33 bits). The numbered rows
+are checkpointed once, so the counts per partition, the offsets made from them
+and every later use see the same partitions and the same ids (a second plan
+would sample its own range bounds).
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ def assign_sequence(df: DataFrame, order_by: list[str], start: Column, name: str
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
               .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = ranged.checkpoint(eager=True)
     ranged = ranged.select("*", F.shiftright("_mid", _LOW_BITS).alias("_pid"),
                            (F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).alias("_pos"))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -37,5 +38,5 @@ def assign_sequence(df: DataFrame, order_by: list[str], start: Column, name: str
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
     out = ranged.join(F.broadcast(offsets), "_pid", "inner")
-    return (out.withColumn(name, (start + F.col("_off") + F.col("_pos") + 1).cast("int"))
+    return (out.withColumn(name, (start + F.col("_off") + F.col("_pos") + 1).cast("long"))
             .drop("_mid", "_pid", "_pos", "_off"))

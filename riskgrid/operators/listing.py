@@ -112,16 +112,26 @@ def filter_search(df: DataFrame, search_text: str | None) -> DataFrame:
 
 
 # F2-F5 ----------------------------------------------------------------------
+def same_text(column: str, value: str, domain: tuple[str, ...]) -> Column:
+    """Equality without case and trailing spaces. Stored states are canonical, so
+    a value of the domain is a plain comparison that reaches the scan."""
+    plain = value.rstrip(" ").lower()
+    for v in domain:
+        if v.lower() == plain:
+            return F.col(column) == F.lit(v)
+    return F.lower(F.rtrim(F.col(column))) == F.lit(plain)
+
+
 def filter_status(df: DataFrame, status: str | None) -> DataFrame:
-    return df if _blank(status) else df.where(F.col("status") == F.lit(status))
+    return df if _blank(status) else df.where(same_text("status", status, S.STATUSES))
 
 
 def filter_severity(df: DataFrame, severity: str | None) -> DataFrame:
-    return df if _blank(severity) else df.where(F.col("severity") == F.lit(severity))
+    return df if _blank(severity) else df.where(same_text("severity", severity, S.SEVERITIES))
 
 
 def filter_type(df: DataFrame, htype: str | None) -> DataFrame:
-    return df if _blank(htype) else df.where(F.col("type") == F.lit(htype))
+    return df if _blank(htype) else df.where(same_text("type", htype, S.TYPES))
 
 
 def filter_assignee(df: DataFrame, user_id: int | None) -> DataFrame:
@@ -148,7 +158,8 @@ def filter_created_range(df: DataFrame, from_date: dt.datetime | None, to_date:
 
 # F11 ------------------------------------------------------------------------
 def filter_title_prefix(df: DataFrame, prefix: str) -> DataFrame:
-    return df.where(F.col("title").startswith(F.lit(prefix)))
+    """Titles that begin with ``prefix``, without case."""
+    return df.where(F.lower("title").startswith(F.lit(prefix.lower())))
 
 
 def apply_filter(df: DataFrame, f: HazardFilter, now: dt.datetime) -> DataFrame:
@@ -206,7 +217,7 @@ def for_viewers(df: DataFrame, viewers) -> DataFrame:
 def users_by_role(users: DataFrame, role: str | None) -> DataFrame:
     if _blank(role):
         return users.where(F.lit(False)).select("user_id", "user_name", "full_name", "role")
-    return (users.where(F.col("is_active") & (F.col("role") == F.lit(role)))
+    return (users.where(F.col("is_active") & same_text("role", role, S.ROLES))
             .select("user_id", "user_name", "full_name", "role")
             .orderBy("full_name", "user_id"))
 
@@ -222,7 +233,7 @@ def performer_role(df: DataFrame, users: DataFrame, id_col: str = "performed_by_
 
 
 def active_managers(users: DataFrame) -> DataFrame:
-    return users.where(F.col("is_active") & (F.col("role") == F.lit(S.ROLE_SITE_MANAGER))).select("user_id")
+    return users.where(F.col("is_active") & (T.canonical_role(F.trim(F.col("role"))) == F.lit(S.ROLE_SITE_MANAGER))).select("user_id")
 
 
 def semi_eligible_assignee(df: DataFrame, users: DataFrame, col: str = "assign_to_user_id") -> DataFrame:

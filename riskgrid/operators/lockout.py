@@ -149,30 +149,25 @@ def _join_kb(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def lockout(events: DataFrame, key: Column | None = None, max_failures: int = DEFAULT_MAX_FAILURES,
             window: dt.timedelta = DEFAULT_WINDOW, block: dt.timedelta = DEFAULT_BLOCK,
-            split_idle_gaps: bool = True, hot_fraction: float | None = None,
-            hot_min_rows: int | None = None) -> DataFrame:
+            split_idle_gaps: bool = True, work_rows: int | None = None) -> DataFrame:
     """L1: one output row per attempt with its outcome."""
     if max_failures <= 0:
         raise ValueError("max_failures must be positive")
     k = login_key() if key is None else key
     rows = events.select(k.alias("key"), "login_id", "ts", "success")
+    no_seg = F.lit(None).cast("string")
     if split_idle_gaps:
         # Only hot keys are segmented; the others fold whole (segment NULL).
         from . import hot as H
-        hot = H.hot_values(rows, "key", hot_fraction or H.DEFAULT_FRACTION,
-                           H.DEFAULT_MIN_ROWS if hot_min_rows is None else hot_min_rows)
-        no_seg = F.lit(None).cast("string")
-        if hot:
-            is_hot = F.col("key").isin([h for h in hot if h is not None])
-            if None in hot:
-                is_hot = is_hot | F.col("key").isNull()
-            is_hot = F.coalesce(is_hot, F.lit(False))
-            rows = idle_segments(rows.where(is_hot), window + block, block).unionByName(
-                rows.where(~is_hot).withColumn("seg", no_seg))
-        else:
+        hot = H.hot_keys(rows, ["key"], H.WORK_ROWS if work_rows is None else work_rows).checkpoint(eager=True)
+        if hot.isEmpty():
             rows = rows.withColumn("seg", no_seg)
+        else:
+            flagged = H.flag_hot(rows, hot, ["key"], "_hot")
+            rows = idle_segments(flagged.where("_hot").drop("_hot"), window + block, block).unionByName(
+                flagged.where("not _hot").drop("_hot").withColumn("seg", no_seg))
     else:
-        rows = rows.withColumn("seg", F.lit(None).cast("string"))
+        rows = rows.withColumn("seg", no_seg)
     # Each (key, segment) lands in one shuffle partition, sorted by time; one
     # Python pass per partition folds segment after segment with O(1) state.
     ordered = rows.repartition("key", "seg").sortWithinPartitions("key", "seg", "ts", "login_id")
@@ -202,8 +197,3 @@ def out_frame(rows: list[tuple]) -> pd.DataFrame:
     df = pd.DataFrame(rows, columns=OUT_COLUMNS)
     df["ts"] = pd.to_datetime(df["ts"])
     return df
-
-
-def _chain(first, rest):
-    yield first
-    yield from rest

@@ -123,9 +123,9 @@ def visible_grants(users: DataFrame, hazards: DataFrame) -> DataFrame:
     """
     au = active_users(users)
     officers = au.where(F.col("role") == S.ROLE_SAFETY_OFFICER).select(
-        "user_id", "role", F.lit(None).cast("int").alias("hazard_id"), F.lit(GRANT_ALL).alias("grant"))
+        "user_id", "role", F.lit(None).cast("long").alias("hazard_id"), F.lit(GRANT_ALL).alias("grant"))
     managers = au.where(F.col("role") == S.ROLE_SITE_MANAGER).select(
-        "user_id", "role", F.lit(None).cast("int").alias("hazard_id"), F.lit(GRANT_POOL).alias("grant"))
+        "user_id", "role", F.lit(None).cast("long").alias("hazard_id"), F.lit(GRANT_POOL).alias("grant"))
     related_users = au.where(F.col("role").isin(S.ROLE_FIELD_WORKER, S.ROLE_SITE_MANAGER))
     e = related_edges(hazards)
     rel = (e.join(related_users, "user_id", "inner")

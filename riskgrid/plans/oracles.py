@@ -9,7 +9,7 @@ from __future__ import annotations
 
 BINDING = r"""
 WITH users AS (
-  SELECT CAST(c_custkey AS INT) AS user_id,
+  SELECT CAST(c_custkey AS BIGINT) AS user_id,
          'user' || CAST(c_custkey AS STRING) AS user_name,
          c_name AS full_name,
          CASE WHEN c_custkey % 100 = 99 THEN 'Auditor'
@@ -20,7 +20,7 @@ WITH users AS (
   FROM customer
 ),
 hazards AS (
-  SELECT CAST(o_orderkey AS INT) AS hazard_id,
+  SELECT CAST(o_orderkey AS BIGINT) AS hazard_id,
          CASE WHEN o_orderkey % 25 = 0 THEN 'Demo: ' ELSE '' END
            || CASE o_orderkey % 4 WHEN 0 THEN 'Loose rail' WHEN 1 THEN 'Wet floor, level 2'
                                   WHEN 2 THEN 'Sign "EXIT" missing' ELSE 'Blocked aisle' END
@@ -29,10 +29,10 @@ hazards AS (
               ELSE CASE o_orderkey % 7 WHEN 0 THEN 'Smoke seen. ' WHEN 1 THEN 'Electrical panel open. '
                                        WHEN 2 THEN 'Gas smell. ' WHEN 3 THEN 'Forklift leaking. '
                                        WHEN 4 THEN 'ריח עשן. ' WHEN 5 THEN '' ELSE 'Tripping risk. ' END
-                   || substr(d.text, 1, 200) END AS description,
-         CAST(o_custkey AS INT) AS reported_by_user_id,
+                   || d.text END AS description,
+         CAST(o_custkey AS BIGINT) AS reported_by_user_id,
          CAST(CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN o_custkey
-                                  ELSE 10 * (o_orderkey % 15) + 1 END AS INT) AS assigned_to_user_id,
+                                  ELSE 10 * (o_orderkey % 15) + 1 END AS BIGINT) AS assigned_to_user_id,
          CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'P' THEN 'InProgress' ELSE 'Resolved' END AS status,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'Critical' WHEN '2-HIGH' THEN 'High'
                               WHEN '3-MEDIUM' THEN 'Medium' ELSE 'Low' END AS severity,
@@ -42,23 +42,23 @@ hazards AS (
          o_orderdate AS created_at,
          CASE WHEN o_orderkey % 5 = 0 THEN NULL
               ELSE o_orderdate + INTERVAL '1' DAY * CAST(o_orderkey % 90 AS INT) END AS due_date
-  FROM orders JOIN documents d ON d.doc_id = o_orderkey % 200
+  FROM orders JOIN documents d ON d.doc_id = o_orderkey % (SELECT greatest(count(*), 1) FROM documents)
 ),
 hazard_logs AS (
-  SELECT CAST(event_id AS INT) AS hazard_log_id,
-         CAST((event_id * 7) % 300 AS INT) AS hazard_id,
+  SELECT CAST(event_id AS BIGINT) AS hazard_log_id,
+         CAST((event_id * 7) % 300 AS BIGINT) AS hazard_id,
          CASE event_type WHEN 'signup' THEN 'Created' WHEN 'error' THEN 'UpdatedDetails'
               WHEN 'purchase' THEN 'Assigned' WHEN 'click' THEN 'StatusChanged' ELSE 'Comment' END AS action_type,
          CASE event_type WHEN 'view' THEN props WHEN 'click' THEN 'Open -> InProgress' ELSE '' END AS details,
-         CAST(user_id AS INT) AS performed_by_user_id,
+         CAST(user_id AS BIGINT) AS performed_by_user_id,
          ts AS created_at
   FROM events
 ),
 hazard_attachments AS (
-  SELECT CAST(page_id AS INT) AS attachment_id, CAST((page_id * 13) % 300 AS INT) AS hazard_id,
-         substr(url, 1, 255) AS file_name, 'text/html' AS content_type,
+  SELECT CAST(page_id AS BIGINT) AS attachment_id, CAST((page_id * 13) % 300 AS BIGINT) AS hazard_id,
+         url AS file_name, 'text/html' AS content_type,
          CAST(length(html) AS INT) AS file_size_bytes, CAST(NULL AS STRING) AS storage_path,
-         CASE WHEN page_id % 3 = 0 THEN NULL ELSE CAST(page_id % 15 AS INT) END AS uploaded_by_user_id,
+         CASE WHEN page_id % 3 = 0 THEN NULL ELSE CAST(page_id % 15 AS BIGINT) END AS uploaded_by_user_id,
          TIMESTAMP '2024-01-01 00:00:00' AS uploaded_at
   FROM pages
 ),
@@ -66,13 +66,13 @@ hazard_commands AS (
   SELECT event_id AS command_id, ts AS command_ts,
          CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'update' WHEN 'purchase' THEN 'assign'
               WHEN 'click' THEN 'change_status' ELSE 'comment' END AS kind,
-         CASE WHEN event_id % 50 = 0 THEN -1 ELSE CAST((event_id * 7) % 300 AS INT) END AS hazard_id,
-         CASE WHEN event_id % 41 = 0 THEN 99 ELSE CAST(user_id AS INT) END AS performed_by_user_id,
+         CASE WHEN event_id % 50 = 0 THEN -1 ELSE CAST((event_id * 7) % 300 AS BIGINT) END AS hazard_id,
+         CASE WHEN event_id % 41 = 0 THEN 99 ELSE CAST(user_id AS BIGINT) END AS performed_by_user_id,
          CASE event_id % 5 WHEN 0 THEN 'Open' WHEN 1 THEN 'InProgress' WHEN 2 THEN ' Resolved '
                            WHEN 3 THEN 'Closed' ELSE NULL END AS new_status,
-         CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(user_id AS INT) WHEN 2 THEN 1 ELSE 5 END AS assign_to_user_id,
+         CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(user_id AS BIGINT) WHEN 2 THEN 1 ELSE 5 END AS assign_to_user_id,
          CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE props END AS details,
-         CASE event_id % 6 WHEN 0 THEN 13 WHEN 1 THEN 4 ELSE CAST(user_id AS INT) END AS reported_by_user_id,
+         CASE event_id % 6 WHEN 0 THEN 13 WHEN 1 THEN 4 ELSE CAST(user_id AS BIGINT) END AS reported_by_user_id,
          CASE WHEN event_id % 17 = 0 THEN NULL ELSE 'Reported item ' || CAST(event_id AS STRING) END AS title,
          props AS description,
          CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Low' WHEN 2 THEN 'High' ELSE 'Critical' END AS severity,
@@ -360,7 +360,7 @@ register("cmd_create", CTX + f"""
 , v AS (SELECT command_id, {CREATE_RES} AS result FROM ctx WHERE kind = 'create')
 SELECT command_id, result,
        CASE WHEN result = 'OK' THEN CAST((SELECT max(hazard_id) FROM hazards)
-            + row_number() OVER (PARTITION BY result = 'OK' ORDER BY command_id) AS INT) END AS new_hazard_id
+            + row_number() OVER (PARTITION BY result = 'OK' ORDER BY command_id) AS BIGINT) END AS new_hazard_id
 FROM v""")
 register("cmd_update", CTX + f"SELECT command_id, {UPDATE_RES} AS result FROM ctx WHERE kind = 'update'")
 register("cmd_assign", CTX + f"SELECT command_id, {ASSIGN_RES} AS result FROM ctx WHERE kind = 'assign'")
@@ -580,8 +580,8 @@ SELECT hazard_id, {classify_sql('description', 0, 'General')} AS suggested_type,
        {classify_sql('description', 1, 'Medium')} AS suggested_severity FROM hazards""")
 register("scalar_status_log", """
 SELECT c.command_id,
-       substr(coalesce(h.status, '') || ' -> ' || coalesce(trim(c.new_status), '')
-              || CASE WHEN c.details IS NULL OR rtrim(c.details) = '' THEN '' ELSE ' | ' || c.details END, 1, 2000)
+       coalesce(h.status, '') || ' -> ' || coalesce(trim(c.new_status), '')
+              || CASE WHEN c.details IS NULL OR rtrim(c.details) = '' THEN '' ELSE ' | ' || c.details END
          AS log_text
 FROM hazard_commands c LEFT JOIN hazards h ON h.hazard_id = c.hazard_id
 WHERE c.kind = 'change_status' AND trim(coalesce(c.new_status, '')) <> ''""")
@@ -594,11 +594,10 @@ REPORT_LINE = (f"'#' || CAST(hazard_id AS VARCHAR) || ' | ' || coalesce(status,
                f" || ' | ' || coalesce(type, '') || ' | Due: ' || coalesce({d('due_date')}, '-') || ' | Assigned: '"
                f" || {dash('assigned_to_name')} || ' | ' || coalesce(title, '')")
 register("report_lines", f"""
-, r AS (SELECT CAST(row_number() OVER (ORDER BY created_at DESC, hazard_id DESC) AS INT) AS line_no,
+, r AS (SELECT row_number() OVER (ORDER BY created_at DESC, hazard_id DESC) AS line_no,
                {REPORT_LINE} AS line
         FROM ({NAMED_LIST}) x)
-SELECT line_no, CASE WHEN length(line) > 120 THEN substr(line, 1, 119) || '…' ELSE line END AS line
-FROM r WHERE line_no <= 60""")
+SELECT line_no, line FROM r""")
 register("scalar_dates", f"""
 SELECT hazard_id, {d('created_at')} AS created_day, {d('due_date')} AS due_day,
        strftime(created_at, '%Y-%m-%d %H:%M') AS created_minute FROM hazards""")
@@ -638,18 +637,58 @@ SELECT command_id, length({trim_ws('title')}) > 0 AND length({trim_ws('title')})
        AND length({trim_ws('description')}) > 0 AND length({trim_ws('description')}) <= 2000 AS form_valid
 FROM hazard_commands WHERE kind = 'create'""")
 
-# E4 -------------------------------------------------------------------------
+# E3-E5 ----------------------------------------------------------------------
+def _iso(col: str) -> str:
+    return f"strftime({col}, '%Y-%m-%dT%H:%M:%S')"
+
+
+JSON_ITEM = f"""CAST(json_object('HazardId', hazard_id, 'Title', title, 'Status', status, 'Severity', severity, 'Type', type,
+  'ReportedByUserId', reported_by_user_id, 'ReportedByName', reported_by_name, 'AssignedToUserId', assigned_to_user_id,
+  'AssignedToName', assigned_to_name, 'CreatedAt', {_iso('created_at')}, 'DueDate', {_iso('due_date')}) AS VARCHAR)"""
+register("json_list", ", x AS (" + NAMED_LIST + ") " + " UNION ALL ".join(
+    f"SELECT {uid} AS viewer_id, hazard_id, {JSON_ITEM} AS json FROM x WHERE {scope_sql(uid, role)}"
+    for uid, role in _VIEWERS if role != "FieldWorker"))
+register("json_list_filtered", f"""
+, x AS ({NAMED_LIST})
+SELECT '{{"items":[' || coalesce(string_agg({JSON_ITEM}, ',' ORDER BY created_at DESC, hazard_id DESC), '') || ']}}' AS json
+FROM x WHERE (lower(title) LIKE '%panel%' OR lower(description) LIKE '%panel%') AND lower(status) = 'open'
+  AND lower(severity) = 'critical' AND lower(type) = 'fire' AND {OVERDUE}""")
+
+
+def _stamp(col: str) -> str:
+    return f"strftime({col}, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(date_part('microsecond', {col}) AS BIGINT) % 1000000 // 1000 AS VARCHAR), 3, '0')"
+
+
 register("detail_nested", REQUESTS + f"""
 , ok AS (
   SELECT q.request_id, q.hazard_id FROM req q LEFT JOIN hazards h ON h.hazard_id = q.hazard_id
   WHERE {access_sql('q.role', 'q.user_id', 'h.reported_by_user_id', 'h.assigned_to_user_id', 'h.status')}
 ),
-lg AS (SELECT l.*, row_number() OVER (PARTITION BY l.hazard_id ORDER BY l.created_at DESC, l.hazard_log_id DESC) AS rn,
-              count(*) OVER (PARTITION BY l.hazard_id) AS n
-       FROM hazard_logs l JOIN users u ON u.user_id = l.performed_by_user_id)
-SELECT ok.request_id, x.hazard_id, x.title, coalesce(lg.n, 0) AS n_logs, lg.action_type AS first_action
-FROM ok JOIN ({NAMED_LIST}) x ON x.hazard_id = ok.hazard_id
-LEFT JOIN lg ON lg.hazard_id = x.hazard_id AND lg.rn = 1""")
+lg AS (SELECT l.hazard_id, string_agg(CAST(json_object('created_at', {_stamp('l.created_at')}, 'hazard_log_id', l.hazard_log_id,
+                'action_type', l.action_type, 'details', l.details, 'performed_by_user_id', l.performed_by_user_id,
+                'performed_by_name', u.full_name) AS VARCHAR), ',' ORDER BY l.created_at DESC, l.hazard_log_id DESC) AS logs
+       FROM hazard_logs l JOIN users u ON u.user_id = l.performed_by_user_id GROUP BY l.hazard_id)
+SELECT ok.request_id, '{{"hazard":' || CAST(json_object('hazard_id', x.hazard_id, 'title', x.title, 'description', x.description,
+         'reported_by_user_id', x.reported_by_user_id, 'assigned_to_user_id', x.assigned_to_user_id, 'status', x.status,
+         'severity', x.severity, 'type', x.type, 'created_at', {_stamp('x.created_at')}, 'due_date', {_stamp('x.due_date')},
+         'reported_by_name', x.reported_by_name, 'assigned_to_name', x.assigned_to_name) AS VARCHAR)
+       || ',"logs":[' || coalesce(lg.logs, '') || ']}}' AS json
+FROM ok JOIN ({NAMED_LIST}) x ON x.hazard_id = ok.hazard_id LEFT JOIN lg ON lg.hazard_id = x.hazard_id""")
+
+
+def _map_sql(col: str) -> str:
+    return (f"'{{' || coalesce((SELECT string_agg('\"' || k || '\":' || CAST(n AS VARCHAR), ',' ORDER BY k) FROM "
+            f"(SELECT {col} AS k, count(*) AS n FROM s WHERE s.viewer_id = v.viewer_id GROUP BY {col})), '') || '}}'")
+
+
+register("json_dashboard", ", s AS (" + " UNION ALL ".join(
+    f"SELECT {uid} AS viewer_id, * FROM hazards WHERE {scope_sql(uid, role)}" for uid, role in _VIEWERS) + f"""),
+v AS (SELECT unnest([{', '.join(str(u) for u, _ in _VIEWERS)}]) AS viewer_id),
+k AS (SELECT viewer_id, {kpi_cols()} FROM s GROUP BY viewer_id)
+SELECT v.viewer_id, '{{"OpenCount":' || coalesce(open_count, 0) || ',"InProgressCount":' || coalesce(in_progress_count, 0)
+       || ',"ResolvedCount":' || coalesce(resolved_count, 0) || ',"OverdueOpenCount":' || coalesce(overdue_count, 0)
+       || ',"BySeverity":' || {_map_sql('severity')} || ',"ByType":' || {_map_sql('type')} || '}}' AS json
+FROM v LEFT JOIN k ON k.viewer_id = v.viewer_id""")
 
 # S5-S7 ----------------------------------------------------------------------
 from ..sources import integrity as _DQ  # noqa: E402
@@ -664,3 +703,94 @@ SELECT login_id, coalesce(ip, 'unknown') || '|' ||
        CASE WHEN coalesce(regexp_replace(user_name, '{WS}', '', 'g') = '', TRUE) THEN 'unknown'
             ELSE lower(user_name) END AS login_key
 FROM login_events""")
+
+
+# L1, L2: one event per key and step ------------------------------------------
+def register_steps(name: str, body: str) -> None:
+    SQL[name] = BINDING.replace("WITH users", "WITH RECURSIVE users", 1) + body
+
+
+_COUNT = "CASE WHEN r.ws IS NULL OR e.ts - r.ws > INTERVAL 7 DAY THEN 1 ELSE r.cnt + 1 END"
+_REFUSED = "coalesce(r.bu > e.ts, FALSE)"
+LOCKOUT = f"""
+, e AS (SELECT lower(trim(user_name)) AS key, login_id, ts, success,
+               row_number() OVER (PARTITION BY lower(trim(user_name)) ORDER BY ts, login_id) AS rn FROM login_events),
+r AS (
+  SELECT key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS login_id, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BOOLEAN) AS success,
+         CAST(NULL AS VARCHAR) AS outcome, 0 AS failure_count, CAST(NULL AS INT) AS retry_after_minutes,
+         CAST(NULL AS TIMESTAMP) AS ws, 0 AS cnt, CAST(NULL AS TIMESTAMP) AS bu
+  FROM (SELECT DISTINCT key FROM e)
+  UNION ALL
+  SELECT e.key, e.rn, e.login_id, e.ts, e.success,
+         CASE WHEN {_REFUSED} THEN 'refused' WHEN e.success THEN 'allowed' ELSE 'failed' END,
+         CASE WHEN {_REFUSED} THEN r.cnt WHEN e.success THEN 0 ELSE {_COUNT} END,
+         CASE WHEN {_REFUSED} THEN CAST(greatest(1, ceil(epoch(r.bu - e.ts) / 60.0)) AS INT) END,
+         CASE WHEN {_REFUSED} THEN r.ws WHEN e.success THEN NULL
+              WHEN r.ws IS NULL OR e.ts - r.ws > INTERVAL 7 DAY THEN e.ts ELSE r.ws END,
+         CASE WHEN {_REFUSED} THEN r.cnt WHEN e.success THEN 0 ELSE {_COUNT} END,
+         CASE WHEN {_REFUSED} THEN r.bu WHEN e.success THEN NULL WHEN {_COUNT} >= 3 THEN e.ts + INTERVAL 2 DAY ELSE r.bu END
+  FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1)
+SELECT key, login_id, ts, success, outcome, failure_count, retry_after_minutes FROM r WHERE rn > 0"""
+register_steps("lockout_batch", LOCKOUT)
+register_steps("lockout_stream", LOCKOUT)
+
+# One command per hazard and step ------------------------------------
+_RES = (f"CASE kind WHEN 'update' THEN {UPDATE_RES} WHEN 'assign' THEN {ASSIGN_RES} "
+        f"WHEN 'change_status' THEN {STATUS_RES} ELSE {COMMENT_RES} END")
+_MOVES = f"(result = 'OK' AND kind = 'change_status' AND NOT {BLANK_STATUS})"
+STEPS = CTX + f"""
+, c AS (SELECT * EXCLUDE (h_rep, h_asg, h_status), row_number() OVER (PARTITION BY hazard_id ORDER BY command_ts, command_id) AS rn
+        FROM ctx WHERE kind <> 'create'),
+s AS (
+  SELECT k.hazard_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS command_id, CAST(NULL AS VARCHAR) AS result,
+         CAST(NULL AS VARCHAR) AS log_text, h.reported_by_user_id AS h_rep, h.assigned_to_user_id AS h_asg, h.status AS h_status
+  FROM (SELECT DISTINCT hazard_id FROM c) k LEFT JOIN hazards h ON h.hazard_id = k.hazard_id
+  UNION ALL
+  SELECT hazard_id, rn, command_id, result,
+         CASE WHEN {_MOVES} THEN coalesce(h_status, '') || ' -> ' || trim(new_status)
+                || CASE WHEN details IS NULL OR rtrim(details) = '' THEN '' ELSE ' | ' || details END
+              WHEN kind IN ('update', 'assign') THEN '' ELSE details END,
+         h_rep, CASE WHEN result = 'OK' AND kind = 'assign' THEN assign_to_user_id ELSE h_asg END,
+         CASE WHEN {_MOVES} THEN CASE ns_u WHEN 'OPEN' THEN 'Open' WHEN 'INPROGRESS' THEN 'InProgress' ELSE 'Resolved' END
+              ELSE h_status END
+  FROM (SELECT c.*, s.h_rep, s.h_asg, s.h_status, {_RES} AS result
+        FROM s JOIN c ON c.hazard_id IS NOT DISTINCT FROM s.hazard_id AND c.rn = s.rn + 1) x),
+done AS (SELECT c.*, s.result, s.log_text,
+                CASE WHEN s.result = 'OK' THEN CASE WHEN c.kind = 'update' THEN 'UpdatedDetails' WHEN c.kind = 'assign' THEN 'Assigned'
+                     WHEN c.kind = 'change_status' AND NOT {BLANK_STATUS} THEN 'StatusChanged' ELSE 'Comment' END END AS action
+         FROM s JOIN c ON c.command_id = s.command_id WHERE s.rn > 0),
+made AS (SELECT *, CASE WHEN result = 'OK' THEN (SELECT max(hazard_id) FROM hazards)
+                        + row_number() OVER (PARTITION BY result = 'OK' ORDER BY command_id) END AS new_hazard_id
+         FROM (SELECT ctx.*, {CREATE_RES} AS result FROM ctx WHERE kind = 'create'))
+"""
+APPLIED = STEPS + """
+SELECT command_id, hazard_id, kind, performed_by_user_id, result, action FROM done
+UNION ALL
+SELECT command_id, hazard_id, kind, performed_by_user_id, result, CASE WHEN result = 'OK' THEN 'Created' END FROM made"""
+register_steps("apply_commands", APPLIED)
+register_steps("apply_commands_stream", APPLIED)
+register_steps("apply_hazards", STEPS + """
+, fin AS (SELECT hazard_id AS f_id, h_asg, h_status FROM (
+            SELECT *, row_number() OVER (PARTITION BY hazard_id ORDER BY rn DESC) AS last FROM s) WHERE last = 1),
+upd AS (SELECT * FROM (SELECT done.*, row_number() OVER (PARTITION BY hazard_id ORDER BY command_ts DESC, command_id DESC) AS last
+                       FROM done WHERE kind = 'update' AND result = 'OK') WHERE last = 1)
+SELECT h.hazard_id, CASE WHEN u.command_id IS NULL THEN h.title ELSE coalesce(u.title, '') END AS title,
+       CASE WHEN u.command_id IS NULL THEN h.description ELSE coalesce(u.description, '') END AS description,
+       h.reported_by_user_id, CASE WHEN f.f_id IS NULL THEN h.assigned_to_user_id ELSE f.h_asg END AS assigned_to_user_id,
+       coalesce(f.h_status, h.status) AS status,
+       CASE WHEN u.command_id IS NULL THEN h.severity ELSE coalesce(u.severity, 'Low') END AS severity,
+       CASE WHEN u.command_id IS NULL THEN h.type ELSE coalesce(u.type, 'General') END AS type, h.created_at,
+       CASE WHEN u.command_id IS NULL THEN h.due_date ELSE u.due_date END AS due_date
+FROM hazards h LEFT JOIN fin f ON f.f_id = h.hazard_id LEFT JOIN upd u ON u.hazard_id = h.hazard_id
+UNION ALL
+SELECT new_hazard_id, coalesce(title, ''), coalesce(description, ''), reported_by_user_id, NULL, 'Open', coalesce(severity, 'Low'),
+       coalesce(type, 'General'), command_ts, due_date
+FROM made WHERE result = 'OK'""")
+register_steps("apply_logs", STEPS + """
+, added AS (SELECT command_ts, command_id, hazard_id, action AS action_type, log_text AS details, performed_by_user_id FROM done WHERE result = 'OK'
+            UNION ALL
+            SELECT command_ts, command_id, new_hazard_id, 'Created', '', performed_by_user_id FROM made WHERE result = 'OK')
+SELECT hazard_log_id, hazard_id, action_type, details, performed_by_user_id, created_at FROM hazard_logs
+UNION ALL
+SELECT (SELECT max(hazard_log_id) FROM hazard_logs) + row_number() OVER (ORDER BY command_ts, command_id), hazard_id, action_type, details,
+       performed_by_user_id, command_ts FROM added""")

@@ -91,17 +91,17 @@ def q_filter_search(spark, d):
 
 @query("filter_status")
 def q_filter_status(spark, d):
-    return L.filter_status(reg(spark, d).hazards, S.STATUS_IN_PROGRESS)
+    return L.filter_status(reg(spark, d).hazards, "inPROGRESS ")
 
 
 @query("filter_severity")
 def q_filter_severity(spark, d):
-    return L.filter_severity(reg(spark, d).hazards, "Critical")
+    return L.filter_severity(reg(spark, d).hazards, "CRITICAL")
 
 
 @query("filter_type")
 def q_filter_type(spark, d):
-    return L.filter_type(reg(spark, d).hazards, "Chemical")
+    return L.filter_type(reg(spark, d).hazards, "chemical")
 
 
 @query("filter_assignee")
@@ -122,12 +122,12 @@ def q_filter_created_range(spark, d):
 
 @query("filter_title_prefix")
 def q_filter_title_prefix(spark, d):
-    return L.filter_title_prefix(reg(spark, d).hazards, "Demo:")
+    return L.filter_title_prefix(reg(spark, d).hazards, "demo:")
 
 
 @query("users_by_role")
 def q_users_by_role(spark, d):
-    return L.users_by_role(reg(spark, d).users, S.ROLE_SITE_MANAGER)
+    return L.users_by_role(reg(spark, d).users, "sitemanager")
 
 
 # F8 -------------------------------------------------------------------------
@@ -277,7 +277,8 @@ def q_hazard_detail(spark, d):
 @query("hazard_history")
 def q_hazard_history(spark, d):
     r = reg(spark, d)
-    return L.scoped_logs(r.hazard_logs, r.hazards, r.users, VIEWERS)
+    logs = L.scoped_logs(r.hazard_logs, r.hazards, r.users, VIEWERS)
+    return logs.orderBy("viewer_id", "hazard_id", F.col("created_at").desc(), F.col("hazard_log_id").desc())
 
 
 @query("user_by_name")
@@ -523,7 +524,7 @@ def q_scalar_drill_link(spark, d):
     b = A.breakdown(V.scope(reg(spark, d).hazards, *OFFICER), "type")
     return b.select("key", T.drill_link("type", F.col("key")).alias("link"),
                     T.export_query(F.lit("csv"), F.lit(None), F.lit(None), F.lit(None), F.col("key"),
-                                   F.lit(None).cast("int"), F.lit(True)).alias("export_query"))
+                                   F.lit(None).cast("long"), F.lit(True)).alias("export_query"))
 
 
 @query("scalar_form_valid")
@@ -540,16 +541,24 @@ def q_json_list(spark, d):
     allowed = [v for v in VIEWERS if E.json_api_allowed(v[1])]
     rows = L.for_viewers(r.hazards, allowed)
     named = L.join_assignee(L.join_reporter(rows, r.users), r.users)
-    return named.select("viewer_id", "hazard_id", E.json_item().alias("json"))
+    return (named.orderBy("viewer_id", F.col("created_at").desc(), F.col("hazard_id").desc())
+            .select("viewer_id", "hazard_id", E.json_item().alias("json")))
+
+
+@query("json_list_filtered")
+def q_json_list_filtered(spark, d):
+    """E3 as one request sends it: all five filters, the items envelope."""
+    r = reg(spark, d)
+    f = E.api_filter("panel", "open", "CRITICAL", "fire", "1")
+    return E.json_envelope(L.hazard_list(r.hazards, r.users, *OFFICER, f, NOW, ordered=False))
 
 
 @query("detail_nested")
 def q_detail_nested(spark, d):
     r = reg(spark, d)
     det = L.hazard_detail(command_requests(r), r.hazards, r.users)
-    s = E.log_summary(L.join_log_performer(r.hazard_logs, r.users))
-    return det.join(s, "hazard_id", "left").select(
-        "request_id", "hazard_id", "title", F.coalesce("n_logs", F.lit(0)).alias("n_logs"), "first_action")
+    logs = L.join_log_performer(r.hazard_logs, r.users)
+    return E.detail_json(E.detail_nested(det, logs))
 
 
 @query("json_dashboard")
@@ -588,15 +597,27 @@ from ..operators import apply_split as AS  # noqa: E402
 from ..operators import lockout as LK  # noqa: E402
 
 
+def _applied(spark, d):
+    r = reg(spark, d)
+    return AP.apply(r.hazard_commands, r.users, r.hazards, r.hazard_logs)
+
+
 @query("apply_commands")
 def q_apply_commands(spark, d):
-    """Ordered fold per hazard plus snapshot-judged creates (no SQL oracle)."""
-    r = reg(spark, d)
-    folded = AP.results(AS.fold_auto(r.hazard_commands, r.users, r.hazards))
-    creates = W.validate_creates(r.hazard_commands, r.users, r.hazards).select(
-        "command_id", "hazard_id", "kind", "performed_by_user_id", "result",
-        F.when(F.col("result") == W.OK, F.lit(S.ACTION_CREATED)).alias("action"))
-    return folded.unionByName(creates)
+    """Result of every command: the ordered fold per hazard, creates against the snapshot."""
+    return _applied(spark, d)[2]
+
+
+@query("apply_hazards")
+def q_apply_hazards(spark, d):
+    """The hazards table after all commands."""
+    return _applied(spark, d)[0]
+
+
+@query("apply_logs")
+def q_apply_logs(spark, d):
+    """The audit log after all commands."""
+    return _applied(spark, d)[1]
 
 
 @query("lockout_batch")

@@ -3,9 +3,8 @@
 The driver ships TPC-H-like tables; the register (users, hazards, logs,
 attachments, change commands, login events) is a column mapping over them.
 ``derive`` builds each table as a lazy DataFrame (pruning and filters reach
-the source scans). ``load`` stores the derived register once per dataset in
-the shared checkpoint folder, sorted on lookup keys, and serves every later
-query from it, so the orders-documents join is paid once, not per query.
+the source scans); nothing is written by a query. ``materialize`` stores the
+register on request, sorted on lookup keys.
 """
 
 from __future__ import annotations
@@ -27,9 +26,6 @@ LOCKOUT_MAX_FAILURES = 3
 LOCKOUT_WINDOW = dt.timedelta(days=7)
 LOCKOUT_BLOCK = dt.timedelta(days=2)
 ATTACHMENT_UPLOADED_AT = dt.datetime(2024, 1, 1, 0, 0, 0)
-# Documents joined to orders: doc_id = o_orderkey % DOC_SLICE.
-DOC_SLICE = 200
-DOC_TEXT_CHARS = 200
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +47,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when((k % 10).isin(1, 2, 3), F.lit(S.ROLE_SITE_MANAGER))
             .otherwise(F.lit(S.ROLE_FIELD_WORKER)))
     return c.select(
-        k.cast("int").alias("user_id"),
+        k.cast("long").alias("user_id"),
         F.concat(F.lit("user"), k.cast("string")).alias("user_name"),
         F.col("c_name").alias("full_name"),
         role.alias("role"),
@@ -61,14 +57,13 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
-    # Only doc_id in (-DOC_SLICE, DOC_SLICE) can match; the range filter is
-    # pushed to the documents scan and only the first 200 characters travel.
-    # Whether this side is broadcast is left to the planner's size checks.
-    d = (read(spark, sf_dir, "documents")
-         .where((F.col("doc_id") > -DOC_SLICE) & (F.col("doc_id") < DOC_SLICE))
-         .select(F.col("doc_id"), F.substring("text", 1, DOC_TEXT_CHARS).alias("doc_text")))
+    # Every order has a document: its key modulo the number of documents. The
+    # whole text travels; which side is broadcast is left to the planner.
+    docs = read(spark, sf_dir, "documents")
+    d = docs.select("doc_id", F.col("text").alias("doc_text"))
+    n_docs = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     k = F.col("o_orderkey")
-    j = o.join(d, d["doc_id"] == k % DOC_SLICE, "inner")
+    j = (o.withColumn("_doc", k % n_docs).join(d, F.col("_doc") == F.col("doc_id"), "inner"))
     title = F.concat(
         F.when(k % 25 == 0, F.lit("Demo: ")).otherwise(F.lit("")),
         _case(k % 4, [(0, F.lit("Loose rail")), (1, F.lit("Wet floor, level 2")),
@@ -81,7 +76,7 @@ def hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(lead, F.col("doc_text")))
     assignee = (F.when(k % 4 == 0, F.lit(None).cast("bigint"))
                 .when(k % 4 == 1, F.col("o_custkey"))
-                .otherwise(10 * (k % 15) + 1)).cast("int")
+                .otherwise(10 * (k % 15) + 1)).cast("long")
     status = _case(F.col("o_orderstatus"), [("O", F.lit(S.STATUS_OPEN)),
                                             ("P", F.lit(S.STATUS_IN_PROGRESS))],
                    F.lit(S.STATUS_RESOLVED))
@@ -93,10 +88,10 @@ def hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     due = F.when(k % 5 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(
         F.col("o_orderdate") + F.make_dt_interval(days=(k % 90).cast("int")))
     return j.select(
-        k.cast("int").alias("hazard_id"),
+        k.cast("long").alias("hazard_id"),
         title.alias("title"),
         description.alias("description"),
-        F.col("o_custkey").cast("int").alias("reported_by_user_id"),
+        F.col("o_custkey").cast("long").alias("reported_by_user_id"),
         assignee.alias("assigned_to_user_id"),
         status.alias("status"),
         severity.alias("severity"),
@@ -119,11 +114,11 @@ def hazard_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(et == "click", F.lit("Open -> InProgress"))
                .otherwise(F.lit("")))
     return e.select(
-        F.col("event_id").cast("int").alias("hazard_log_id"),
-        ((F.col("event_id") * 7) % 300).cast("int").alias("hazard_id"),
+        F.col("event_id").cast("long").alias("hazard_log_id"),
+        ((F.col("event_id") * 7) % 300).cast("long").alias("hazard_id"),
         _event_kind(S.ACTIONS).alias("action_type"),
         details.alias("details"),
-        F.col("user_id").cast("int").alias("performed_by_user_id"),
+        F.col("user_id").cast("long").alias("performed_by_user_id"),
         F.col("ts").alias("created_at"),
     )
 
@@ -132,13 +127,13 @@ def hazard_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages")
     pid = F.col("page_id")
     return p.select(
-        pid.cast("int").alias("attachment_id"),
-        ((pid * 13) % 300).cast("int").alias("hazard_id"),
-        F.substring("url", 1, 255).alias("file_name"),
+        pid.cast("long").alias("attachment_id"),
+        ((pid * 13) % 300).cast("long").alias("hazard_id"),
+        F.col("url").alias("file_name"),
         F.lit("text/html").alias("content_type"),
         F.length("html").cast("int").alias("file_size_bytes"),
         F.lit(None).cast("string").alias("storage_path"),
-        F.when(pid % 3 == 0, F.lit(None).cast("int")).otherwise((pid % 15).cast("int"))
+        F.when(pid % 3 == 0, F.lit(None).cast("long")).otherwise((pid % 15).cast("long"))
         .alias("uploaded_by_user_id"),
         F.lit(ATTACHMENT_UPLOADED_AT).cast("timestamp_ntz").alias("uploaded_at"),
     )
@@ -147,20 +142,20 @@ def hazard_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hazard_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     eid = F.col("event_id")
-    uid = F.col("user_id").cast("int")
+    uid = F.col("user_id").cast("long")
     return e.select(
         eid.alias("command_id"),
         F.col("ts").alias("command_ts"),
         _event_kind(("create", "update", "assign", "change_status", "comment")).alias("kind"),
-        F.when(eid % 50 == 0, F.lit(-1)).otherwise(((eid * 7) % 300).cast("int")).alias("hazard_id"),
+        F.when(eid % 50 == 0, F.lit(-1).cast("long")).otherwise(((eid * 7) % 300).cast("long")).alias("hazard_id"),
         F.when(eid % 41 == 0, F.lit(99)).otherwise(uid).alias("performed_by_user_id"),
         _case(eid % 5, [(0, F.lit("Open")), (1, F.lit("InProgress")), (2, F.lit(" Resolved ")),
                         (3, F.lit("Closed"))], F.lit(None).cast("string")).alias("new_status"),
-        _case(eid % 4, [(0, F.lit(None).cast("int")), (1, uid), (2, F.lit(1))], F.lit(5))
+        _case(eid % 4, [(0, F.lit(None).cast("long")), (1, uid), (2, F.lit(1).cast("long"))], F.lit(5).cast("long"))
         .alias("assign_to_user_id"),
         _case(eid % 3, [(0, F.lit(None).cast("string")), (1, F.lit(""))], F.col("props"))
         .alias("details"),
-        _case(eid % 6, [(0, F.lit(13)), (1, F.lit(4))], uid).alias("reported_by_user_id"),
+        _case(eid % 6, [(0, F.lit(13).cast("long")), (1, F.lit(4).cast("long"))], uid).alias("reported_by_user_id"),
         F.when(eid % 17 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("Reported item "), eid.cast("string"))).alias("title"),
         F.col("props").alias("description"),
@@ -218,25 +213,7 @@ STORE_ORDER = {
     "login_events": ("ts", "login_id"),
 }
 TABLE_NAMES = tuple(STORE_ORDER)
-MATERIALIZE_CONF = "riskgrid.register.materialize"
-_LOADED: dict[tuple[str, str], tuple[str, int]] = {}
-
-
-def _source_key(sf_dir: str) -> str:
-    import hashlib
-    import os
-    # The derivation code is part of the key: a changed binding never reuses
-    # tables stored by an older one.
-    with open(__file__, "rb") as fh:
-        code = hashlib.sha1(fh.read()).hexdigest()[:12]
-    parts = [code, os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir]
-    for name in ("customer", "orders", "documents", "events", "pages"):
-        try:
-            st = os.stat(f"{sf_dir.rstrip('/')}/{name}.parquet")
-            parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            parts.append(name)
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+ROOT_CONF = "riskgrid.register.root"
 
 
 def store(reg: Register, root: str) -> int:
@@ -251,40 +228,41 @@ def store(reg: Register, root: str) -> int:
     return sinks.write_version(tables, root)
 
 
+def materialize(spark: SparkSession, sf_dir: str, root: str) -> int:
+    """Derive the register of one dataset and store it under ``root``.
+
+    An explicit step of the caller, who sets ``riskgrid.register.root`` to
+    serve queries from the stored tables and stores again when sources change."""
+    return store(derive(spark, sf_dir), root)
+
+
 def load(spark: SparkSession, sf_dir: str) -> Register:
-    """The register of one dataset.
-
-    The mapping from the driver's tables (including the orders-documents
-    join) is computed once per dataset and stored under the shared checkpoint
-    folder as a committed version; later queries read the stored tables, so
-    no query re-scans the documents. Set ``riskgrid.register.materialize`` to
-    ``false`` to derive lazily on every call instead."""
-    if spark.conf.get(MATERIALIZE_CONF, "true").lower() != "true":
+    """The register of one dataset: derived lazily from the driver's tables, or
+    read from the tables that ``materialize`` stored, where the session names
+    their folder in ``riskgrid.register.root``."""
+    root = spark.conf.get(ROOT_CONF, None)
+    if not root:
         return derive(spark, sf_dir)
-    from ..session import checkpoint_dir
     from . import sinks
-    app = spark.sparkContext.applicationId
-    hit = _LOADED.get((app, sf_dir))
-    if hit is None:
-        # The configured base folder (not the per-application checkpoint
-        # subfolder), so later applications reuse the stored register.
-        base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
-        root = f"{base.rstrip('/')}/riskgrid-register/{_source_key(sf_dir)}"
-        if sinks.current_version(spark, root) is None:
-            try:
-                store(derive(spark, sf_dir), root)
-            except Exception:
-                if sinks.current_version(spark, root) is None:  # not a lost race: a real failure
-                    raise
-        hit = (root, sinks.current_version(spark, root))
-        _LOADED[(app, sf_dir)] = hit
-    root, version = hit
+    version = sinks.current_version(spark, root)
     return Register(*(sinks.read_table(spark, root, n, version) for n in TABLE_NAMES))
 
 
+def canonical(df: DataFrame) -> DataFrame:
+    """Stored states in canonical spelling (texts compare without case, and
+    without trailing spaces); values outside the domains stay as they are."""
+    from ..functions import text as T
+    for name, fn in (("status", T.canonical_status), ("severity", T.canonical_severity), ("type", T.canonical_type),
+                     ("role", T.canonical_role)):
+        if name in df.columns:
+            df = df.withColumn(name, F.coalesce(fn(F.rtrim(F.col(name))), F.col(name)))
+    return df
+
+
 def from_parquet(spark: SparkSession, root: str) -> Register:
-    """Register stored as parquet tables under ``root`` with declared schemas."""
+    """Register stored as parquet tables under ``root`` with declared schemas;
+    status, severity, type and role are brought to their canonical spelling."""
     def rd(name):
-        return spark.read.schema(S.TABLES[name]).parquet(f"{root.rstrip('/')}/{name}")
+        return canonical(spark.read.schema(S.TABLES[name]).parquet(f"{root.rstrip('/')}/{name}"))
     return Register(*(rd(n) for n in ("users", "hazards", "hazard_logs", "hazard_attachments",
                                       "hazard_commands", "login_events")))

@@ -64,7 +64,9 @@ def check_unique(tables: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for name, keys in S.UNIQUE_KEYS:
         df = tables[name]
-        g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        # Names are unique without case, as in the reference's collation.
+        by = [F.lower(F.col(k)).alias(k) if df.schema[k].dataType.simpleString() == "string" else F.col(k) for k in keys]
+        g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         parts.append(g.select(F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
                               F.concat_ws(",", *[F.col(k).cast("string") for k in keys]).alias("key_value"), "n"))
     out = parts[0]
@@ -78,7 +80,8 @@ def check_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
     for child, col, parent, pcol in S.FOREIGN_KEYS:
         c = tables[child].where(F.col(col).isNotNull()).select(F.col(col).alias("_k"))
         p = tables[parent].select(F.col(pcol).alias("_k"))
-        bad = c.join(p, "_k", "left_anti").groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
+        # Counted first: the join sees one row per key, however often it is used.
+        bad = c.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).join(p, "_k", "left_anti")
         parts.append(bad.select(F.lit(child).alias("child_table"), F.lit(col).alias("fk_column"),
                                 F.lit(parent).alias("parent_table"), F.col("_k").cast("string").alias("key_value"),
                                 "n"))
@@ -106,9 +109,10 @@ def oracle_rows_sql() -> str:
 def oracle_unique_sql() -> str:
     parts = []
     for name, keys in S.UNIQUE_KEYS:
-        kv = " || ',' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+        by = [f"lower({k})" if k == "user_name" else k for k in keys]
+        kv = " || ',' || ".join(f"CAST({k} AS VARCHAR)" for k in by)
         parts.append(f"SELECT '{name}' AS table_name, '{','.join(keys)}' AS key_columns, {kv} AS key_value, "
-                     f"count(*) AS n FROM {name} GROUP BY {', '.join(keys)} HAVING count(*) > 1")
+                     f"count(*) AS n FROM {name} GROUP BY {', '.join(by)} HAVING count(*) > 1")
     return " UNION ALL ".join(parts)
 
 

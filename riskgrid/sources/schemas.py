@@ -56,7 +56,7 @@ MAX_LEN = {
 # ---------------------------------------------------------------------------
 
 USERS = T.StructType([
-    T.StructField("user_id", T.IntegerType(), False),
+    T.StructField("user_id", T.LongType(), False),
     T.StructField("user_name", T.StringType(), False),
     T.StructField("full_name", T.StringType(), False),
     T.StructField("role", T.StringType(), False),
@@ -64,11 +64,11 @@ USERS = T.StructType([
 ])
 
 HAZARDS = T.StructType([
-    T.StructField("hazard_id", T.IntegerType(), False),
+    T.StructField("hazard_id", T.LongType(), False),
     T.StructField("title", T.StringType(), False),
     T.StructField("description", T.StringType(), True),
-    T.StructField("reported_by_user_id", T.IntegerType(), False),
-    T.StructField("assigned_to_user_id", T.IntegerType(), True),
+    T.StructField("reported_by_user_id", T.LongType(), False),
+    T.StructField("assigned_to_user_id", T.LongType(), True),
     T.StructField("status", T.StringType(), False),
     T.StructField("severity", T.StringType(), False),
     T.StructField("type", T.StringType(), False),
@@ -77,22 +77,22 @@ HAZARDS = T.StructType([
 ])
 
 HAZARD_LOGS = T.StructType([
-    T.StructField("hazard_log_id", T.IntegerType(), False),
-    T.StructField("hazard_id", T.IntegerType(), False),
+    T.StructField("hazard_log_id", T.LongType(), False),
+    T.StructField("hazard_id", T.LongType(), False),
     T.StructField("action_type", T.StringType(), False),
     T.StructField("details", T.StringType(), True),
-    T.StructField("performed_by_user_id", T.IntegerType(), False),
+    T.StructField("performed_by_user_id", T.LongType(), False),
     T.StructField("created_at", T.TimestampNTZType(), False),
 ])
 
 HAZARD_ATTACHMENTS = T.StructType([
-    T.StructField("attachment_id", T.IntegerType(), False),
-    T.StructField("hazard_id", T.IntegerType(), False),
+    T.StructField("attachment_id", T.LongType(), False),
+    T.StructField("hazard_id", T.LongType(), False),
     T.StructField("file_name", T.StringType(), False),
     T.StructField("content_type", T.StringType(), True),
     T.StructField("file_size_bytes", T.IntegerType(), True),
     T.StructField("storage_path", T.StringType(), True),
-    T.StructField("uploaded_by_user_id", T.IntegerType(), True),
+    T.StructField("uploaded_by_user_id", T.LongType(), True),
     T.StructField("uploaded_at", T.TimestampNTZType(), False),
 ])
 
@@ -100,12 +100,12 @@ HAZARD_COMMANDS = T.StructType([
     T.StructField("command_id", T.LongType(), False),
     T.StructField("command_ts", T.TimestampNTZType(), False),
     T.StructField("kind", T.StringType(), False),
-    T.StructField("hazard_id", T.IntegerType(), True),
-    T.StructField("performed_by_user_id", T.IntegerType(), True),
+    T.StructField("hazard_id", T.LongType(), True),
+    T.StructField("performed_by_user_id", T.LongType(), True),
     T.StructField("new_status", T.StringType(), True),
-    T.StructField("assign_to_user_id", T.IntegerType(), True),
+    T.StructField("assign_to_user_id", T.LongType(), True),
     T.StructField("details", T.StringType(), True),
-    T.StructField("reported_by_user_id", T.IntegerType(), True),
+    T.StructField("reported_by_user_id", T.LongType(), True),
     T.StructField("title", T.StringType(), True),
     T.StructField("description", T.StringType(), True),
     T.StructField("severity", T.StringType(), True),

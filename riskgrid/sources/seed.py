@@ -10,6 +10,17 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# ---------------------------------------------------------------------------
+# Fixed values that must equal the reference's for right results.
+TITLE_PREFIX = "Demo:"
+TITLE_ASSIGNED = "Demo: Overdue Open"
+TITLE_MOVED = "Demo: In Progress"
+LOG_CREATED = "Demo seed: hazard created"
+LOG_ASSIGNED = "Demo seed: assigned by system"
+LOG_MOVED = "Demo seed: moved to InProgress"
+# ---------------------------------------------------------------------------
+
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's seed for right results.
 SEED_USERS = (

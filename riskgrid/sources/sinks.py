@@ -1,85 +1,104 @@
 """Table sink for register writes.
 
-Parquet files are immutable, so an UPDATE/DELETE/INSERT batch produces a new
-version of each changed table. All tables of one change are written under
-``<root>/v=<n>/<table>``; afterwards one small commit row is appended to
-``<root>/_commits`` by a Spark job. Readers take the newest committed
-version, so a change becomes visible all at once (the reference wraps its
-purge-and-reload in one transaction) and a failed write leaves no commit.
+Parquet files are immutable, so an UPDATE/DELETE/INSERT batch produces new
+files for each changed table, under ``<root>/data/<unique>/<table>``; then one
+small commit file ``<root>/_commits/<n>.json`` names the path of every table
+of version n (unchanged tables keep their earlier path). The commit file is
+created exclusively: of two writers that prepare the same version, one
+commits and the other gets ``VersionConflict`` and leaves no trace but unused
+files. Readers take the newest commit, so a change becomes visible all at
+once (the reference wraps its purge-and-reload in one transaction). All file
+access goes through the Hadoop file system of the path; any failure to read
+a commit is raised, never taken for "no version".
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import schemas as S
 
 COMMITS = "_commits"
 
 
-def path_exists(path: str) -> bool | None:
-    """True/False for local paths; None when only a read can tell (remote)."""
-    import os
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-    elif "://" in path:
-        return None
-    return os.path.exists(path)
+class VersionConflict(RuntimeError):
+    """Another writer has committed this version."""
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder when the application ends."""
+    fs, at = _fs(spark, path)
+    fs.deleteOnExit(at)
+
+
+def _commit_path(root: str, version: int) -> str:
+    return f"{root.rstrip('/')}/{COMMITS}/{version:010d}.json"
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
-    path = f"{root.rstrip('/')}/{COMMITS}"
-    if path_exists(path) is False:
+    """Newest committed version; None only when the commit folder does not exist or is empty."""
+    fs, at = _fs(spark, f"{root.rstrip('/')}/{COMMITS}")
+    if not fs.exists(at):
         return None
-    try:
-        row = spark.read.parquet(path).agg(F.max("version")).first()
-    except Exception:  # no commit yet (remote path)
-        return None
-    return None if row is None else row[0]
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=None)
+
+
+def commit(spark: SparkSession, root: str, version: int) -> dict:
+    """The commit of a version: {version, committed_at, tables: {name: path}}."""
+    rows = spark.read.text(_commit_path(root, version), wholetext=True).head(1)
+    return json.loads(rows[0][0])
 
 
 def read_table(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
     v = current_version(spark, root) if version is None else version
     if v is None:
         raise FileNotFoundError(f"no committed version under {root}")
-    path = f"{root.rstrip('/')}/v={v}/{name}"
+    path = commit(spark, root, v)["tables"][name]
     schema = S.TABLES.get(name)
     return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
-def write_version(tables: dict[str, DataFrame], root: str, base: dict[str, str] | None = None) -> int:
-    """Write the given tables as the next version and commit it.
+def write_version(tables: dict[str, DataFrame], root: str, expected: int | None = None) -> int:
+    """Write the given tables and commit them as the next version.
 
-    Tables not given are carried over from the previous version by name
-    (``base`` maps table name -> path written before)."""
+    ``expected``: the version that the tables were derived from (default: the
+    newest when writing begins). Tables not given keep their path."""
     if not tables:
         raise ValueError("nothing to write")
     spark = next(iter(tables.values())).sparkSession
-    prev = current_version(spark, root)
-    v = 0 if prev is None else prev + 1
-    out = f"{root.rstrip('/')}/v={v}"
-    # The version is invisible until its commit row exists, so files left by
-    # a failed attempt are simply overwritten by the retry.
+    prev = current_version(spark, root) if expected is None else expected
+    paths = {} if prev is None else dict(commit(spark, root, prev)["tables"])
+    folder = f"{root.rstrip('/')}/data/{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
-    if prev is not None:
-        for name in _names(spark, root, prev):
-            if name not in tables:
-                read_table(spark, root, name, prev).write.mode("overwrite").parquet(f"{out}/{name}")
-    commit = spark.createDataFrame(
-        [(v, dt.datetime.utcnow().replace(microsecond=0), ",".join(sorted(tables)))],
-        "version int, committed_at timestamp_ntz, tables string")
-    commit.write.mode("append").parquet(f"{root.rstrip('/')}/{COMMITS}")
+        df.write.parquet(f"{folder}/{name}")
+        paths[name] = f"{folder}/{name}"
+    v = 0 if prev is None else prev + 1
+    now = dt.datetime.now(dt.timezone.utc).replace(microsecond=0, tzinfo=None)
+    row = json.dumps({"version": v, "committed_at": now.isoformat(), "tables": paths})
+    fs, at = _fs(spark, _commit_path(root, v))
+    try:
+        out = fs.create(at, False)  # fails if the file exists
+    except Exception as e:
+        if not fs.exists(at):
+            raise
+        raise VersionConflict(f"version {v} of {root} is committed already") from e
+    try:
+        out.write(bytearray(row, "utf-8"))
+    finally:
+        out.close()
     return v
-
-
-def _names(spark: SparkSession, root: str, version: int) -> list[str]:
-    row = (spark.read.parquet(f"{root.rstrip('/')}/{COMMITS}").where(F.col("version") <= version)
-           .agg(F.collect_set("tables")).first())
-    names: set[str] = set()
-    for t in (row[0] if row else []):
-        names.update(x for x in t.split(",") if x)
-    return sorted(names)

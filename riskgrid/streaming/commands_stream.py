@@ -25,13 +25,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import apply as AP
 from ..operators import commands as W
 from ..session import checkpoint_dir
-from ..sources.sinks import path_exists
+from ..sources.sinks import delete_on_exit, path_exists
 
 EPOCH = dt.datetime(1970, 1, 1)
 FILES_PER_TRIGGER = 8
 S_CREATED = "Created"
 STATE_SCHEMA = "hazard string, buffer string, last_us long"
-OUT_SCHEMA = ("command_id long, hazard_id int, kind string, performed_by_user_id int, result string, "
+LATE = "Late"  # result of a command that arrived behind the watermark
+OUT_SCHEMA = ("command_id long, hazard_id long, kind string, performed_by_user_id long, result string, "
               "action string")
 OUT_COLUMNS = [c.strip().split(" ")[0] for c in OUT_SCHEMA.split(",")]
 SOURCE_COLUMNS = ("row_type", "hazard_id", "command_id", "command_ts", "kind", "performed_by_user_id",
@@ -63,7 +64,7 @@ def _dec(d: dict, ts_keys) -> dict:
 
 
 def _state_fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    hazard_id = int(key[0])
+    hazard_id = None if key[0] is None else int(key[0])
     wm_us = state.getCurrentWatermarkMs() * 1000
     if state.exists:
         hz, buf, last_us = state.get
@@ -71,19 +72,21 @@ def _state_fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         buf = json.loads(buf)
     else:
         hz, buf, last_us = None, [], None
+    late = []
     for b in batches:
         for rec in b.to_dict("records"):
             rec = {k: AP._none(v) for k, v in rec.items()}
             if rec["row_type"] == AP.ROW_STATE:
                 hz = {k: rec[k] for k in _STATE_KEYS}
                 continue
-            if _us(rec["command_ts"]) < wm_us:
-                continue  # later than the watermark: dropped
+            if _us(rec["command_ts"]) < wm_us:  # its place in the order has passed: reported, not applied
+                late.append((rec["command_id"], hazard_id, rec["kind"], rec["performed_by_user_id"], LATE, None))
+                continue
             buf.append(_enc({k: rec[k] for k in _CMD_KEYS}, ("command_ts", "due_date")))
     buf.sort(key=lambda r: (r["command_ts"], r["command_id"]))
     ready = [r for r in buf if r["command_ts"] < wm_us]
     buf = [r for r in buf if r["command_ts"] >= wm_us]
-    out = []
+    out = late
     for r in ready:
         cmd = _dec(r, ("command_ts", "due_date"))
         res, action, _details, hz = AP.apply_one(cmd, hz)
@@ -94,7 +97,10 @@ def _state_fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     if buf:
         state.setTimeoutTimestamp(max(buf[0]["command_ts"] // 1000, state.getCurrentWatermarkMs() + 1))
     if out:
-        yield pd.DataFrame(out, columns=OUT_COLUMNS)
+        df = pd.DataFrame(out, columns=OUT_COLUMNS)
+        for c in ("command_id", "hazard_id", "performed_by_user_id"):
+            df[c] = df[c].astype("Int64")
+        yield df
 
 
 def apply_stream(source: DataFrame, users: DataFrame, lateness: str) -> DataFrame:
@@ -113,8 +119,8 @@ def apply_stream(source: DataFrame, users: DataFrame, lateness: str) -> DataFram
         _state_fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-CREATE_SCHEMA = ("command_id long, hazard_id int, kind string, performed_by_user_id int, result string, "
-                 "action string, new_hazard_id int, epoch long")
+CREATE_SCHEMA = ("command_id long, hazard_id long, kind string, performed_by_user_id long, result string, "
+                 "action string, new_hazard_id long, epoch long")
 
 
 def create_batch_writer(users: DataFrame, hazards: DataFrame, sink: str):
@@ -130,15 +136,12 @@ def create_batch_writer(users: DataFrame, hazards: DataFrame, sink: str):
         v = W.validate(creates.drop("row_type", "assigned_to_user_id", "status", "created_at"), users, hazards)
         start = hazards.agg(F.coalesce(F.max("hazard_id"), F.lit(0)).cast("long")).first()[0]
         prev = None
-        if path_exists(sink) is not False:
-            try:
-                prev = (spark.read.schema(CREATE_SCHEMA).parquet(sink).where(F.col("epoch") < F.lit(epoch_id))
-                        .agg(F.max("new_hazard_id")).first()[0])
-            except Exception:  # nothing written yet (remote path)
-                prev = None
+        if path_exists(spark, sink):
+            prev = (spark.read.schema(CREATE_SCHEMA).parquet(sink).where(F.col("epoch") < F.lit(epoch_id))
+                    .agg(F.max("new_hazard_id")).first()[0])
         start = max(start, prev or 0)
         ok = I.assign_sequence(v.where(F.col("result") == W.OK), ["command_id"], F.lit(start), "new_hazard_id")
-        rest = v.where(F.col("result") != W.OK).withColumn("new_hazard_id", F.lit(None).cast("int"))
+        rest = v.where(F.col("result") != W.OK).withColumn("new_hazard_id", F.lit(None).cast("long"))
         out = ok.unionByName(rest).select(
             "command_id", "hazard_id", "kind", "performed_by_user_id", "result",
             F.when(F.col("result") == W.OK, F.lit(S_CREATED)).alias("action"), "new_hazard_id",
@@ -156,16 +159,16 @@ def source_rows(commands: DataFrame, hazards: DataFrame, snapshot_ts: dt.datetim
     snap = hazards.join(touched, "hazard_id", "left_semi").select(
         F.lit(AP.ROW_STATE).alias("row_type"), "hazard_id", F.lit(None).cast("long").alias("command_id"),
         F.lit(snapshot_ts).cast("timestamp_ntz").alias("command_ts"), F.lit(None).cast("string").alias("kind"),
-        F.lit(None).cast("int").alias("performed_by_user_id"), F.lit(None).cast("string").alias("new_status"),
-        F.lit(None).cast("int").alias("assign_to_user_id"), F.lit(None).cast("string").alias("details"),
+        F.lit(None).cast("long").alias("performed_by_user_id"), F.lit(None).cast("string").alias("new_status"),
+        F.lit(None).cast("long").alias("assign_to_user_id"), F.lit(None).cast("string").alias("details"),
         "title", "description", "severity", "type", "due_date", "reported_by_user_id", "assigned_to_user_id",
         "status", "created_at")
     cmd = commands.select(
         F.lit(AP.ROW_COMMAND).alias("row_type"), "hazard_id", "command_id", "command_ts", "kind",
         "performed_by_user_id", "new_status", "assign_to_user_id", "details", "title", "description",
         "severity", "type", "due_date",
-        F.when(F.col("kind") == W.KIND_CREATE, F.col("reported_by_user_id")).cast("int").alias("reported_by_user_id"),
-        F.lit(None).cast("int").alias("assigned_to_user_id"), F.lit(None).cast("string").alias("status"),
+        F.when(F.col("kind") == W.KIND_CREATE, F.col("reported_by_user_id")).cast("long").alias("reported_by_user_id"),
+        F.lit(None).cast("long").alias("assigned_to_user_id"), F.lit(None).cast("string").alias("status"),
         F.lit(None).cast("timestamp_ntz").alias("created_at"))
     return snap, cmd
 
@@ -176,6 +179,7 @@ def run_over_files(spark: SparkSession, commands: DataFrame, users: DataFrame, h
     time-ordered slices, then one sentinel per hazard and a tick) and return
     the streamed results without the sentinels."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/commands-stream-{uuid.uuid4().hex}"
+    delete_on_exit(spark, root)  # the result is read lazily, so the folder stays until the application ends
     src, sink, ckpt = f"{root}/source", f"{root}/sink", f"{root}/checkpoint"
     bounds = commands.agg(F.min("command_ts").alias("lo"), F.max("command_ts").alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
@@ -195,7 +199,7 @@ def run_over_files(spark: SparkSession, commands: DataFrame, users: DataFrame, h
         *[F.col(f.name) if f.name == "hazard_id" else fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
           for f in cmd.schema.fields])
     sentinel.write.mode("append").parquet(src)
-    tick = sentinel.limit(1).withColumn("hazard_id", F.lit(-(2 ** 31)).cast("int")) \
+    tick = sentinel.limit(1).withColumn("hazard_id", F.lit(-(2 ** 63)).cast("long")) \
         .withColumn("command_ts", F.lit(hi + lateness * 8).cast("timestamp_ntz"))
 
     schema = spark.read.parquet(src).schema
@@ -218,13 +222,7 @@ def run_over_files(spark: SparkSession, commands: DataFrame, users: DataFrame, h
     cq.awaitTermination()
     folded = spark.read.schema(out.schema).parquet(sink).where(F.col("command_id") >= 0)
     created = spark.createDataFrame([], OUT_SCHEMA)
-    if path_exists(create_sink) is not False:
-        try:
-            created = spark.read.schema(CREATE_SCHEMA).parquet(create_sink).select(*OUT_COLUMNS)
-        except Exception:  # no create in the stream (remote path)
-            pass
+    if path_exists(spark, create_sink):
+        created = spark.read.schema(CREATE_SCHEMA).parquet(create_sink).select(*OUT_COLUMNS)
     return folded.unionByName(created)
 
-
-def created_ids(spark: SparkSession, root_sink: str) -> DataFrame:
-    return spark.read.schema(CREATE_SCHEMA).parquet(root_sink)

@@ -25,7 +25,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import lockout as LK
 from ..session import checkpoint_dir
+from ..sources.sinks import delete_on_exit
 
+LATE = "late"  # outcome of an attempt that arrived behind the watermark
 STATE_SCHEMA = ("window_start_us long, count int, blocked_until_us long, last_ts_us long, buffer string")
 EPOCH = dt.datetime(1970, 1, 1)
 FILES_PER_TRIGGER = 8
@@ -50,17 +52,19 @@ def make_state_fn(max_failures: int, window: dt.timedelta, block: dt.timedelta):
             buf = json.loads(buf)
         else:
             ws, count, bu, last_us, buf = None, 0, None, None, []
+        late = []
         for b in batches:
             for lid, ts, ok in zip(b["login_id"].tolist(), b["ts"].tolist(), b["success"].tolist()):
                 t = _us(ts)
-                if t < wm_us:
-                    continue  # later than the watermark: dropped
+                if t < wm_us:  # its place in the order has passed: reported, not counted
+                    late.append((k, int(lid), ts, bool(ok), LATE, None, None))
+                    continue
                 buf.append([int(lid), t, bool(ok)])
         buf.sort(key=lambda r: (r[1], r[0]))
         ready = [r for r in buf if r[1] < wm_us]
         buf = [r for r in buf if r[1] >= wm_us]
         ks = LK.KeyState(_ts(ws), count or 0, _ts(bu))
-        out = list(LK.fold_key(k, ((lid, _ts(t), ok) for lid, t, ok in ready), ks, max_failures, window, block))
+        out = late + list(LK.fold_key(k, ((lid, _ts(t), ok) for lid, t, ok in ready), ks, max_failures, window, block))
         if ready:
             last_us = ready[-1][1]
         if not buf and (last_us is None or wm_us > last_us + idle_us):
@@ -102,6 +106,7 @@ def run_over_files(spark: SparkSession, events: DataFrame, key_fn, slices: int,
     stream runs with ``availableNow`` into a parquet sink under the shared
     checkpoint folder."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/lockout-stream-{uuid.uuid4().hex}"
+    delete_on_exit(spark, root)  # the result is read lazily, so the folder stays until the application ends
     src, sink, ckpt = f"{root}/source", f"{root}/sink", f"{root}/checkpoint"
     cols = ["login_id", "ts", "ip", "user_name", "success"]
     ev = events.select(*cols)

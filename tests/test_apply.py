@@ -98,13 +98,40 @@ def test_auto_fold_routes_hot_hazards(spark):
     from riskgrid.operators import apply_split as AS
     from riskgrid.operators import hot as H
     users, hazards, cmds = _frames(spark)
+    loose = cmds.limit(1).withColumn("hazard_id", F.lit(None).cast("long")).withColumn("kind", F.lit("comment")) \
+        .withColumn("command_id", F.lit(2 ** 53 + 1))
+    cmds = cmds.unionByName(loose)
     c = cmds.where("kind != 'create'")
-    hot, cold = H.split_hot(c, ["hazard_id"], fraction=0.3, min_rows=1)
-    assert {r.hazard_id for r in hot.select("hazard_id").distinct().collect()} == {1}
+    hot = H.hot_keys(c, ["hazard_id"], 3)
+    assert 1 in {r.hazard_id for r in hot.collect()}
+    flagged = H.flag_hot(c, hot, ["hazard_id"], "_hot")
+    assert flagged.count() == c.count() and flagged.where("_hot is null").count() == 0
     cols = AP.FOLD_COLUMNS
     a = AP.fold(cmds, users, hazards).select(cols)
-    b = AS.fold_auto(cmds, users, hazards, dt.timedelta(minutes=3), fraction=0.2, min_rows=1).select(cols)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    for work in (0, 1, 3, 10 ** 9):
+        b = AS.fold_auto(cmds, users, hazards, dt.timedelta(minutes=3), work_rows=work).select(cols)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert {r.command_id for r in a.where("hazard_id is null").collect()} == {2 ** 53 + 1}
+
+
+def test_ids_over_2_53_stay_whole(spark):
+    from riskgrid.operators import apply_split as AS
+    users, hazards, cmds = _frames(spark)
+    big = cmds.withColumn("command_id", F.col("command_id") + F.lit(2 ** 53 + 1))
+    want = {r.command_id + 2 ** 53 + 1: r.result for r in AP.results(AP.fold(cmds, users, hazards)).collect()}
+    for fold in (AP.fold, lambda *x: AS.fold_split(*x, dt.timedelta(minutes=3))):
+        assert {r.command_id: r.result for r in AP.results(fold(big, users, hazards)).collect()} == want
+
+
+def test_status_is_stored_in_canonical_spelling():
+    state = {"title": "", "description": "", "reported_by_user_id": 3, "assigned_to_user_id": 2, "status": "Open",
+             "severity": "", "type": "", "created_at": None, "due_date": None}
+    cmd = dict(command_id=1, kind="change_status", performed_by_user_id=2, role="SiteManager", new_status=" inprogress",
+               assign_to_user_id=None, target_is_manager=False, details=None, title=None, description=None,
+               severity=None, type=None, due_date=None)
+    res, _, text, st = AP.apply_one(cmd, state)
+    assert (res, text, st["status"]) == ("OK", "Open -> inprogress", "InProgress")
+    assert AP.apply_one({**cmd, "new_status": "RESOLVED "}, st)[0] == "OK"
 
 
 def test_stream_create_writer_numbers_across_epochs(spark):

@@ -72,7 +72,7 @@ def test_hot_key_routing_keeps_results(spark):
     rows = [(i, T0 + dt.timedelta(minutes=m), ip, user, ok) for i, (m, ip, user, ok) in enumerate(ev)]
     df = spark.createDataFrame(rows, S.LOGIN_EVENTS)
     cols = ["key", "login_id", "outcome", "failure_count", "retry_after_minutes"]
-    a = LK.lockout(df, hot_fraction=0.5, hot_min_rows=1).select(cols)
+    a = LK.lockout(df, work_rows=1).select(cols)
     b = LK.lockout(df, split_idle_gaps=False).select(cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
@@ -86,7 +86,7 @@ def test_safe_successes_split_dense_mixed_traffic(spark):
     cols = ["key", "login_id", "outcome", "failure_count", "retry_after_minutes"]
     for mf, w, b in ((3, dt.timedelta(minutes=10), dt.timedelta(minutes=2)), (2, dt.timedelta(minutes=30),
                                                                                dt.timedelta(minutes=5))):
-        a = LK.lockout(df, max_failures=mf, window=w, block=b, hot_fraction=0.5, hot_min_rows=1).select(cols)
+        a = LK.lockout(df, max_failures=mf, window=w, block=b, work_rows=1).select(cols)
         c = LK.lockout(df, max_failures=mf, window=w, block=b, split_idle_gaps=False).select(cols)
         assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
     keyed = df.select(LK.login_key().alias("key"), "login_id", "ts", "success")

@@ -3,6 +3,8 @@
 import datetime as dt
 import tempfile
 
+import pytest
+
 from riskgrid.operators import commands as W
 from riskgrid.sources import schemas as S
 from riskgrid.sources import seed
@@ -25,3 +27,50 @@ def test_purge_reload_commits_once(spark):
     assert sinks.read_table(spark, root, "users").count() == 3          # carried over
     assert sinks.read_table(spark, root, "hazard_logs").count() == 1 + 6
     assert sinks.read_table(spark, root, "hazards", version=0).count() == 2
+
+
+def _one(spark, n):
+    return spark.createDataFrame([(n, "u%d" % n, "U", "FieldWorker", True)], S.USERS)
+
+
+def test_unreadable_commit_is_an_error_and_destroys_nothing(spark):
+    import os
+    root = tempfile.mkdtemp(prefix="riskgrid-sink-")
+    sinks.write_version({"users": _one(spark, 1)}, root)
+    path = f"{root}/_commits/0000000000.json"
+    good = open(path).read()
+    crc = f"{root}/_commits/.0000000000.json.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    open(path, "w").write("{broken")
+    with pytest.raises(ValueError):
+        sinks.write_version({"users": _one(spark, 2)}, root)
+    open(path, "w").write(good)
+    assert [r.user_id for r in sinks.read_table(spark, root, "users").collect()] == [1]
+
+
+def test_of_two_writers_one_commits(spark):
+    root = tempfile.mkdtemp(prefix="riskgrid-sink-")
+    assert sinks.write_version({"users": _one(spark, 1)}, root) == 0
+    assert sinks.write_version({"users": _one(spark, 2)}, root, expected=0) == 1
+    with pytest.raises(sinks.VersionConflict):
+        sinks.write_version({"users": _one(spark, 3)}, root, expected=0)
+    assert [r.user_id for r in sinks.read_table(spark, root, "users").collect()] == [2]
+
+
+def test_register_is_stored_only_on_request(spark):
+    import os
+    from riskgrid.sources import binding as B
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test data not present")
+    root = tempfile.mkdtemp(prefix="riskgrid-register-")
+    assert B.materialize(spark, sf, root) == 0
+    spark.conf.set(B.ROOT_CONF, root)
+    try:
+        stored = B.load(spark, sf).hazards
+    finally:
+        spark.conf.unset(B.ROOT_CONF)
+    lazy = B.load(spark, sf).hazards
+    assert stored.exceptAll(lazy).count() == 0 and lazy.exceptAll(stored).count() == 0
+    assert lazy.where("length(description) > 300").count() > 0  # whole texts

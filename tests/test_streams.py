@@ -1,6 +1,6 @@
 """Stream-specific behaviour of the lockout stream: out-of-order rows within
 the allowed lateness are folded in time order; rows behind the watermark are
-dropped."""
+reported as late and change nothing."""
 
 import datetime as dt
 import tempfile
@@ -12,7 +12,7 @@ from riskgrid.streaming import lockout_stream as LS
 T0 = dt.datetime(2026, 1, 1, 8, 0, 0)
 
 
-def test_lateness_and_late_drop(spark):
+def test_lateness_and_late_rows(spark):
     root = tempfile.mkdtemp(prefix="riskgrid-stream-")
     src = root + "/src"
 
@@ -23,7 +23,7 @@ def test_lateness_and_late_drop(spark):
     put([(1, 0, False), (3, 2, False)])        # batch 1
     put([(2, 1, False), (4, 3, False)])        # out of order, within lateness
     put([(5, 200, False)])                     # moves the watermark to minute 140
-    put([(6, 100, False)])                     # behind the watermark: dropped
+    put([(6, 100, False)])                     # behind the watermark: late
     put([(7, 400, False)])                     # folds everything before minute 340
     put([(8, 1000, False)])                    # tick
     stream = spark.readStream.schema(S.LOGIN_EVENTS).option("maxFilesPerTrigger", 1).parquet(src)
@@ -33,7 +33,7 @@ def test_lateness_and_late_drop(spark):
          .option("checkpointLocation", root + "/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     got = {r.login_id: (r.outcome, r.failure_count) for r in spark.read.parquet(root + "/sink").collect()}
-    assert 6 not in got
+    assert got[6] == (LS.LATE, None) and len(got) >= 7
     assert got[1] == ("failed", 1) and got[2] == ("failed", 2) and got[3] == ("failed", 3)
     assert got[4][0] == "refused"               # blocked at minute 2 until minute 7
     assert got[5] == ("failed", 1)

@@ -61,7 +61,7 @@ def test_csv_field(spark):
 
 
 def test_report_line_cut(spark):
-    got = _one(spark, T.cut_line("x"), ["a" * 120, "b" * 121, None])
+    got = _one(spark, T.cut_line("x", T.REPORT_LINE_MAX), ["a" * 120, "b" * 121, None])
     assert got[0] == "a" * 120
     assert got[1] == "b" * 119 + "…" and len(got[1]) == 120
     assert got[2] == ""
@@ -71,7 +71,9 @@ def test_status_log_text(spark):
     df = spark.createDataFrame([(None,), ("",), ("   ",), ("x" * 2000,), ("note",)], "d string")
     got = [r[0] for r in df.select(T.status_log_text(F.lit("Open"), F.lit("InProgress"), "d")).collect()]
     assert got[:3] == ["Open -> InProgress"] * 3
-    assert len(got[3]) == 2000 and got[3].startswith("Open -> InProgress | x")
+    assert got[3] == "Open -> InProgress | " + "x" * 2000
+    cut = df.select(T.status_log_text(F.lit("Open"), F.lit("InProgress"), "d", T.LOG_DETAILS_MAX).alias("c")).collect()
+    assert max(len(r.c) for r in cut) == T.LOG_DETAILS_MAX
     assert got[4] == "Open -> InProgress | note"
 
 

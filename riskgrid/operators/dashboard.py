@@ -123,18 +123,14 @@ def dashboard_all_breakdown(users: DataFrame, hazards: DataFrame, column: str) -
                    F.when(F.col("role") == S.ROLE_FIELD_WORKER, F.col("all_cnt"))
                    .when(F.col("role") == S.ROLE_SITE_MANAGER, F.col("np_cnt"))
                    .otherwise(F.lit(0)).cast("bigint").alias("count")))
-    # Shared buckets: one row per key value, folded into two maps (their size
-    # is the number of distinct keys, not the number of hazards).
+    # Shared buckets: one row per role and key value, joined on the role; the
+    # planner broadcasts them when they are small, and splits the users otherwise.
     per_key = hazards.groupBy(F.col(column).alias("key")).agg(
         F.count(F.lit(1)).alias("g"), F.count_if(V.in_pool()).alias("p"))
-    maps = per_key.agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "g"))).alias("g"),
-        F.map_from_entries(F.collect_list(F.struct("key", F.col("p")))).alias("p"),
-    ).select(F.struct("g", "p")).scalar()
-    shared_map = (F.when(F.col("role") == S.ROLE_SAFETY_OFFICER, maps["g"])
-                  .when(F.col("role") == S.ROLE_SITE_MANAGER, maps["p"]))
-    shared = (au.where(F.col("role").isin(S.ROLE_SAFETY_OFFICER, S.ROLE_SITE_MANAGER))
-              .select("user_id", F.explode(shared_map).alias("key", "count")))
+    by_role = per_key.select("key", F.explode(F.array(
+        F.struct(F.lit(S.ROLE_SAFETY_OFFICER).alias("r"), F.col("g").alias("count")),
+        F.struct(F.lit(S.ROLE_SITE_MANAGER).alias("r"), F.col("p").alias("count")))).alias("e")).select("key", "e.r", "e.count")
+    shared = au.join(by_role, F.col("role") == F.col("r")).select("user_id", "key", "count")
     return (rel.unionByName(shared).groupBy("user_id", "key").agg(F.sum("count").cast("bigint").alias("count"))
             .where(F.col("count") > 0))
 

@@ -11,8 +11,8 @@ tokens stays within the rest of the budget.
 
 A source may hold a third of all rows, so its keys are never sorted in one
 task: keys are cut into ``BUCKETS`` equal parts of their distribution, the
-prefix sum runs over the buckets' totals, and only the one bucket of a
-source in which the budget ends is ordered row by row.
+prefix sum runs over the buckets' totals (at most that many rows a source), and
+only the one bucket of a source in which the budget ends is ordered row by row.
 
 Defined results: a null text has size 0; a null source is a source of its
 own, after all others; null or non-positive quality weights count as 1;
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import fresh, q, text_key
+from .frames import fresh, q, settle, text_key
 
 SHARE, CAP = 1.5, 2.0
 WEIGHTS = (3, 1, 2)
@@ -94,6 +94,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = SHARE,
     rows = rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(
         (F.lit(1.0) - F.exp(-F.col("key"))) * F.lit(BUCKETS))).cast("int"))
 
+    # Small rows without texts; written once, so the texts are read and counted once.
+    rows = settle(rows)
     cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
     sized = cells.groupBy("source").agg(F.sum("cell").alias("source_size"))
     goal = targets(sized, share, cap, weights)

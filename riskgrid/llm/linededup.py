@@ -1,9 +1,11 @@
 """Line dedup (operator 7): overlapping windows of three lines.
 
 A line ends at a line break, behind a word that ends in ``.``, ``!`` or ``?``,
-or behind a word whose hash says so (one in ``WRAP`` words: unpunctuated text
-is wrapped by its content, so a passage falls into the same lines wherever
-it stands). Every three consecutive lines of a text make a window; short lines
+or behind a word whose hash is the smallest of some ``WRAP`` words in a row that
+hold no such end. So no line has more than ``WRAP`` words, and a passage falls
+into the same lines wherever it stands, but for its first and last ``WRAP``
+words. Cuts are whole lines, so of a repeated passage up to ``WRAP`` words before
+its first common line stay, and fewer than ``WRAP + MIN_WORDS`` at its end. Every three consecutive lines of a text make a window; short lines
 are added until it has ``MIN_WORDS`` words. The last window of a text reaches
 to its end, a text of fewer lines is one window, and a text of fewer words is
 not compared. Lines are compared by their words, A-Z lower-cased.
@@ -59,31 +61,46 @@ def line_starts(w: Words) -> np.ndarray:
     begins = np.zeros(n, bool)
     if not n:
         return begins
-    begins[w.first[:-1][w.first[1:] > w.first[:-1]]] = True
-    cut = _IS_END[w.data[w.end - 1]] | (w.hash % np.uint64(WRAP) == 0)
+    some = w.first[1:] > w.first[:-1]
+    begins[w.first[:-1][some]] = True
+    cut = _IS_END[w.data[w.end - 1]]
     base = int(w.offsets[0])
     breaks = np.concatenate([[0], np.cumsum(_IS_BREAK[w.data[base:int(w.offsets[-1])]])])
-    cut[:-1] |= breaks[w.start[1:] - base] > breaks[w.end[:-1] - base]
+    broken = breaks[w.start[1:] - base] > breaks[w.end[:-1] - base]
+    broken[w.first[1:][some][:-1] - 1] = False   # what follows a text is not its own
+    cut[:-1] |= broken
+    cut[_least(np.where(cut, np.uint64(0), w.hash | np.uint64(1)), w.first)] = True
     begins[1:] |= cut[:-1]
     return begins
 
 
-def windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document in the group, first line, line behind it, hash) of every window."""
-    none = np.zeros(0, np.int64)
-    first = np.flatnonzero(line_starts(w))
-    if not len(first):
-        return none, none, none, np.zeros(0, np.uint64)
+def _least(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Place of the smallest value (the last of equal ones) of every ``WRAP`` words in a row inside a document."""
+    at, have = np.arange(len(value)), 1
+    while have < WRAP and len(at):
+        step = min(have, WRAP - have)
+        a, b = at[:-step], at[step:]
+        at = np.where(value[b] <= value[a], b, a)
+        have += step
+    size = np.diff(first)
+    end = np.repeat(first[1:], size)[:len(at)]
+    return at[np.arange(len(at)) + WRAP <= end]
+
+
+def spans(w: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line bounds of the documents, document of every window, its first line, the line behind it).
+
+    ``first``: first word of each line; lines are counted through the group."""
     length = np.diff(np.append(first, len(w.hash)))
-    place = np.arange(len(w.hash)) - np.repeat(first, length)
-    line = mix(np.add.reduceat(w.hash * _ORDER[place % len(_ORDER)] + (place // len(_ORDER)).astype(np.uint64), first)
-               + length.astype(np.uint64))
     bounds = np.searchsorted(first, w.first)               # line bounds of the documents
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     last = bounds[1:][doc]                                 # end of each line's document
     words_until = np.append(first, len(w.hash))
     start = np.arange(len(first))
-    end = np.maximum(start + WINDOW, np.searchsorted(words_until, first + MIN_WORDS))
+    # Every line has a word, so a window has enough of them after MIN_WORDS lines.
+    end, until = start + WINDOW, len(first)
+    for _ in range(MIN_WORDS - WINDOW):
+        end = end + (words_until[np.minimum(end, until)] < first + MIN_WORDS)
     good = end <= last
     # The last window of a document reaches to its end, and a text without one is one window.
     final = np.zeros(len(first), bool)
@@ -97,28 +114,52 @@ def windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     final[alone] = True
     end = np.where(final, last, end)
     i = np.flatnonzero(good)
+    return bounds, doc[i], i, end[i]
+
+
+def windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document in the group, first line, line behind it, hash) of every window."""
+    none = np.zeros(0, np.int64)
+    first = np.flatnonzero(line_starts(w))
+    if not len(first):
+        return none, none, none, np.zeros(0, np.uint64)
+    length = np.diff(np.append(first, len(w.hash)))
+    place = np.arange(len(w.hash)) - np.repeat(first, length)
+    line = mix(np.add.reduceat(w.hash * _ORDER[place], first) + length.astype(np.uint64))
+    bounds, doc, i, end = spans(w, first)
     power, back = np.full(len(first) + 1, _BASE, np.uint64), np.full(len(first) + 1, _BACK, np.uint64)
     power[0] = back[0] = 1
     power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
     until = np.concatenate([np.zeros(1, np.uint64), np.cumsum(line * power[:-1])])
-    total = (until[end[i]] - until[i]) * back[i]
-    return doc[i], i - bounds[:-1][doc[i]], end[i] - bounds[:-1][doc[i]], mix(total + (end[i] - i).astype(np.uint64))
+    total = (until[end] - until[i]) * back[i]
+    return doc, i - bounds[:-1][doc], end - bounds[:-1][doc], mix(total + (end - i).astype(np.uint64))
+
 
+def cut_lines(w: Words, counts: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+    """Lines and cut lines of each document, and the new texts of those that lose some.
 
-def cut_lines(data: np.ndarray, offsets: np.ndarray, i: int, positions: np.ndarray) -> tuple[str, int, int]:
-    """Text i without the lines that the windows at ``positions`` cover; lines, lines cut."""
-    w = words_of(data, offsets, i, i + 1)
+    ``positions``: of the windows to cut, ``counts`` of them for each document."""
     first = np.flatnonzero(line_starts(w))
-    n = len(first)
-    _, start, end, _ = windows(w)
-    marked = np.isin(start, positions)
-    covered = np.zeros(n + 1, np.int64)
-    np.add.at(covered, start[marked], 1)
-    np.add.at(covered, end[marked], -1)
-    cut = np.cumsum(covered[:n]) > 0
-    bounds = np.concatenate([[w.offsets[0]], w.start[first][1:], [w.offsets[-1]]])
-    parts = [data[bounds[k]:bounds[k + 1]].tobytes() for k in range(n) if not cut[k]]
-    return b"".join(parts).decode("utf-8"), n, int(cut.sum())
+    bounds = np.searchsorted(first, w.first)
+    lines = np.diff(bounds)
+    if not len(positions):
+        return lines, np.zeros(len(lines), np.int64), {}
+    marked = np.zeros(len(first), bool)
+    marked[np.repeat(bounds[:-1], counts) + positions] = True
+    _, _, start, end = spans(w, first)
+    hit = marked[start]
+    covered = np.bincount(start[hit], minlength=len(first) + 1) - np.bincount(end[hit], minlength=len(first) + 1)
+    cut = np.cumsum(covered)[:-1] > 0
+    cuts = np.concatenate([[0], np.cumsum(cut)])
+    removed = cuts[bounds[1:]] - cuts[bounds[:-1]]
+    texts = {}
+    for i in np.flatnonzero(removed).tolist():
+        a, b = bounds[i], bounds[i + 1]
+        # Byte bounds of the lines, and where runs of lines that stay begin and end.
+        at = np.concatenate([w.offsets[i:i + 1], w.start[first[a + 1:b]], w.offsets[i + 1:i + 2]])
+        edges = at[np.flatnonzero(np.diff(np.concatenate([[True], cut[a:b], [True]])))].tolist()
+        texts[i] = b"".join(w.data[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2])).decode("utf-8")
+    return lines, removed, texts
 
 
 _PACKED = "shard int, hash binary, doc binary, tkey binary, pos binary"
@@ -218,19 +259,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             data, offsets = utf8(b.column(at))
             marked = b.column(b.num_columns - 1)
+            place, positions = marked.offsets.to_numpy(), marked.values.to_numpy()
+            counts = np.diff(place)
             lines, removed = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            texts, new = b.column(at), {}
             for lo, hi in groups(offsets):
-                w = words_of(data, offsets, lo, hi)
-                first = np.flatnonzero(line_starts(w))
-                lines[lo:hi] = np.diff(np.searchsorted(first, w.first))
-            texts = b.column(at)
-            changed = np.flatnonzero(marked.is_valid().to_numpy(zero_copy_only=False))
-            if len(changed):
+                lines[lo:hi], removed[lo:hi], changed = cut_lines(
+                    words_of(data, offsets, lo, hi), counts[lo:hi], positions[place[lo]:place[hi]])
+                new.update((lo + i, t) for i, t in changed.items())
+            if new:
                 values = texts.to_pylist()
-                for i in changed.tolist():
-                    pos = np.array(marked[i].as_py(), np.int64)
-                    if len(pos) and values[i] is not None:
-                        values[i], _, removed[i] = cut_lines(data, offsets, i, pos)
+                for i, t in new.items():
+                    values[i] = t
                 texts = pa.array(values, texts.type)
             yield ([texts if c == at else b.column(c) for c in range(b.num_columns - 1)]
                    + [pa.array(lines.astype(np.int32)), pa.array(removed.astype(np.int32))])

@@ -207,3 +207,44 @@ def test_line_dedup_odd_tables(odd, empty, clashing):
     assert kept.columns == clashing.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert 1 in ids and 2 not in ids and {4, 5, 6} <= set(ids)
+
+
+def test_line_dedup_finds_every_long_shared_run(spark):
+    """Unpunctuated runs of more than 50 words, found by comparing all pairs of words (without line_starts)."""
+    rng = random.Random(21)
+    plain = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(9, 12))) for _ in range(n)]
+    passages = [plain(rng.choice([51, 52, 55, 60, 70])) for _ in range(60)]
+    rows = [(i, " ".join(plain(rng.randint(0, 40)) + passages[i % 60] + plain(rng.randint(0, 40))), "en", "s", 0) for i in range(120)]
+    left = {r["doc_id"]: set(r["text"].split()) for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    words = [r[1].split() for r in rows]
+    runs = 0
+    for i, later in enumerate(words):
+        for first in words[:i]:
+            where = {w: k for k, w in enumerate(first)}
+            same = [w in where and (k == 0 or where.get(later[k - 1]) == where[w] - 1) for k, w in enumerate(later)]
+            k = 0
+            while k < len(later):
+                end = k + 1
+                while end < len(later) and same[end]:
+                    end += 1
+                if later[k] in where and end - k > 50:
+                    runs += 1
+                    assert sum(w in left[i] for w in later[k:end]) < 2 * linededup.WRAP + linededup.MIN_WORDS
+                k = end
+        if i < 60:
+            assert left[i] == set(later)
+    assert runs == 60
+
+
+def test_no_line_is_longer_than_the_wrap():
+    from riskgrid.llm.words import tables
+    rng = random.Random(3)
+    texts = ["", "a", "a " * 40, None, *[" ".join(str(rng.random()) for _ in range(n)) for n in (1, 7, 8, 9, 500)]]
+    import pyarrow as pa
+    texts += [" \n", " ".join(str(rng.random()) for _ in range(50)), "\nab"]
+    (w,) = tables(pa.array(texts))
+    begins = linededup.line_starts(w)
+    for i, t in enumerate(texts):   # a text's lines do not depend on its neighbours
+        (own,) = tables(pa.array([t]))
+        assert np.array_equal(linededup.line_starts(own), begins[w.first[i]:w.first[i + 1]])
+    assert np.diff(np.append(np.flatnonzero(linededup.line_starts(w)), len(w.hash))).max() <= linededup.WRAP

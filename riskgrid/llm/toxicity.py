@@ -1,11 +1,13 @@
 """Toxicity (operator 8): a chain of linear classifiers.
 
 The categories are predicted one after the other; the model of a category
-sees the text's hashed words (each distinct word once, A-Z lower-cased) and
-the probabilities of all earlier categories. The later models are trained on
+sees the text's hashed words (each distinct word once, A-Z lower-cased, marks
+apart from the letters and digits that they stand at) and the probabilities of
+all earlier categories. The later models are trained on
 out-of-fold predictions of the earlier ones: every training document's
 earlier probabilities come from models that have not seen it. The linear
-models are logistic regressions, trained by AdaGrad steps in numpy.
+models are logistic regressions, solved by Newton steps in numpy. Every word of the
+sample is a feature, however rare; a ridge on the weights keeps rare words small.
 
 Categories come from the labels: ``low_quality`` (quality 0), ``toxic``
 (toxic 1), ``toxic_low_quality`` (both); a caller may give others. Training
@@ -37,12 +39,12 @@ from .words import tables
 BUCKETS = 1 << 18
 SAMPLE_DOCS = 12000
 FOLDS = 3
-EPOCHS = 6
-RATE = 0.3
-DECAY = 1e-4
-MIN_DOCS = 8      # buckets that fewer sampled documents have are no features
-MIN_Z = 4.0       # nor are those that go with a category less clearly than this
-SEED = 11
+RIDGE = 0.1       # on the weights of words
+CLEAR, STEEP = 4.0, 4   # a word goes with a category at this many standard deviations; how fast the ridge grows below
+RIDGE_FREE = 0.01 # on those of earlier categories, and on the bias around the prior
+NEWTON = 30       # steps at most; each ends with
+CG = 60           # so many inner ones at most
+CLOSE = 1e-4      # largest gradient at the end, a document
 THRESHOLD = 0.4
 
 
@@ -54,7 +56,7 @@ def categories() -> list[tuple[str, Column]]:
 
 def _buckets(col) -> Iterator[np.ndarray]:
     """Per text, its distinct word buckets."""
-    for w in tables(col):
+    for w in tables(col, split_marks=True):
         every = (w.hash >> np.uint64(24)).astype(np.int64) & (BUCKETS - 1)
         for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
             yield np.unique(every[a:b])
@@ -64,43 +66,59 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def telling(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Which buckets occur with the category clearly more or less often than by chance."""
-    n, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for at, label in zip(rows, y):
-        n[at] += 1
-        if label:
-            hits[at] += 1
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    z = (hits - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
-    return (n >= MIN_DOCS) & (np.abs(z) >= MIN_Z)
-
-
-def logistic(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, seed: int,
-             epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(weight per bucket, weight per earlier category, bias)."""
-    use = telling(rows, y)
-    rows = [at[use[at]] for at in rows]
-    weight, sums = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
-    chain, chain_sums = np.zeros(before.shape[1]), np.full(before.shape[1], 1e-3)
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    bias, bias_sum = float(np.log(share / (1 - share))), 1e-3
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            at = rows[i]
-            g = _sigmoid(bias + weight[at].sum() + before[i] @ chain) - y[i]
-            if abs(g) < 1e-4:
-                continue
-            own = g + DECAY * weight[at]
-            sums[at] += own * own
-            weight[at] -= RATE * own / np.sqrt(sums[at])
-            own = g * before[i] + DECAY * chain
-            chain_sums += own * own
-            chain -= RATE * own / np.sqrt(chain_sums)
-            bias_sum += g * g
-            bias -= RATE * g / np.sqrt(bias_sum)
-    return weight, chain, bias
+def logistic(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weight per bucket, weight per earlier category, bias) of least penalised loss."""
+    n, k = before.shape
+    sizes = np.array([len(at) for at in rows], np.int64)
+    every = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+    used, place = np.unique(every, return_inverse=True)
+    doc, m = np.repeat(np.arange(n), sizes), len(used)
+    dense = np.column_stack([before, np.ones(n)])
+    share = (y.sum() + 0.5) / (n + 1)
+    prior = float(np.log(share / (1 - share)))
+    docs, hits = np.bincount(place, minlength=m), np.bincount(place, y[doc], m)
+    z = (hits - docs * share) / np.sqrt(docs * share * (1 - share) + 1)
+    ridge = np.concatenate([RIDGE * (1 + (CLEAR / np.maximum(np.abs(z), 1e-2)) ** STEEP), np.full(k + 1, RIDGE_FREE)])
+
+    def times(x):
+        return np.bincount(doc, x[place], n) + dense @ x[m:]
+
+    def back(r):
+        return np.concatenate([np.bincount(place, r[doc], m), r @ dense])
+
+    def loss(x):
+        z = times(x) + prior
+        return np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * x * x).sum()
+
+    x = np.zeros(m + k + 1)
+    now = loss(x)
+    for _ in range(NEWTON):
+        p = _sigmoid(times(x) + prior)
+        grad = back(p - y) + ridge * x
+        if np.abs(grad).max() < CLOSE * max(n, 1):
+            break
+        curve = p * (1 - p)
+        # The Newton step by conjugate gradients, scaled by the diagonal.
+        scale = 1 / (np.concatenate([np.bincount(place, curve[doc], m), curve @ (dense * dense)]) + ridge)
+        step, r = np.zeros_like(x), -grad
+        d = scale * r
+        rr = first = r @ d
+        for _ in range(CG):
+            hd = back(curve * times(d)) + ridge * d
+            by = rr / (d @ hd)
+            step += by * d
+            r = r - by * hd
+            old, rr = rr, r @ (scale * r)
+            if rr < 1e-4 * first:
+                break
+            d = scale * r + rr / old * d
+        size = 1.0
+        while (new := loss(x + size * step)) > now + 1e-4 * size * (grad @ step) and size > 1e-6:
+            size /= 2
+        x, now = x + size * step, new
+    weight = np.zeros(BUCKETS)
+    weight[used] = x[:m]
+    return weight, x[m:m + k], prior + float(x[-1])
 
 
 @dataclass(frozen=True)
@@ -118,8 +136,7 @@ class Chain:
         return out
 
 
-def train(rows: list[np.ndarray], truth: np.ndarray, names: tuple[str, ...], folds: int = FOLDS,
-          seed: int = SEED) -> Chain:
+def train(rows: list[np.ndarray], truth: np.ndarray, names: tuple[str, ...], folds: int = FOLDS) -> Chain:
     """``truth``: [document, category] 0/1. Folds by position."""
     # Copies of one text would make its rare words look telling.
     first = {}
@@ -135,10 +152,10 @@ def train(rows: list[np.ndarray], truth: np.ndarray, names: tuple[str, ...], fol
         if c + 1 < k:
             for f in range(folds):
                 rest = np.flatnonzero(fold != f)
-                w, ch, b = logistic([rows[i] for i in rest], before[rest], y[rest], seed + 100 * c + f)
+                w, ch, b = logistic([rows[i] for i in rest], before[rest], y[rest])
                 for i in np.flatnonzero(fold == f):
                     earlier[i, c] = _sigmoid(b + w[rows[i]].sum() + before[i] @ ch)
-        w, ch, b = logistic(rows, before, y, seed + 100 * c + 99)
+        w, ch, b = logistic(rows, before, y)
         weight[c], chain[c, :c], bias[c] = w, ch, b
     return Chain(names, weight, chain, bias)
 

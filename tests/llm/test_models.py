@@ -165,3 +165,37 @@ def test_lattice_recall_per_cosine():
 def test_lattice_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>, label int")
     assert lattice.near_vectors(df).count() == 0
+
+
+def test_toxicity_sees_words_with_marks_attached(spark):
+    """Plain toxic words in the learnt documents, the same words with marks attached in the held-out ones."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(400):
+        held, toxic = zlib.crc32(str(i).encode()) % 4 == 2, rng.random() < 0.3
+        words = prose(rng, 60).split()
+        if toxic:
+            for at in rng.sample(range(60), 2):
+                word = rng.choice(["scum", "Moron", "idiot"])
+                words[at] = rng.choice(["%s###", "%s!!", "(%s", "\"%s\"***"]) % word if held else word
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, i % 2, int(toxic)))
+    docs = frame(spark, rows)
+    chain = toxicity.fit(docs, spark.createDataFrame(labels, LABELS))
+    p = {r["doc_id"]: r["toxic"] for r in toxicity.predict(docs, chain).collect()}
+    held = [(p[i], t) for i, _, t in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(t for _, t in held) > 20
+    assert np.mean([x >= toxicity.THRESHOLD for x, t in held if t]) > 0.9
+    assert np.mean([x >= toxicity.THRESHOLD for x, t in held if not t]) < 0.1
+
+
+def test_toxicity_drops_no_rare_word():
+    """A word of three documents, all of the category, counts for something; one of a single document for little."""
+    rows = [np.array([1, 10 + i] + [5] * (i % 2)) for i in range(200)]
+    y = np.zeros(200)
+    for i in (3, 50, 120):
+        rows[i], y[i] = np.append(rows[i], 400), 1
+    weight, _, bias = toxicity.logistic([np.unique(r) for r in rows], np.zeros((200, 0)), y)
+    assert weight[400] > 2 and bias < -2 and weight[400] > 5 * abs(weight[13]) > 0
+    none = toxicity.logistic([], np.zeros((0, 1)), np.zeros(0))
+    assert not none[0].any() and np.isfinite(none[2])

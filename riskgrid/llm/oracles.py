@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, urlfilter
+from . import lexical, mixing, urlfilter
 
 _HOST = "translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{u}', '{l}')".format(
     u=urlfilter._LETTERS, l=urlfilter._LETTERS.lower())
@@ -86,4 +86,28 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-SQL: dict[str, str] = {"op2_url_filter": OP2, "op9_mixing": OP9}
+_TERMS = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+OP12 = f"""
+WITH i AS (SELECT *, row_number() OVER () AS no FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+it AS (SELECT no, term, count(*) AS q FROM (SELECT no, unnest({_TERMS}) AS term FROM i) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS row_no, doc_id, {_TERMS} AS terms FROM documents),
+n AS (SELECT row_no, doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+tf AS (
+  SELECT row_no, term, count(*)::BIGINT AS tf FROM (SELECT row_no, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, total GROUP BY term, n_docs),
+s AS (
+  SELECT it.no, n.doc_id, n.row_no,
+         sum(it.q * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * n.n * n_docs) // n_terms))))::BIGINT AS score
+  FROM tf JOIN it USING (term) JOIN w USING (term) JOIN n USING (row_no), total GROUP BY it.no, n.doc_id, n.row_no),
+r AS (
+  SELECT no, doc_id, score, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+  FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN i USING (no) WHERE rank <= {lexical.TOP}
+"""
+
+SQL: dict[str, str] = {"op2_url_filter": OP2, "op9_mixing": OP9, "op12_lexical": OP12}

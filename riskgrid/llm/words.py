@@ -100,18 +100,19 @@ def _byte_cuts(data: np.ndarray, lo: int, hi: int) -> list[int]:
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool = True,
-             split_marks: bool = False) -> Words:
+             split_marks: bool = False, inside: np.ndarray | None = None) -> Words:
     """The words of documents lo..hi.
 
     ``split_marks``: also split between ASCII punctuation (but an apostrophe)
-    and an ASCII letter or digit."""
+    and an ASCII letter or digit. ``inside``: which of the 256 bytes a word is made
+    of, where that is not all but white space (no white space among them)."""
     table = _BYTE_LOWER if lower else _BYTE
     bounds = offsets[lo:hi + 1]
     starts, ends, hashes = [], [], []
     cuts = _byte_cuts(data, int(bounds[0]), int(bounds[-1]))
     for a, b in zip(cuts, cuts[1:]):
         part = data[a:b]
-        solid = ~_IS_SPACE[part]
+        solid = ~_IS_SPACE[part] if inside is None else inside[part]
         # A document boundary ends a word even without white space.
         inner = bounds[np.searchsorted(bounds, a, "right"):np.searchsorted(bounds, b, "left")] - a
         begin = solid.copy()
@@ -155,11 +156,11 @@ def groups(offsets: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def tables(col, lower: bool = True, split_marks: bool = False) -> Iterator[Words]:
+def tables(col, lower: bool = True, split_marks: bool = False, inside: np.ndarray | None = None) -> Iterator[Words]:
     """The words of a whole column, group by group."""
     data, offsets = utf8(col)
     for lo, hi in groups(offsets):
-        yield words_of(data, offsets, lo, hi, lower, split_marks)
+        yield words_of(data, offsets, lo, hi, lower, split_marks, inside)
 
 
 def sequence_hash(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lexical, mixing, urlfilter
+from . import lexical, mixing, secretscan, urlfilter
 
 _HOST = "translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{u}', '{l}')".format(
     u=urlfilter._LETTERS, l=urlfilter._LETTERS.lower())
@@ -110,4 +110,44 @@ r AS (
 SELECT item_id, rank, doc_id, score FROM r JOIN i USING (no) WHERE rank <= {lexical.TOP}
 """
 
-SQL: dict[str, str] = {"op2_url_filter": OP2, "op9_mixing": OP9, "op12_lexical": OP12}
+
+
+def _any_case(pattern: str) -> str:
+    """The key words of the assign pattern in either case, ASCII letters only."""
+    words, rest = pattern.split(")", 1)
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words) + ")" + rest
+
+
+def _matches(nth: int, rule: secretscan.Rule) -> str:
+    pattern = _any_case(secretscan._ASSIGN) if rule.name == "assign" else rule.pattern
+    p = pattern.replace("'", "''")
+    return (f"SELECT no, '{rule.name}' AS kind, {nth} AS nth, regexp_extract_all(t, '{p}') AS m, "
+            f"regexp_extract_all(t, '{p}', {rule.counted}) AS g, string_split_regex(t, '{p}') AS s, {rule.least} AS least "
+            f"FROM d WHERE regexp_matches(t, '{p}')")
+
+
+_BASE = ", ".join(f"'{r.name}'" for r in secretscan.BASE_RULES)
+# A match starts behind the pieces between the matches and the matches before it.
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS no, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({' UNION ALL '.join(_matches(i, r) for i, r in enumerate(secretscan.RULES))}),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x),
+f AS (
+  SELECT no, kind, nth, length(m[i]) AS size,
+         list_sum(list_transform(s[1:i], lambda v: length(v)))
+           + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) AS start
+  FROM e WHERE length(g[i]) >= least),
+r AS (
+  SELECT no, kind, nth, start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM f),
+a AS (
+  SELECT no, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY start, nth) FILTER (kind IN ({_BASE})) AS base,
+         string_agg(span, ',' ORDER BY start, nth) AS spans
+  FROM r GROUP BY no)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (no)
+"""
+
+SQL: dict[str, str] = {"op2_url_filter": OP2, "op9_mixing": OP9, "op12_lexical": OP12, "op13_secrets": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lattice, lexical, linededup, minhash, mixing, packing, quality, sharding, toxicity, urlfilter
+from . import jaccard, lattice, lexical, linededup, minhash, mixing, packing, quality, secretscan, sharding, toxicity, urlfilter
 from .frames import settle, table
 
 
@@ -79,6 +79,10 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -91,4 +95,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
     "op12_lexical": op12_lexical,
+    "op13_secrets": op13_secrets,
 }

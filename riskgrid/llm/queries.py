@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lattice, lexical, linededup, minhash, mixing, packing, quality, secretscan, sharding, toxicity, urlfilter
+from . import alignment, jaccard, lattice, lexical, linededup, minhash, mixing, packing, quality, secretscan, sharding, toxicity, urlfilter
 from .frames import settle, table
 
 
@@ -75,6 +75,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_counts(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
     "op12_lexical": op12_lexical,
     "op13_secrets": op13_secrets,
 }

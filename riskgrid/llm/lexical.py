@@ -283,7 +283,11 @@ def _search_block(docs: DataFrame, items: Items, id_type: T.DataType, k: int, id
     df = document_counts(bags, len(items.hash))
     weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * int(d) + 1))) for d in df], np.int64)
     top = settle(score_classes(classes(bags, n_docs, n_terms, k), items, weights, k))
-    members = top.select("item", "score", F.explode("ids").alias("doc_id"))
+    # The best classes of all tasks first: only those are expanded, where they are.
+    least = F.col("ids")[0]
+    order = Window.partitionBy("item").orderBy(F.col("score").desc(), least.asc_nulls_last())
+    few = top.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+    members = few.select("item", "score", F.explode("ids").alias("doc_id"))
     best = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     ranked = members.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     names = docs.sparkSession.createDataFrame(

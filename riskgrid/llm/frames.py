@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +52,47 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the machine.
+
+    A worker lives on behind its task, beside those of the next stage; without
+    this, every one of them keeps the most it has ever held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back by hand
+        pass
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
+    """``run``, with ``release`` behind the last batch of a task."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return wrapped
+
+
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: rows of equal keys numbered from 1, in any order.
+
+    Numbers run per key and written partition, plus the rows of the key in earlier
+    partitions, so a key of very many rows is not one task's. ``df`` is written once."""
+    at, part, ahead = fresh(df, "at"), fresh(df, "part"), fresh(df, "ahead")
+    rows = settle(df.withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(q(at), 33))
+    counts = rows.groupBy(*[q(k) for k in keys], q(part)).agg(F.count(F.lit(1)).alias(name))
+    before = Window.partitionBy(*[q(k) for k in keys]).orderBy(q(part)).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = counts.select(*[q(k).alias(f"{ahead}_{i}") for i, k in enumerate(keys)], q(part).alias(f"{ahead}_p"),
+                            F.coalesce(F.sum(name).over(before), F.lit(0)).alias(ahead))
+    met = q(part) == q(f"{ahead}_p")
+    for i, k in enumerate(keys):
+        met = met & q(k).eqNullSafe(q(f"{ahead}_{i}"))
+    inside = Window.partitionBy(*[q(k) for k in keys], q(part)).orderBy(q(at))
+    return (rows.withColumn(name, F.row_number().over(inside)).join(earlier, met)
+            .withColumn(name, q(name) + q(ahead)).drop(at, part, *earlier.columns))
+
+
 def map_columns(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` by position: ``run`` yields lists of arrays in the order of ``schema``.
 
@@ -61,7 +103,7 @@ def map_columns(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         for arrays in run(batches):
             yield pa.RecordBatch.from_arrays(arrays, names=inner.names)
 
-    return df.toDF(*[f"i{i}" for i in range(len(df.columns))]).mapInArrow(named, inner).toDF(*schema.names)
+    return df.toDF(*[f"i{i}" for i in range(len(df.columns))]).mapInArrow(released(named), inner).toDF(*schema.names)
 
 
 def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:

@@ -36,12 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .frames import by_group, fresh, partitions, q, settle, text_key
+from .frames import by_group, fresh, numbered, partitions, q, released, settle, text_key
 from .minhash import band_keys, hash_family, signature
 from .words import shingle_sets, tables
 
@@ -172,7 +172,7 @@ def _link_group(num: int, den: int):
 def _in_groups(rows: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
     handle = _link_group(num, den)
     return (rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-            .mapInArrow(lambda it: by_group(it, keys, handle), _LINKS))
+            .mapInArrow(released(lambda it: by_group(it, keys, handle)), _LINKS))
 
 
 def classes(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -205,7 +205,7 @@ def classes(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text_co
                 [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -224,7 +224,7 @@ def _shingles(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())],
                                                  names=["cls", "block", "part", "parts", "shingles"])
 
-    return texts.mapInArrow(run, "cls binary, block binary, part int, parts int, shingles binary")
+    return texts.mapInArrow(released(run), "cls binary, block binary, part int, parts int, shingles binary")
 
 
 def link(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
@@ -268,17 +268,27 @@ def keep_one(docs: DataFrame, k: int, similarity: tuple[int, int], bands: int, r
 
     Documents without shingles all stay."""
     found = settle(link(docs, k, similarity, bands, rows, id_col, text_col))
+    kid, kkey, once, many, nth = (fresh(docs, c) for c in ("kid", "kkey", "once", "many", "nth"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     best = (found.where("root is not null").groupBy("root").agg(F.min(row).alias("best"))
-            .select(F.col("best.doc_id").alias("_kid"), F.col("best.text_key").alias("_kkey")).distinct())
-    loose = found.where("root is null").select(F.col("doc_id").alias("_kid"), F.col("text_key").alias("_kkey")).distinct()
-    kept = best.withColumn("_once", F.lit(True)).unionByName(loose.withColumn("_once", F.lit(False)))
-    nth = fresh(docs, "nth")
-    joined = docs.join(kept, q(id_col).eqNullSafe(F.col("_kid")) & (text_key(id_col, text_col) == F.col("_kkey")))
-    # Repeated rows of a kept document: one stays. Rows of one id and text only meet here.
-    again = Window.partitionBy("_kid", "_kkey").orderBy(F.lit(1))
-    return (joined.withColumn(nth, F.row_number().over(again)).where(~F.col("_once") | (F.col(nth) == 1))
-            .drop(nth, "_kid", "_kkey", "_once"))
+            .select("best.doc_id", "best.text_key", F.lit(True).alias("once")))
+    loose = found.where("root is null").select("doc_id", "text_key", F.lit(False).alias("once"))
+    copies = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = settle(best.unionByName(loose).distinct().alias("k")
+                  .join(copies.alias("c"), F.expr("k.doc_id <=> c.doc_id and k.text_key = c.text_key"), "left")
+                  .select(F.col("k.doc_id").alias(kid), F.col("k.text_key").alias(kkey),
+                          F.col("k.once").alias(once), (F.col("once") & F.col("n").isNotNull()).alias(many)))
+
+    def joined(which: DataFrame) -> DataFrame:
+        return docs.join(which, q(id_col).eqNullSafe(q(kid)) & (text_key(id_col, text_col) == q(kkey)))
+
+    out = joined(kept.where(~q(many))).select(*[q(c) for c in docs.columns])
+    repeated = kept.where(q(many))
+    if repeated.isEmpty():
+        return out
+    # Repeated rows of a kept document: one stays.
+    first = numbered(joined(repeated), [kid, kkey], nth).where(q(nth) == 1)
+    return out.unionByName(first.select(*[q(c) for c in docs.columns]))
 
 
 def _across_parts(sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import by_group, fresh, map_columns, partitions, q, text_key
+from .frames import by_group, fresh, map_columns, partitions, q, released, text_key
 from .words import Words, groups, mix, utf8, words_of
 
 WINDOW = 3
@@ -233,9 +233,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
              pa.array(np.concatenate([tkey[later], join("tkey", np.int64, False)])),
              pa.array(np.concatenate([pos[later], join("pos", np.int32, False)]))], names=["doc", "tkey", "pos"])
 
-    packed = source.mapInArrow(make, _PACKED)
+    packed = source.mapInArrow(released(make), _PACKED)
     return (packed.repartition(partitions(spark), "shard").sortWithinPartitions("shard")
-            .mapInArrow(lambda it: by_group(it, ["shard"], settle_shard), "doc long, tkey long, pos int"))
+            .mapInArrow(released(lambda it: by_group(it, ["shard"], settle_shard)), "doc long, tkey long, pos int"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -244,13 +244,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = {c.lower() for c in docs.columns}
     if clash := [c for c in (lines_col, removed_col) if c.lower() in taken]:
         raise ValueError(f"there are columns {clash} already")
-    key, tkey, cut = fresh(docs, "doc"), fresh(docs, "tkey"), fresh(docs, "cut")
+    key, tkey, cut, mdoc, mkey = (fresh(docs, c) for c in ("doc", "tkey", "cut", "mdoc", "mkey"))
     # At most as many positions as the document has windows.
     marks = (repeated_windows(docs, id_col, text_col).groupBy("doc", "tkey")
-             .agg(F.collect_set("pos").alias(cut)).withColumnsRenamed({"doc": "_mdoc", "tkey": "_mkey"}))
+             .agg(F.collect_set("pos").alias(cut)).withColumnsRenamed({"doc": mdoc, "tkey": mkey}))
     joined = (docs.withColumn(key, F.coalesce(q(id_col).cast("long"), F.lit(LAST)))
               .withColumn(tkey, text_key(id_col, text_col))
-              .join(marks, (F.col(key) == F.col("_mdoc")) & (F.col(tkey) == F.col("_mkey")), "left")
+              .join(marks, (F.col(key) == F.col(mdoc)) & (F.col(tkey) == F.col(mkey)), "left")
               .select(*[q(c) for c in docs.columns], F.col(cut)))
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema, T.StructField(lines_col, T.IntegerType()), T.StructField(removed_col, T.IntegerType())])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import partitions, q, settle, text_key
+from .frames import partitions, q, released, settle, text_key
 from .words import mix, shingle_sets, tables
 
 SHINGLE = 5
@@ -155,7 +155,7 @@ def fingerprint_edits(docs: DataFrame, k: int = SHINGLE, permutations: int = PER
         if held is not None:
             yield edge(*held, "last")
 
-    rows = settle(source.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(run, out))
+    rows = settle(source.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(released(run), out))
     # Two rows per range: the last of each meets the first of the next range that has rows.
     ends = rows.where("role <> 'row'").select("part", "role", "doc_id", "text", "fingerprint")
     parts = ends.select("part").distinct()

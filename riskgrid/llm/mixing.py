@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import fresh, q, settle, text_key
+from .frames import fresh, numbered, q, settle, text_key
 
 SHARE, CAP = 1.5, 2.0
 WEIGHTS = (3, 1, 2)
@@ -77,7 +77,10 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = SHARE,
         weights=WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, text_key, size, source, source_size, target, copies, taken per row of ``docs``.
 
-    ``quality``: (doc_id, quality_weight), at most one row per doc_id."""
+    ``quality``: (doc_id, quality_weight), at most one row per doc_id. ``cap``, the most
+    copies of a document, is a whole number (else ValueError)."""
+    if cap != int(cap):
+        raise ValueError("cap counts copies of whole documents: a whole number")
     text = q(text_col)
     rows = docs.select(q(id_col).alias("doc_id"), text_key(id_col, text_col).alias("text_key"),
                        q(source_col).alias("source"), word_count(text).alias("size"),
@@ -127,10 +130,24 @@ def take(docs: DataFrame, quality: DataFrame | None = None, share: float = SHARE
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed documents, all columns: each row as often as the mix takes it.
 
-    Rows that repeat an id and a text are each taken as often as the one taken least."""
-    plan = (mix(docs, quality, share, cap, weights, id_col, text_col, source_col)
-            .groupBy(F.col("doc_id").alias("_tid"), F.col("text_key").alias("_tkey")).agg(F.min("copies").alias("_copies"))
-            .where("_copies > 0"))
-    again = fresh(docs, "again")
-    joined = docs.join(plan, q(id_col).eqNullSafe(F.col("_tid")) & (text_key(id_col, text_col) == F.col("_tkey")))
-    return joined.withColumn(again, F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop(again, "_tid", "_tkey", "_copies")
+    Rows that repeat an id and a text share the copies that the mix gives to all of them:
+    each is taken as often as any other of them, or once more."""
+    tid, tkey, rows, total, again, nth = (fresh(docs, c) for c in ("tid", "tkey", "rows", "total", "again", "nth"))
+    plan = settle(mix(docs, quality, share, cap, weights, id_col, text_col, source_col)
+                  .groupBy(F.col("doc_id").alias(tid), F.col("text_key").alias(tkey))
+                  .agg(F.count(F.lit(1)).alias(rows), F.sum("copies").alias(total)).where(q(total) > 0))
+
+    def taken(which: DataFrame) -> DataFrame:
+        return docs.join(which, q(id_col).eqNullSafe(q(tid)) & (text_key(id_col, text_col) == q(tkey)))
+
+    def repeated(joined: DataFrame, copies: Column) -> DataFrame:
+        times = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>"))
+        return joined.withColumn(again, F.explode(times)).select(*[q(c) for c in docs.columns])
+
+    out = repeated(taken(plan.where(q(rows) == 1)), q(total))
+    several = plan.where(q(rows) > 1)
+    if several.isEmpty():
+        return out
+    numbers = numbered(taken(several), [tid, tkey], nth)
+    share_of = F.expr(f"`{total}` div `{rows}`") + (q(nth) <= F.pmod(q(total), q(rows))).cast("long")
+    return out.unionByName(repeated(numbers, share_of))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import fresh, map_columns, q
+from .frames import fresh, map_columns, q, released
 from .words import _IS_SPACE, Words, groups, mix, utf8, words_of
 
 BUCKETS = 1 << 17
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         yield pa.RecordBatch.from_arrays([pa.array([model.gain.astype(np.float32).tobytes()], pa.binary()),
                                           pa.array([model.bias])], names=["gain", "bias"])
 
-    got = sample.repartition(1).mapInArrow(learn, "gain binary, bias double").collect()
+    got = sample.repartition(1).mapInArrow(released(learn), "gain binary, bias double").collect()
     if not got:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     return Model(np.frombuffer(got[0]["gain"], np.float32), got[0]["bias"])

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import fresh, partitions, q, settle
+from .frames import fresh, numbered, partitions, q, settle
 
 SHARDS = 24
 OVERHEAD = 8
@@ -71,14 +71,15 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, overhead: int
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the documents as one folder per shard, rows in slot order.
 
-    ``id_col`` must tell rows apart; rows that repeat an id are written once per
-    placement of that id and text."""
-    key, place = fresh(docs, "shard"), fresh(docs, "slot")
+    Rows that repeat an id and a text take that id and text's slots one each. A shard is
+    written by several tasks, each a run of its slots."""
+    key, place, sid, crc, nth = (fresh(docs, c) for c in ("shard", "slot", "sid", "crc", "nth"))
     plan = assign_shards(docs, shards, overhead, id_col, text_col).select(
-        F.col("doc_id").alias("_sid"), F.col("text_crc32").alias("_scrc"),
-        F.col("shard").alias(key), F.col("slot").alias(place))
-    plan = plan.groupBy("_sid", "_scrc").agg(F.min(key).alias(key), F.min(place).alias(place))
-    crc = F.crc32(F.coalesce(q(text_col), F.lit("")).cast("binary"))
-    (docs.join(plan, q(id_col).eqNullSafe(F.col("_sid")) & (crc == F.col("_scrc"))).drop("_sid", "_scrc")
-     .repartition(shards, key).sortWithinPartitions(key, place)
+        F.col("doc_id").alias(sid), F.col("text_crc32").alias(crc), F.col("shard").alias(key), F.col("slot").alias(place))
+    plan = numbered(plan, [sid, crc], nth)
+    rows = docs.withColumn(f"{crc}_own", F.crc32(F.coalesce(q(text_col), F.lit("")).cast("binary")))
+    rows = numbered(rows, [id_col, f"{crc}_own"], f"{nth}_own")
+    placed = rows.join(plan, q(id_col).eqNullSafe(q(sid)) & (q(f"{crc}_own") == q(crc)) & (q(f"{nth}_own") == q(nth)))
+    (placed.select(*[q(c) for c in docs.columns], q(key), q(place))
+     .repartitionByRange(max(shards, partitions(docs.sparkSession)), key, place).sortWithinPartitions(key, place)
      .write.partitionBy(key).parquet(path))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import q
+from .frames import q, released
 from .quality import held_out
 from .words import tables
 
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, cats: list[tuple[str, Column]] | Non
         yield pa.RecordBatch.from_arrays(
             [pa.array([x.tobytes()], pa.binary()) for x in (m.weight, m.chain, m.bias)], names=["weight", "chain", "bias"])
 
-    got = sample.repartition(1).mapInArrow(learn, "weight binary, chain binary, bias binary").collect()
+    got = sample.repartition(1).mapInArrow(released(learn), "weight binary, chain binary, bias binary").collect()
     k = len(names)
     if not got:
         return Chain(names, np.zeros((k, BUCKETS), np.float32), np.zeros((k, k)), np.zeros(k))
@@ -212,4 +212,4 @@ def predict(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, c]) for c in range(len(m.names))]],
                                              names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)

@@ -3,7 +3,7 @@
 Commands interact only within one hazard (roles do not change inside a
 batch), so the fold runs per hazard_id: the hazard's snapshot row and its
 commands are hash-partitioned on hazard_id and sorted (hazard, snapshot
-first, then command time and id) by Spark; ``mapInArrow`` then streams each
+first, then command time and id; NULLs first, and full ties by content) by Spark; ``mapInArrow`` then streams each
 partition's Arrow batches through a small Python state machine, hazard after
 hazard, row by row; no hazard's history is buffered.
 Creates bypass the fold: they are judged against the snapshot (W1) and get
@@ -29,6 +29,10 @@ from . import ids as I
 
 OK, UNAUTH, BAD, NOTFOUND, FORBID = W.OK, W.UNAUTH, W.BAD, W.NOTFOUND, W.FORBID
 ROW_STATE, ROW_COMMAND = 0, 1
+STATE_FIELDS = ("title", "description", "reported_by_user_id", "assigned_to_user_id", "status", "severity", "type",
+                "created_at", "due_date")
+# Order of a hazard's commands; NULLs come first. ``tie``, a hash of the whole command, settles equal times and ids.
+ORDER = ["command_ts", "command_id", "tie"]
 
 FOLD_SCHEMA = (
     "hazard_id long, row_type string, command_id long, command_ts timestamp_ntz, kind string, "
@@ -188,6 +192,18 @@ def apply_one(cmd: dict, state: dict | None) -> tuple[str, str | None, str | Non
     return res, S.ACTION_COMMENT, cmd["details"], state
 
 
+def order_key(ts, ident) -> tuple:
+    """Place of a command in its hazard's order: NULL before all values, as Spark sorts."""
+    return (ts is not None, ts, ident is not None, ident)
+
+
+def result_row(row: dict, res: str, action: str | None, details: str | None) -> dict:
+    return {"hazard_id": row["hazard_id"], "row_type": "result", "command_id": row["command_id"],
+            "command_ts": row["command_ts"], "kind": row["kind"],
+            "performed_by_user_id": row["performed_by_user_id"], "result": res, "action": action,
+            "log_details": details}
+
+
 def fold_rows(rows: Iterator[dict]) -> Iterator[dict]:
     """Fold one hazard's rows (state row first, then commands in order);
     yields one output per command and one final state row if it changed."""
@@ -195,20 +211,16 @@ def fold_rows(rows: Iterator[dict]) -> Iterator[dict]:
     for row in rows:
         hazard_id = row["hazard_id"]
         if row["row_type"] == ROW_STATE:
-            state = {k: row[k] for k in ("title", "description", "reported_by_user_id", "assigned_to_user_id",
-                                         "status", "severity", "type", "created_at", "due_date")}
+            state = {k: row[k] for k in STATE_FIELDS}
             continue
-        key = (row["command_ts"], row["command_id"])
+        key = order_key(row["command_ts"], row["command_id"])
         if last is not None and key < last:
             raise ValueError(f"commands of hazard {hazard_id} arrived out of order")
         last = key
         res, action, details, new_state = apply_one(row, state)
         changed = changed or (new_state is not state)
         state = new_state
-        yield {"hazard_id": hazard_id, "row_type": "result", "command_id": row["command_id"],
-               "command_ts": row["command_ts"], "kind": row["kind"],
-               "performed_by_user_id": row["performed_by_user_id"], "result": res, "action": action,
-               "log_details": details}
+        yield result_row(row, res, action, details)
     if changed and state is not None:
         yield {"hazard_id": hazard_id, "row_type": "state", **state}
 
@@ -253,37 +265,30 @@ def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield frame(out, FOLD_SCHEMA)
 
 
-def _inputs(commands: DataFrame, users: DataFrame, hazards: DataFrame) -> DataFrame:
+def command_rows(commands: DataFrame, users: DataFrame) -> DataFrame:
+    """Commands other than creates, with what the rules ask of their performer and target."""
     uf = W.user_facts(users)
     perf = uf.select(F.col("user_id").alias("_p"), F.col("active_role").alias("role"))
     tgt = uf.select(F.col("user_id").alias("_t"), F.col("active_manager").alias("target_is_manager"))
     c = commands.where(F.col("kind") != W.KIND_CREATE)
     c = (c.join(perf, c["performed_by_user_id"] == perf["_p"], "left")
          .join(tgt, c["assign_to_user_id"] == tgt["_t"], "left").drop("_p", "_t"))
-    cmd_rows = c.select(
-        "hazard_id", F.lit(ROW_COMMAND).alias("row_type"), "command_id", "command_ts", "kind",
-        "performed_by_user_id", "role", "new_status", "assign_to_user_id",
-        F.coalesce("target_is_manager", F.lit(False)).alias("target_is_manager"), "details",
-        "title", "description", "severity", "type", "due_date",
-        F.lit(None).cast("long").alias("reported_by_user_id"), F.lit(None).cast("long").alias("assigned_to_user_id"),
-        F.lit(None).cast("string").alias("status"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
-    touched = c.select("hazard_id").distinct()
-    state_rows = hazards.join(touched, "hazard_id", "left_semi").select(
-        "hazard_id", F.lit(ROW_STATE).alias("row_type"), F.lit(None).cast("long").alias("command_id"),
-        F.lit(None).cast("timestamp_ntz").alias("command_ts"), F.lit(None).cast("string").alias("kind"),
-        F.lit(None).cast("long").alias("performed_by_user_id"), F.lit(None).cast("string").alias("role"),
-        F.lit(None).cast("string").alias("new_status"), F.lit(None).cast("long").alias("assign_to_user_id"),
-        F.lit(False).alias("target_is_manager"), F.lit(None).cast("string").alias("details"),
-        "title", "description", "severity", "type", "due_date", "reported_by_user_id", "assigned_to_user_id",
-        "status", "created_at")
-    return cmd_rows.unionByName(state_rows)
+    fields = ("kind", "performed_by_user_id", "new_status", "assign_to_user_id", "details", "title", "description",
+              "severity", "type", "due_date")
+    return c.select(
+        "hazard_id", F.lit(ROW_COMMAND).alias("row_type"), "command_id", "command_ts",
+        F.xxhash64(*fields).alias("tie"), *fields, "role",
+        F.coalesce("target_is_manager", F.lit(False)).alias("target_is_manager"))
 
 
 def fold(commands: DataFrame, users: DataFrame, hazards: DataFrame) -> DataFrame:
     """Per-command results and final hazard states of the ordered fold."""
-    rows = _inputs(commands, users, hazards)
-    ordered = (rows.repartition("hazard_id")
-               .sortWithinPartitions("hazard_id", "row_type", "command_ts", "command_id"))
+    c = command_rows(commands, users)
+    touched = c.select("hazard_id").distinct()
+    states = hazards.join(touched, "hazard_id", "left_semi").select(
+        "hazard_id", F.lit(ROW_STATE).alias("row_type"), *STATE_FIELDS)
+    rows = c.unionByName(states, allowMissingColumns=True)
+    ordered = rows.repartition("hazard_id").sortWithinPartitions("hazard_id", "row_type", *ORDER)
     return ordered.mapInArrow(_fold_partition, FOLD_SCHEMA)
 
 
@@ -293,18 +298,16 @@ def results(folded: DataFrame) -> DataFrame:
 
 
 def apply(commands: DataFrame, users: DataFrame, hazards: DataFrame, logs: DataFrame,
-          now: dt.datetime | None = None,
-          split_chunk: dt.timedelta | None = dt.timedelta(days=1)) -> tuple[DataFrame, DataFrame, DataFrame]:
+          now: dt.datetime | None = None, split: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new hazards, new logs, results) after applying the command table.
 
-    With ``split_chunk`` hot hazards are folded in two passes over time
-    chunks (``apply_split``), so their commands are mostly settled in
-    parallel; the other hazards take the one-pass fold. The fold output feeds three results, so it is checkpointed once to the
+    With ``split`` hot hazards are folded chunk by chunk side by side (``apply_split``);
+    the other hazards take the one-pass fold. The fold output feeds three results, so it is checkpointed once to the
     shared checkpoint folder instead of being recomputed (the validated
     creates are checkpointed inside ``validate_creates``)."""
-    if split_chunk is not None:
+    if split:
         from .apply_split import fold_auto
-        folded = fold_auto(commands, users, hazards, split_chunk).checkpoint(eager=True)
+        folded = fold_auto(commands, users, hazards).checkpoint(eager=True)
     else:
         folded = fold(commands, users, hazards).checkpoint(eager=True)
     creates = W.validate_creates(commands, users, hazards)

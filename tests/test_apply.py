@@ -4,6 +4,7 @@ snapshot validation; stream forms equal batch forms (small data)."""
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from riskgrid.operators import apply as AP
 from riskgrid.operators import commands as W
@@ -73,25 +74,74 @@ def test_split_fold_equals_plain_fold(spark):
     from riskgrid.operators import apply_split as AS
     users, hazards, cmds = _frames(spark)
     cols = AP.FOLD_COLUMNS
-    for chunk in (dt.timedelta(minutes=3), dt.timedelta(days=1)):
-        a = AP.fold(cmds, users, hazards).select(cols)
+    a = AP.fold(cmds, users, hazards).select(cols)
+    for chunk in (1, 3, 10_000):
         b = AS.fold_split(cmds, users, hazards, chunk).select(cols)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_settle_officer_actions_reset_knowledge():
+def _random_commands(n, hazards=2, seed=1):
+    """Commands of a few hot hazards by officers, managers, workers and strangers: equal times, NULL and
+    repeated ids, whole rows repeated."""
+    import random
+    rng = random.Random(seed)
+    users = [(i, f"u{i}", f"U {i}", ["SafetyOfficer", "SiteManager", "SiteManager", "SiteManager", "FieldWorker", "Auditor"][i % 6],
+              i % 11 != 10) for i in range(1, 25)]
+    known = [(h, f"h{h}", "d", rng.randint(1, 24), rng.choice([None, 2, 3]), rng.choice(["Open", "InProgress", "odd"]), "Low", "Fire", T0, None)
+             for h in range(1, hazards + 1)]
+    rows = []
+    for i in range(n):
+        kind = rng.choice(["assign", "assign", "change_status", "change_status", "comment", "update"])
+        row = (rng.choice([i, i, i, None, i // 7]), rng.choice([None, *[T0 + dt.timedelta(minutes=i // 3)] * 9]), kind,
+               rng.choice([*range(1, hazards + 1), hazards + 9]), rng.choice([None, *range(1, 27)]),
+               rng.choice([None, "Open", "inprogress", "InProgress ", "Resolved", "bogus", ""]), rng.choice([None, *range(1, 26)]),
+               rng.choice([None, "", "why"]), None, f"t{i % 5}", None, None, None, None)
+        rows += [row] * rng.choice([1, 1, 1, 2])
+    return users, known, rows
+
+
+def test_split_equals_plain_with_nulls_ties_and_repeats(spark):
+    from riskgrid.operators import apply_split as AS
+    for n, chunk, seed in ((400, 7, 1), (900, 60, 2), (60, 1, 3)):
+        u, h, c = _random_commands(n, seed=seed)
+        users, hazards = spark.createDataFrame(u, S.USERS), spark.createDataFrame(h, S.HAZARDS)
+        loose = StructType([StructField(f.name, f.dataType) for f in S.HAZARD_COMMANDS])
+        cmds = spark.createDataFrame(c, loose).repartition(5)
+        a = AP.fold(cmds, users, hazards).select(AP.FOLD_COLUMNS)
+        b = AS.fold_auto(cmds, users, hazards, work_rows=0, chunk_rows=chunk).select(AP.FOLD_COLUMNS)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        assert a.where("row_type = 'result'").count() == len(c) and a.where("row_type = 'result' and result = 'OK'").count() > n // 20
+
+
+def test_chunk_tables_say_what_the_fold_does():
+    """A chunk's table equals folding its commands, from every assignee and status; so do composed tables."""
+    import random
     from riskgrid.operators import apply_split as AS
-    unknown = {"a": (False, None), "s": (False, None)}
-    assign = dict(command_id=1, command_ts=None, kind="assign", performed_by_user_id=1, role="SafetyOfficer",
-                  new_status=None, assign_to_user_id=2, target_is_manager=True, details=None)
-    done, out, k = AS.settle(assign, 3, unknown)
-    assert done and out[0] == "OK" and k["a"] == (True, 2) and not k["s"][0]
-    status = dict(assign, command_id=2, kind="change_status", new_status="Resolved", assign_to_user_id=None)
-    done, out, k2 = AS.settle(status, 3, k)
-    assert not done and out[0] == "OK" and k2["s"] == (True, "Resolved")   # log text needs the old status
-    manager = dict(status, command_id=3, performed_by_user_id=2, role="SiteManager", new_status="InProgress")
-    done, out, _ = AS.settle(manager, 3, {"a": (True, 2), "s": (True, "Open")})
-    assert done and out[:2] == ("OK", "StatusChanged")
+    rng = random.Random(5)
+    roles = {i: ["SafetyOfficer", "SiteManager", "SiteManager", "FieldWorker", None][i % 5] for i in range(9)}
+    def commands(n):
+        out = []
+        for _ in range(n):
+            p, t = rng.randrange(9), rng.choice([None, *range(9)])
+            out.append(dict(kind=rng.choice(["assign", "change_status", "comment", "update"]), performed_by_user_id=p, role=roles[p],
+                            new_status=rng.choice([None, "Open", "Inprogress", "Resolved", "x"]), assign_to_user_id=t, command_id=1,
+                            target_is_manager=t is not None and roles[t] == "SiteManager", details="d", title="", description="",
+                            severity="", type="", due_date=None))
+        return out
+    for _ in range(60):
+        parts = [commands(rng.choice([0, 1, 2, 5, 12])) for _ in range(rng.randint(1, 4))]
+        table = AS.identity()
+        for part in parts:
+            c = AS.Chunk()
+            for cmd in part:
+                c.add(cmd)
+            table = AS.compose_tables(table, AS.from_lines(AS.to_lines(c.table())))
+        for a in (None, *range(9), 77):
+            for s in ("Open", "InProgress", "Resolved", None, "odd"):
+                state = {k: None for k in AP.STATE_FIELDS} | {"assigned_to_user_id": a, "status": s, "reported_by_user_id": 3}
+                for cmd in (x for part in parts for x in part):
+                    state = AP.apply_one(cmd, state)[3]
+                assert AS._advance(AS.to_lines(table), {"a": a, "s": s}) == {"a": state["assigned_to_user_id"], "s": state["status"]}
 
 
 def test_auto_fold_routes_hot_hazards(spark):
@@ -109,7 +159,7 @@ def test_auto_fold_routes_hot_hazards(spark):
     cols = AP.FOLD_COLUMNS
     a = AP.fold(cmds, users, hazards).select(cols)
     for work in (0, 1, 3, 10 ** 9):
-        b = AS.fold_auto(cmds, users, hazards, dt.timedelta(minutes=3), work_rows=work).select(cols)
+        b = AS.fold_auto(cmds, users, hazards, work_rows=work, chunk_rows=3).select(cols)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert {r.command_id for r in a.where("hazard_id is null").collect()} == {2 ** 53 + 1}
 
@@ -119,7 +169,7 @@ def test_ids_over_2_53_stay_whole(spark):
     users, hazards, cmds = _frames(spark)
     big = cmds.withColumn("command_id", F.col("command_id") + F.lit(2 ** 53 + 1))
     want = {r.command_id + 2 ** 53 + 1: r.result for r in AP.results(AP.fold(cmds, users, hazards)).collect()}
-    for fold in (AP.fold, lambda *x: AS.fold_split(*x, dt.timedelta(minutes=3))):
+    for fold in (AP.fold, lambda *x: AS.fold_split(*x, 3)):
         assert {r.command_id: r.result for r in AP.results(fold(big, users, hazards)).collect()} == want
 
 

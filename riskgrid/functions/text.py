@@ -100,25 +100,37 @@ def type_or_general(x) -> Column:
 
 
 # T4 -------------------------------------------------------------------------
-def _classifier_chain(text: Column, pick: int) -> Column:
-    low = F.lower(text)
+def _rule_index(low: Column) -> Column:
+    """Number of the first rule with a keyword in a lower-cased text (null: none). A keyword that holds
+    another one of its rule is found with it."""
     expr = None
-    for rule in CLASSIFIER_RULES:
+    for i, rule in enumerate(CLASSIFIER_RULES):
         hit = None
         for kw in rule[2]:
+            if any(k != kw and k in kw for k in rule[2]):
+                continue
             h = low.contains(F.lit(kw))
             hit = h if hit is None else (hit | h)
-        expr = F.when(hit, F.lit(rule[pick])) if expr is None else expr.when(hit, F.lit(rule[pick]))
-    # NULL text makes every test NULL, which falls through to the default.
-    return expr.otherwise(F.lit(CLASSIFIER_DEFAULT[pick]))
+        expr = F.when(hit, F.lit(i)) if expr is None else expr.when(hit, F.lit(i))
+    return expr
+
+
+def classify(description) -> Column:
+    """struct(type, severity): the text is lower-cased once, and one rule number gives both.
+
+    The lambda binds the lower-cased text; a plain chain of conditions would lower it for every keyword."""
+    index = F.transform(F.array(F.lower(_c(description))), _rule_index)[0]
+    pairs = F.array(*[F.struct(F.lit(r[0]).alias("type"), F.lit(r[1]).alias("severity")) for r in CLASSIFIER_RULES])
+    default = F.struct(F.lit(CLASSIFIER_DEFAULT[0]).alias("type"), F.lit(CLASSIFIER_DEFAULT[1]).alias("severity"))
+    return F.coalesce(F.get(pairs, index), default)
 
 
 def classify_type(description) -> Column:
-    return _classifier_chain(_c(description), 0)
+    return classify(description)["type"]
 
 
 def classify_severity(description) -> Column:
-    return _classifier_chain(_c(description), 1)
+    return classify(description)["severity"]
 
 
 # T5 -------------------------------------------------------------------------

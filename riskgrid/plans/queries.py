@@ -448,8 +448,9 @@ def q_scalar_type_fallback(spark, d):
 
 @query("classify")
 def q_classify(spark, d):
-    return reg(spark, d).hazards.select("hazard_id", T.classify_type("description").alias("suggested_type"),
-                                        T.classify_severity("description").alias("suggested_severity"))
+    found = reg(spark, d).hazards.select("hazard_id", T.classify("description").alias("found"))
+    return found.select("hazard_id", F.col("found.type").alias("suggested_type"),
+                        F.col("found.severity").alias("suggested_severity"))
 
 
 @query("scalar_status_log")

@@ -57,13 +57,16 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
-    # Every order has a document: its key modulo the number of documents. The
-    # whole text travels; which side is broadcast is left to the planner.
+    # An order's document: its key modulo the number of documents, where there is one with
+    # that id (else, no description). One text per id (the greatest, should an id repeat), so a
+    # query that reads no description needs no join: the planner leaves it out.
     docs = read(spark, sf_dir, "documents")
-    d = docs.select("doc_id", F.col("text").alias("doc_text"))
+    # Where there is a join, it is a merge join: texts are no broadcast side at scale, and rows that
+    # grow by a whole text each are better spread than kept in the few partitions of the narrow table.
+    d = docs.groupBy("doc_id").agg(F.max("text").alias("doc_text")).hint("merge")
     n_docs = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     k = F.col("o_orderkey")
-    j = (o.withColumn("_doc", k % n_docs).join(d, F.col("_doc") == F.col("doc_id"), "inner"))
+    j = o.withColumn("_doc", k % n_docs).join(d, F.col("_doc") == F.col("doc_id"), "left")
     title = F.concat(
         F.when(k % 25 == 0, F.lit("Demo: ")).otherwise(F.lit("")),
         _case(k % 4, [(0, F.lit("Loose rail")), (1, F.lit("Wet floor, level 2")),

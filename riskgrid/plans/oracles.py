@@ -659,21 +659,30 @@ def _stamp(col: str) -> str:
     return f"strftime({col}, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(date_part('microsecond', {col}) AS BIGINT) % 1000000 // 1000 AS VARCHAR), 3, '0')"
 
 
-register("detail_nested", REQUESTS + f"""
+_ALLOWED = REQUESTS + f"""
 , ok AS (
   SELECT q.request_id, q.hazard_id FROM req q LEFT JOIN hazards h ON h.hazard_id = q.hazard_id
   WHERE {access_sql('q.role', 'q.user_id', 'h.reported_by_user_id', 'h.assigned_to_user_id', 'h.status')}
-),
-lg AS (SELECT l.hazard_id, string_agg(CAST(json_object('created_at', {_stamp('l.created_at')}, 'hazard_log_id', l.hazard_log_id,
-                'action_type', l.action_type, 'details', l.details, 'performed_by_user_id', l.performed_by_user_id,
-                'performed_by_name', u.full_name) AS VARCHAR), ',' ORDER BY l.created_at DESC, l.hazard_log_id DESC) AS logs
-       FROM hazard_logs l JOIN users u ON u.user_id = l.performed_by_user_id GROUP BY l.hazard_id)
-SELECT ok.request_id, '{{"hazard":' || CAST(json_object('hazard_id', x.hazard_id, 'title', x.title, 'description', x.description,
+)"""
+
+register("detail_requests", _ALLOWED + f"""
+SELECT ok.request_id, ok.hazard_id FROM ok JOIN ({NAMED_LIST}) x ON x.hazard_id = ok.hazard_id""")
+
+register("detail_nested", _ALLOWED + f""",
+x AS (SELECT * FROM ({NAMED_LIST}) n WHERE n.hazard_id IN (SELECT hazard_id FROM ok)),
+lg AS (
+  SELECT l.hazard_id, l.created_at, l.hazard_log_id, json_object('created_at', {_stamp('l.created_at')}, 'hazard_log_id', l.hazard_log_id,
+           'action_type', l.action_type, 'details', l.details, 'performed_by_user_id', l.performed_by_user_id,
+           'performed_by_name', u.full_name) AS entry,
+         row_number() OVER (PARTITION BY l.hazard_id ORDER BY l.created_at DESC, l.hazard_log_id DESC) AS nth
+  FROM hazard_logs l JOIN users u ON u.user_id = l.performed_by_user_id JOIN x ON x.hazard_id = l.hazard_id)
+SELECT hazard_id, 0 AS line_kind, NULL::TIMESTAMP AS created_at, NULL::BIGINT AS hazard_log_id,
+       '{{"hazard":' || CAST(json_object('hazard_id', x.hazard_id, 'title', x.title, 'description', x.description,
          'reported_by_user_id', x.reported_by_user_id, 'assigned_to_user_id', x.assigned_to_user_id, 'status', x.status,
          'severity', x.severity, 'type', x.type, 'created_at', {_stamp('x.created_at')}, 'due_date', {_stamp('x.due_date')},
-         'reported_by_name', x.reported_by_name, 'assigned_to_name', x.assigned_to_name) AS VARCHAR)
-       || ',"logs":[' || coalesce(lg.logs, '') || ']}}' AS json
-FROM ok JOIN ({NAMED_LIST}) x ON x.hazard_id = ok.hazard_id LEFT JOIN lg ON lg.hazard_id = x.hazard_id""")
+         'reported_by_name', x.reported_by_name, 'assigned_to_name', x.assigned_to_name) AS VARCHAR) || ',"logs":[' AS json FROM x
+UNION ALL SELECT hazard_id, 1, created_at, hazard_log_id, CASE WHEN nth = 1 THEN '' ELSE ',' END || CAST(entry AS VARCHAR) FROM lg
+UNION ALL SELECT hazard_id, 2, NULL, NULL, ']}}' FROM x""")
 
 
 def _map_sql(col: str) -> str:

@@ -556,10 +556,16 @@ def q_json_list_filtered(spark, d):
 
 @query("detail_nested")
 def q_detail_nested(spark, d):
+    """E4 as ordered lines: each requested hazard's document once."""
     r = reg(spark, d)
     det = L.hazard_detail(command_requests(r), r.hazards, r.users)
-    logs = L.join_log_performer(r.hazard_logs, r.users)
-    return E.detail_json(E.detail_nested(det, logs))
+    return E.detail_lines(det, L.join_log_performer(r.hazard_logs, r.users))
+
+
+@query("detail_requests")
+def q_detail_requests(spark, d):
+    r = reg(spark, d)
+    return E.detail_requests(L.hazard_detail(command_requests(r), r.hazards, r.users))
 
 
 @query("json_dashboard")

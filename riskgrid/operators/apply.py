@@ -33,6 +33,8 @@ STATE_FIELDS = ("title", "description", "reported_by_user_id", "assigned_to_user
                 "created_at", "due_date")
 # Order of a hazard's commands; NULLs come first. ``tie``, a hash of the whole command, settles equal times and ids.
 ORDER = ["command_ts", "command_id", "tie"]
+COMMAND_FIELDS = ("kind", "performed_by_user_id", "new_status", "assign_to_user_id", "details", "title", "description",
+                  "severity", "type", "due_date")
 
 FOLD_SCHEMA = (
     "hazard_id long, row_type string, command_id long, command_ts timestamp_ntz, kind string, "
@@ -273,11 +275,9 @@ def command_rows(commands: DataFrame, users: DataFrame) -> DataFrame:
     c = commands.where(F.col("kind") != W.KIND_CREATE)
     c = (c.join(perf, c["performed_by_user_id"] == perf["_p"], "left")
          .join(tgt, c["assign_to_user_id"] == tgt["_t"], "left").drop("_p", "_t"))
-    fields = ("kind", "performed_by_user_id", "new_status", "assign_to_user_id", "details", "title", "description",
-              "severity", "type", "due_date")
     return c.select(
         "hazard_id", F.lit(ROW_COMMAND).alias("row_type"), "command_id", "command_ts",
-        F.xxhash64(*fields).alias("tie"), *fields, "role",
+        F.xxhash64(*COMMAND_FIELDS).alias("tie"), *COMMAND_FIELDS, "role",
         F.coalesce("target_is_manager", F.lit(False)).alias("target_is_manager"))
 
 

@@ -7,13 +7,16 @@ The hazard's snapshot arrives as the first row of its key (row_type 0, time
 before every command). Users are a static side joined to the stream.
 Creates need the current maximum id: a second query over the same source
 judges them per micro-batch with W1 in ``foreachBatch`` and numbers them
-after the largest id handed out so far.
+after the last id of the epoch before, which that epoch committed with its rows.
+
+The state is typed: of the hazard only what the rules compare (reporter, assignee,
+status), and the waiting commands as one array per field, at most those of one
+allowed lateness. A key without a hazard and without waiting commands has no state.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
 import uuid
 from collections.abc import Iterator
 
@@ -30,7 +33,6 @@ from ..sources.sinks import delete_on_exit, path_exists
 EPOCH = dt.datetime(1970, 1, 1)
 FILES_PER_TRIGGER = 8
 S_CREATED = "Created"
-STATE_SCHEMA = "hazard string, buffer string, last_us long"
 LATE = "Late"  # result of a command that arrived behind the watermark
 OUT_SCHEMA = ("command_id long, hazard_id long, kind string, performed_by_user_id long, result string, "
               "action string")
@@ -38,11 +40,15 @@ OUT_COLUMNS = [c.strip().split(" ")[0] for c in OUT_SCHEMA.split(",")]
 SOURCE_COLUMNS = ("row_type", "hazard_id", "command_id", "command_ts", "kind", "performed_by_user_id",
                   "new_status", "assign_to_user_id", "details", "title", "description", "severity", "type",
                   "due_date", "reported_by_user_id", "assigned_to_user_id", "status", "created_at")
-_STATE_KEYS = ("title", "description", "reported_by_user_id", "assigned_to_user_id", "status", "severity",
-               "type", "created_at", "due_date")
-_CMD_KEYS = ("command_id", "command_ts", "kind", "performed_by_user_id", "role", "new_status",
-             "assign_to_user_id", "target_is_manager", "details", "title", "description", "severity", "type",
-             "due_date")
+# What the rules and the results need of a command, and the order of equal ids.
+_WAITING = {"command_id": "bigint", "command_us": "bigint", "tie": "bigint", "kind": "string", "performed_by_user_id": "bigint",
+            "role": "string", "new_status": "string", "assign_to_user_id": "bigint", "target_is_manager": "boolean",
+            "details": "string"}
+# Whole numbers travel as text: a pandas column with NULLs would turn them into floats.
+_IDS = ("command_id", "tie", "performed_by_user_id", "assign_to_user_id", "reported_by_user_id", "assigned_to_user_id")
+_HAZARD = ("reported_by_user_id", "assigned_to_user_id", "status")
+STATE_SCHEMA = ("present boolean, reported_by_user_id long, assigned_to_user_id long, status string, "
+                + ", ".join(f"{k} array<{t}>" for k, t in _WAITING.items()))
 
 
 def _us(ts) -> int | None:
@@ -55,47 +61,48 @@ def _ts(us):
     return None if us is None else EPOCH + dt.timedelta(microseconds=int(us))
 
 
-def _enc(d: dict, ts_keys) -> dict:
-    return {k: (_us(v) if k in ts_keys else v) for k, v in d.items()}
-
-
-def _dec(d: dict, ts_keys) -> dict:
-    return {k: (_ts(v) if k in ts_keys else v) for k, v in d.items()}
+def _order(cmd: dict) -> tuple:
+    return AP.order_key(cmd["command_us"], cmd["command_id"]) + (cmd["tie"],)
 
 
 def _state_fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    hazard_id = None if key[0] is None else int(key[0])
+    hazard_id = None if key[0] is None or pd.isna(key[0]) else int(key[0])
     wm_us = state.getCurrentWatermarkMs() * 1000
+    hz, buf = None, []
     if state.exists:
-        hz, buf, last_us = state.get
-        hz = None if hz is None else _dec(json.loads(hz), ("created_at", "due_date"))
-        buf = json.loads(buf)
-    else:
-        hz, buf, last_us = None, [], None
+        present, *rest = state.get
+        if present:
+            hz = {k: None for k in AP.STATE_FIELDS} | {k: AP._none(v) for k, v in zip(_HAZARD, rest)}
+        buf = [dict(zip(_WAITING, r)) for r in zip(*rest[len(_HAZARD):])]
     late = []
     for b in batches:
         for rec in b.to_dict("records"):
             rec = {k: AP._none(v) for k, v in rec.items()}
+            rec.update({k: int(rec[k]) for k in _IDS if rec[k] is not None})
             if rec["row_type"] == AP.ROW_STATE:
-                hz = {k: rec[k] for k in _STATE_KEYS}
+                hz = {k: rec[k] for k in AP.STATE_FIELDS}
                 continue
-            if _us(rec["command_ts"]) < wm_us:  # its place in the order has passed: reported, not applied
+            rec["command_us"] = _us(rec["command_ts"])
+            # Its place in the order has passed, or it has none (no time): reported, not applied.
+            if rec["command_us"] is None or rec["command_us"] < wm_us:
                 late.append((rec["command_id"], hazard_id, rec["kind"], rec["performed_by_user_id"], LATE, None))
                 continue
-            buf.append(_enc({k: rec[k] for k in _CMD_KEYS}, ("command_ts", "due_date")))
-    buf.sort(key=lambda r: (r["command_ts"], r["command_id"]))
-    ready = [r for r in buf if r["command_ts"] < wm_us]
-    buf = [r for r in buf if r["command_ts"] >= wm_us]
+            buf.append({k: rec[k] for k in _WAITING})
+    buf.sort(key=_order)
+    ready = [r for r in buf if r["command_us"] < wm_us]
+    buf = [r for r in buf if r["command_us"] >= wm_us]
     out = late
-    for r in ready:
-        cmd = _dec(r, ("command_ts", "due_date"))
-        res, action, _details, hz = AP.apply_one(cmd, hz)
+    for cmd in ready:
+        res, action, _details, hz = AP.apply_one({**_UNUSED, **cmd}, hz)
         out.append((cmd["command_id"], hazard_id, cmd["kind"], cmd["performed_by_user_id"], res, action))
-        last_us = r["command_ts"]
-    state.update((None if hz is None else json.dumps(_enc(hz, ("created_at", "due_date")), default=str),
-                  json.dumps(buf), last_us))
-    if buf:
-        state.setTimeoutTimestamp(max(buf[0]["command_ts"] // 1000, state.getCurrentWatermarkMs() + 1))
+    if hz is None and not buf:
+        if state.exists:
+            state.remove()
+    else:
+        waiting = [[r[k] for r in buf] for k in _WAITING]
+        state.update((hz is not None, *[hz[k] if hz else None for k in _HAZARD], *waiting))
+        if buf:
+            state.setTimeoutTimestamp(max(buf[0]["command_us"] // 1000, state.getCurrentWatermarkMs() + 1))
     if out:
         df = pd.DataFrame(out, columns=OUT_COLUMNS)
         for c in ("command_id", "hazard_id", "performed_by_user_id"):
@@ -103,6 +110,10 @@ def _state_fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         yield df
 
 
+# Fields that an update writes and no rule reads.
+_UNUSED = {"title": None, "description": None, "severity": None, "type": None, "due_date": None}
+
+
 def apply_stream(source: DataFrame, users: DataFrame, lateness: str) -> DataFrame:
     """Streaming results of non-create commands; ``source`` streams snapshot
     rows and command rows (``SOURCE_COLUMNS``)."""
@@ -114,6 +125,8 @@ def apply_stream(source: DataFrame, users: DataFrame, lateness: str) -> DataFram
     s = (s.join(perf, s["performed_by_user_id"] == perf["_p"], "left")
          .join(tgt, s["assign_to_user_id"] == tgt["_t"], "left").drop("_p", "_t")
          .withColumn("target_is_manager", F.coalesce("target_is_manager", F.lit(False)))
+         .withColumn("tie", F.xxhash64(*AP.COMMAND_FIELDS))
+         .withColumns({c: F.col(c).cast("string") for c in _IDS if c != "tie"}).withColumn("tie", F.col("tie").cast("string"))
          .withWatermark("event_ts", lateness))
     return s.groupBy("hazard_id").applyInPandasWithState(
         _state_fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
@@ -125,21 +138,25 @@ CREATE_SCHEMA = ("command_id long, hazard_id long, kind string, performed_by_use
 
 def create_batch_writer(users: DataFrame, hazards: DataFrame, sink: str):
     """foreachBatch handler: W1 on the batch's creates against the snapshot;
-    OK creates get ids after the larger of the snapshot's maximum and the
-    ids handed out by earlier epochs. Each epoch overwrites only its own
-    partition, so a retried micro-batch writes the same rows once."""
+    OK creates get ids after the last id of the epoch before (at first, the snapshot's
+    largest). Each epoch overwrites only its own partition and its own mark, so a
+    retried micro-batch writes the same rows once, with the same ids."""
     from ..operators import ids as I
 
+    def last_id(spark: SparkSession, epoch_id: int) -> int:
+        """The last id before this epoch: the mark of the epoch before, or the snapshot's largest."""
+        mark = f"{sink}_marks/epoch-{epoch_id - 1}"
+        if path_exists(spark, mark):
+            return spark.read.schema("last_id long").parquet(mark).first()[0]
+        if epoch_id > 0:
+            raise RuntimeError(f"no mark of epoch {epoch_id - 1} at {sink}_marks")
+        return hazards.agg(F.coalesce(F.max("hazard_id"), F.lit(0)).cast("long")).first()[0]
+
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         creates = batch.where((F.col("row_type") == F.lit(AP.ROW_COMMAND)) & (F.col("kind") == W.KIND_CREATE))
         v = W.validate(creates.drop("row_type", "assigned_to_user_id", "status", "created_at"), users, hazards)
-        start = hazards.agg(F.coalesce(F.max("hazard_id"), F.lit(0)).cast("long")).first()[0]
-        prev = None
-        if path_exists(spark, sink):
-            prev = (spark.read.schema(CREATE_SCHEMA).parquet(sink).where(F.col("epoch") < F.lit(epoch_id))
-                    .agg(F.max("new_hazard_id")).first()[0])
-        start = max(start, prev or 0)
+        start = last_id(spark, epoch_id)
         ok = I.assign_sequence(v.where(F.col("result") == W.OK), ["command_id"], F.lit(start), "new_hazard_id")
         rest = v.where(F.col("result") != W.OK).withColumn("new_hazard_id", F.lit(None).cast("long"))
         out = ok.unionByName(rest).select(
@@ -148,6 +165,12 @@ def create_batch_writer(users: DataFrame, hazards: DataFrame, sink: str):
             F.lit(epoch_id).cast("long").alias("epoch"))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("epoch").parquet(sink))
+        # The mark follows the rows of this epoch only: no scan of the sink or the snapshot.
+        own, most = f"{sink}/epoch={epoch_id}", None
+        if path_exists(spark, own):
+            most = spark.read.schema(CREATE_SCHEMA).parquet(own).agg(F.max("new_hazard_id")).first()[0]
+        (spark.createDataFrame([(start if most is None else most,)], "last_id long").coalesce(1)
+         .write.mode("overwrite").parquet(f"{sink}_marks/epoch-{epoch_id}"))
 
     return handle
 

@@ -4,8 +4,9 @@
 key are buffered in its state and folded in (ts, login_id) order only once the
 watermark has passed them (ts < watermark), so the outcome of every attempt
 equals the batch operator's, whatever order rows arrive in within the
-allowed lateness. Rows later than the watermark are dropped. A key's state is
-removed once it has been idle for longer than window + block (such a gap
+allowed lateness. Rows behind the watermark come out as ``late`` and change
+nothing. The state is typed: the fold's three fields and the waiting rows as three arrays,
+which hold at most the rows of one allowed lateness. A key's state is removed once it has been idle for longer than window + block (such a gap
 resets every rule of the fold).
 
 The fold itself is ``operators.lockout.step``, shared with the batch form.
@@ -14,7 +15,6 @@ The fold itself is ``operators.lockout.step``, shared with the batch form.
 from __future__ import annotations
 
 import datetime as dt
-import json
 import uuid
 from collections.abc import Iterator
 
@@ -28,7 +28,8 @@ from ..session import checkpoint_dir
 from ..sources.sinks import delete_on_exit
 
 LATE = "late"  # outcome of an attempt that arrived behind the watermark
-STATE_SCHEMA = ("window_start_us long, count int, blocked_until_us long, last_ts_us long, buffer string")
+STATE_SCHEMA = ("window_start_us long, count int, blocked_until_us long, last_ts_us long, "
+                "ids array<bigint>, times array<bigint>, successes array<boolean>")
 EPOCH = dt.datetime(1970, 1, 1)
 FILES_PER_TRIGGER = 8
 
@@ -48,8 +49,8 @@ def make_state_fn(max_failures: int, window: dt.timedelta, block: dt.timedelta):
         k = key[0]
         wm_us = state.getCurrentWatermarkMs() * 1000
         if state.exists:
-            ws, count, bu, last_us, buf = state.get
-            buf = json.loads(buf)
+            ws, count, bu, last_us, *waiting = state.get
+            buf = list(zip(*waiting))
         else:
             ws, count, bu, last_us, buf = None, 0, None, None, []
         late = []
@@ -59,7 +60,7 @@ def make_state_fn(max_failures: int, window: dt.timedelta, block: dt.timedelta):
                 if t < wm_us:  # its place in the order has passed: reported, not counted
                     late.append((k, int(lid), ts, bool(ok), LATE, None, None))
                     continue
-                buf.append([int(lid), t, bool(ok)])
+                buf.append((int(lid), t, bool(ok)))
         buf.sort(key=lambda r: (r[1], r[0]))
         ready = [r for r in buf if r[1] < wm_us]
         buf = [r for r in buf if r[1] >= wm_us]
@@ -72,7 +73,8 @@ def make_state_fn(max_failures: int, window: dt.timedelta, block: dt.timedelta):
         else:
             ws_us = None if ks.window_start is None else _us(ks.window_start)
             bu_us = None if ks.blocked_until is None else _us(ks.blocked_until)
-            state.update((ws_us, ks.count, bu_us, last_us, json.dumps(buf)))
+            waiting = [list(c) for c in zip(*buf)] or [[], [], []]
+            state.update((ws_us, ks.count, bu_us, last_us, *waiting))
             nxt = buf[0][1] if buf else last_us + idle_us
             state.setTimeoutTimestamp(max(nxt // 1000, state.getCurrentWatermarkMs() + 1))
         if out:

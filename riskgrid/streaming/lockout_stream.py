@@ -56,9 +56,9 @@ def make_state_fn(max_failures: int, window: dt.timedelta, block: dt.timedelta):
         late = []
         for b in batches:
             for lid, ts, ok in zip(b["login_id"].tolist(), b["ts"].tolist(), b["success"].tolist()):
-                t = _us(ts)
-                if t < wm_us:  # its place in the order has passed: reported, not counted
-                    late.append((k, int(lid), ts, bool(ok), LATE, None, None))
+                t = None if pd.isna(ts) else _us(ts)
+                if t is None or t < wm_us:  # its place in the order has passed, or it has none: reported, not counted
+                    late.append((k, int(lid), None if t is None else ts, bool(ok), LATE, None, None))
                     continue
                 buf.append((int(lid), t, bool(ok)))
         buf.sort(key=lambda r: (r[1], r[0]))

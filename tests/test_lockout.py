@@ -94,3 +94,47 @@ def test_safe_successes_split_dense_mixed_traffic(spark):
     n_safe = LK.idle_segments(keyed, dt.timedelta(minutes=12), dt.timedelta(minutes=2)).select("seg").distinct().count()
     assert n_gap == 1 and n_safe > 10
     assert keyed.count() == LK.idle_segments(keyed, dt.timedelta(minutes=12), dt.timedelta(minutes=2)).count()
+
+
+def _both(df, **kw):
+    cols = ["key", "login_id", "ts", "outcome", "failure_count", "retry_after_minutes"]
+    a = LK.lockout(df, split_idle_gaps=False, **kw).select(cols)
+    b = LK.lockout(df, work_rows=3, chunk_rows=7, **kw).select(cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    return a
+
+
+def test_chunks_of_a_dense_burst_keep_results(spark):
+    """Failures without a reset, dense mixtures, equal times, and attempts without a time."""
+    import random
+    rng = random.Random(7)
+    ev = [(i, T0 + dt.timedelta(seconds=i // 2), "ip", "burst", False) for i in range(900)]
+    ev += [(1000 + i, T0 + dt.timedelta(seconds=20 * i), "ip", "mixed", rng.random() < 0.4) for i in range(400)]
+    ev += [(2000 + i, rng.choice([None, T0 + dt.timedelta(seconds=rng.randrange(900))]), "ip", "odd", rng.random() < 0.3) for i in range(200)]
+    ev += [(3000 + i, T0 + dt.timedelta(seconds=i), "ip", "good", True) for i in range(60)]
+    from pyspark.sql.types import StructField, StructType
+    df = spark.createDataFrame(ev, StructType([StructField(f.name, f.dataType) for f in S.LOGIN_EVENTS])).repartition(4)
+    got = _both(df)
+    assert got.where("outcome = 'refused'").count() > 300 and got.count() == len(ev)
+    assert got.where("ts is null and (failure_count <> 0 or outcome = 'refused')").count() == 0
+    _both(df, max_failures=2, window=dt.timedelta(minutes=3), block=dt.timedelta(seconds=70))
+
+
+def test_advance_is_the_fold():
+    import random
+    rng = random.Random(9)
+    for _ in range(300):
+        n = rng.randint(0, 60)
+        times = sorted(rng.randrange(400) for _ in range(n))
+        ok = [rng.random() < rng.choice([0.05, 0.5, 0.9]) for _ in range(n)]
+        most, window, block = rng.randint(1, 4), rng.randint(1, 80), rng.randint(1, 60)
+        first = rng.choice([(None, 0, None), (-rng.randrange(90), rng.randint(1, 5), rng.choice([None, rng.randrange(60)]))])
+        us = dt.timedelta(microseconds=1)
+        state = LK.KeyState(LK._time(first[0]), first[1], LK._time(first[2]))
+        for t, k in zip(times, ok):
+            LK.step(state, LK._time(t), k, False, most, window * us, block * us)
+        start, count, until = LK.advance(times, [i for i, k in enumerate(ok) if not k], first, most, window, block)
+        blocked = until if until is not None and (not times or until > times[-1]) else None
+        now = None if state.blocked_until is None else (state.blocked_until - LK._EPOCH) // us
+        assert (LK._time(start), count) == (state.window_start, state.count)
+        assert blocked == (now if now is not None and (not times or now > times[-1]) else None)

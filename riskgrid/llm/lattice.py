@@ -16,9 +16,10 @@ every pair of chunks is compared in a task of its own, so nothing is dropped.
 A cell's task sends on one count per vector and links that join what is not
 joined yet, not all pairs.
 
-Defined results: vectors that are null, empty, zero, of another length than
-``dim``, or hold a null or non-finite component, and vectors without a label, link
-with nothing and are kept as their own component; repeated rows of one id and
+Vectors of each length have projections and cells of their own, so only equal lengths link.
+
+Defined results: vectors that are null, empty, zero, or hold a null or
+non-finite component, and vectors without a label, link with nothing and are kept as their own component; repeated rows of one id and
 vector link with each other like other equal vectors; a null id takes part,
 a component's id is the smallest that is not null; empty tables give no rows;
 other columns are left out.
@@ -26,6 +27,7 @@ other columns are left out.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .frames import by_group, partitions, q, settle
+from .frames import by_group, partitions, q, released, settle
 from .words import mix
 
 THRESHOLD = 0.93
@@ -47,6 +49,7 @@ PROBES = 4
 SCALE = 3.5
 CELL = 2048
 SEED = 3
+KEYS_AT_ONCE = 4096  # cells of one cell's vectors that are compared at once
 
 
 def _shortest() -> np.ndarray:
@@ -115,7 +118,8 @@ def cells(unit: np.ndarray, label: np.ndarray, maps: np.ndarray, blocks: int, pr
         y = (unit @ maps[t].T) * stretch
         points = np.concatenate([decode_e8(y[:, 8 * b:8 * b + 8]) for b in range(blocks)], 1)
         salted = np.concatenate([points, label[:, None]], 1)
-        out.append(_hash(salted, t + 1))
+        salt = (dim << 20) + t + 1  # vectors of different lengths share no cell
+        out.append(_hash(salted, salt))
         if probes:
             # How much farther each neighbouring point is, over all blocks.
             rest = 2 * y - points
@@ -127,10 +131,15 @@ def cells(unit: np.ndarray, label: np.ndarray, maps: np.ndarray, blocks: int, pr
                 b, v = pick[:, p] // len(_NEIGHBOURS), pick[:, p] % len(_NEIGHBOURS)
                 for j in range(8):
                     moved[np.arange(n), 8 * b + j] += _NEIGHBOURS[v, j]
-                out.append(_hash(moved, t + 1))
+                out.append(_hash(moved, salt))
     return np.stack(out, 1)
 
 
+@functools.lru_cache(maxsize=8)
+def _projections(dim: int, tables: int, blocks: int, seed: int) -> np.ndarray:
+    return projections(dim, tables, blocks, seed)
+
+
 def unit_rows(column, dim: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, raw vectors) of the rows whose vector takes part."""
     if isinstance(column, pa.ChunkedArray):
@@ -141,15 +150,14 @@ def unit_rows(column, dim: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
         return rows, np.zeros((0, dim), kind)
     flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)  # null components become NaN
     raw = flat.astype(kind).reshape(len(rows), dim)
-    wide = raw.astype(np.float64)
-    with np.errstate(all="ignore"):
-        norm = np.linalg.norm(wide, axis=1)
-        ok = np.isfinite(wide).all(1) & (norm > 0) & np.isfinite(norm)
+    ok = np.isfinite(raw).all(1) & (raw != 0).any(1)
     return rows[ok], raw[ok]
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
+    """Rows of length 1. The largest component is divided out first: squares of large or tiny ones leave the doubles."""
     wide = raw.astype(np.float64)
+    wide /= np.abs(wide).max(axis=1)[:, None]
     return wide / np.linalg.norm(wide, axis=1)[:, None]
 
 
@@ -172,7 +180,14 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def _cell_links(threshold: float, kind: str):
     """One cell (or pair of its chunks): counts per class and joining links."""
-    def run(t: pa.Table) -> pa.RecordBatch | None:
+    def run(whole: pa.Table) -> pa.RecordBatch | None:
+        # One cell holds one vector length, but for equal hashes.
+        length = pa.compute.binary_length(whole.column("vec")).to_numpy()
+        found = [alike(whole.filter(pa.array(length == n))) for n in np.unique(length)]
+        found = [x for x in found if x is not None]
+        return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if found else None
+
+    def alike(t: pa.Table) -> pa.RecordBatch | None:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         key = np.int64(t.column("key")[0].as_py()).view(np.uint64)
         cls = t.column("cls").to_pylist()
@@ -192,11 +207,14 @@ def _cell_links(threshold: float, kind: str):
         low = np.where(keys < key, keys, key)
         value, at = np.unique(low, return_inverse=True)
         at = at.reshape(low.shape)
-        holders = np.zeros((len(busy), len(value)), np.float32)
-        holders[np.arange(len(busy))[:, None], at] = 1
-        holders[:, value == key] = 0
-        holders = holders[:, holders.sum(0) >= 2]
-        own = linked & (holders @ holders.T == 0) if holders.shape[1] else linked
+        several = np.bincount(at.ravel(), minlength=len(value)) >= 2
+        number = np.where(several & (value != key), np.cumsum(several) - 1, -1)[at]
+        own = linked.copy()
+        for lo in range(0, int(several.sum()), KEYS_AT_ONCE):
+            here = (number >= lo) & (number < lo + KEYS_AT_ONCE)
+            holders = np.zeros((len(busy), KEYS_AT_ONCE), np.float32)
+            holders[np.nonzero(here)[0], number[here] - lo] = 1
+            own &= holders @ holders.T == 0
         counts = (own @ size).astype(np.int64)
         edges = _forest(linked)
         a = [cls[busy[x]] for x in np.flatnonzero(counts)] + [cls[busy[x]] for x, _ in edges]
@@ -214,9 +232,6 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     spark = vectors.sparkSession
     source = vectors.select(q(id_col).alias("vec_id"), q(label_col).cast("long").alias("label"), q(vector_col).alias("v"))
     kind = "<f4" if source.schema["v"].dataType.elementType == T.FloatType() else "<f8"
-    usual = source.select(F.size("v").alias("d")).where("d > 0").groupBy("d").count().orderBy(F.desc("count"), "d").head()
-    dim = int(usual["d"]) if usual else 8
-    maps = projections(dim, tables, blocks, seed)
     schema = T.StructType([source.schema["vec_id"], T.StructField("cls", T.BinaryType()), T.StructField("vec", T.BinaryType()),
                            T.StructField("keys", T.ArrayType(T.LongType()))])
 
@@ -224,13 +239,19 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
-                rows, raw = unit_rows(b.column(2), dim, kind)
-                labels = b.column(1).take(pa.array(rows, pa.int64()))
-                has = labels.is_valid().to_numpy(zero_copy_only=False)
-                rows, raw = rows[has], raw[has]
-                label = labels.fill_null(0).to_numpy(zero_copy_only=False)[has].astype(np.int64)
                 cls, vec, keys = [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
-                if len(rows):
+                for dim in pa.compute.unique(pa.compute.list_value_length(b.column(2))).to_pylist():
+                    if not dim:
+                        continue
+                    rows, raw = unit_rows(b.column(2), dim, kind)
+                    labels = b.column(1).take(pa.array(rows, pa.int64()))
+                    has = labels.is_valid().to_numpy(zero_copy_only=False)
+                    rows, raw = rows[has], raw[has]
+                    label = labels.fill_null(0).to_numpy(zero_copy_only=False)[has].astype(np.int64)
+                    if not len(rows):
+                        continue
+                    # Each length has projections of its own; a worker keeps those of the last few.
+                    maps = _projections(dim, tables, blocks, seed)
                     visited = cells(_unit(raw), label, maps, blocks, probes, scale).view(np.int64)
                     for k, r in enumerate(rows.tolist()):
                         vec[r] = raw[k].tobytes()
@@ -239,7 +260,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array(vec, pa.binary()),
                                                   pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
-    points = settle(source.mapInArrow(run, schema))
+    points = settle(source.mapInArrow(released(run), schema))
     classes = settle(points.where("cls is not null").groupBy("cls").agg(
         F.first("vec").alias("vec"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("least")))
     keyed = classes.select("cls", F.explode("keys").alias("key")).distinct()
@@ -253,7 +274,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     names = ["key", "i", "j"]
     handle = _cell_links(threshold, kind)
     found = settle(members.repartition(partitions(spark), *names).sortWithinPartitions(*names)
-                   .mapInArrow(lambda it: by_group(it, names, handle), "a binary, b binary, n long"))
+                   .mapInArrow(released(lambda it: by_group(it, names, handle)), "a binary, b binary, n long"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     roots = components(found.where("b is not null").select("a", "b"))
     group = (classes.select("cls", "size", "least").join(counts, F.col("cls") == F.col("a"), "left")

@@ -148,6 +148,17 @@ def test_lattice_against_brute_force(spark, cell):
             assert by[rows[k][0]] == (0, rows[k][0])
 
 
+def test_lattice_lengths_and_magnitudes(spark):
+    """Vectors of every length link among themselves; huge and tiny components are finite vectors."""
+    rows = [(1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (3, [2.0, 1.0], 1), (4, [1.0, 0.0, 0.0, 1.0], 1), (5, [2.0, 0.0, 0.0, 2.0], 1),
+            (6, [1.0, 0.0, 0.0, 1.0], 1), (7, [1e300, 2e300], 1), (8, [1e-310, 2e-310], 1), (9, [1.0, 2.0], 2), (10, [3.0], 1),
+            (11, [5.0], 1), (12, [-5.0], 1), (13, [float("inf"), 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 7: (3, 1), 8: (3, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4), 9: (0, 9),
+                   10: (1, 10), 11: (1, 10), 12: (0, 12), 13: (0, 13)}
+
+
 def test_lattice_recall_per_cosine():
     rng = np.random.default_rng(2)
     maps = lattice.projections(64, lattice.TABLES, lattice.BLOCKS, lattice.SEED)

@@ -212,7 +212,7 @@ def _cell_links(threshold: float, kind: str):
         own = linked.copy()
         for lo in range(0, int(several.sum()), KEYS_AT_ONCE):
             here = (number >= lo) & (number < lo + KEYS_AT_ONCE)
-            holders = np.zeros((len(busy), KEYS_AT_ONCE), np.float32)
+            holders = np.zeros((len(busy), min(KEYS_AT_ONCE, int(several.sum()) - lo)), np.float32)
             holders[np.nonzero(here)[0], number[here] - lo] = 1
             own &= holders @ holders.T == 0
         counts = (own @ size).astype(np.int64)

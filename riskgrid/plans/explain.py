@@ -28,7 +28,7 @@ def summarize(text: str) -> dict:
         "broadcasts": len(re.findall(r"BroadcastExchange", tree)),
         "reused": len(re.findall(r"ReusedExchange", tree)),
         "scans": len(re.findall(r"Scan parquet", tree)),
-        "python": len(re.findall(r"MapInPandas|FlatMapGroupsInPandas|ArrowEvalPython|BatchEvalPython", tree)),
+        "python": len(re.findall(r"MapInPandas|MapInArrow|FlatMapGroupsInPandas|ArrowEvalPython|BatchEvalPython", tree)),
         "pushed": sorted(set(re.findall(r"PushedFilters: \[([^\]]+)\]", text))),
         "read_schemas": sorted(set(re.findall(r"ReadSchema: (struct<[^>]*>)", text))),
     }

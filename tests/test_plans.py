@@ -57,3 +57,11 @@ def test_visible_pairs_stays_linear(spark, stored):
     r = reg(spark, SF)
     n = QUERIES["visible_pairs"](spark, SF).count()
     assert n <= 2 * r.hazards.count() + r.users.count()
+
+
+def test_texts_are_joined_only_where_they_are_read(spark):
+    """Derived from the source tables: no join with documents, and no scan of them, without a description."""
+    from riskgrid.plans.queries import QUERIES
+    for name in ("dashboard", "hazard_history", "kpi_manager"):
+        text = plan_text(QUERIES[name](spark, SF))
+        assert "documents.parquet" not in text, name

@@ -10,6 +10,9 @@ the range partitioner makes it; a text that is repeated very often is spread
 over several ranges, because the id (and a row number for repeated rows) is
 part of the order.
 
+Law ``bytes`` keeps sizes near equal and nothing else: a cut may go through a group of equal
+texts, which then lies in neighbouring shards (a group larger than a shard has to).
+
 Defined results: a null text has no bytes (size = ``overhead``); empty tables
 give no rows; repeated rows are rows of their own, in any order among
 themselves; null ids sort first; columns that the table has besides are left out.

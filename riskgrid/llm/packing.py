@@ -7,11 +7,13 @@
 2. The histogram of the lengths (at most ``capacity`` numbers) goes to the
    driver. The configuration linear program over it (a configuration is a
    multiset of lengths that fits a sequence; cover every length as often as
-   it occurs with as few sequences as possible) is solved approximately by
-   multiplicative weights: lengths that are covered less get higher prices,
-   and each round adds the configuration of the highest price, found by a
-   knapsack dynamic program over the capacity. The solution is rounded down;
-   what is left is packed by best fit, largest first, on the histogram.
+   it occurs with as few sequences as possible) is solved by multiplicative
+   weights with a knapsack dynamic program that prices configurations, until the averaged
+   solution is within ``GAP`` of its dual bound. The program sees lengths rounded
+   up to a grid, and none under capacity / ``SMALL``. Its solution is rounded to
+   whole multiples, its places go to the exact lengths, and best fit puts what is
+   left into the gaps. The plan names the number of sequences and a lower
+   bound for it from the dual prices on the exact lengths.
 3. Every configuration owns a range of numbers of each of its lengths. A
    piece's number among all pieces of its length is its number in its
    partition plus the count of earlier partitions; the range that holds that
@@ -233,6 +235,12 @@ def tokenize(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAP
 
 # --- the linear program over the histogram (driver; sizes depend on the capacity only) ---
 
+SMALL = 32        # lengths under capacity / SMALL fill gaps; the program has no need of them
+GRID = 512        # the program sees lengths rounded up to capacity / GRID tokens
+GAP = 0.01        # it ends when its value is within this share of its dual bound
+SHARES = (1.0, 0.98, 0.9, 0.7)  # of the solution that are rounded; the rest is left to best fit
+EPOCHS = 12       # or after so many averages of ``rounds`` rounds each
+
 
 @dataclass
 class Plan:
@@ -248,65 +256,159 @@ class Plan:
     sequences: int
     configurations: int
     lp_share: float  # share of all tokens placed by rounded configurations
+    bound: int       # no packing needs fewer sequences (dual prices on the exact lengths)
+    gap: float       # how far the program's value lies above its dual bound
 
 
-def price_knapsack(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarray, capacity: int) -> list[int]:
-    """Indices (with repeats) of the dearest multiset of lengths within the capacity.
-
-    Unbounded dynamic program over the capacity; a length that is chosen more
-    often than ``limits`` allows is cut back to its limit."""
+def price_knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unbounded knapsack over the capacity: best value for every capacity, the
+    length chosen there (-1: none), and the nearest capacity below with a choice."""
     best = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1, np.int64)
-    shortest = int(lengths[0])
-    for c in range(shortest, capacity + 1):
-        n = int(np.searchsorted(lengths, c, "right"))
-        gain = best[c - lengths[:n]] + prices[:n]
-        k = int(np.argmax(gain))
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for c in range(int(lengths[0]), capacity + 1):
+        gain = best[c - lengths[:fits[c]]] + prices[:fits[c]]
+        k = int(gain.argmax())
         if gain[k] > best[c - 1]:
             best[c], choice[c] = gain[k], k
         else:
             best[c] = best[c - 1]
-    out, used, c = [], {}, capacity
-    while c > 0:
-        k = int(choice[c])
-        if k < 0:
-            c -= 1
-            continue
-        if used.get(k, 0) < limits[k]:
-            used[k] = used.get(k, 0) + 1
-            out.append(k)
-        c -= int(lengths[k])
+    return best, choice, np.maximum.accumulate(np.where(choice >= 0, np.arange(capacity + 1), 0))
+
+
+def dear_configurations(lengths: np.ndarray, prices: np.ndarray, capacity: int, slack: float) -> tuple[float, np.ndarray]:
+    """The dearest configuration's value, and for every length that lies in a
+    configuration within ``slack`` of it the dearest such one (a row of indices, -1: none)."""
+    best, choice, at = price_knapsack(lengths, prices, capacity)
+    first = np.flatnonzero(prices + best[capacity - lengths] >= (1 - slack) * best[capacity])
+    rows, room = [first], at[capacity - lengths[first]]
+    while (room > 0).any():
+        k = np.where(room > 0, choice[room], -1)
+        rows.append(k)
+        room = np.where(room > 0, at[np.maximum(room - lengths[np.maximum(k, 0)], 0)], 0)
+    return float(best[capacity]), np.sort(np.stack(rows, 1), 1)
+
+
+def multiplicative_weights(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, gap: float = GAP,
+                           epochs: int = EPOCHS) -> tuple[dict[tuple[int, ...], float], np.ndarray, float]:
+    """Fractional configurations that cover every length about as often as it
+    occurs, their lengths' dual prices, and the gap that was reached.
+
+    A length's price starts at its share of the capacity. A round prices all
+    configurations by one knapsack and plays those that are nearly the dearest,
+    each as far as its scarcest length has a share of the round; then every
+    length's price falls by exp(-eta * cover), cover as a share of its count and
+    against the round's mean, so lengths that lag behind get dearer. An epoch's
+    plays are averaged (scaled to the cover that costs least when what is
+    missing is paid for by configurations of one length); eta and the slack of
+    "nearly" fall from epoch to epoch. Prices divided by the dearest configuration's
+    value are a dual solution, so counts * prices bounds every solution."""
+    price = lengths / capacity
+    alone = 1 / (capacity // lengths)
+    dual, dual_price, value, found = 0.0, price, np.inf, {}
+    eta, slack = 0.3, 0.02
+
+    def judge(p: np.ndarray, most: float) -> None:
+        nonlocal dual, dual_price
+        if (d := float((counts * p).sum() / most)) > dual:
+            dual, dual_price = d, p / most
+
+    for _ in range(epochs):
+        cover, played, average = np.zeros(len(lengths)), 0.0, np.zeros(len(lengths))
+        plays: dict[bytes, float] = {}
+        for _ in range(rounds):
+            most, items = dear_configurations(lengths, price, capacity, slack)
+            judge(price, most)
+            average += price / most
+            held = items >= 0
+            use = np.bincount(items[held], minlength=len(lengths))
+            share = np.where(held, (counts / np.maximum(use, 1))[np.maximum(items, 0)], np.inf).min(1)
+            got = np.bincount(items[held], np.broadcast_to(share[:, None], items.shape)[held], len(lengths)) / counts
+            step = 0.1 / got.max()
+            share, got = share * step, got * step
+            cover += got
+            played += share.sum()
+            price = price * np.exp(-eta * (got - share.sum() / dual))
+            for row, x in zip(items.astype(np.int16), share.tolist()):
+                key = row[row >= 0].tobytes()
+                plays[key] = plays.get(key, 0.0) + x
+        judge(average, price_knapsack(lengths, average, capacity)[0][capacity])
+        for s in 1 / np.quantile(cover[cover > 0], np.linspace(0, 1, 41)):
+            cost = s * played + float((counts * np.maximum(0, 1 - s * cover) * alone).sum())
+            if cost < value:
+                value = cost
+                found = {tuple(np.frombuffer(k, np.int16).tolist()): s * x for k, x in plays.items()}
+        if value <= (1 + gap) * dual:
+            break
+        eta, slack = eta * 0.7, max(slack / 2, 2e-4)
+    return found, dual_price, value / dual - 1
+
+
+def rounded(found: dict[tuple[int, ...], float]) -> list[tuple[tuple[int, ...], int]]:
+    """Whole multiples: every configuration's is rounded up or down so that those
+    of each leading run of configurations, in order of their lengths, add up to
+    the whole part of the run's sum (what one loses, a like one gets)."""
+    keys = sorted(found, reverse=True)
+    upto = np.floor(np.cumsum([found[k] for k in keys]) + 0.5).astype(np.int64)
+    return [(k, int(n)) for k, n in zip(keys, np.diff(upto, prepend=0)) if n]
+
+
+def fill(found: list[tuple[tuple[int, ...], int]], classes: np.ndarray, lengths: np.ndarray,
+         left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Give the places of configurations of classes to lengths, the longest of a
+    class first; lowers ``left``. Places that nothing is left for stay free."""
+    pool = {k: np.flatnonzero(classes == k)[::-1].tolist() for k in {k for c, _ in found for k in c}}
+    out = []
+    for config, times in found:
+        while times:
+            taken: list[int] = []
+            for k in config:
+                here = pool[k]
+                while here and left[here[0]] <= 0:
+                    here.pop(0)
+                one = next((i for i in here if left[i] > taken.count(i)), None)
+                if one is not None:
+                    taken.append(one)
+            if not taken:
+                break
+            n = min(times, *(int(left[i]) // taken.count(i) for i in taken))
+            for i in taken:
+                left[i] -= n
+            out.append((tuple(taken), n))
+            times -= n
     return out
 
 
-def multiplicative_weights(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, eps: float = 0.3,
-                           eta: float = 3.0, power: float = 1.1) -> list[tuple[tuple[int, ...], int]]:
-    """Whole multiples of configurations that cover no length too often.
-
-    A length's price is its share of the capacity (to ``power``: what is long
-    is harder to place) times its weight. A round plays the dearest
-    configuration for a share ``eps`` of what its scarcest length has left,
-    then lowers the weights of its lengths in proportion to the cover that
-    they got: weight = exp(-eta * covered share). So lengths that lag behind get
-    dearer, and what is left keeps the mixture of the whole. Multiples are
-    rounded down as they are played."""
-    left = counts.astype(np.int64).copy()
-    base = (lengths / capacity) ** power
-    weight = np.ones(len(lengths))
-    out: dict[tuple[int, ...], int] = {}
-    for _ in range(rounds):
-        live = np.flatnonzero(left > 0)
-        if not len(live):
-            break
-        pick = price_knapsack(lengths[live], base[live] * weight[live], left[live], capacity)
-        items, times = np.unique(live[np.array(pick)], return_counts=True)
-        most = int((left[items] // times).min())
-        played = max(1, int(most * eps)) if most > 4 else most
-        left[items] -= played * times
-        weight[items] *= np.exp(-eta * played * times / counts[items])
-        key = tuple(int(x) for x in np.repeat(items, times))
-        out[key] = out.get(key, 0) + played
-    return list(out.items())
+def into_gaps(groups: list[tuple[tuple[int, ...], int]], lengths: np.ndarray, left: np.ndarray,
+              capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, longest first, of what is left into sequences that are begun (and new ones).
+
+    Sequences with the same content are one group; a step fills a whole group
+    or uses up a length."""
+    free: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    for items, times in groups:
+        free.setdefault(capacity - int(sum(lengths[k] for k in items)), []).append((items, times))
+    for i in range(len(lengths) - 1, -1, -1):
+        size, n = int(lengths[i]), int(left[i])
+        for room in sorted(r for r in free if r >= size) if n else ():
+            here, free[room] = free[room], []
+            for items, times in here:
+                each = min(room // size, n)
+                full = min(times, n // each) if each else 0
+                if full:
+                    free.setdefault(room - each * size, []).append((items + (i,) * each, full))
+                    n -= full * each
+                    times -= full
+                if times and n and n < room // size:  # the rest of a length, in one sequence
+                    free.setdefault(room - n * size, []).append((items + (i,) * n, 1))
+                    n, times = 0, times - 1
+                if times:
+                    free[room].append((items, times))
+        each = capacity // size
+        for items, times in (((i,) * each, n // each), ((i,) * (n % each), 1)):
+            if items and times:
+                free.setdefault(capacity - len(items) * size, []).append((items, times))
+    return [g for same in free.values() for g in same]
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -336,27 +438,37 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
         out.append((tuple(items), times))
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 600) -> Plan:
-    """Packing plan of a length histogram."""
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 100) -> Plan:
+    """Packing plan of a length histogram: the rounded program, or best fit alone where that needs fewer sequences."""
     kept = {int(k): int(n) for k, n in histogram.items() if n > 0}
     lengths = np.array(sorted(kept), np.int64)
     counts = np.array([kept[int(x)] for x in lengths], np.int64)
     total = int((lengths * counts).sum())
     configs: list[tuple[tuple[int, ...], int]] = []
-    left = counts.copy()
-    if len(lengths) and lengths[-1] == capacity:
-        configs.append(((len(lengths) - 1,), int(counts[-1])))
-        left[-1] = 0
-    live = np.flatnonzero(left)
-    if len(live):
-        for items, times in multiplicative_weights(lengths[live], left[live], capacity, rounds):
-            config = tuple(int(live[i]) for i in items)
-            configs.append((config, times))
-            for k in config:
-                left[k] -= times
-    placed = total - int((lengths * left).sum())
-    if left.any():
-        configs += best_fit(lengths, left, capacity)
+    placed, gap, bound = 0, 0.0, -(-total // capacity)
+    grain = -(-capacity // GRID)
+    classes = -(-lengths // grain)
+    in_program = (lengths * SMALL >= capacity) & (classes <= capacity // grain)
+    if in_program.any():
+        sizes, member = np.unique(classes[in_program], return_inverse=True)
+        found, dual, gap = multiplicative_weights(
+            sizes, np.bincount(member, counts[in_program]), capacity // grain, rounds)
+        fewest = None
+        for share in SHARES:
+            left = counts.copy()
+            whole = [(tuple(int(sizes[k]) for k in c), n) for c, n in rounded({c: share * x for c, x in found.items()})]
+            begun = fill(whole, np.where(in_program, classes, 0), lengths, left)
+            here = total - int((lengths * left).sum())
+            done = into_gaps(begun, lengths, left, capacity)
+            if fewest is None or sum(n for _, n in done) < fewest:
+                configs, placed, fewest = done, here, sum(n for _, n in done)
+        # Prices between the classes' are a dual solution of the exact lengths once divided by their dearest configuration.
+        price = np.where(in_program, np.interp(lengths, sizes * grain - (grain - 1) / 2, dual), lengths / capacity)
+        most = float(price_knapsack(lengths, price, capacity)[0][capacity])
+        bound = max(bound, int(np.ceil((counts * price).sum() / most - 1e-6)))
+    plain = best_fit(lengths, counts, capacity)
+    if not in_program.any() or sum(n for _, n in plain) < sum(n for _, n in configs):
+        configs, placed = plain, 0
     taken = np.zeros(len(lengths), np.int64)
     rows, sequence = [], 0
     for items, times in configs:
@@ -368,10 +480,11 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 600
         sequence += times
     rows.sort()
     cols = np.array(rows, np.int64).reshape(-1, 5).T
-    return Plan(*cols, sequences=sequence, configurations=len(configs), lp_share=placed / total if total else 0.0)
+    return Plan(*cols, sequences=sequence, configurations=len(configs), lp_share=placed / total if total else 0.0,
+                bound=bound, gap=gap)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 600) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 100) -> DataFrame:
     """Add sequence_id and offset to written pieces (see ``tokenize``).
 
     ``pieces`` must be read from files (``settle``): maker and nth are fixed there."""

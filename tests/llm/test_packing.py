@@ -80,3 +80,56 @@ def test_plans_use_every_piece_once_and_come_near_the_bound(seed):
     bound = -(-sum(k * v for k, v in histogram.items()) // capacity)
     assert bound <= plan.sequences <= simple * 1.01 + 1
     assert packing.solve({}, capacity).sequences == 0
+
+
+def fewest(pieces, capacity):
+    """Exhaustive optimum: every piece into every begun sequence or a new one."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= pieces[i]}):
+            rooms.remove(room)
+            place(i + 1, [*rooms, room - pieces[i]])
+            rooms.append(room)
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    pieces = sorted(pieces, reverse=True)
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_small_cases_against_the_exhaustive_optimum(seed):
+    rng = np.random.default_rng(seed)
+    pieces = [int(x) for x in rng.integers(6, 60, 11)]
+    lengths, counts = np.unique(pieces, return_counts=True)
+    plan = packing.solve(dict(zip(lengths.tolist(), counts.tolist())), 64, 30)
+    best = fewest(pieces, 64)
+    assert plan.bound <= best <= plan.sequences
+    assert plan.sequences == best
+
+
+def test_program_beats_best_fit_where_lengths_need_mixing():
+    lengths, counts = np.unique(np.random.default_rng(0).integers(500, 1101, 40_000), return_counts=True)
+    plan = packing.solve(dict(zip(lengths.tolist(), counts.tolist())), 2048)
+    simple = sum(n for _, n in packing.best_fit(lengths, counts, 2048))
+    assert plan.bound > -(-int((lengths * counts).sum()) // 2048)  # the duals say more than the tokens do
+    assert plan.bound <= plan.sequences <= 1.01 * plan.bound
+    assert plan.sequences < 0.96 * simple
+    assert plan.lp_share > 0.8
+
+
+def test_fractional_solution_is_priced_and_covers():
+    sizes, counts = np.array([20, 27, 33, 34, 47, 53]), np.array([900, 800, 700, 600, 500, 400])
+    found, prices, gap = packing.multiplicative_weights(sizes, counts, 100, 100)
+    assert gap <= packing.GAP
+    assert packing.price_knapsack(sizes, prices, 100)[0][100] <= 1 + 1e-9  # a dual solution
+    assert all(sum(int(sizes[k]) for k in c) <= 100 for c in found)
+    whole = packing.rounded(found)
+    assert abs(sum(n for _, n in whole) - sum(found.values())) <= 1

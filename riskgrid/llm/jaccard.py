@@ -227,6 +227,12 @@ def _shingles(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col:
     return texts.mapInArrow(released(run), "cls binary, block binary, part int, parts int, shingles binary")
 
 
+def shingles_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """cls, shingles (binary) of ``wanted`` (cls and one of its documents: doc_id, text_key)."""
+    whole = wanted.select("*", F.col("cls").alias("block"), F.lit(0).alias("part"), F.lit(1).alias("parts"))
+    return _shingles(docs, whole, k, id_col, text_col).select("cls", "shingles")
+
+
 def link(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
          id_col: str = "doc_id", text_col: str = "text", part_shingles: int = PART_SHINGLES) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and root (a class of the component;

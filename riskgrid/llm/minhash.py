@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import partitions, q, released, settle, text_key
+from .frames import by_group, partitions, q, released, settle, text_key
 from .words import mix, shingle_sets, tables
 
 SHINGLE = 5
@@ -41,6 +41,7 @@ PERMUTATIONS = 128
 SIMILARITY = (80, 100)  # Jaccard of at least 80 / 100
 BANDS, ROWS = 32, 4     # a pair at 0.8 shares no band with probability 5e-8
 BLOCK = 2048
+CHUNK = 1_000_000       # shingles of a bucket that one side of a comparison holds
 
 
 def hash_family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,9 +182,107 @@ def fingerprint_edits(docs: DataFrame, k: int = SHINGLE, permutations: int = PER
                         "near_edited", "near_next")
 
 
+class Similar:
+    """Components of shingle sets by exact Jaccard likeness.
+
+    ``counts`` of one set against all others come from one index of (shingle,
+    set) in shingle order, so no pair of sets is formed by itself."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.sets, self.num, self.den = sets, num, den
+        self.size = np.array([len(s) for s in sets], np.int64)
+        of = np.repeat(np.arange(len(sets)), self.size)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self._shingle, self._of = every[order], of[order]
+
+    def counts(self, i: int) -> np.ndarray:
+        """Size of the intersection of set i with each set."""
+        lo = np.searchsorted(self._shingle, self.sets[i], "left")
+        n = np.searchsorted(self._shingle, self.sets[i], "right") - lo
+        until = np.cumsum(n)
+        at = np.repeat(lo - (until - n), n) + np.arange(until[-1])
+        return np.bincount(self._of[at], minlength=len(self.sets))
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links that connect all that is similar: a set that has been reached is
+        asked once for those that have not, so a group of copies costs one pass."""
+        waiting = np.ones(len(self.sets), bool)
+        out: list[tuple[int, int]] = []
+        for start in range(len(self.sets)):
+            if not waiting[start]:
+                continue
+            waiting[start] = False
+            queue = [start]
+            while queue and waiting.any():
+                i = queue.pop()
+                both = self.counts(i)
+                near = np.flatnonzero(waiting & (self.den * both >= self.num * (self.size[i] + self.size - both)) & (both > 0))
+                waiting[near] = False
+                queue.extend(near.tolist())
+                out.extend((i, int(j)) for j in near)
+        return out
+
+
+def _bucket_links(num: int, den: int):
+    """(bucket, pair, cls, shingles) of one bucket, or two chunks of it -> links."""
+    def run(t: pa.Table) -> pa.RecordBatch | None:
+        cls, column = t.column("cls").to_pylist(), t.column("shingles")
+        if len(cls) < 2:
+            return None
+        links = Similar([np.frombuffer(column[i].as_py(), np.uint64) for i in range(len(cls))], num, den).links()
+        return pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _ in links], pa.binary()),
+                                           pa.array([cls[j] for _, j in links], pa.binary())], names=["a", "b"])
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY,
-                    bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text",
+                    chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by a Jaccard likeness of at least
-    ``similarity``, found by bands of signatures joined in Spark and verified on the sets."""
-    from .jaccard import link
-    return link(docs, k, similarity, bands, rows, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+    ``similarity``, found by bands of signatures joined in Spark and verified on the sets.
+
+    Texts with equal shingle sets are one class. Classes that share a band's key
+    are a bucket; buckets with the same members (two 64-bit sums over the members
+    and their number) are one. A bucket is compared in one task; one of more than
+    ``chunk`` shingles is dealt to pairs of chunks, each a task's group of about
+    2 * ``chunk`` shingles (or two whole texts), so that every pair meets whatever the bucket's size. Only links
+    that connect something new in their group are written, never all pairs.
+    A pair at the threshold shares no band with the probability stated above;
+    pairs below it are never linked. Nulls, empty and short texts, repeated rows:
+    as in ``fingerprint_edits`` for the sets; what has no words links with nothing."""
+    from .components import components
+    from .jaccard import classes, shingles_of
+
+    spark = docs.sparkSession
+    every = settle(classes(docs, k, bands, rows, id_col, text_col))
+    held = every.where("cls is not null")
+    keyed = held.where("keys is not null").select("cls", "n", F.explode("keys").alias("key")).distinct()
+    members = F.struct(F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"),
+                       F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    buckets = (keyed.groupBy("key").agg(members.alias("same")).where("same.m > 1")
+               .groupBy("same").agg(F.min("key").alias("bucket"))
+               .select("bucket", F.ceil(F.col("same.w") / F.lit(chunk)).cast("int").alias("chunks")))
+    placed = (keyed.join(buckets, F.col("key") == F.col("bucket")).select("cls", "bucket", "chunks")
+              .withColumn("c", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")))
+    # A class goes to every pair of chunks that holds its own; a bucket of one chunk is the pair (0, 0).
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(
+        F.least(F.col("c"), o).alias("lo"), F.greatest(F.col("c"), o).alias("hi")))
+    dealt = (placed.withColumn("pair", F.explode(pairs))
+             .where("chunks = 1 or pair.lo <> pair.hi").select("cls", "bucket", "pair"))
+    one = held.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    wanted = settle(placed.select("cls").distinct().join(one, "cls").select("cls", "first.doc_id", "first.text_key"))
+    # Repeated rows of the chosen document give their set once.
+    sets = settle(shingles_of(docs, wanted, k, id_col, text_col).groupBy("cls").agg(F.min("shingles").alias("shingles")))
+    handle = _bucket_links(*similarity)
+    keys = ["bucket", "lo", "hi"]
+    links = (dealt.join(sets, "cls").select("bucket", "pair.lo", "pair.hi", "cls", "shingles")
+             .repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
+             .mapInArrow(released(lambda it: by_group(it, keys, handle)), "a binary, b binary"))
+    roots = components(links)
+    grouped = (every.join(roots, F.col("cls") == F.col("node"), "left")
+               .select("doc_id", "n", F.coalesce("root", "cls").alias("root")))
+    least = grouped.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "r")
+    return (grouped.join(least, F.col("root") == F.col("r"), "left")
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")))

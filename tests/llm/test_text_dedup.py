@@ -136,6 +136,44 @@ def test_near_duplicates_at_0_8(spark):
     assert Counter(tuple(r) for r in got) == brute(rows, 5, 80, 100)
 
 
+def test_near_duplicates_in_chunks_and_odd_rows(spark, odd, odd_rows, empty, clashing):
+    rng = random.Random(10)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(family(rng, 60, 80) + family(rng, 25, 40))] + [tuple(r) for r in odd_rows]
+    rows += rows[3:6]  # repeated rows
+    want = brute(rows, 5, 80, 100)
+    for chunk in (minhash.CHUNK, 400):  # one task a bucket; buckets dealt to pairs of chunks
+        got = minhash.near_duplicates(frame(spark, rows), chunk=chunk).collect()
+        assert Counter(tuple(r) for r in got) == want
+    assert minhash.near_duplicates(empty).count() == 0
+    assert Counter(tuple(r) for r in minhash.near_duplicates(clashing).collect()) == brute(odd_rows, 5, 80, 100)
+
+
+def test_similar_counts_and_components():
+    rng = random.Random(11)
+    sets = [np.array(sorted(rng.sample(range(30), rng.randint(1, 20))), np.uint64) for _ in range(80)]
+    group = minhash.Similar(sets, 60, 100)
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        both = [len(np.intersect1d(x, y)) for y in sets]
+        assert group.counts(i).tolist() == both
+        for j, n in enumerate(both):
+            if 100 * n >= 60 * (len(x) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+    want = {frozenset(i for i in range(len(sets)) if find(i) == r) for r in map(find, range(len(sets)))}
+    root = list(range(len(sets)))
+    links = group.links()
+    for i, j in links:
+        root[find(i)] = find(j)
+    assert {frozenset(i for i in range(len(sets)) if find(i) == r) for r in map(find, range(len(sets)))} == want
+    assert len(links) == len(sets) - len(want)  # only links that connect something new
+
+
 def lines_of(text):
     """Lines as the operator defines them: (bounds, words of each)."""
     import pyarrow as pa

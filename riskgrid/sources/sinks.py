@@ -9,7 +9,9 @@ commits and the other gets ``VersionConflict`` and leaves no trace but unused
 files. Readers take the newest commit, so a change becomes visible all at
 once (the reference wraps its purge-and-reload in one transaction). All file
 access goes through the Hadoop file system of the path; any failure to read
-a commit is raised, never taken for "no version".
+a commit is raised, never taken for "no version". ``remove_old`` deletes the
+table folders that only old versions (or writers that lost) have left; commit
+files stay, so a version number is never given twice.
 """
 
 from __future__ import annotations
@@ -102,3 +104,37 @@ def write_version(tables: dict[str, DataFrame], root: str, expected: int | None
     finally:
         out.close()
     return v
+
+
+def remove_old(spark: SparkSession, root: str, keep: int = 10, older_than: dt.timedelta = dt.timedelta(days=7)) -> list[str]:
+    """Delete table folders that none of the ``keep`` newest versions names; returns their paths.
+
+    A folder also stays while its last change is less than ``older_than`` ago:
+    it may belong to a writer that has not committed yet, or to a version that
+    became old under a running reader. Removed versions can no longer be read
+    (their commit files remain). No version: nothing is removed."""
+    if keep < 1:
+        raise ValueError("the newest version must be kept")
+    newest = current_version(spark, root)
+    if newest is None:
+        return []
+    named = [set(commit(spark, root, v)["tables"].values()) for v in range(max(0, newest - keep + 1), newest + 1)]
+    # Compared by <unique>/<table>: the same folder may be named by paths of different form.
+    kept = {"/".join(p.rstrip("/").split("/")[-2:]) for paths in named for p in paths}
+    until = (dt.datetime.now(dt.timezone.utc) - older_than).timestamp() * 1000
+    fs, data = _fs(spark, f"{root.rstrip('/')}/data")
+    removed = []
+    for folder in fs.listStatus(data) if fs.exists(data) else []:
+        tables = list(fs.listStatus(folder.getPath()))
+        for t in tables:
+            at = t.getPath()
+            if f"{folder.getPath().getName()}/{at.getName()}" not in kept and t.getModificationTime() <= until:
+                fs.delete(at, True)
+                removed.append(at.toString())
+        if folder.getModificationTime() <= until:
+            try:
+                fs.delete(folder.getPath(), False)  # only where nothing is left in it
+            except Exception:
+                if not fs.listStatus(folder.getPath()):
+                    raise
+    return sorted(removed)

@@ -58,6 +58,31 @@ def test_of_two_writers_one_commits(spark):
     assert [r.user_id for r in sinks.read_table(spark, root, "users").collect()] == [2]
 
 
+def test_old_versions_and_lost_writes_are_removed(spark):
+    import os
+    root = tempfile.mkdtemp(prefix="riskgrid-sink-")
+    assert sinks.remove_old(spark, root) == []
+    hazards = spark.createDataFrame([], S.HAZARDS)
+    sinks.write_version({"users": _one(spark, 0), "hazards": hazards}, root)
+    for n in (1, 2, 3):
+        sinks.write_version({"users": _one(spark, n)}, root)
+    with pytest.raises(sinks.VersionConflict):
+        sinks.write_version({"users": _one(spark, 9)}, root, expected=2)
+    assert sinks.remove_old(spark, root, keep=2) == []  # all is young: a writer may still be at work
+    removed = sinks.remove_old(spark, root, keep=2, older_than=dt.timedelta(0))
+    assert len(removed) == 3  # users of versions 0 and 1, and of the lost write
+    assert [r.user_id for r in sinks.read_table(spark, root, "users").collect()] == [3]
+    assert [r.user_id for r in sinks.read_table(spark, root, "users", version=2).collect()] == [2]
+    assert sinks.read_table(spark, root, "hazards").count() == 0  # written by version 0, still named
+    assert len([f for f in os.listdir(f"{root}/data") if os.listdir(f"{root}/data/{f}")]) == 3
+    assert sinks.remove_old(spark, root, keep=2, older_than=dt.timedelta(0)) == []
+    with pytest.raises(Exception):
+        sinks.read_table(spark, root, "users", version=0).count()
+    assert sinks.write_version({"users": _one(spark, 4)}, root) == 4  # numbers go on
+    with pytest.raises(ValueError):
+        sinks.remove_old(spark, root, keep=0)
+
+
 def test_register_is_stored_only_on_request(spark):
     import os
     from riskgrid.sources import binding as B

@@ -239,6 +239,7 @@ SMALL = 32        # lengths under capacity / SMALL fill gaps; the program has no
 GRID = 512        # the program sees lengths rounded up to capacity / GRID tokens
 GAP = 0.01        # it ends when its value is within this share of its dual bound
 SHARES = (1.0, 0.98, 0.9, 0.7)  # of the solution that are rounded; the rest is left to best fit
+FREE = (1, 1024, None)  # configurations with more than capacity / this (None: any) free tokens are not kept
 EPOCHS = 12       # or after so many averages of ``rounds`` rounds each
 
 
@@ -354,9 +355,12 @@ def rounded(found: dict[tuple[int, ...], float]) -> list[tuple[tuple[int, ...],
 
 
 def fill(found: list[tuple[tuple[int, ...], int]], classes: np.ndarray, lengths: np.ndarray,
-         left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+         left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Give the places of configurations of classes to lengths, the longest of a
-    class first; lowers ``left``. Places that nothing is left for stay free."""
+    class first; lowers ``left``. Places that nothing is left for stay free.
+
+    A configuration's last place goes to the longest length that fits into the
+    rest of the sequence, so what the others lose to their classes is not lost."""
     pool = {k: np.flatnonzero(classes == k)[::-1].tolist() for k in {k for c, _ in found for k in c}}
     out = []
     for config, times in found:
@@ -369,6 +373,11 @@ def fill(found: list[tuple[tuple[int, ...], int]], classes: np.ndarray, lengths:
                 one = next((i for i in here if left[i] > taken.count(i)), None)
                 if one is not None:
                     taken.append(one)
+            if len(taken) == len(config):
+                i = int(np.searchsorted(lengths, capacity - int(lengths[taken[:-1]].sum()), "right")) - 1
+                while left[i] <= taken[:-1].count(i):
+                    i -= 1
+                taken[-1] = i
             if not taken:
                 break
             n = min(times, *(int(left[i]) // taken.count(i) for i in taken))
@@ -453,15 +462,23 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 100
         sizes, member = np.unique(classes[in_program], return_inverse=True)
         found, dual, gap = multiplicative_weights(
             sizes, np.bincount(member, counts[in_program]), capacity // grain, rounds)
-        fewest = None
-        for share in SHARES:
+        # Fewest sequences first, then most tokens placed by the program.
+        chosen = (np.inf, 0)
+        for share, free in ((s, f) for s in SHARES for f in FREE):
             left = counts.copy()
             whole = [(tuple(int(sizes[k]) for k in c), n) for c, n in rounded({c: share * x for c, x in found.items()})]
-            begun = fill(whole, np.where(in_program, classes, 0), lengths, left)
+            begun = []
+            for items, n in fill(whole, np.where(in_program, classes, 0), lengths, left, capacity):
+                if capacity - int(lengths[list(items)].sum()) <= (capacity // free if free else 0):
+                    begun.append((items, n))
+                else:
+                    np.add.at(left, list(items), n)
             here = total - int((lengths * left).sum())
             done = into_gaps(begun, lengths, left, capacity)
-            if fewest is None or sum(n for _, n in done) < fewest:
-                configs, placed, fewest = done, here, sum(n for _, n in done)
+            if (sum(n for _, n in done), -here) < chosen:
+                configs, placed, chosen = done, here, (sum(n for _, n in done), -here)
+            if chosen[0] == bound:
+                break
         # Prices between the classes' are a dual solution of the exact lengths once divided by their dearest configuration.
         price = np.where(in_program, np.interp(lengths, sizes * grain - (grain - 1) / 2, dual), lengths / capacity)
         most = float(price_knapsack(lengths, price, capacity)[0][capacity])

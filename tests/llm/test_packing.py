@@ -133,3 +133,20 @@ def test_fractional_solution_is_priced_and_covers():
     assert all(sum(int(sizes[k]) for k in c) <= 100 for c in found)
     whole = packing.rounded(found)
     assert abs(sum(n for _, n in whole) - sum(found.values())) <= 1
+
+
+def test_program_places_pieces_where_best_fit_alone_is_as_good():
+    rng = np.random.default_rng(3)
+    lengths, counts = np.unique(np.clip(rng.lognormal(np.log(500), 0.7, 6_000).astype(int), 1, 2048), return_counts=True)
+    plan = packing.solve(dict(zip(lengths.tolist(), counts.tolist())), 2048)
+    assert plan.sequences <= sum(n for _, n in packing.best_fit(lengths, counts, 2048))
+    assert plan.lp_share > 0.3
+
+
+def test_last_place_takes_the_longest_length_that_fits():
+    lengths, left = np.array([9, 10, 11, 12]), np.array([1, 2, 1, 1])
+    classes = -(-lengths // 4)
+    groups = packing.fill([((3, 3), 1)], classes, lengths, left, 22)
+    assert groups == [((3, 1), 1)]
+    assert left.tolist() == [1, 1, 1, 0]
+    assert packing.fill([((3, 3), 2)], classes, lengths, np.array([1, 0, 0, 0]), 22) == [((0,), 1)]

@@ -778,11 +778,12 @@ UNION ALL
 SELECT command_id, hazard_id, kind, performed_by_user_id, result, CASE WHEN result = 'OK' THEN 'Created' END FROM made"""
 register_steps("apply_commands", APPLIED)
 register_steps("apply_commands_stream", APPLIED)
-register_steps("apply_hazards", STEPS + """
+AFTER = STEPS + """
 , fin AS (SELECT hazard_id AS f_id, h_asg, h_status FROM (
             SELECT *, row_number() OVER (PARTITION BY hazard_id ORDER BY rn DESC) AS last FROM s) WHERE last = 1),
 upd AS (SELECT * FROM (SELECT done.*, row_number() OVER (PARTITION BY hazard_id ORDER BY command_ts DESC, command_id DESC) AS last
-                       FROM done WHERE kind = 'update' AND result = 'OK') WHERE last = 1)
+                       FROM done WHERE kind = 'update' AND result = 'OK') WHERE last = 1),
+hazards_after AS (
 SELECT h.hazard_id, CASE WHEN u.command_id IS NULL THEN h.title ELSE coalesce(u.title, '') END AS title,
        CASE WHEN u.command_id IS NULL THEN h.description ELSE coalesce(u.description, '') END AS description,
        h.reported_by_user_id, CASE WHEN f.f_id IS NULL THEN h.assigned_to_user_id ELSE f.h_asg END AS assigned_to_user_id,
@@ -794,7 +795,19 @@ FROM hazards h LEFT JOIN fin f ON f.f_id = h.hazard_id LEFT JOIN upd u ON u.haza
 UNION ALL
 SELECT new_hazard_id, coalesce(title, ''), coalesce(description, ''), reported_by_user_id, NULL, 'Open', coalesce(severity, 'Low'),
        coalesce(type, 'General'), command_ts, due_date
-FROM made WHERE result = 'OK'""")
+FROM made WHERE result = 'OK')
+"""
+register_steps("apply_hazards", AFTER + "SELECT * FROM hazards_after")
+
+
+def after_commands(name: str) -> str:
+    """A registered query's own part, over the hazards after all commands."""
+    return AFTER + SQL[name][len(BINDING):].replace("JOIN hazards h", "JOIN hazards_after h")
+
+
+register_steps("grants_after_apply", after_commands("visible_pairs"))
+register_steps("dashboard_kpi_after_apply", after_commands("dashboard_all_kpi"))
+register_steps("dashboard_type_after_apply", after_commands("dashboard_all_type"))
 register_steps("apply_logs", STEPS + """
 , added AS (SELECT command_ts, command_id, hazard_id, action AS action_type, log_text AS details, performed_by_user_id FROM done WHERE result = 'OK'
             UNION ALL

@@ -627,6 +627,38 @@ def q_apply_logs(spark, d):
     return _applied(spark, d)[1]
 
 
+# V3 and A6 after W6 ------------------------------------------------------------
+from ..operators import maintain as M  # noqa: E402
+
+BEFORE = NOW - dt.timedelta(days=30)
+
+
+def _changed(spark, d):
+    r = reg(spark, d)
+    return r, *M.changes(r.hazard_commands, r.users, r.hazards)
+
+
+@query("grants_after_apply")
+def q_grants_after_apply(spark, d):
+    """The grant table after all commands, from the one before and the touched hazards."""
+    r, old, new = _changed(spark, d)
+    return M.grants(V.visible_grants(r.users, r.hazards), r.users, old, new)
+
+
+@query("dashboard_kpi_after_apply")
+def q_dashboard_kpi_after_apply(spark, d):
+    """KPI rows of all users, counted a month ago, after all commands and that month."""
+    r, old, new = _changed(spark, d)
+    return M.kpi(A.dashboard_all_kpi(r.users, r.hazards, BEFORE), r.users, old, new, BEFORE, NOW,
+                 M.passed_due(r.hazards, old, BEFORE, NOW))
+
+
+@query("dashboard_type_after_apply")
+def q_dashboard_type_after_apply(spark, d):
+    r, old, new = _changed(spark, d)
+    return M.breakdown(A.dashboard_all_breakdown(r.users, r.hazards, "type"), r.users, old, new, "type")
+
+
 @query("lockout_batch")
 def q_lockout_batch(spark, d):
     """Lockout with the binding's test constants, keyed by user name."""

@@ -700,11 +700,67 @@ SELECT v.viewer_id, '{{"OpenCount":' || coalesce(open_count, 0) || ',"InProgress
 FROM v LEFT JOIN k ON k.viewer_id = v.viewer_id""")
 
 # S5-S7 ----------------------------------------------------------------------
-from ..sources import integrity as _DQ  # noqa: E402
 
-register("dq_unique", _DQ.oracle_unique_sql())
-register("dq_foreign_keys", _DQ.oracle_fk_sql())
-register("dq_row_rules", _DQ.oracle_rows_sql())
+# Written out rule by rule, apart from the lists that the checks are built from.
+register("dq_unique", """
+SELECT 'users' AS table_name, 'user_id' AS key_columns, CAST(user_id AS VARCHAR) AS key_value, count(*) AS n
+FROM users GROUP BY user_id HAVING count(*) > 1
+UNION ALL SELECT 'users', 'user_name', lower(user_name), count(*) FROM users GROUP BY lower(user_name) HAVING count(*) > 1
+UNION ALL SELECT 'hazards', 'hazard_id', CAST(hazard_id AS VARCHAR), count(*) FROM hazards GROUP BY hazard_id HAVING count(*) > 1
+UNION ALL SELECT 'hazard_logs', 'hazard_log_id', CAST(hazard_log_id AS VARCHAR), count(*) FROM hazard_logs
+GROUP BY hazard_log_id HAVING count(*) > 1
+UNION ALL SELECT 'hazard_attachments', 'attachment_id', CAST(attachment_id AS VARCHAR), count(*) FROM hazard_attachments
+GROUP BY attachment_id HAVING count(*) > 1""")
+register("dq_foreign_keys", """
+SELECT 'hazards' AS child_table, 'reported_by_user_id' AS fk_column, 'users' AS parent_table,
+       CAST(reported_by_user_id AS VARCHAR) AS key_value, count(*) AS n
+FROM hazards WHERE reported_by_user_id NOT IN (SELECT user_id FROM users WHERE user_id IS NOT NULL) GROUP BY reported_by_user_id
+UNION ALL SELECT 'hazards', 'assigned_to_user_id', 'users', CAST(assigned_to_user_id AS VARCHAR), count(*)
+FROM hazards WHERE assigned_to_user_id NOT IN (SELECT user_id FROM users WHERE user_id IS NOT NULL) GROUP BY assigned_to_user_id
+UNION ALL SELECT 'hazard_logs', 'hazard_id', 'hazards', CAST(hazard_id AS VARCHAR), count(*)
+FROM hazard_logs WHERE hazard_id NOT IN (SELECT hazard_id FROM hazards WHERE hazard_id IS NOT NULL) GROUP BY hazard_id
+UNION ALL SELECT 'hazard_logs', 'performed_by_user_id', 'users', CAST(performed_by_user_id AS VARCHAR), count(*)
+FROM hazard_logs WHERE performed_by_user_id NOT IN (SELECT user_id FROM users WHERE user_id IS NOT NULL) GROUP BY performed_by_user_id
+UNION ALL SELECT 'hazard_attachments', 'hazard_id', 'hazards', CAST(hazard_id AS VARCHAR), count(*)
+FROM hazard_attachments WHERE hazard_id NOT IN (SELECT hazard_id FROM hazards WHERE hazard_id IS NOT NULL) GROUP BY hazard_id
+UNION ALL SELECT 'hazard_attachments', 'uploaded_by_user_id', 'users', CAST(uploaded_by_user_id AS VARCHAR), count(*)
+FROM hazard_attachments WHERE uploaded_by_user_id NOT IN (SELECT user_id FROM users WHERE user_id IS NOT NULL)
+GROUP BY uploaded_by_user_id""")
+register("dq_row_rules", """
+, per_user AS (SELECT count(*) - count(user_id), count(*) - count(user_name), count(*) - count(full_name), count(*) - count(role),
+         count(*) - count(is_active), count(*) FILTER (length(user_name) > 50), count(*) FILTER (length(full_name) > 100),
+         count(*) FILTER (length(role) > 50), count(*) FILTER (role NOT IN ('FieldWorker', 'SiteManager', 'SafetyOfficer')) FROM users),
+per_hazard AS (SELECT count(*) - count(hazard_id), count(*) - count(title), count(*) - count(reported_by_user_id), count(*) - count(status),
+         count(*) - count(severity), count(*) - count(type), count(*) - count(created_at), count(*) FILTER (length(title) > 200),
+         count(*) FILTER (length(description) > 2000), count(*) FILTER (length(status) > 30), count(*) FILTER (length(severity) > 30),
+         count(*) FILTER (length(type) > 30), count(*) FILTER (status NOT IN ('Open', 'InProgress', 'Resolved')),
+         count(*) FILTER (severity NOT IN ('Low', 'Medium', 'High', 'Critical')),
+         count(*) FILTER (type NOT IN ('Fire', 'Electrical', 'Chemical', 'Equipment', 'Physical', 'General')) FROM hazards),
+per_log AS (SELECT count(*) - count(hazard_log_id), count(*) - count(hazard_id), count(*) - count(action_type),
+         count(*) - count(performed_by_user_id), count(*) - count(created_at), count(*) FILTER (length(action_type) > 50),
+         count(*) FILTER (length(details) > 2000),
+         count(*) FILTER (action_type NOT IN ('Created', 'UpdatedDetails', 'Assigned', 'StatusChanged', 'Comment')) FROM hazard_logs),
+per_file AS (SELECT count(*) - count(attachment_id), count(*) - count(hazard_id), count(*) - count(file_name), count(*) - count(uploaded_at),
+         count(*) FILTER (length(file_name) > 255), count(*) FILTER (length(content_type) > 100),
+         count(*) FILTER (length(storage_path) > 500) FROM hazard_attachments),
+u(a, b, c, d, e, f, g, h, i) AS (FROM per_user), z(a, b, c, d, e, f, g, h, i, j, k, l, m, n, o) AS (FROM per_hazard),
+w(a, b, c, d, e, f, g, h) AS (FROM per_log), t(a, b, c, d, e, f, g) AS (FROM per_file)
+SELECT 'users' AS table_name, unnest(['not_null:user_id', 'not_null:user_name', 'not_null:full_name', 'not_null:role', 'not_null:is_active',
+         'max_len:user_name', 'max_len:full_name', 'max_len:role', 'domain:role']) AS rule,
+       unnest([a, b, c, d, e, f, g, h, i]) AS violations FROM u
+UNION ALL
+SELECT 'hazards', unnest(['not_null:hazard_id', 'not_null:title', 'not_null:reported_by_user_id', 'not_null:status', 'not_null:severity',
+         'not_null:type', 'not_null:created_at', 'max_len:title', 'max_len:description', 'max_len:status', 'max_len:severity',
+         'max_len:type', 'domain:status', 'domain:severity', 'domain:type']),
+       unnest([a, b, c, d, e, f, g, h, i, j, k, l, m, n, o]) FROM z
+UNION ALL
+SELECT 'hazard_logs', unnest(['not_null:hazard_log_id', 'not_null:hazard_id', 'not_null:action_type', 'not_null:performed_by_user_id',
+         'not_null:created_at', 'max_len:action_type', 'max_len:details', 'domain:action_type']),
+       unnest([a, b, c, d, e, f, g, h]) FROM w
+UNION ALL
+SELECT 'hazard_attachments', unnest(['not_null:attachment_id', 'not_null:hazard_id', 'not_null:file_name', 'not_null:uploaded_at',
+         'max_len:file_name', 'max_len:content_type', 'max_len:storage_path']),
+       unnest([a, b, c, d, e, f, g]) FROM t""")
 
 # T15 ------------------------------------------------------------------------
 register("login_key", f"""

@@ -89,38 +89,3 @@ def check_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def oracle_rows_sql() -> str:
-    parts = []
-    for name in NOT_NULL:
-        for rule, col, p in rules(name):
-            if rule.startswith("not_null"):
-                cond = f"{col} IS NULL"
-            elif rule.startswith("max_len"):
-                cond = f"length({col}) > {p}"
-            else:
-                cond = f"{col} IS NOT NULL AND {col} NOT IN ({', '.join(repr(v) for v in p)})"
-            parts.append(f"SELECT '{name}' AS table_name, '{rule}' AS rule, "
-                         f"(SELECT count(*) FROM {name} WHERE {cond}) AS violations")
-    return " UNION ALL ".join(parts)
-
-
-def oracle_unique_sql() -> str:
-    parts = []
-    for name, keys in S.UNIQUE_KEYS:
-        by = [f"lower({k})" if k == "user_name" else k for k in keys]
-        kv = " || ',' || ".join(f"CAST({k} AS VARCHAR)" for k in by)
-        parts.append(f"SELECT '{name}' AS table_name, '{','.join(keys)}' AS key_columns, {kv} AS key_value, "
-                     f"count(*) AS n FROM {name} GROUP BY {', '.join(by)} HAVING count(*) > 1")
-    return " UNION ALL ".join(parts)
-
-
-def oracle_fk_sql() -> str:
-    parts = []
-    for child, col, parent, pcol in S.FOREIGN_KEYS:
-        parts.append(f"SELECT '{child}' AS child_table, '{col}' AS fk_column, '{parent}' AS parent_table, "
-                     f"CAST({col} AS VARCHAR) AS key_value, count(*) AS n FROM {child} c "
-                     f"WHERE {col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pcol} = c.{col}) "
-                     f"GROUP BY {col}")
-    return " UNION ALL ".join(parts)

@@ -38,3 +38,20 @@ def test_stored_states_and_filters_ignore_case(spark):
     assert L.filter_type(hazards, "FIRE").count() == 2 and L.filter_type(hazards, "legacy").count() == 0
     assert {r.user_name for r in L.users_by_role(users, "SITEMANAGER").collect()} == {"ann", "bob"}
     assert {r.user_id for r in L.active_managers(t["users"]).collect()} == {2}
+
+
+def test_planted_rows_equal_the_sql(spark):
+    import duckdb
+
+    from riskgrid.plans import oracles as O
+    tables = _tables(spark)
+    con = duckdb.connect()
+    for name, df in tables.items():
+        con.register(name, df.toArrow())
+    for name, check in (("dq_unique", DQ.check_unique), ("dq_foreign_keys", DQ.check_foreign_keys), ("dq_row_rules", DQ.check_rows)):
+        got = check(tables)
+        sql = O.SQL[name][len(O.BINDING):]
+        sql = "WITH one AS (SELECT 1)" + sql if sql.lstrip().startswith(",") else sql
+        want = con.sql(sql).to_df()[got.columns].values.tolist()
+        assert sorted(map(tuple, want), key=repr) == sorted(map(tuple, got.collect()), key=repr)
+        assert any(r[-1] for r in want)

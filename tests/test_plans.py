@@ -65,3 +65,10 @@ def test_texts_are_joined_only_where_they_are_read(spark):
     for name in ("dashboard", "hazard_history", "kpi_manager"):
         text = plan_text(QUERIES[name](spark, SF))
         assert "documents.parquet" not in text, name
+
+
+def test_foreign_key_checks_collect_no_parent_on_the_driver(spark):
+    """The parents' keys are merged however small their files are estimated (small files were broadcast before)."""
+    from riskgrid.plans.queries import QUERIES
+    text = plan_text(QUERIES["dq_foreign_keys"](spark, SF))
+    assert "Broadcast" not in text and text.count("SortMergeJoin") >= 6

@@ -75,13 +75,16 @@ def access_expr(role: Column, uid: Column, reporter: Column, assignee: Column, s
 
 
 def hazard_state(hazards: DataFrame, prefix: str = "h_") -> DataFrame:
-    """Columns of a hazard needed by access and command checks."""
+    """Columns of a hazard needed by access and command checks.
+
+    Joined by merging: few columns of many hazards look small by their file's size, and would be
+    collected on the driver."""
     return hazards.select(
         F.col("hazard_id").alias(f"{prefix}hazard_id"),
         F.col("reported_by_user_id").alias(f"{prefix}reporter"),
         F.col("assigned_to_user_id").alias(f"{prefix}assignee"),
         F.col("status").alias(f"{prefix}status"),
-    )
+    ).hint("merge")
 
 
 def access_flags(requests: DataFrame, hazards: DataFrame) -> DataFrame:

@@ -72,3 +72,14 @@ def test_foreign_key_checks_collect_no_parent_on_the_driver(spark):
     from riskgrid.plans.queries import QUERIES
     text = plan_text(QUERIES["dq_foreign_keys"](spark, SF))
     assert "Broadcast" not in text and text.count("SortMergeJoin") >= 6
+
+
+def test_policy_rows_collect_no_table_on_the_driver(spark):
+    """Users and hazard states are merged with the requests (both were broadcast before), in every query on them."""
+    from riskgrid.plans.queries import QUERIES
+    for name in ("policy_can_comment", "policy_can_view", "row_actions", "access_flags"):
+        text = plan_text(QUERIES[name](spark, SF))
+        assert "Broadcast" not in text and text.count("SortMergeJoin") >= 2, name
+    for name in ("scalar_status_log", "cmd_comment", "hazard_history"):
+        s = plan_text(QUERIES[name](spark, SF)).split("\n\n")[0]
+        assert "SortMergeJoin LeftOuter" in s, name

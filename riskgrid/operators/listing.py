@@ -248,18 +248,41 @@ def semi_active_reporter(df: DataFrame, users: DataFrame, col: str = "reported_b
 
 
 # J8 / J9 --------------------------------------------------------------------
+def requested_hazards(requests: DataFrame, hazards: DataFrame, users: DataFrame) -> DataFrame:
+    """The hazards that any of ``requests`` asks for, with names, each once however many requests there
+    are: texts are joined and shuffled per hazard, not per request."""
+    asked = requests.select(F.col("hazard_id").alias("_rq_hazard")).distinct().hint("merge")
+    return with_names(hazards.join(asked, F.col("hazard_id") == F.col("_rq_hazard"), "left_semi"), users)
+
+
+def _judged(requests: DataFrame) -> tuple[DataFrame, Column]:
+    """The requests' narrow rows, and whether the one joined to a hazard may read it."""
+    rq = requests.select("request_id", F.col("hazard_id").alias("_rq_hazard"), F.col("user_id").alias("viewer_id"),
+                         F.col("role").alias("_rq_role"))
+    return rq, V.access_expr(F.col("_rq_role"), F.col("viewer_id"), F.col("reported_by_user_id"),
+                             F.col("assigned_to_user_id"), F.col("status"))
+
+
+def answers(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    """(request_id, viewer_id, ``rows``' columns): each request beside the row of the hazard it asks for, if
+    it may read it. ``rows`` hold a hazard's id, state and whatever the answer needs; a wide row meets
+    its requests in the join that ends the query, and is not shuffled behind it."""
+    rq, acc = _judged(requests)
+    j = rq.join(rows, F.col("_rq_hazard") == F.col("hazard_id"), "inner").where(acc)
+    return j.select("request_id", "viewer_id", *rows.columns)
+
+
+def answered(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of ``rows`` (as in ``answers``) that at least one request may read, as they are."""
+    rq, acc = _judged(requests)
+    return rows.join(rq, (F.col("_rq_hazard") == F.col("hazard_id")) & acc, "left_semi")
+
+
 def hazard_detail(requests: DataFrame, hazards: DataFrame, users: DataFrame) -> DataFrame:
     """Batch of scoped by-id reads: requests (request_id, hazard_id, user_id,
     role). A denied request returns no row, the same as a missing hazard.
     The hazards are joined once: access is judged on the joined row."""
-    j = requests.select(F.col("request_id"), F.col("hazard_id").alias("_rq_hazard"), F.col("user_id"),
-                        F.col("role").alias("_rq_role")).join(
-        hazards, F.col("_rq_hazard") == hazards["hazard_id"], "inner")
-    acc = V.access_expr(F.col("_rq_role"), F.col("user_id"), F.col("reported_by_user_id"),
-                        F.col("assigned_to_user_id"), F.col("status"))
-    ok = j.where(acc).drop("_rq_hazard", "_rq_role")
-    named = join_assignee(join_reporter(ok, users), users)
-    return named.select("request_id", F.col("user_id").alias("viewer_id"), *LIST_COLUMNS)
+    return answers(requests, requested_hazards(requests, hazards, users))
 
 
 def scoped_logs(logs: DataFrame, hazards: DataFrame, users: DataFrame, viewers) -> DataFrame:

@@ -1,12 +1,14 @@
 """Login lockout on a stream of login events (L2).
 
-``groupBy(key).applyInPandasWithState`` with an event-time timeout. Rows of a
-key are buffered in its state and folded in (ts, login_id) order only once the
+``applyInPandasWithState`` with an event-time timeout. Rows of a
+key are buffered in state and folded in (ts, login_id) order only once the
 watermark has passed them (ts < watermark), so the outcome of every attempt
 equals the batch operator's, whatever order rows arrive in within the
 allowed lateness. Rows behind the watermark come out as ``late`` and change
-nothing. The state is typed: the fold's three fields and the waiting rows as three arrays,
-which hold at most the rows of one allowed lateness. A key's state is removed once it has been idle for longer than window + block (such a gap
+nothing. A call into Python costs milliseconds whatever it folds, so keys share ``groups`` states by their hash;
+inside one, every key has its own fold. The state is typed: per key the fold's three fields, its last time and its
+number of waiting rows, and the waiting rows as three arrays,
+which hold at most the rows of one allowed lateness. A key leaves the state once it has been idle for longer than window + block (such a gap
 resets every rule of the fold).
 
 The fold itself is ``operators.lockout.step``, shared with the batch form.
@@ -15,9 +17,14 @@ The fold itself is ``operators.lockout.step``, shared with the batch form.
 from __future__ import annotations
 
 import datetime as dt
+import itertools
+import math
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,54 +35,76 @@ from ..session import checkpoint_dir
 from ..sources.sinks import delete_on_exit
 
 LATE = "late"  # outcome of an attempt that arrived behind the watermark
-STATE_SCHEMA = ("window_start_us long, count int, blocked_until_us long, last_ts_us long, "
+STATE_SCHEMA = ("keys array<string>, window_starts_us array<bigint>, counts array<int>, blocked_until_us array<bigint>, "
+                "last_ts_us array<bigint>, n_waiting array<int>, "
                 "ids array<bigint>, times array<bigint>, successes array<boolean>")
 EPOCH = dt.datetime(1970, 1, 1)
-FILES_PER_TRIGGER = 8
+_NO_TIME = np.iinfo(np.int64).min
+FILES_PER_TRIGGER = 8  # at least; a replay takes a slice's files at once
+GROUPS = 4096  # states of a stream; fixed for the life of its checkpoint
+GROUP_ROWS = 2048  # rows of a replayed table that share a state, on average
 
 
-def _us(ts) -> int:
-    return int((pd.Timestamp(ts).to_pydatetime().replace(tzinfo=None) - EPOCH) / dt.timedelta(microseconds=1))
+def _us(ts: dt.datetime | None) -> int | None:
+    return None if ts is None else (ts - EPOCH) // dt.timedelta(microseconds=1)
 
 
 def _ts(us: int | None):
     return None if us is None else EPOCH + dt.timedelta(microseconds=int(us))
 
 
+@dataclass
+class Tracked:
+    """A key in the state: its fold, the last time folded, and its waiting rows (login_id, time, success)."""
+    fold: LK.KeyState = field(default_factory=LK.KeyState)
+    last_us: int | None = None
+    waiting: list = field(default_factory=list)
+
+
+def _unpack(keys, starts, counts, blocked, lasts, n_waiting, *rows) -> dict:
+    rows = zip(*rows)
+    return {k: Tracked(LK.KeyState(_ts(ws), c, _ts(bu)), last, list(itertools.islice(rows, n)))
+            for k, ws, c, bu, last, n in zip(keys, starts, counts, blocked, lasts, n_waiting)}
+
+
+def _pack(tracked: dict) -> tuple:
+    rows = [r for t in tracked.values() for r in t.waiting]
+    per_key = [(k, _us(t.fold.window_start), t.fold.count, _us(t.fold.blocked_until), t.last_us, len(t.waiting))
+               for k, t in tracked.items()]
+    return (*map(list, zip(*per_key)), *([list(c) for c in zip(*rows)] or [[], [], []]))
+
+
 def make_state_fn(max_failures: int, window: dt.timedelta, block: dt.timedelta):
     idle_us = int((window + block) / dt.timedelta(microseconds=1))
 
-    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        k = key[0]
+    def fn(_group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         wm_us = state.getCurrentWatermarkMs() * 1000
-        if state.exists:
-            ws, count, bu, last_us, *waiting = state.get
-            buf = list(zip(*waiting))
-        else:
-            ws, count, bu, last_us, buf = None, 0, None, None, []
-        late = []
+        tracked = _unpack(*state.get) if state.exists else {}
+        out = []
         for b in batches:
-            for lid, ts, ok in zip(b["login_id"].tolist(), b["ts"].tolist(), b["success"].tolist()):
-                t = None if pd.isna(ts) else _us(ts)
-                if t is None or t < wm_us:  # its place in the order has passed, or it has none: reported, not counted
-                    late.append((k, int(lid), None if t is None else ts, bool(ok), LATE, None, None))
+            times = b["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+            for k, lid, t, ok in zip(b["key"].tolist(), b["login_id"].tolist(), times, b["success"].tolist()):
+                k = None if pd.isna(k) else k
+                if t == _NO_TIME or t < wm_us:  # its place in the order has passed, or it has none: reported, not counted
+                    out.append((k, int(lid), None if t == _NO_TIME else _ts(t), bool(ok), LATE, None, None))
                     continue
-                buf.append((int(lid), t, bool(ok)))
-        buf.sort(key=lambda r: (r[1], r[0]))
-        ready = [r for r in buf if r[1] < wm_us]
-        buf = [r for r in buf if r[1] >= wm_us]
-        ks = LK.KeyState(_ts(ws), count or 0, _ts(bu))
-        out = late + list(LK.fold_key(k, ((lid, _ts(t), ok) for lid, t, ok in ready), ks, max_failures, window, block))
-        if ready:
-            last_us = ready[-1][1]
-        if not buf and (last_us is None or wm_us > last_us + idle_us):
+                if k not in tracked:
+                    tracked[k] = Tracked()
+                tracked[k].waiting.append((int(lid), t, bool(ok)))
+        for k, at in list(tracked.items()):
+            at.waiting.sort(key=lambda r: (r[1], r[0]))
+            n = bisect_left(at.waiting, wm_us, key=lambda r: r[1])
+            ready, at.waiting = at.waiting[:n], at.waiting[n:]
+            out += LK.fold_key(k, ((lid, _ts(t), ok) for lid, t, ok in ready), at.fold, max_failures, window, block)
+            if ready:
+                at.last_us = ready[-1][1]
+            if not at.waiting and (at.last_us is None or wm_us > at.last_us + idle_us):
+                del tracked[k]
+        if not tracked:
             state.remove()
         else:
-            ws_us = None if ks.window_start is None else _us(ks.window_start)
-            bu_us = None if ks.blocked_until is None else _us(ks.blocked_until)
-            waiting = [list(c) for c in zip(*buf)] or [[], [], []]
-            state.update((ws_us, ks.count, bu_us, last_us, *waiting))
-            nxt = buf[0][1] if buf else last_us + idle_us
+            state.update(_pack(tracked))
+            nxt = min(at.waiting[0][1] if at.waiting else at.last_us + idle_us for at in tracked.values())
             state.setTimeoutTimestamp(max(nxt // 1000, state.getCurrentWatermarkMs() + 1))
         if out:
             df = LK.out_frame(out)
@@ -86,13 +115,15 @@ def make_state_fn(max_failures: int, window: dt.timedelta, block: dt.timedelta):
 
 
 def lockout_stream(events: DataFrame, key: Column, lateness: str, max_failures: int = LK.DEFAULT_MAX_FAILURES,
-                   window: dt.timedelta = LK.DEFAULT_WINDOW, block: dt.timedelta = LK.DEFAULT_BLOCK) -> DataFrame:
+                   window: dt.timedelta = LK.DEFAULT_WINDOW, block: dt.timedelta = LK.DEFAULT_BLOCK,
+                   groups: int = GROUPS) -> DataFrame:
     """Streaming DataFrame of outcomes; ``events`` is a streaming source of
-    login events (ts as TIMESTAMP_NTZ, read in UTC)."""
+    login events (ts as TIMESTAMP_NTZ, read in UTC); ``groups`` is the number of
+    states that the keys share."""
     rows = (events.select(key.alias("key"), "login_id", F.col("ts").cast("timestamp").alias("ts"), "success")
-            .withWatermark("ts", lateness))
+            .withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).withWatermark("ts", lateness))
     out_schema = LK.OUT_SCHEMA.replace("ts timestamp_ntz", "ts timestamp")
-    return rows.groupBy("key").applyInPandasWithState(
+    return rows.groupBy("group").applyInPandasWithState(
         make_state_fn(max_failures, window, block), out_schema, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
 
@@ -106,14 +137,15 @@ def run_over_files(spark: SparkSession, events: DataFrame, key_fn, slices: int,
     range, so file order is time order), followed by one sentinel event per
     key and a final tick that moves the watermark past all real rows. The
     stream runs with ``availableNow`` into a parquet sink under the shared
-    checkpoint folder."""
+    checkpoint folder. A trigger passes over every state, so it takes about a slice's
+    files: more rows make larger triggers, not more of them."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/lockout-stream-{uuid.uuid4().hex}"
     delete_on_exit(spark, root)  # the result is read lazily, so the folder stays until the application ends
     src, sink, ckpt = f"{root}/source", f"{root}/sink", f"{root}/checkpoint"
     cols = ["login_id", "ts", "ip", "user_name", "success"]
     ev = events.select(*cols)
-    lo_hi = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, hi = lo_hi["lo"], lo_hi["hi"]
+    span = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")).first()
+    lo, hi = span["lo"], span["hi"]
     step = (hi - lo) / slices if hi > lo else dt.timedelta(seconds=1)
     # Files of one slice may arrive in any order: the allowed lateness covers
     # a slice, so no real row is ever behind the watermark.
@@ -130,8 +162,10 @@ def run_over_files(spark: SparkSession, events: DataFrame, key_fn, slices: int,
                  .select(F.lit(-1).cast("long").alias("login_id"), F.lit(far).cast("timestamp_ntz").alias("ts"),
                          "ip", "user_name", F.lit(True).alias("success")))
     sentinels.write.mode("append").parquet(src)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(src)
-    out = lockout_stream(stream, key_fn(), f"{int(lateness.total_seconds())} seconds", max_failures, window, block)
+    per_trigger = max(FILES_PER_TRIGGER, math.ceil(len(spark.read.schema(ev.schema).parquet(src).inputFiles()) / slices))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", per_trigger).parquet(src)
+    out = lockout_stream(stream, key_fn(), f"{int(lateness.total_seconds())} seconds", max_failures, window, block,
+                         max(1, math.ceil(span["n"] / GROUP_ROWS)))
 
     def run() -> None:
         q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)

@@ -3,9 +3,16 @@ the allowed lateness are folded in time order; rows behind the watermark are
 reported as late and change nothing."""
 
 import datetime as dt
+import glob
+import os
+import random
 import tempfile
+from urllib.parse import urlparse
+
+from pyspark.sql import functions as F
 
 from riskgrid.operators import lockout as LK
+from riskgrid.session import checkpoint_dir
 from riskgrid.sources import schemas as S
 from riskgrid.streaming import lockout_stream as LS
 
@@ -37,3 +44,51 @@ def test_lateness_and_late_rows(spark):
     assert got[1] == ("failed", 1) and got[2] == ("failed", 2) and got[3] == ("failed", 3)
     assert got[4][0] == "refused"               # blocked at minute 2 until minute 7
     assert got[5] == ("failed", 1)
+
+
+def _events(spark, n, keys):
+    rng = random.Random(11)
+    rows = [(i, T0 + dt.timedelta(minutes=rng.randrange(3000)), "ip", rng.choice(keys), rng.random() < 0.4) for i in range(n)]
+    return spark.createDataFrame(rows, S.LOGIN_EVENTS)
+
+
+LIMITS = dict(max_failures=3, window=dt.timedelta(minutes=90), block=dt.timedelta(minutes=30))
+
+
+def _same(stream, events):
+    cols = ["key", "login_id", "ts", "success", "outcome", "failure_count", "retry_after_minutes"]
+    a, b = stream.select(cols), LK.lockout(events, LK.user_key(), **LIMITS).select(cols)
+    assert a.count() == events.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_keys_share_states(spark):
+    """Forty keys, a blank and a missing one among them, fold in five states as each would alone."""
+    ev = _events(spark, 1200, [None, "  "] + [f"u{i}" for i in range(38)])
+    root = tempfile.mkdtemp(prefix="riskgrid-stream-")
+    for i in range(6):  # six triggers, each with rows of all times: the lateness covers them
+        ev.where(F.col("login_id") % 6 == i).coalesce(1).write.mode("append").parquet(root + "/src")
+    spark.createDataFrame([(-1, T0 + dt.timedelta(days=9), "ip", "u0", True)], S.LOGIN_EVENTS).coalesce(1) \
+        .write.mode("append").parquet(root + "/src")
+    stream = spark.readStream.schema(S.LOGIN_EVENTS).option("maxFilesPerTrigger", 1).parquet(root + "/src")
+    out = LS.lockout_stream(stream, LK.user_key(), "3000 minutes", **LIMITS, groups=5)
+    q = (out.writeStream.format("parquet").option("path", root + "/sink")
+         .option("checkpointLocation", root + "/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(states) == 5
+    got = spark.read.parquet(root + "/sink").where("login_id >= 0")
+    _same(got.withColumn("ts", F.col("ts").cast("timestamp_ntz")), ev)
+
+
+def test_replay_triggers_do_not_grow_with_files(spark):
+    """Twelve files a slice: a trigger takes a slice's files, so four and the last ones suffice."""
+    ev = _events(spark, 2000, [f"u{i}" for i in range(60)])
+    known = set(_replays(spark))
+    _same(LS.run_over_files(spark, ev.repartition(12), LK.user_key, 4, **LIMITS), ev)
+    root, = set(_replays(spark)) - known
+    triggers = [c for c in os.listdir(f"{root}/checkpoint/commits") if c.isdigit()]
+    assert len(triggers) <= 4 + 1 + 2  # data, what the watermark then frees, and the tick's two
+
+
+def _replays(spark):
+    return glob.glob(urlparse(checkpoint_dir(spark)).path + "/lockout-stream-*")

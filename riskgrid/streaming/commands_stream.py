@@ -4,7 +4,8 @@ Same buffering as the lockout stream: per hazard_id, rows wait in state until
 the watermark passes them and are then folded in (command_ts, command_id)
 order with ``operators.apply.apply_one`` (shared with the batch fold W6).
 The hazard's snapshot arrives as the first row of its key (row_type 0, time
-before every command). Users are a static side joined to the stream.
+before every command). Users are a static side joined to the stream, by merging:
+they grow with the register, and a broadcast would collect them on the driver in each trigger.
 Creates need the current maximum id: a second query over the same source
 judges them per micro-batch with W1 in ``foreachBatch`` and numbers them
 after the last id of the epoch before, which that epoch committed with its rows.
@@ -17,6 +18,7 @@ allowed lateness. A key without a hazard and without waiting commands has no sta
 from __future__ import annotations
 
 import datetime as dt
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ from ..session import checkpoint_dir
 from ..sources.sinks import delete_on_exit, path_exists
 
 EPOCH = dt.datetime(1970, 1, 1)
-FILES_PER_TRIGGER = 8
+FILES_PER_TRIGGER = 8  # at least; a replay takes a slice's files at once
 S_CREATED = "Created"
 LATE = "Late"  # result of a command that arrived behind the watermark
 OUT_SCHEMA = ("command_id long, hazard_id long, kind string, performed_by_user_id long, result string, "
@@ -80,7 +82,7 @@ def _state_fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             rec = {k: AP._none(v) for k, v in rec.items()}
             rec.update({k: int(rec[k]) for k in _IDS if rec[k] is not None})
             if rec["row_type"] == AP.ROW_STATE:
-                hz = {k: rec[k] for k in AP.STATE_FIELDS}
+                hz = {k: rec.get(k) for k in AP.STATE_FIELDS}
                 continue
             rec["command_us"] = _us(rec["command_ts"])
             # Its place in the order has passed, or it has none (no time): reported, not applied.
@@ -116,17 +118,17 @@ _UNUSED = {"title": None, "description": None, "severity": None, "type": None, "
 
 def apply_stream(source: DataFrame, users: DataFrame, lateness: str) -> DataFrame:
     """Streaming results of non-create commands; ``source`` streams snapshot
-    rows and command rows (``SOURCE_COLUMNS``)."""
-    uf = W.user_facts(users)
+    rows and command rows (``SOURCE_COLUMNS``). Only what the fold reads is shuffled."""
+    uf = W.user_facts(users.hint("merge"))
     perf = uf.select(F.col("user_id").alias("_p"), F.col("active_role").alias("role"))
     tgt = uf.select(F.col("user_id").alias("_t"), F.col("active_manager").alias("target_is_manager"))
     s = (source.where((F.col("row_type") == F.lit(AP.ROW_STATE)) | (F.col("kind") != F.lit(W.KIND_CREATE)))
-         .withColumn("event_ts", F.col("command_ts").cast("timestamp")))
+         .withColumn("event_ts", F.col("command_ts").cast("timestamp")).withColumn("tie", F.xxhash64(*AP.COMMAND_FIELDS))
+         .select("row_type", "hazard_id", "command_ts", "event_ts", "tie", *_HAZARD, *[c for c in _WAITING if c in SOURCE_COLUMNS]))
     s = (s.join(perf, s["performed_by_user_id"] == perf["_p"], "left")
          .join(tgt, s["assign_to_user_id"] == tgt["_t"], "left").drop("_p", "_t")
          .withColumn("target_is_manager", F.coalesce("target_is_manager", F.lit(False)))
-         .withColumn("tie", F.xxhash64(*AP.COMMAND_FIELDS))
-         .withColumns({c: F.col(c).cast("string") for c in _IDS if c != "tie"}).withColumn("tie", F.col("tie").cast("string"))
+         .withColumns({c: F.col(c).cast("string") for c in _IDS})
          .withWatermark("event_ts", lateness))
     return s.groupBy("hazard_id").applyInPandasWithState(
         _state_fn, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
@@ -155,7 +157,7 @@ def create_batch_writer(users: DataFrame, hazards: DataFrame, sink: str):
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         creates = batch.where((F.col("row_type") == F.lit(AP.ROW_COMMAND)) & (F.col("kind") == W.KIND_CREATE))
-        v = W.validate(creates.drop("row_type", "assigned_to_user_id", "status", "created_at"), users, hazards)
+        v = W.validate(creates.drop("row_type", "assigned_to_user_id", "status", "created_at"), users.hint("merge"), hazards)
         start = last_id(spark, epoch_id)
         ok = I.assign_sequence(v.where(F.col("result") == W.OK), ["command_id"], F.lit(start), "new_hazard_id")
         rest = v.where(F.col("result") != W.OK).withColumn("new_hazard_id", F.lit(None).cast("long"))
@@ -200,7 +202,8 @@ def run_over_files(spark: SparkSession, commands: DataFrame, users: DataFrame, h
                    slices: int) -> DataFrame:
     """Replay the command table as a file stream (snapshot first, then
     time-ordered slices, then one sentinel per hazard and a tick) and return
-    the streamed results without the sentinels."""
+    the streamed results without the sentinels. Each trigger joins the users and passes over
+    every state, so it takes about a slice's files: more rows make larger triggers, not more of them."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/commands-stream-{uuid.uuid4().hex}"
     delete_on_exit(spark, root)  # the result is read lazily, so the folder stays until the application ends
     src, sink, ckpt = f"{root}/source", f"{root}/sink", f"{root}/checkpoint"
@@ -225,8 +228,9 @@ def run_over_files(spark: SparkSession, commands: DataFrame, users: DataFrame, h
     tick = sentinel.limit(1).withColumn("hazard_id", F.lit(-(2 ** 63)).cast("long")) \
         .withColumn("command_ts", F.lit(hi + lateness * 8).cast("timestamp_ntz"))
 
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(src)
+    written = spark.read.parquet(src)
+    per_trigger = max(FILES_PER_TRIGGER, math.ceil(len(written.inputFiles()) / slices))
+    stream = spark.readStream.schema(written.schema).option("maxFilesPerTrigger", per_trigger).parquet(src)
     out = apply_stream(stream, users, f"{int(lateness.total_seconds())} seconds")
 
     def run() -> None:

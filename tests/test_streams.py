@@ -10,10 +10,15 @@ import tempfile
 from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+from riskgrid.operators import apply as AP
+from riskgrid.operators import commands as W
 from riskgrid.operators import lockout as LK
+from riskgrid.plans.explain import plan_text
 from riskgrid.session import checkpoint_dir
 from riskgrid.sources import schemas as S
+from riskgrid.streaming import commands_stream as CS
 from riskgrid.streaming import lockout_stream as LS
 
 T0 = dt.datetime(2026, 1, 1, 8, 0, 0)
@@ -90,5 +95,50 @@ def test_replay_triggers_do_not_grow_with_files(spark):
     assert len(triggers) <= 4 + 1 + 2  # data, what the watermark then frees, and the tick's two
 
 
-def _replays(spark):
-    return glob.glob(urlparse(checkpoint_dir(spark)).path + "/lockout-stream-*")
+def _replays(spark, of="lockout"):
+    return glob.glob(urlparse(checkpoint_dir(spark)).path + f"/{of}-stream-*")
+
+
+def _register(spark, n):
+    """Users, hazards and n commands of all kinds, some on no hazard, some by nobody, one without a time."""
+    rng = random.Random(7)
+    users = spark.createDataFrame([(i, f"u{i}", f"U{i}", S.ROLES[i % len(S.ROLES)], i % 7 != 0) for i in range(1, 30)], S.USERS)
+    hazards = spark.createDataFrame([(i, f"h{i}", "x", 1 + i % 29, None if i % 3 else 1 + i % 11, "Open", "Low", "Fire", T0, None)
+                                     for i in range(1, 13)], S.HAZARDS)
+    rows = [(i, None if i == 5 else T0 + dt.timedelta(minutes=rng.randrange(3000)), "comment" if i == 5 else rng.choice(["create", *KINDS]),
+             rng.choice([-1, *range(1, 13)]), rng.choice([None, *range(1, 32)]), rng.choice([None, "InProgress", "Resolved", "?"]),
+             rng.choice([None, *range(1, 30)]), rng.choice([None, "", "d"]), rng.randrange(1, 30), f"t{i}", "x", "Low", "Fire", None) for i in range(n)]
+    return users, hazards, spark.createDataFrame(rows, (
+        "command_id long, command_ts timestamp_ntz, kind string, hazard_id long, performed_by_user_id long, new_status string, "
+        "assign_to_user_id long, details string, reported_by_user_id long, title string, description string, severity string, "
+        "type string, due_date timestamp_ntz"))
+
+
+KINDS = (W.KIND_UPDATE, W.KIND_ASSIGN, W.KIND_STATUS, W.KIND_COMMENT)
+
+
+def test_command_replay_merges_users_in_few_triggers(spark, monkeypatch):
+    """Users are on no broadcast side, neither of the fold nor of the creates; twelve files a slice make no
+    more triggers than one; the results are the batch fold's."""
+    users, hazards, cmds = _register(spark, 900)
+    plans, runs, known = [], [], set(_replays(spark, "commands"))
+    validate, start = W.validate, DataStreamWriter.start
+
+    def seen(*args):
+        out = validate(*args)
+        plans.append(plan_text(out))
+        return out
+
+    monkeypatch.setattr(W, "validate", seen)
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: runs.append(start(self, *a, **k)) or runs[-1])
+    got = CS.run_over_files(spark, cmds.repartition(12), users, hazards, 4)
+    monkeypatch.undo()
+    root, = set(_replays(spark, "commands")) - known
+    triggers = {of: len([c for c in os.listdir(f"{root}/{of}/commits") if c.isdigit()]) for of in ("checkpoint", "checkpoint-creates")}
+    assert max(triggers.values()) <= 4 + 1 + 2 and len(plans) == triggers["checkpoint-creates"]
+    plans += [q._jsq.explainInternal(False) for q in runs[:2]]
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+    want = AP.apply(cmds, users, hazards, spark.createDataFrame([], S.HAZARD_LOGS))[2]
+    # The command without a time is late on the stream and comes first in the batch fold.
+    got, want = (df.where("command_id != 5").select(CS.OUT_COLUMNS) for df in (got, want))
+    assert got.count() == 899 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -20,6 +20,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,6 +47,7 @@ SOURCE_COLUMNS = ("row_type", "hazard_id", "command_id", "command_ts", "kind", "
 _WAITING = {"command_id": "bigint", "command_us": "bigint", "tie": "bigint", "kind": "string", "performed_by_user_id": "bigint",
             "role": "string", "new_status": "string", "assign_to_user_id": "bigint", "target_is_manager": "boolean",
             "details": "string"}
+_AT = list(_WAITING).index("command_us")
 # Whole numbers travel as text: a pandas column with NULLs would turn them into floats.
 _IDS = ("command_id", "tie", "performed_by_user_id", "assign_to_user_id", "reported_by_user_id", "assigned_to_user_id")
 _HAZARD = ("reported_by_user_id", "assigned_to_user_id", "status")
@@ -63,8 +65,9 @@ def _ts(us):
     return None if us is None else EPOCH + dt.timedelta(microseconds=int(us))
 
 
-def _order(cmd: dict) -> tuple:
-    return AP.order_key(cmd["command_us"], cmd["command_id"]) + (cmd["tie"],)
+def _order(cmd: tuple) -> tuple:
+    command_id, command_us, tie, *_ = cmd
+    return AP.order_key(command_us, command_id) + (tie,)
 
 
 def _state_fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -75,7 +78,7 @@ def _state_fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         present, *rest = state.get
         if present:
             hz = {k: None for k in AP.STATE_FIELDS} | {k: AP._none(v) for k, v in zip(_HAZARD, rest)}
-        buf = [dict(zip(_WAITING, r)) for r in zip(*rest[len(_HAZARD):])]
+        buf = list(zip(*rest[len(_HAZARD):]))
     late = []
     for b in batches:
         for rec in b.to_dict("records"):
@@ -89,22 +92,22 @@ def _state_fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             if rec["command_us"] is None or rec["command_us"] < wm_us:
                 late.append((rec["command_id"], hazard_id, rec["kind"], rec["performed_by_user_id"], LATE, None))
                 continue
-            buf.append({k: rec[k] for k in _WAITING})
+            buf.append(tuple(rec[k] for k in _WAITING))  # a key may wait with a slice's commands: no dict for each
     buf.sort(key=_order)
-    ready = [r for r in buf if r["command_us"] < wm_us]
-    buf = [r for r in buf if r["command_us"] >= wm_us]
+    n = bisect_left(buf, wm_us, key=lambda r: r[_AT])
+    ready, buf = buf[:n], buf[n:]
     out = late
-    for cmd in ready:
+    for cmd in (dict(zip(_WAITING, r)) for r in ready):
         res, action, _details, hz = AP.apply_one({**_UNUSED, **cmd}, hz)
         out.append((cmd["command_id"], hazard_id, cmd["kind"], cmd["performed_by_user_id"], res, action))
     if hz is None and not buf:
         if state.exists:
             state.remove()
     else:
-        waiting = [[r[k] for r in buf] for k in _WAITING]
+        waiting = [list(c) for c in zip(*buf)] or [[] for _ in _WAITING]
         state.update((hz is not None, *[hz[k] if hz else None for k in _HAZARD], *waiting))
         if buf:
-            state.setTimeoutTimestamp(max(buf[0]["command_us"] // 1000, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(buf[0][_AT] // 1000, state.getCurrentWatermarkMs() + 1))
     if out:
         df = pd.DataFrame(out, columns=OUT_COLUMNS)
         for c in ("command_id", "hazard_id", "performed_by_user_id"):
